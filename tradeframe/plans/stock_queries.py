@@ -1 +1,114 @@
-"""Registered queries."""
+"""Stock ledger W7, approvals W8, streaming T1-T3."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tradeframe.operators import ledger
+from tradeframe.plans.catalogue import query
+
+FOLD = """
+moves as (
+  select m.*, row_number() over (partition by product_id order by movement_date, id) as n,
+         case when movement_type in ('IN', 'RETURN', 'ADJUSTMENT') then 1
+              when movement_type in ('OUT', 'TRANSFER') then -1 else 0 end as sign
+  from stock_movements m),
+fold as (
+  select id as product_id, cast(0 as bigint) as n, cast(null as bigint) as movement_id,
+         cast(null as decimal(18,2)) as before, cast(null as decimal(18,2)) as after, true as ok,
+         cast(quantity_in_stock as decimal(18,2)) as stock
+  from products
+  union all
+  select f.product_id, m.n, m.id, f.stock,
+         case when m.sign > 0 or (m.sign < 0 and f.stock >= m.quantity) then cast(f.stock + m.sign * m.quantity as decimal(18,2)) end,
+         m.sign > 0 or (m.sign < 0 and f.stock >= m.quantity),
+         cast(case when m.is_approved and (m.sign > 0 or (m.sign < 0 and f.stock >= m.quantity))
+                   then f.stock + m.sign * m.quantity else f.stock end as decimal(18,2))
+  from fold f join moves m on m.product_id = f.product_id and m.n = f.n + 1)"""
+
+JOURNAL = f"""
+with recursive {FOLD}
+select movement_id as id, product_id, before as quantity_before, after as quantity_after, ok as accepted,
+       case when not ok then 'insufficient stock' end as reason
+from fold where n > 0"""
+
+
+@query("w07_stock_ledger", JOURNAL)
+def stock_ledger(db):
+    return ledger.stock_ledger(db["products"], db["stock_movements"]).journal.select(
+        "id", "product_id", "quantity_before", "quantity_after", "accepted", "reason")
+
+
+@query("w07_stock_after", f"""
+with recursive {FOLD}
+select product_id as id, cast(arg_max(stock, n) as decimal(28,2)) as quantity_in_stock from fold group by 1""")
+def stock_after(db):
+    return ledger.stock_ledger(db["products"], db["stock_movements"]).products.select("id", "quantity_in_stock")
+
+
+def recorded(db):
+    """Movements with a recorded ``quantity_after`` (the running stock without checks is
+    not needed here: the record is whatever the journal says)."""
+    return db["stock_movements"].select(
+        "id", "product_id", "quantity", "is_approved", "approved_by",
+        (F.col("quantity") + F.col("product_id") % 100).cast("decimal(10,2)").alias("quantity_after"),
+        F.lit(None).cast("timestamp_ntz").alias("approved_at"))
+
+
+def approvals(db):
+    """Requests for two of three movements, some of them approved already, some twice, and
+    some for movements that do not exist."""
+    rows = db["stock_movements"].filter("id % 3 <> 0")
+    at = F.col("movement_date").cast("timestamp_ntz")
+    first = rows.select("id", (F.col("id") % 50).alias("approved_by"), at.alias("approved_at"))
+    again = rows.filter("id % 7 = 1").select("id", (F.col("id") % 50 + 1),
+                                             F.date_add("movement_date", 1).cast("timestamp_ntz"))
+    unknown = rows.filter("id % 11 = 1").select(-F.col("id"), F.lit(1).cast("bigint"), at)
+    return first.unionAll(again).unionAll(unknown)
+
+
+_APPROVE = """
+recorded as (
+  select id, product_id, quantity, is_approved, approved_by,
+         cast(quantity + product_id % 100 as decimal(10,2)) as quantity_after
+  from stock_movements),
+asked as (
+  select id, id % 50 as approved_by, cast(movement_date as timestamp) as approved_at from stock_movements where id % 3 <> 0
+  union all
+  select id, id % 50 + 1, cast(movement_date + 1 as timestamp) from stock_movements where id % 3 <> 0 and id % 7 = 1
+  union all
+  select -id, 1, cast(movement_date as timestamp) from stock_movements where id % 3 <> 0 and id % 11 = 1),
+ranked as (select *, row_number() over (partition by id order by approved_at, approved_by) as n from asked),
+taken as (select m.*, r.approved_by as new_by, r.approved_at as new_at
+          from recorded m join ranked r on r.id = m.id and r.n = 1 where not m.is_approved)"""
+
+
+@query("w08_approved_movements", f"""
+with {_APPROVE}
+select m.id, m.product_id, m.quantity, m.quantity_after, m.is_approved or t.id is not null as is_approved,
+       coalesce(t.new_by, m.approved_by) as approved_by, t.new_at as approved_at
+from recorded m left join taken t on t.id = m.id""")
+def approved_movements(db):
+    return ledger.approve_movements(db["products"], recorded(db), approvals(db)).movements
+
+
+@query("w08_stock_after_approval", f"""
+with {_APPROVE}
+select p.id, cast(coalesce(s.stock, p.quantity_in_stock) as decimal(18,2)) as quantity_in_stock
+from products p left join (
+  select product_id, quantity_after as stock,
+         row_number() over (partition by product_id order by new_at desc, id desc) as n from taken) s
+  on s.product_id = p.id and s.n = 1""")
+def stock_after_approval(db):
+    return ledger.approve_movements(db["products"], recorded(db), approvals(db)).products.select(
+        "id", "quantity_in_stock")
+
+
+@query("w08_rejected_approvals", f"""
+with {_APPROVE}
+select a.id, case when m.id is null or m.is_approved then count(*) else count(*) - 1 end as requests,
+       case when m.id is null then 'movement not found' else 'movement already approved' end as reason
+from asked a left join recorded m on m.id = a.id group by a.id, m.id, m.is_approved
+having m.id is null or m.is_approved or count(*) > 1""")
+def rejected_approvals(db):
+    return ledger.approve_movements(db["products"], recorded(db), approvals(db)).rejected

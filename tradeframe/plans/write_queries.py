@@ -1 +1,299 @@
-"""Registered queries."""
+"""Batch writes and integrity U1-U9, audit trail X6."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tradeframe.operators import integrity, writes
+from tradeframe.plans.catalogue import query
+from tradeframe.plans.workflow_queries import AT, STAMP
+
+# --- partial updates ------------------------------------------------------------------
+
+
+def _customer_updates(db):
+    """One update per event: the user is the customer, each kind of event sets other
+    fields; every third event names a customer that does not exist."""
+    kind = F.col("event_type")
+    return db.given("events").select(
+        F.when(F.col("event_id") % 3 == 0, -F.col("event_id") - 1).otherwise(F.col("user_id")).alias("id"),
+        F.when(kind == "signup", F.concat(F.lit("Name "), F.col("event_id").cast("string"))).alias("name"),
+        F.when(kind.isin("signup", "view"), F.concat(F.lit("mail"), F.col("event_id").cast("string"))).alias("email"),
+        F.when(kind == "error", F.lit(False)).when(kind == "purchase", F.lit(True)).alias("is_active"),
+        F.col("ts").alias("updated_at"))
+
+
+_UPDATES = """
+updates as (
+  select case when event_id % 3 = 0 then -event_id - 1 else user_id end as id,
+         case when event_type = 'signup' then 'Name ' || event_id end as name,
+         case when event_type in ('signup', 'view') then 'mail' || event_id end as email,
+         case event_type when 'error' then false when 'purchase' then true end as is_active, ts as updated_at
+  from events)"""
+
+
+def _updated(db):
+    return writes.upsert_coalesce(db["customers"], _customer_updates(db), "id", ["name", "email", "is_active"])
+
+
+@query("u01_updated_customers", f"""
+with {_UPDATES}
+select c.* exclude (name, email, is_active), coalesce(u.name, c.name) as name, coalesce(u.email, c.email) as email,
+       coalesce(u.is_active, c.is_active) as is_active, u.updated_at
+from customers c left join (
+  select id, arg_max(name, updated_at) filter (where name is not null) as name,
+         arg_max(email, updated_at) filter (where email is not null) as email,
+         arg_max(is_active, updated_at) filter (where is_active is not null) as is_active,
+         max(updated_at) as updated_at from updates group by 1) u on u.id = c.id""")
+def updated_customers(db):
+    return _updated(db).table
+
+
+@query("u01_rejected_updates", f"""
+with {_UPDATES} select *, 'not found' as reason from updates where id not in (select id from customers)""")
+def rejected_updates(db):
+    return _updated(db).rejected
+
+
+@query("u01_updated_invoices", f"""
+select i.* exclude (due_date, total_amount, tax_amount),
+       case when id % 2 = 0 then cast(due_date + 15 as date) else due_date end as due_date,
+       case when id % 3 = 0 then cast(total_amount + 1 as decimal(12,2)) else total_amount end as total_amount,
+       case when id % 6 = 0 then cast(7 as decimal(12,2)) else tax_amount end as tax_amount,
+       case when id % 2 = 0 or id % 3 = 0 then {STAMP} end as updated_at
+from invoices i""")
+def updated_invoices(db):
+    invoices, key = db["invoices"], F.col("id")
+    updates = invoices.filter("id % 2 = 0 or id % 3 = 0").select(
+        "id", F.when(key % 2 == 0, F.date_add("due_date", 15)).alias("due_date"),
+        F.when(key % 3 == 0, F.col("total_amount") + 1).cast("decimal(12,2)").alias("total_amount"),
+        F.when(key % 6 == 0, 7).cast("decimal(12,2)").alias("tax_amount"), AT.alias("updated_at"))
+    return writes.upsert_coalesce(invoices, updates, "id", ["due_date", "total_amount", "tax_amount"]).table
+
+
+# --- inserts ----------------------------------------------------------------------------
+
+
+def _new_transactions(db):
+    """Requests from the invoices; some lack the type, the amount or the account."""
+    key = F.col("id")
+    return db["invoices"].select(
+        "id", F.when(key % 4 != 0, "income").alias("type"),
+        F.when(key % 5 == 0, 0).otherwise(F.col("total_amount")).cast("decimal(12,2)").alias("amount"),
+        F.when(key % 7 != 0, key % 25).alias("account_id"),
+        F.when(key % 2 == 0, "EUR").alias("currency"))
+
+
+_NEW = """
+requests as (
+  select id, case when id % 4 <> 0 then 'income' end as type,
+         cast(case when id % 5 = 0 then 0 else total_amount end as decimal(12,2)) as amount,
+         case when id % 7 <> 0 then id % 25 end as account_id, case when id % 2 = 0 then 'EUR' end as currency
+  from invoices)"""
+
+
+def _required(db):
+    return writes.check_required(_new_transactions(db), ["type", "amount", "account_id"], non_zero=["amount"])
+
+
+@query("u02_accepted_transactions", f"""
+with {_NEW}
+select * exclude (currency), coalesce(currency, 'DZD') as currency, 'pending' as status, false as is_reconciled
+from requests where type is not null and amount <> 0 and account_id is not null""")
+def accepted_transactions(db):
+    return writes.with_defaults(_required(db).accepted, "financial_transactions")
+
+
+@query("u02_rejected_transactions", f"""
+with {_NEW}
+select *, case when type is null then 'type is required' when amount = 0 then 'amount is required'
+               else 'account_id is required' end as reason
+from requests where type is null or amount = 0 or account_id is null""")
+def rejected_transactions(db):
+    return _required(db).rejected
+
+
+def _new_users(db):
+    """Sign-ups from orders: name and mail by customer, so many repeat; some are taken."""
+    return db["sales_orders"].select(
+        F.col("id").alias("request"), F.concat(F.lit("user"), F.col("customer_id").cast("string")).alias("username"),
+        F.concat(F.lit("user"), (F.col("customer_id") + F.col("id") % 2).cast("string"), F.lit("@example.com"))
+        .alias("email"))
+
+
+_SIGNUPS = """
+signups as (
+  select id as request, 'user' || customer_id as username, 'user' || (customer_id + id % 2) || '@example.com' as email
+  from sales_orders),
+judged as (
+  select s.*, case
+    when s.username in (select username from users) then 'username exists already'
+    when s.request > min(request) over (partition by s.username) then 'username repeated in the batch'
+    when s.email in (select email from users) then 'email exists already'
+    when s.request > min(request) over (partition by s.email) then 'email repeated in the batch' end as reason
+  from signups s)"""
+
+
+def _signups(db):
+    return writes.check_unique(db["users"], _new_users(db), ["username", "email"], "request")
+
+
+@query("u03_accepted_users", f"with {_SIGNUPS} select request, username, email from judged where reason is null")
+def accepted_users(db):
+    return _signups(db).accepted
+
+
+@query("u03_rejected_users", f"with {_SIGNUPS} select * from judged where reason is not null")
+def rejected_users(db):
+    return _signups(db).rejected
+
+
+# --- deletes ----------------------------------------------------------------------------
+
+
+def _order_deletes(db):
+    orders = db["sales_orders"]
+    asked = orders.filter("id % 5 = 0").select("id").unionAll(orders.filter("id % 5 = 1").select(-F.col("id")))
+    return writes.delete_by_key(orders, asked)
+
+
+@query("u04_deleted_orders", "select * from sales_orders where id % 5 = 0")
+def deleted_orders(db):
+    return _order_deletes(db).deleted
+
+
+@query("u04_kept_orders", "select * from sales_orders where id % 5 <> 0")
+def kept_orders(db):
+    return _order_deletes(db).kept
+
+
+@query("u04_rejected_deletes", "select -id as id, 'not found' as reason from sales_orders where id % 5 = 1")
+def rejected_deletes(db):
+    return _order_deletes(db).rejected
+
+
+@query("u04_user_deletes_rejected", """
+select id, id as requested_by, 'cannot delete own record' as reason from users where id % 4 = 0
+union all select -id - 1, id, 'not found' from users where id % 4 = 1""")
+def user_deletes(db):
+    users = db["users"]
+    own = users.filter("id % 4 = 0").select("id", F.col("id").alias("requested_by"))
+    unknown = users.filter("id % 4 = 1").select(-F.col("id") - 1, "id")
+    fine = users.filter("id % 4 = 2").select("id", F.col("id") + 1)
+    return writes.delete_by_key(users, own.unionAll(unknown).unionAll(fine), actor="requested_by").rejected
+
+
+def _family_deletes(db):
+    """Ask to delete all families that exist, and some that do not."""
+    families = db["product_families"]
+    asked = families.select("id").unionAll(families.filter("level = 1").select(-F.col("id")))
+    products = db["products"].filter("id % 3 <> 0")
+    return writes.delete_families(families, products, asked)
+
+
+_FREE = """
+id not in (select family_id from products where id % 3 <> 0)
+and id not in (select parent_id from product_families where parent_id is not null)"""
+
+
+@query("u05_kept_families", f"select * from product_families where not ({_FREE})")
+def kept_families(db):
+    return _family_deletes(db).kept
+
+
+@query("u05_refused_families", f"""
+select id, case when id in (select family_id from products where id % 3 <> 0) then 'family has products'
+                else 'family has child families' end as reason
+from product_families where not ({_FREE})
+union all select -id, 'not found' from product_families where level = 1""")
+def refused_families(db):
+    return _family_deletes(db).rejected
+
+
+@query("u06_deactivated_suppliers", f"""
+select s.* exclude (is_active), case when id % 3 = 0 then false else is_active end as is_active,
+       case when id % 3 = 0 then {STAMP} end as updated_at
+from suppliers s""")
+def deactivated_suppliers(db):
+    suppliers = db["suppliers"]
+    return writes.deactivate(suppliers, suppliers.filter("id % 3 = 0").select("id"), AT).table
+
+
+# --- integrity ----------------------------------------------------------------------------
+
+_KEYS = [("stock_movements", "product_id", "products"), ("stock_movements", "created_by", "users"),
+         ("stock_movements", "approved_by", "users"), ("users", "role_id", "user_roles"),
+         ("products", "family_id", "product_families"), ("sales_order_items", "order_id", "sales_orders"),
+         ("invoices", "customer_id", "customers")]
+_UNIQUE = {"customers": ["code", "email"], "users": ["username"], "products": ["sku", "barcode"]}
+_REQUIRED = {"customers": ["email"], "products": ["barcode", "reorder_quantity"], "sales_quotes": ["valid_until"]}
+_TYPED = [("suppliers", "phone", "bigint"), ("products", "barcode", "bigint")]
+
+
+def _violations_sql() -> str:
+    parts = []
+
+    def add(table, column, kind, value, rows, source):
+        parts.append(f"select '{table}' as table_name, '{column}' as column_name, '{kind}' as violation, "
+                     f"cast({value} as varchar) as value, {rows} as row_count, "
+                     f"'{integrity.MESSAGES[kind]}' as message from {source}")
+
+    for child, column, parent in _KEYS:
+        add(child, column, "foreign_key", column, "count(*)",
+            f"{child} where {column} is not null and {column} not in (select id from {parent}) group by {column}")
+    for table, columns in _UNIQUE.items():
+        for c in columns:
+            add(table, c, "unique", c, "count(*)", f"{table} where {c} is not null group by {c} having count(*) > 1")
+    for table, columns in _REQUIRED.items():
+        for c in columns:
+            add(table, c, "not_null", "id", "cast(1 as bigint)", f"{table} where {c} is null")
+    for table, c, kind in _TYPED:
+        add(table, c, "invalid_text", c, "count(*)",
+            f"{table} where {c} is not null and try_cast({c} as {kind}) is null group by {c}")
+    return " union all ".join(parts)
+
+
+@query("u07_violations", _violations_sql())
+def violations(db):
+    return integrity.violations(db, _KEYS, _UNIQUE, _REQUIRED, _TYPED)
+
+
+def _cascade(db):
+    return writes.cascade(db["sales_order_items"], "order_id", _order_deletes(db).deleted)
+
+
+@query("u08_items_kept", "select * from sales_order_items where order_id % 5 <> 0")
+def items_kept(db):
+    return _cascade(db).kept
+
+
+@query("u08_items_deleted", "select * from sales_order_items where order_id % 5 = 0")
+def items_deleted(db):
+    return _cascade(db).deleted
+
+
+@query("u09_update_stamps", f"""
+with {_UPDATES} select c.id, max(u.updated_at) as updated_at from customers c left join updates u on u.id = c.id group by 1""")
+def update_stamps(db):
+    return _updated(db).table.select("id", "updated_at")
+
+
+# --- audit trail ----------------------------------------------------------------------------
+
+
+@query("x06_row_changes", """
+select case when id % 6 = 0 then 'DELETE' when id % 6 = 1 then 'UPDATE' else 'INSERT' end as action,
+       'sales_orders' as table_name, case when id % 6 = 2 then -id else id end as record_id,
+       case when id % 6 = 1 then case when status = 'completed' then 'total_amount' else 'status,total_amount' end
+            end as changed_columns
+from sales_orders where id % 6 in (0, 1, 2)""")
+def row_changes(db):
+    """Every sixth order is deleted, another sixth changed, another copied under a new key."""
+    old = db["sales_orders"].select("id", "status", "total_amount")
+    key = F.col("id")
+    changed = old.filter("id % 6 <> 0").select(
+        "id", F.when(key % 6 == 1, "completed").otherwise(F.col("status")).alias("status"),
+        F.when(key % 6 == 1, F.col("total_amount") + 1).otherwise(F.col("total_amount")).cast("decimal(12,2)")
+        .alias("total_amount"))
+    new = changed.unionAll(old.filter("id % 6 = 2").select(-key, "status", "total_amount"))
+    return writes.row_changes(old, new, "sales_orders").drop("old_values", "new_values")
