@@ -139,11 +139,9 @@ def document_totals(db):
 select order_id, product_id, line_number, quantity, unit_price, discount_percentage,
        cast(round(quantity * unit_price * (100 - coalesce(discount_percentage, 0)) * 0.01, 2) as decimal(28,2))
          as line_total
-from (select * replace (case when product_id % 9 = 0 then null else discount_percentage end as discount_percentage)
-      from sales_order_items)""")
+from (select * replace (nullif(discount_percentage, 0) as discount_percentage) from sales_order_items)""")
 def line_totals(db):
-    items = db["sales_order_items"].withColumn(
-        "discount_percentage", F.when(F.col("product_id") % 9 == 0, None).otherwise(F.col("discount_percentage")))
+    items = db["sales_order_items"].withColumn("discount_percentage", F.nullif("discount_percentage", F.lit(0)))
     return pricing.priced_lines(items).drop("tax_percentage")
 
 
@@ -174,14 +172,14 @@ def line_numbers_nested(db):
 @query("p04_movement_values", """
 select id, quantity, unit_price, total_value,
        cast(coalesce(nullif(total_value, 0), round(quantity * coalesce(unit_price, 0), 2)) as decimal(18,2)) as movement_value
-from (select id, quantity, case when product_id % 5 = 0 then null else unit_price end as unit_price,
-             case product_id % 3 when 0 then cast(0 as decimal(12,2)) when 1 then cast(quantity * 2 as decimal(12,2)) end
-               as total_value
+from (select id, quantity, case when movement_type <> 'TRANSFER' then unit_price end as unit_price,
+             case movement_type when 'IN' then cast(0 as decimal(12,2)) when 'OUT' then cast(quantity * 2 as decimal(12,2))
+                  end as total_value
       from stock_movements)""")
 def movement_values(db):
-    product = F.col("product_id")
+    kind = F.col("movement_type")
     rows = db["stock_movements"].select(
-        "id", "quantity", F.when(product % 5 != 0, F.col("unit_price")).alias("unit_price"),
-        F.when(product % 3 == 0, F.lit(0)).when(product % 3 == 1, F.col("quantity") * 2).cast("decimal(12,2)")
+        "id", "quantity", F.when(kind != "TRANSFER", F.col("unit_price")).alias("unit_price"),
+        F.when(kind == "IN", F.lit(0)).when(kind == "OUT", F.col("quantity") * 2).cast("decimal(12,2)")
         .alias("total_value"))
     return rows.withColumn("movement_value", pricing.movement_value())

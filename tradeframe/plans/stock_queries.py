@@ -56,14 +56,14 @@ def recorded(db):
 
 
 def approvals(db):
-    """Requests for two of three movements, some of them approved already, some twice, and
-    some for movements that do not exist."""
-    rows = db["stock_movements"].filter("id % 3 <> 0")
+    """A request for every movement, approved already or not; those of one warehouse come
+    twice, and for returns there is one that names no movement."""
+    rows = db["stock_movements"]
     at = F.col("movement_date").cast("timestamp_ntz")
-    first = rows.select("id", (F.col("id") % 50).alias("approved_by"), at.alias("approved_at"))
-    again = rows.filter("id % 7 = 1").select("id", (F.col("id") % 50 + 1),
-                                             F.date_add("movement_date", 1).cast("timestamp_ntz"))
-    unknown = rows.filter("id % 11 = 1").select(-F.col("id"), F.lit(1).cast("bigint"), at)
+    first = rows.select("id", F.col("sales_order_id").alias("approved_by"), at.alias("approved_at"))
+    again = rows.filter("warehouse = 'WH-A'").select(
+        "id", F.col("sales_order_id") + 1, F.date_add("movement_date", 1).cast("timestamp_ntz"))
+    unknown = rows.filter("movement_type = 'RETURN'").select(-F.col("id"), F.lit(1).cast("bigint"), at)
     return first.unionAll(again).unionAll(unknown)
 
 
@@ -73,11 +73,11 @@ recorded as (
          cast(quantity + product_id % 100 as decimal(10,2)) as quantity_after
   from stock_movements),
 asked as (
-  select id, id % 50 as approved_by, cast(movement_date as timestamp) as approved_at from stock_movements where id % 3 <> 0
+  select id, sales_order_id as approved_by, cast(movement_date as timestamp) as approved_at from stock_movements
   union all
-  select id, id % 50 + 1, cast(movement_date + 1 as timestamp) from stock_movements where id % 3 <> 0 and id % 7 = 1
+  select id, sales_order_id + 1, cast(movement_date + 1 as timestamp) from stock_movements where warehouse = 'WH-A'
   union all
-  select -id, 1, cast(movement_date as timestamp) from stock_movements where id % 3 <> 0 and id % 11 = 1),
+  select -id, 1, cast(movement_date as timestamp) from stock_movements where movement_type = 'RETURN'),
 ranked as (select *, row_number() over (partition by id order by approved_at, approved_by) as n from asked),
 taken as (select m.*, r.approved_by as new_by, r.approved_at as new_at
           from recorded m join ranked r on r.id = m.id and r.n = 1 where not m.is_approved)"""

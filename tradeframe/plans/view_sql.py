@@ -90,10 +90,10 @@ select id, 'QT-' || id as quote_number, customer_id, order_date as quote_date,
        case when id % 5 = 0 then null else cast(order_date + 30 as date) end as valid_until,
        case status when 'completed' then 'approved' when 'pending' then 'draft' else 'rejected' end as status,
        total_amount, order_date as created_at
-from sales_orders where id % 3 = 0""",
+from sales_orders""",
     "sales_quote_items": """
 select order_id as quote_id, product_id, line_number, quantity, unit_price, discount_percentage, tax_percentage
-from sales_order_items where order_id % 3 = 0""",
+from sales_order_items""",
     "purchase_orders": f"""
 select {_PO_KEY} as id, 'PO-' || {_PO_KEY} as order_number, l_suppkey as supplier_id,
        cast(min(l_shipdate) as date) as order_date,

@@ -24,8 +24,8 @@ def number_sql(prefix: str, key: str) -> str:
 # --- quotes to orders ---------------------------------------------------------------
 
 def _conversion_requests(db):
-    """Every second quote, and as many keys without a quote."""
-    quotes = db["sales_quotes"].filter("id % 2 = 0")
+    """The quotes with a validity date, and as many keys without a quote."""
+    quotes = db["sales_quotes"].filter("valid_until is not null")
     return quotes.select("id").unionAll(quotes.select(-F.col("id") - 1))
 
 
@@ -36,29 +36,30 @@ def _converted(db):
 @query("w01_converted_orders", f"""
 select id + {BASE} as id, {number_sql('SO', f'(id + {BASE})')} as order_number, customer_id, id as quote_id,
        date '{TODAY}' as order_date, 'pending' as status, total_amount
-from sales_quotes where status = 'approved' and id % 2 = 0""")
+from sales_quotes where status = 'approved' and valid_until is not null""")
 def converted_orders(db):
     return _converted(db).orders
 
 
 @query("w01_converted_items", f"""
 select i.quote_id + {BASE} as order_id, i.* exclude (quote_id)
-from sales_quote_items i join sales_quotes q on q.id = i.quote_id where q.status = 'approved' and q.id % 2 = 0""")
+from sales_quote_items i join sales_quotes q on q.id = i.quote_id where q.status = 'approved' and q.valid_until is not null""")
 def converted_items(db):
     return _converted(db).items
 
 
 @query("w01_quotes_after", f"""
-select q.* exclude (status), case when status = 'approved' and id % 2 = 0 then 'converted' else status end as status,
-       case when status = 'approved' and id % 2 = 0 then id + {BASE} end as converted_to_order
+select q.* exclude (status), case when status = 'approved' and valid_until is not null then 'converted' else status end as status,
+       case when status = 'approved' and valid_until is not null then id + {BASE} end as converted_to_order
 from sales_quotes q""")
 def quotes_after(db):
     return _converted(db).quotes
 
 
 @query("w01_rejected", """
-select id, 'only approved quotes can be converted' as reason from sales_quotes where status <> 'approved' and id % 2 = 0
-union all select -id - 1, 'quote not found' from sales_quotes where id % 2 = 0""")
+select id, 'only approved quotes can be converted' as reason from sales_quotes where status <> 'approved'
+  and valid_until is not null
+union all select -id - 1, 'quote not found' from sales_quotes where valid_until is not null""")
 def conversion_rejects(db):
     return _converted(db).rejected
 
@@ -66,23 +67,24 @@ def conversion_rejects(db):
 # --- order events -------------------------------------------------------------------
 
 def _events(orders, first: str, second: str, other: str):
-    """Two of three orders get the first event, every fourth the second as well, and the
-    rest another one; each tenth event names an order that does not exist."""
+    """Every order has an event: the first kind, or another one for pending orders. Orders
+    above 250,000 get the second kind too, and for each cancelled order there is an
+    event that names no order."""
     at = F.col("order_date").cast("timestamp_ntz")
-    one = orders.select("id", F.when(F.col("id") % 3 < 2, first).otherwise(other).alias("status"), at.alias("at"))
-    two = orders.filter("id % 4 = 0").select(
+    one = orders.select("id", F.when(F.col("status") != "pending", first).otherwise(other).alias("status"), at.alias("at"))
+    two = orders.filter("total_amount > 250000").select(
         "id", F.lit(second), F.date_add("order_date", 2).cast("timestamp_ntz"))
-    none = orders.filter("id % 10 = 0").select(-F.col("id") - 1, F.lit(first), at)
+    none = orders.filter("status = 'cancelled'").select(-F.col("id") - 1, F.lit(first), at)
     return one.unionAll(two).unionAll(none)
 
 
 def events_sql(orders: str, first: str, second: str, other: str) -> str:
     return f"""
 order_events as (
-  select id, case when id % 3 < 2 then '{first}' else '{other}' end as status, cast(order_date as timestamp) as at
+  select id, case when status <> 'pending' then '{first}' else '{other}' end as status, cast(order_date as timestamp) as at
   from {orders}
-  union all select id, '{second}', cast(order_date + 2 as timestamp) from {orders} where id % 4 = 0
-  union all select -id - 1, '{first}', cast(order_date as timestamp) from {orders} where id % 10 = 0)"""
+  union all select id, '{second}', cast(order_date + 2 as timestamp) from {orders} where total_amount > 250000
+  union all select -id - 1, '{first}', cast(order_date as timestamp) from {orders} where status = 'cancelled')"""
 
 
 def effect_sql(result: str, orders: str, items: str, first: str, second: str, other: str, kind: str, document: str,
@@ -164,7 +166,8 @@ def orders_after_receiving(db):
 
 def _cancelled(db):
     orders = db["purchase_orders"]
-    asked = orders.filter("id % 3 = 0").select("id").unionAll(orders.filter("id % 7 = 0").select(-F.col("id")))
+    asked = orders.filter("actual_delivery_date is null").select("id").unionAll(
+        orders.filter("status = 'pending'").select(-F.col("id")))
     return workflow.cancel_purchase_orders(orders, asked, AT)
 
 
@@ -172,17 +175,18 @@ _CLOSED = "status in ('received', 'completed')"
 
 
 @query("w04_cancelled_orders", f"""
-select o.* exclude (status), case when id % 3 = 0 and not {_CLOSED} then 'cancelled' else status end as status,
-       case when id % 3 = 0 and not {_CLOSED} then {STAMP} end as cancelled_at,
-       case when id % 3 = 0 and not {_CLOSED} then {STAMP} end as updated_at
+select o.* exclude (status), case when actual_delivery_date is null and not {_CLOSED} then 'cancelled' else status end as status,
+       case when actual_delivery_date is null and not {_CLOSED} then {STAMP} end as cancelled_at,
+       case when actual_delivery_date is null and not {_CLOSED} then {STAMP} end as updated_at
 from purchase_orders o""")
 def cancelled_orders(db):
     return _cancelled(db).table
 
 
 @query("w04_rejected_cancellations", f"""
-select id, 'cannot cancel received or completed orders' as reason from purchase_orders where id % 3 = 0 and {_CLOSED}
-union all select -id, 'purchase order not found' from purchase_orders where id % 7 = 0""")
+select id, 'cannot cancel received or completed orders' as reason from purchase_orders
+where actual_delivery_date is null and {_CLOSED}
+union all select -id, 'purchase order not found' from purchase_orders where status = 'pending'""")
 def rejected_cancellations(db):
     return _cancelled(db).rejected
 
@@ -191,23 +195,23 @@ _STATES = ("unpaid", "partial", "paid", "overdue", "cancelled", "lost", "")
 
 
 def _payment_requests(db):
-    """Two payment changes per customer's invoice from the order and its day; some name a
-    state that does not exist or none at all."""
+    """A payment change per invoice, a second one for untaxed invoices; the state follows
+    the month, and some name a state that does not exist or none at all."""
     names = F.array(*[F.lit(s) for s in _STATES])
     rows = db["invoices"]
-    pick = lambda shift: names[((F.col("id") + shift) % 7).cast("int")].alias("payment_status")
+    pick = lambda shift: names[(F.month("issue_date") + shift) % 7].alias("payment_status")
     first = rows.select("id", pick(0), F.col("issue_date").cast("timestamp_ntz").alias("updated_at"))
-    second = rows.filter("id % 2 = 0").select("id", pick(3), F.date_add("issue_date", 9).cast("timestamp_ntz"))
+    second = rows.filter("tax_amount is null").select("id", pick(3), F.date_add("issue_date", 9).cast("timestamp_ntz"))
     return first.unionAll(second)
 
 
 _PAYMENTS = f"""
 asked as (
-  select id, [{', '.join(repr(s) for s in _STATES)}][id % 7 + 1] as payment_status, cast(issue_date as timestamp) as updated_at
+  select id, [{', '.join(repr(s) for s in _STATES)}][month(issue_date) % 7 + 1] as payment_status, cast(issue_date as timestamp) as updated_at
   from invoices
   union all
-  select id, [{', '.join(repr(s) for s in _STATES)}][(id + 3) % 7 + 1], cast(issue_date + 9 as timestamp)
-  from invoices where id % 2 = 0)"""
+  select id, [{', '.join(repr(s) for s in _STATES)}][(month(issue_date) + 3) % 7 + 1], cast(issue_date + 9 as timestamp)
+  from invoices where tax_amount is null)"""
 _ALLOWED = ", ".join(f"'{s}'" for s in workflow.PAYMENT_STATUSES)
 
 
@@ -235,31 +239,31 @@ def rejected_payment_status(db):
 
 
 @query("w05_quote_status", f"""
-select q.* exclude (status), case when id % 4 = 0 then 'sent' else status end as status,
-       case when id % 4 = 0 then {STAMP} end as updated_at
+select q.* exclude (status), case when status = 'draft' then 'sent' else status end as status,
+       case when status = 'draft' then {STAMP} end as updated_at
 from sales_quotes q""")
 def quote_status(db):
     quotes = db["sales_quotes"]
-    asked = quotes.filter("id % 4 = 0").select("id", F.lit("sent").alias("status"), AT.alias("updated_at"))
+    asked = quotes.filter("status = 'draft'").select("id", F.lit("sent").alias("status"), AT.alias("updated_at"))
     return writes.set_status(quotes, asked).table
 
 
 @query("w05_order_status", f"""
-select o.* exclude (status), case when id % 4 = 0 then 'confirmed' else status end as status,
-       case when id % 4 = 0 then {STAMP} end as updated_at
+select o.* exclude (status), case when status = 'pending' then 'confirmed' else status end as status,
+       case when status = 'pending' then {STAMP} end as updated_at
 from sales_orders o""")
 def order_status(db):
     orders = db["sales_orders"]
-    asked = orders.filter("id % 4 = 0").select("id", F.lit("confirmed").alias("status"), AT.alias("updated_at"))
+    asked = orders.filter("status = 'pending'").select("id", F.lit("confirmed").alias("status"), AT.alias("updated_at"))
     return writes.set_status(orders, asked).table
 
 
 @query("w06_reconciled", f"""
-select *, id % 3 = 0 as is_reconciled, case when id % 3 = 0 then {STAMP} end as reconciled_at
+select *, type = 'income' as is_reconciled, case when type = 'income' then {STAMP} end as reconciled_at
 from financial_transactions""")
 def reconciled(db):
     transactions = db["financial_transactions"]
-    return workflow.reconcile(transactions, transactions.filter("id % 3 = 0").select("id"), AT).table
+    return workflow.reconcile(transactions, transactions.filter("type = 'income'").select("id"), AT).table
 
 
 # --- replenishment --------------------------------------------------------------------
@@ -315,27 +319,32 @@ def auto_order_items(db):
 select id + {BASE} as id, {number_sql('INV', f'(id + {BASE})')} as invoice_number, customer_id, id as sales_order_id,
        date '{TODAY}' as issue_date, cast(null as date) as due_date, total_amount,
        cast(0 as decimal(12,2)) as tax_amount, 'unpaid' as payment_status
-from sales_orders where id % 4 = 0 and total_amount <> 0""")
+from sales_orders where total_amount <> 0
+  and id not in (select sales_order_id from invoices where payment_status in ('paid', 'partial'))""")
 def open_orders(db):
-    return workflow.invoice_open_orders(db["sales_orders"], db["invoices"].filter("id % 4 <> 0"), TODAY, BASE).rows
+    return workflow.invoice_open_orders(db["sales_orders"], db["invoices"].filter("payment_status in ('paid', 'partial')"),
+                                        TODAY, BASE).rows
 
 
 def _invoice_requests(db):
-    row = F.col("id")
+    """A request per order: cancelled ones lack the customer, pending ones the date, small
+    ones have a zero total and only large ones carry a tax."""
+    status, amount = F.col("status"), F.col("total_amount")
     return db["sales_orders"].select(
-        "id", F.when(row % 9 != 0, F.col("customer_id")).alias("customer_id"), row.alias("sales_order_id"),
-        F.when(row % 2 == 0, F.col("order_date")).alias("issue_date"),
+        "id", F.when(status != "cancelled", F.col("customer_id")).alias("customer_id"),
+        F.col("id").alias("sales_order_id"),
+        F.when(status != "pending", F.col("order_date")).alias("issue_date"),
         F.date_add("order_date", 30).alias("due_date"),
-        F.when(row % 5 == 0, F.lit(0)).otherwise(F.col("total_amount")).cast("decimal(12,2)").alias("total_amount"),
-        F.when(row % 3 == 0, F.lit(19)).cast("decimal(12,2)").alias("tax_amount"))
+        F.when(amount < 50000, F.lit(0)).otherwise(amount).cast("decimal(12,2)").alias("total_amount"),
+        F.when(amount > 250000, F.lit(19)).cast("decimal(12,2)").alias("tax_amount"))
 
 
 _REQUESTS = """
 requests as (
-  select id, case when id % 9 <> 0 then customer_id end as customer_id, id as sales_order_id,
-         case when id % 2 = 0 then order_date end as issue_date, cast(order_date + 30 as date) as due_date,
-         cast(case when id % 5 = 0 then 0 else total_amount end as decimal(12,2)) as total_amount,
-         cast(case when id % 3 = 0 then 19 end as decimal(12,2)) as tax_amount
+  select id, case when status <> 'cancelled' then customer_id end as customer_id, id as sales_order_id,
+         case when status <> 'pending' then order_date end as issue_date, cast(order_date + 30 as date) as due_date,
+         cast(case when total_amount < 50000 then 0 else total_amount end as decimal(12,2)) as total_amount,
+         cast(case when total_amount > 250000 then 19 end as decimal(12,2)) as tax_amount
   from sales_orders)"""
 
 
@@ -382,7 +391,8 @@ with {_terms_sql()},
 parts as (
   select o.id as order_id, pos, n, cast(o.order_date + cast(days as int) as date) as due_date, pct, description, o.total_amount,
          cast(round(o.total_amount * pct * 0.01, 2) as decimal(15,2)) as part
-  from sales_orders o join terms on terms.model = o.id % 3 + 1)
+  from sales_orders o join terms
+    on terms.model = case o.status when 'completed' then 1 when 'pending' then 2 else 3 end)
 select order_id, cast(pos + 1 as int) as line_number, due_date,
        cast(case when pos = n - 1
                  then total_amount - coalesce(sum(part) over (partition by order_id order by pos
@@ -391,7 +401,8 @@ select order_id, cast(pos + 1 as int) as line_number, due_date,
        cast(pct as decimal(5,2)) as percentage, description, 'pending' as status
 from parts""")
 def instalments(db):
-    orders = db["sales_orders"].withColumn("model_id", F.col("id") % 3 + 1)
+    model = F.when(F.col("status") == "completed", 1).when(F.col("status") == "pending", 2).otherwise(3)
+    orders = db["sales_orders"].withColumn("model_id", model.cast("bigint"))
     return workflow.instalments(orders, seed(db.spark)["payment_schedule_models"], "model_id")
 
 

@@ -13,10 +13,10 @@ from tradeframe.plans.workflow_queries import AT, STAMP
 
 def _customer_updates(db):
     """One update per event: the user is the customer, each kind of event sets other
-    fields; every third event names a customer that does not exist."""
+    fields; clicks name a customer that does not exist."""
     kind = F.col("event_type")
     return db.given("events").select(
-        F.when(F.col("event_id") % 3 == 0, -F.col("event_id") - 1).otherwise(F.col("user_id")).alias("id"),
+        F.when(kind == "click", -F.col("event_id") - 1).otherwise(F.col("user_id")).alias("id"),
         F.when(kind == "signup", F.concat(F.lit("Name "), F.col("event_id").cast("string"))).alias("name"),
         F.when(kind.isin("signup", "view"), F.concat(F.lit("mail"), F.col("event_id").cast("string"))).alias("email"),
         F.when(kind == "error", F.lit(False)).when(kind == "purchase", F.lit(True)).alias("is_active"),
@@ -25,7 +25,7 @@ def _customer_updates(db):
 
 _UPDATES = """
 updates as (
-  select case when event_id % 3 = 0 then -event_id - 1 else user_id end as id,
+  select case when event_type = 'click' then -event_id - 1 else user_id end as id,
          case when event_type = 'signup' then 'Name ' || event_id end as name,
          case when event_type in ('signup', 'view') then 'mail' || event_id end as email,
          case event_type when 'error' then false when 'purchase' then true end as is_active, ts as updated_at
@@ -57,17 +57,19 @@ def rejected_updates(db):
 
 @query("u01_updated_invoices", f"""
 select i.* exclude (due_date, total_amount, tax_amount),
-       case when id % 2 = 0 then cast(due_date + 15 as date) else due_date end as due_date,
-       case when id % 3 = 0 then cast(total_amount + 1 as decimal(12,2)) else total_amount end as total_amount,
-       case when id % 6 = 0 then cast(7 as decimal(12,2)) else tax_amount end as tax_amount,
-       case when id % 2 = 0 or id % 3 = 0 then {STAMP} end as updated_at
+       case when payment_status = 'unpaid' then cast(due_date + 15 as date) else due_date end as due_date,
+       case when payment_status = 'partial' then cast(total_amount + 1 as decimal(12,2)) else total_amount end
+         as total_amount,
+       coalesce(tax_amount, case when payment_status in ('unpaid', 'partial') then cast(7 as decimal(12,2)) end)
+         as tax_amount,
+       case when payment_status in ('unpaid', 'partial') then {STAMP} end as updated_at
 from invoices i""")
 def updated_invoices(db):
-    invoices, key = db["invoices"], F.col("id")
-    updates = invoices.filter("id % 2 = 0 or id % 3 = 0").select(
-        "id", F.when(key % 2 == 0, F.date_add("due_date", 15)).alias("due_date"),
-        F.when(key % 3 == 0, F.col("total_amount") + 1).cast("decimal(12,2)").alias("total_amount"),
-        F.when(key % 6 == 0, 7).cast("decimal(12,2)").alias("tax_amount"), AT.alias("updated_at"))
+    invoices, state = db["invoices"], F.col("payment_status")
+    updates = invoices.filter(state.isin("unpaid", "partial")).select(
+        "id", F.when(state == "unpaid", F.date_add("due_date", 15)).alias("due_date"),
+        F.when(state == "partial", F.col("total_amount") + 1).cast("decimal(12,2)").alias("total_amount"),
+        F.when(F.col("tax_amount").isNull(), 7).cast("decimal(12,2)").alias("tax_amount"), AT.alias("updated_at"))
     return writes.upsert_coalesce(invoices, updates, "id", ["due_date", "total_amount", "tax_amount"]).table
 
 
@@ -76,19 +78,20 @@ def updated_invoices(db):
 
 def _new_transactions(db):
     """Requests from the invoices; some lack the type, the amount or the account."""
-    key = F.col("id")
+    state, amount = F.col("payment_status"), F.col("total_amount")
     return db["invoices"].select(
-        "id", F.when(key % 4 != 0, "income").alias("type"),
-        F.when(key % 5 == 0, 0).otherwise(F.col("total_amount")).cast("decimal(12,2)").alias("amount"),
-        F.when(key % 7 != 0, key % 25).alias("account_id"),
-        F.when(key % 2 == 0, "EUR").alias("currency"))
+        "id", F.when(state != "cancelled", "income").alias("type"),
+        F.when(amount < 50000, 0).otherwise(amount).cast("decimal(12,2)").alias("amount"),
+        F.when(F.col("tax_amount").isNotNull(), F.col("id") % 25).alias("account_id"),
+        F.when(state == "overdue", "EUR").alias("currency"))
 
 
 _NEW = """
 requests as (
-  select id, case when id % 4 <> 0 then 'income' end as type,
-         cast(case when id % 5 = 0 then 0 else total_amount end as decimal(12,2)) as amount,
-         case when id % 7 <> 0 then id % 25 end as account_id, case when id % 2 = 0 then 'EUR' end as currency
+  select id, case when payment_status <> 'cancelled' then 'income' end as type,
+         cast(case when total_amount < 50000 then 0 else total_amount end as decimal(12,2)) as amount,
+         case when tax_amount is not null then id % 25 end as account_id,
+         case when payment_status = 'overdue' then 'EUR' end as currency
   from invoices)"""
 
 
@@ -117,13 +120,13 @@ def _new_users(db):
     """Sign-ups from orders: name and mail by customer, so many repeat; some are taken."""
     return db["sales_orders"].select(
         F.col("id").alias("request"), F.concat(F.lit("user"), F.col("customer_id").cast("string")).alias("username"),
-        F.concat(F.lit("user"), (F.col("customer_id") + F.col("id") % 2).cast("string"), F.lit("@example.com"))
+        F.concat(F.lit("user"), (F.col("customer_id") + (F.col("status") == "pending").cast("bigint")).cast("string"), F.lit("@example.com"))
         .alias("email"))
 
 
 _SIGNUPS = """
 signups as (
-  select id as request, 'user' || customer_id as username, 'user' || (customer_id + id % 2) || '@example.com' as email
+  select id as request, 'user' || customer_id as username, 'user' || (customer_id + (status = 'pending')::bigint) || '@example.com' as email
   from sales_orders),
 judged as (
   select s.*, case
@@ -153,46 +156,48 @@ def rejected_users(db):
 
 def _order_deletes(db):
     orders = db["sales_orders"]
-    asked = orders.filter("id % 5 = 0").select("id").unionAll(orders.filter("id % 5 = 1").select(-F.col("id")))
+    asked = orders.filter("status = 'cancelled'").select("id").unionAll(
+        orders.filter("status = 'pending'").select(-F.col("id") - 1))
     return writes.delete_by_key(orders, asked)
 
 
-@query("u04_deleted_orders", "select * from sales_orders where id % 5 = 0")
+@query("u04_deleted_orders", "select * from sales_orders where status = 'cancelled'")
 def deleted_orders(db):
     return _order_deletes(db).deleted
 
 
-@query("u04_kept_orders", "select * from sales_orders where id % 5 <> 0")
+@query("u04_kept_orders", "select * from sales_orders where status <> 'cancelled'")
 def kept_orders(db):
     return _order_deletes(db).kept
 
 
-@query("u04_rejected_deletes", "select -id as id, 'not found' as reason from sales_orders where id % 5 = 1")
+@query("u04_rejected_deletes", "select -id - 1 as id, 'not found' as reason from sales_orders where status = 'pending'")
 def rejected_deletes(db):
     return _order_deletes(db).rejected
 
 
 @query("u04_user_deletes_rejected", """
-select id, id as requested_by, 'cannot delete own record' as reason from users where id % 4 = 0
-union all select -id - 1, id, 'not found' from users where id % 4 = 1""")
+select id, id as requested_by, 'cannot delete own record' as reason from users where role_id = 1
+union all select -id - 1, id, 'not found' from users where role_id = 2""")
 def user_deletes(db):
     users = db["users"]
-    own = users.filter("id % 4 = 0").select("id", F.col("id").alias("requested_by"))
-    unknown = users.filter("id % 4 = 1").select(-F.col("id") - 1, "id")
-    fine = users.filter("id % 4 = 2").select("id", F.col("id") + 1)
+    own = users.filter("role_id = 1").select("id", F.col("id").alias("requested_by"))
+    unknown = users.filter("role_id = 2").select(-F.col("id") - 1, "id")
+    fine = users.filter("role_id = 3").select("id", F.col("id") + 1)
     return writes.delete_by_key(users, own.unionAll(unknown).unionAll(fine), actor="requested_by").rejected
 
 
 def _family_deletes(db):
-    """Ask to delete all families that exist, and some that do not."""
+    """Ask to delete all families that exist, and some that do not; the products still
+    in use are the well-stocked ones."""
     families = db["product_families"]
     asked = families.select("id").unionAll(families.filter("level = 1").select(-F.col("id")))
-    products = db["products"].filter("id % 3 <> 0")
+    products = db["products"].filter("quantity_in_stock >= 190")
     return writes.delete_families(families, products, asked)
 
 
 _FREE = """
-id not in (select family_id from products where id % 3 <> 0)
+id not in (select family_id from products where quantity_in_stock >= 190)
 and id not in (select parent_id from product_families where parent_id is not null)"""
 
 
@@ -202,7 +207,7 @@ def kept_families(db):
 
 
 @query("u05_refused_families", f"""
-select id, case when id in (select family_id from products where id % 3 <> 0) then 'family has products'
+select id, case when id in (select family_id from products where quantity_in_stock >= 190) then 'family has products'
                 else 'family has child families' end as reason
 from product_families where not ({_FREE})
 union all select -id, 'not found' from product_families where level = 1""")
@@ -211,12 +216,12 @@ def refused_families(db):
 
 
 @query("u06_deactivated_suppliers", f"""
-select s.* exclude (is_active), case when id % 3 = 0 then false else is_active end as is_active,
-       case when id % 3 = 0 then {STAMP} end as updated_at
+select s.* exclude (is_active), case when email is null then false else is_active end as is_active,
+       case when email is null then {STAMP} end as updated_at
 from suppliers s""")
 def deactivated_suppliers(db):
     suppliers = db["suppliers"]
-    return writes.deactivate(suppliers, suppliers.filter("id % 3 = 0").select("id"), AT).table
+    return writes.deactivate(suppliers, suppliers.filter("email is null").select("id"), AT).table
 
 
 # --- integrity ----------------------------------------------------------------------------
@@ -262,12 +267,14 @@ def _cascade(db):
     return writes.cascade(db["sales_order_items"], "order_id", _order_deletes(db).deleted)
 
 
-@query("u08_items_kept", "select * from sales_order_items where order_id % 5 <> 0")
+@query("u08_items_kept", """select * from sales_order_items
+where order_id not in (select id from sales_orders where status = 'cancelled')""")
 def items_kept(db):
     return _cascade(db).kept
 
 
-@query("u08_items_deleted", "select * from sales_order_items where order_id % 5 = 0")
+@query("u08_items_deleted", """select * from sales_order_items
+where order_id in (select id from sales_orders where status = 'cancelled')""")
 def items_deleted(db):
     return _cascade(db).deleted
 
@@ -282,18 +289,20 @@ def update_stamps(db):
 
 
 @query("x06_row_changes", """
-select case when id % 6 = 0 then 'DELETE' when id % 6 = 1 then 'UPDATE' else 'INSERT' end as action,
-       'sales_orders' as table_name, case when id % 6 = 2 then -id else id end as record_id,
-       case when id % 6 = 1 then case when status = 'completed' then 'total_amount' else 'status,total_amount' end
-            end as changed_columns
-from sales_orders where id % 6 in (0, 1, 2)""")
+select case status when 'cancelled' then 'DELETE' else 'UPDATE' end as action, 'sales_orders' as table_name,
+       id as record_id,
+       case when status = 'pending' then 'status,total_amount' when status = 'completed' then 'total_amount' end
+         as changed_columns
+from sales_orders where status <> 'completed' or total_amount > 250000
+union all select 'INSERT', 'sales_orders', -id - 1, null from sales_orders where status = 'pending'""")
 def row_changes(db):
-    """Every sixth order is deleted, another sixth changed, another copied under a new key."""
+    """Cancelled orders go; pending ones are completed, change their amount and are copied
+    under a new key; large completed ones change their amount."""
     old = db["sales_orders"].select("id", "status", "total_amount")
-    key = F.col("id")
-    changed = old.filter("id % 6 <> 0").select(
-        "id", F.when(key % 6 == 1, "completed").otherwise(F.col("status")).alias("status"),
-        F.when(key % 6 == 1, F.col("total_amount") + 1).otherwise(F.col("total_amount")).cast("decimal(12,2)")
+    raised = (F.col("status") == "pending") | (F.col("total_amount") > 250000)
+    changed = old.filter("status <> 'cancelled'").select(
+        "id", F.lit("completed").alias("status"),
+        F.when(raised, F.col("total_amount") + 1).otherwise(F.col("total_amount")).cast("decimal(12,2)")
         .alias("total_amount"))
-    new = changed.unionAll(old.filter("id % 6 = 2").select(-key, "status", "total_amount"))
+    new = changed.unionAll(old.filter("status = 'pending'").select(-F.col("id") - 1, "status", "total_amount"))
     return writes.row_changes(old, new, "sales_orders").drop("old_values", "new_values")

@@ -168,8 +168,7 @@ class BusinessViews:
         )
 
     def _sales_quotes(self) -> DataFrame:
-        orders = self["sales_orders"].filter("id % 3 = 0")
-        return orders.select(
+        return self["sales_orders"].select(
             "id",
             _ref("QT-", "id").alias("quote_number"),
             "customer_id",
@@ -182,7 +181,7 @@ class BusinessViews:
         )
 
     def _sales_quote_items(self) -> DataFrame:
-        return self["sales_order_items"].filter("order_id % 3 = 0").withColumnRenamed("order_id", "quote_id")
+        return self["sales_order_items"].withColumnRenamed("order_id", "quote_id")
 
     def _purchase_key(self) -> Column:
         ship = F.col("l_shipdate")
