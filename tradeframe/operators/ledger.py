@@ -200,7 +200,7 @@ def lay_out(products: DataFrame, movements: DataFrame, partitions: int | None =
     return cut(laid)
 
 
-def _quantity(hundredths: str) -> Column:
+def quantity(hundredths: str) -> Column:
     return (F.col(hundredths).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)")
 
 
@@ -222,7 +222,7 @@ def stock_ledger(products: DataFrame, movements: DataFrame, partitions: int | No
     )
     folded = laid.mapInArrow(_fold(entries), fields)
     journal = folded.select(
-        *movements.columns, _quantity("_before").alias("quantity_before"), _quantity("_after").alias("quantity_after"),
+        *movements.columns, quantity("_before").alias("quantity_before"), quantity("_after").alias("quantity_after"),
         "accepted", reason.alias("reason"))
     moved = folded.filter("accepted and _approved").groupBy(F.col("_product").alias("_moved_product")).agg(
         F.sum((F.col("_effect") * F.col("_units")).cast("decimal(20,0)")).alias("_moved"))

@@ -45,7 +45,10 @@ select cast(date_trunc('month', order_date) as date) as month, count(*) as order
 from sales_orders {{where}} group by 1"""
 
 
-@query("r02_sales_by_month", _BY_MONTH.format(where=""))
+SALES_BY_MONTH = _BY_MONTH.format(where="")
+
+
+@query("r02_sales_by_month", SALES_BY_MONTH)
 def sales_by_month(db):
     return reports.sales_by_month(db["sales_orders"])
 
@@ -235,12 +238,15 @@ def balance_sheet_totals(db):
     return reports.balance_sheet_totals(db["financial_transactions"], TODAY)
 
 
-@query("r18_cash_flow", f"""
+CASH_FLOW = f"""
 select cast(date_trunc('month', transaction_date) as date) as month,
        {total("case when type = 'income' then amount else 0 end")} as income,
        {total("case when type = 'expense' then amount else 0 end")} as expense,
        {total("case when type = 'income' then amount else -amount end")} as net
-from financial_transactions group by 1""")
+from financial_transactions group by 1"""
+
+
+@query("r18_cash_flow", CASH_FLOW)
 def cash_flow(db):
     return reports.cash_flow(db["financial_transactions"])
 

@@ -6,6 +6,12 @@ from pyspark.sql import functions as F
 
 from tradeframe.operators import ledger
 from tradeframe.plans.catalogue import query
+from tradeframe.plans.report_queries import CASH_FLOW, SALES_BY_MONTH
+from tradeframe.session import shared_folder
+from tradeframe.streaming.alerts import low_stock_crossings
+from tradeframe.streaming.ledger import LedgerBatches, keyed_ledger
+from tradeframe.streaming.rollups import running_cash_flow, running_sales
+from tradeframe.streaming.sinks import latest_updates, run_append, run_updates
 
 FOLD = """
 moves as (
@@ -112,3 +118,77 @@ from asked a left join recorded m on m.id = a.id group by a.id, m.id, m.is_appro
 having m.id is null or m.is_approved or count(*) > 1""")
 def rejected_approvals(db):
     return ledger.approve_movements(db["products"], recorded(db), approvals(db)).rejected
+
+
+# --- streaming ------------------------------------------------------------------------
+# The journal arrives in two slices, cut at a day in the middle. Each is written as a
+# whole and then processed under the same checkpoint, as by a job that is started twice.
+
+
+def _slices(movements):
+    ends = movements.agg(F.min("movement_date").alias("low"), F.max("movement_date").alias("high")).first()
+    middle = ends["low"] + (ends["high"] - ends["low"]) / 2
+    cut_at = F.lit(middle).cast("date")
+    return [movements.filter(F.col("movement_date") < cut_at), movements.filter(F.col("movement_date") >= cut_at)]
+
+
+def _stream(db, source: str, like):
+    return db.spark.readStream.schema(like.schema).parquet(source)
+
+
+def _replay(db, start):
+    """Write the slices to a source folder one after the other and run ``start`` on the
+    stream after each."""
+    movements = db["stock_movements"]
+    source = shared_folder(db.spark, "movements")
+    for rows in _slices(movements):
+        rows.write.mode("append").parquet(source)
+        start(_stream(db, source, movements))
+
+
+def _keyed(db, transform):
+    out, state = shared_folder(db.spark, "ledger"), shared_folder(db.spark, "state")
+    _replay(db, lambda stream: run_append(transform(keyed_ledger(stream, db["products"])), out, state))
+    return db.spark.read.parquet(out)
+
+
+@query("t01_streaming_ledger", JOURNAL)
+def streaming_ledger(db):
+    return _keyed(db, lambda rows: rows.drop("late", "movement_type", "movement_date", "is_approved"))
+
+
+@query("t01_ledger_in_micro_batches", JOURNAL)
+def ledger_in_micro_batches(db):
+    batches = LedgerBatches(db["products"], shared_folder(db.spark, "ledger"))
+    state = shared_folder(db.spark, "state")
+    _replay(db, lambda stream: batches.run(stream, state))
+    return batches.journal().select("id", "product_id", "quantity_before", "quantity_after", "accepted", "reason")
+
+
+@query("t02_low_stock_crossings", f"""
+with recursive {FOLD}
+select f.product_id, p.name, f.movement_id, m.movement_date, before as quantity_before, after as quantity_after,
+       p.min_stock_level, cast(p.min_stock_level - after as decimal(18,2)) as shortage
+from fold f join products p on p.id = f.product_id join moves m on m.product_id = f.product_id and m.n = f.n
+where ok and m.is_approved and p.is_active and before > p.min_stock_level and after <= p.min_stock_level""")
+def crossings(db):
+    return _keyed(db, lambda rows: low_stock_crossings(rows, db["products"]))
+
+
+def _running(db, table: str, report):
+    rows = db[table]
+    source, out, state = (shared_folder(db.spark, n) for n in ("rows", "report", "state"))
+    rows.write.parquet(source)
+    stream = db.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(source)
+    run_updates(report(stream), out, state)
+    return latest_updates(db.spark.read.parquet(out), ["month"])
+
+
+@query("t03_running_sales", SALES_BY_MONTH)
+def running_sales_by_month(db):
+    return _running(db, "sales_orders", running_sales)
+
+
+@query("t03_running_cash_flow", CASH_FLOW)
+def running_cash_flow_by_month(db):
+    return _running(db, "financial_transactions", running_cash_flow)

@@ -162,6 +162,11 @@ def orders_after_receiving(db):
     return _received(db).orders.select("id", "status", "updated_at")
 
 
+@query("w03_rejected_events", effect_sql("rejected", *_RECEIVE))
+def rejected_receiving(db):
+    return _received(db).rejected
+
+
 # --- cancelling, states, reconciling --------------------------------------------------
 
 def _cancelled(db):
