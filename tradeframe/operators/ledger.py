@@ -92,15 +92,17 @@ def _fold(entries: dict[int, int]) -> Callable:
     return run
 
 
-SUMMARY = "chunk long, product long, closing long, need long, total long"
+SUMMARY = "chunk long, product long, entry long, closing long, below long, above long, need long, total long"
 
 
-def _summaries(entries: dict[int, int]) -> Callable:
-    """One row per product of a stretch: the closing stock, the least entry stock
-    without a rejection (``need``) and the total of all movements."""
+def _summaries(entries: dict[tuple[int, int], int]) -> Callable:
+    """One row per product of a stretch: the assumed entry stock, the closing stock, how far the entry stock may
+    lie below or above the assumed one with the same movements being rejected (null: any
+    distance), and, for entries so high that nothing is rejected, the least such entry
+    (``need``; null: any) and the total of all movements."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, current, chunk, first = [], None, None, True
-        stock = need = total = None
+        entry = stock = below = above = need = total = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -109,24 +111,52 @@ def _summaries(entries: dict[int, int]) -> Callable:
             for product, sign, units, approved, opening in _columns(batch):
                 if first or product != current:
                     if not first:
-                        rows.append((chunk, current, stock, need, total))
-                    stock = entries.get((chunk, product), opening)
-                    need, total, current, first = None, 0, product, False
+                        rows.append((chunk, current, entry, stock, below, above, need, total))
+                    entry = stock = entries.get((chunk, product), opening)
+                    below = above = need = None
+                    total, current, first = 0, product, False
                 if not approved or sign == 0:
                     continue
                 if sign < 0:
-                    asked = units - total
-                    need = asked if need is None else max(need, asked)
+                    slack = stock - units
+                    if slack >= 0:
+                        below = slack if below is None else min(below, slack)
+                    else:
+                        above = -slack if above is None else min(above, -slack)
+                    need = units - total if need is None else max(need, units - total)
                 total += sign * units
                 stock = step(stock, sign, units, True)[2]
         if not first:
-            rows.append((chunk, current, stock, need, total))
-        fields = ["chunk", "product", "closing", "need", "total"]
+            rows.append((chunk, current, entry, stock, below, above, need, total))
+        fields = [part.split()[0] for part in SUMMARY.split(", ")]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=fields)
+            [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(fields))], names=fields)
     return run
 
 
+class Stretch:
+    """What is known about one product's part of a stretch: ranges of entry stock on
+    which the closing stock is the entry plus a fixed amount."""
+
+    def __init__(self) -> None:
+        self.ranges: list[tuple[int | None, int | None, int]] = []
+        self.closing = 0
+
+    def learn(self, entry: int, closing: int, below: int | None, above: int | None, need: int | None,
+              total: int) -> None:
+        low = None if below is None else entry - below
+        high = None if above is None else entry + above
+        self.ranges += [(low, high, closing - entry), (need, None, total)]
+        self.closing = closing
+
+    def settle(self, entry: int) -> bool:
+        for low, high, shift in self.ranges:
+            if (low is None or low <= entry) and (high is None or entry < high):
+                self.closing = entry + shift
+                return True
+        return False
+
+
 def _cut_products(laid: DataFrame) -> dict[int, list[int]]:
     """Products that lie in more than one stretch, with their stretches in order. One
     row per stretch comes to the driver, whatever the size of the journal."""
@@ -144,12 +174,9 @@ def _settle_entries(laid: DataFrame, spread: dict[int, list[int]]) -> dict[int,
     if not spread:
         return {}
     spark = laid.sparkSession
-    follow = {(c, p): chunks[i - 1] for p, chunks in spread.items() for i, c in enumerate(chunks) if i}
-    pending = {(c, p) for p, chunks in spread.items() for c in chunks}
+    known = {(c, p): Stretch() for p, chunks in spread.items() for c in chunks}
     entries: dict[tuple[int, int], int] = {}
-    folded: dict[tuple[int, int], int | None] = {}
-    closing: dict[tuple[int, int], int] = {}
-    facts: dict[tuple[int, int], tuple] = {}
+    pending = set(known)
     columns = ["_chunk", "_product", "_effect", "_units", "_approved", "_opening"]
     while pending:
         # at most two rows per stretch: small enough to send to every task
@@ -157,24 +184,13 @@ def _settle_entries(laid: DataFrame, spread: dict[int, list[int]]) -> dict[int,
         rows = laid.select(*columns).join(
             wanted, (F.col("_chunk") == F.col("_c")) & (F.col("_product") == F.col("_p")), "left_semi")
         for r in rows.mapInArrow(_summaries(dict(entries)), SUMMARY).collect():
-            key = (r["chunk"], r["product"])
-            closing[key], facts[key] = r["closing"], (r["need"], r["total"])
-            folded[key] = entries.get(key)
+            known[r["chunk"], r["product"]].learn(*r[2:])
         pending = set()
         for product, chunks in spread.items():
-            for chunk in chunks:
-                key = (chunk, product)
-                if key not in follow:
-                    continue
-                entry = closing[(follow[key], product)]
-                entries[key] = entry
-                if folded[key] == entry:
-                    continue
-                need, total = facts[key]
-                if need is None or entry >= need:
-                    closing[key], folded[key] = entry + total, entry
-                else:
-                    pending.add(key)
+            for before, chunk in zip(chunks, chunks[1:]):
+                entries[chunk, product] = known[before, product].closing
+                if not known[chunk, product].settle(entries[chunk, product]):
+                    pending.add((chunk, product))
     return {chunk: stock for (chunk, _), stock in entries.items()}
 
 
