@@ -131,7 +131,8 @@ from sales_orders
 union all
 select -id - 1, 'expense', total_amount, order_date, cast(null as bigint) from purchase_orders""",
     "stock_movements": f"""
-select {content_id('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} as id,
+select {content_id('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'cast(l_shipdate as date)',
+                    'cast(l_quantity as int)')} as id,
        case when l_returnflag = 'R' then 'IN' when l_returnflag = 'N' and l_linenumber = 1 then 'RETURN'
             when l_returnflag = 'N' and l_linenumber = 2 then 'ADJUSTMENT'
             when l_linenumber = 3 then 'TRANSFER' else 'OUT' end as movement_type,

@@ -12,10 +12,14 @@ from tradeframe.plans.catalogue import TODAY, query
 from tradeframe.sources.seed import PAYMENT_MODELS, seed
 
 BASE = 1_000_000_000_000
-AT = F.lit(f"{TODAY} 12:00:00").cast("timestamp_ntz")
 STAMP = f"timestamp '{TODAY} 12:00:00'"
 
 
+def at():
+    """The time that a job stamps on what it changes."""
+    return F.lit(f"{TODAY} 12:00:00").cast("timestamp_ntz")
+
+
 def number_sql(prefix: str, key: str) -> str:
     digits = TODAY.replace("-", "")
     return f"'{prefix}-{digits}-' || case when length({key}::varchar) < 6 then lpad({key}::varchar, 6, '0') else {key}::varchar end"
@@ -173,7 +177,7 @@ def _cancelled(db):
     orders = db["purchase_orders"]
     asked = orders.filter("actual_delivery_date is null").select("id").unionAll(
         orders.filter("status = 'pending'").select(-F.col("id")))
-    return workflow.cancel_purchase_orders(orders, asked, AT)
+    return workflow.cancel_purchase_orders(orders, asked, at())
 
 
 _CLOSED = "status in ('received', 'completed')"
@@ -249,7 +253,7 @@ select q.* exclude (status), case when status = 'draft' then 'sent' else status
 from sales_quotes q""")
 def quote_status(db):
     quotes = db["sales_quotes"]
-    asked = quotes.filter("status = 'draft'").select("id", F.lit("sent").alias("status"), AT.alias("updated_at"))
+    asked = quotes.filter("status = 'draft'").select("id", F.lit("sent").alias("status"), at().alias("updated_at"))
     return writes.set_status(quotes, asked).table
 
 
@@ -259,7 +263,7 @@ select o.* exclude (status), case when status = 'pending' then 'confirmed' else
 from sales_orders o""")
 def order_status(db):
     orders = db["sales_orders"]
-    asked = orders.filter("status = 'pending'").select("id", F.lit("confirmed").alias("status"), AT.alias("updated_at"))
+    asked = orders.filter("status = 'pending'").select("id", F.lit("confirmed").alias("status"), at().alias("updated_at"))
     return writes.set_status(orders, asked).table
 
 
@@ -268,7 +272,7 @@ select *, type = 'income' as is_reconciled, case when type = 'income' then {STAM
 from financial_transactions""")
 def reconciled(db):
     transactions = db["financial_transactions"]
-    return workflow.reconcile(transactions, transactions.filter("type = 'income'").select("id"), AT).table
+    return workflow.reconcile(transactions, transactions.filter("type = 'income'").select("id"), at()).table
 
 
 # --- replenishment --------------------------------------------------------------------

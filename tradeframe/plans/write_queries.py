@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tradeframe.operators import integrity, writes
 from tradeframe.plans.catalogue import query
-from tradeframe.plans.workflow_queries import AT, STAMP
+from tradeframe.plans.workflow_queries import STAMP, at
 
 # --- partial updates ------------------------------------------------------------------
 
@@ -69,7 +69,7 @@ def updated_invoices(db):
     updates = invoices.filter(state.isin("unpaid", "partial")).select(
         "id", F.when(state == "unpaid", F.date_add("due_date", 15)).alias("due_date"),
         F.when(state == "partial", F.col("total_amount") + 1).cast("decimal(12,2)").alias("total_amount"),
-        F.when(F.col("tax_amount").isNull(), 7).cast("decimal(12,2)").alias("tax_amount"), AT.alias("updated_at"))
+        F.when(F.col("tax_amount").isNull(), 7).cast("decimal(12,2)").alias("tax_amount"), at().alias("updated_at"))
     return writes.upsert_coalesce(invoices, updates, "id", ["due_date", "total_amount", "tax_amount"]).table
 
 
@@ -221,7 +221,7 @@ select s.* exclude (is_active), case when email is null then false else is_activ
 from suppliers s""")
 def deactivated_suppliers(db):
     suppliers = db["suppliers"]
-    return writes.deactivate(suppliers, suppliers.filter("email is null").select("id"), AT).table
+    return writes.deactivate(suppliers, suppliers.filter("email is null").select("id"), at()).table
 
 
 # --- integrity ----------------------------------------------------------------------------

@@ -284,7 +284,8 @@ class BusinessViews:
         )
         signed = F.when((flag == "N") & (line == 2), -F.col("l_quantity")).otherwise(F.col("l_quantity"))
         return self.given("lineitem").select(
-            content_id("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+            content_id("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date"),
+                       F.col("l_quantity").cast("int")).alias("id"),
             kind.alias("movement_type"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_orderkey").alias("sales_order_id"),
