@@ -18,15 +18,35 @@ class Listing(NamedTuple):
     totals: DataFrame   # one row: total_count, total_pages
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """Named columns of another table, joined by key: ``columns`` maps the new name to
+    the other table's column. The key is unique there, so a left lookup neither adds
+    nor drops rows; an inner one drops the rows without a match."""
+
+    on: str
+    table: str
+    columns: dict[str, str]
+    how: str = "left"
+    key: str = "id"
+
+    def join(self, df: DataFrame, db) -> DataFrame:
+        right = db[self.table].select(
+            F.col(self.key).alias("_lookup"), *[F.col(c).alias(new) for new, c in self.columns.items()])
+        return df.join(right, F.col(self.on) == F.col("_lookup"), self.how).drop("_lookup")
+
+
 @dataclass(frozen=True)
 class ListSpec:
     """How one kind of record is listed.
 
-    ``base`` builds the joined rows from the tables. ``filters`` maps an argument to
-    the column it must equal, ``flags`` to a fixed condition that the argument turns
-    on. A filter on a column of a joined table stays above the join by itself."""
+    ``base`` gives the records and ``lookups`` what is shown beside them. ``filters``
+    maps an argument to the column it must equal, ``flags`` to a fixed condition that
+    the argument turns on. A lookup is joined to the whole table only if a filter, the
+    search or the sort needs its columns; otherwise only to the rows of the page."""
 
     base: Callable[[object], DataFrame]
+    lookups: tuple[Lookup, ...] = ()
     search: tuple[str, ...] = ()
     filters: dict[str, str] = field(default_factory=dict)
     flags: dict[str, str] = field(default_factory=dict)
@@ -43,28 +63,52 @@ def sort_key(column: str, direction: str = "asc") -> Column:
     return F.col(column).desc_nulls_first()
 
 
-def select_rows(spec: ListSpec, db, search: str | None = None, start=None, end=None, **filters) -> DataFrame:
-    """All rows that pass the given filters. A filter that is not given costs nothing."""
-    df = spec.base(db)
+def split_lookups(spec: ListSpec, columns: set[str]) -> tuple[list[Lookup], list[Lookup]]:
+    """The lookups that must come before filtering and sorting on the columns, and the
+    others."""
+    first = [x for x in spec.lookups if x.how == "inner" or columns & set(x.columns)]
+    return first, [x for x in spec.lookups if x not in first]
+
+
+def join_lookups(df: DataFrame, db, lookups) -> DataFrame:
+    for lookup in lookups:
+        df = lookup.join(df, db)
+    return df
+
+
+def filter_rows(spec: ListSpec, df: DataFrame, search: str | None = None, start=None, end=None, **filters) -> DataFrame:
+    """The rows that pass the given filters. A filter that is not given costs nothing."""
     for name, value in filters.items():
         if value is None:
             continue
         if name in spec.filters:
             df = df.filter(F.col(spec.filters[name]) == F.lit(value))
-        elif name in spec.flags:
-            if value:
-                df = df.filter(spec.flags[name])
-        else:
-            raise ValueError(f"unknown filter: {name}")
+        elif value:
+            df = df.filter(spec.flags[name])
     if spec.period is not None:
         df = within(df, spec.period, start, end)
-    elif start is not None or end is not None:
-        raise ValueError("this listing has no period")
     if search:
         df = df.filter(matches_any(search, list(spec.search)))
     return df
 
 
+def _check_arguments(spec: ListSpec, start=None, end=None, search=None, **filters) -> set[str]:
+    """The columns that the arguments look at; an argument the listing does not have is an error."""
+    unknown = set(filters) - set(spec.filters) - set(spec.flags)
+    if unknown:
+        raise ValueError(f"unknown filter: {sorted(unknown)}")
+    if spec.period is None and (start is not None or end is not None):
+        raise ValueError("this listing has no period")
+    used = {spec.filters[n] for n, v in filters.items() if v is not None and n in spec.filters}
+    return used | (set(spec.search) if search else set())
+
+
+def select_rows(spec: ListSpec, db, **arguments) -> DataFrame:
+    """All rows that pass the given filters, with their lookups."""
+    _check_arguments(spec, **arguments)
+    return filter_rows(spec, join_lookups(spec.base(db), db, spec.lookups), **arguments)
+
+
 def order_of(spec: ListSpec, sort_by: str | None = None, sort_order: str = "desc") -> list[Column]:
     """Sort keys; a field that is not sortable falls back to the default. The key
     comes last, so the order is total and pages do not overlap."""
@@ -77,11 +121,17 @@ def order_of(spec: ListSpec, sort_by: str | None = None, sort_order: str = "desc
 
 
 def list_rows(spec: ListSpec, db, page: int = 1, limit: int = 20, sort_by: str | None = None,
-              sort_order: str = "desc", **filters) -> Listing:
-    """One page and the totals. The page is a distributed top-k; the total is its own
-    count, right on every page and free of a window over the whole table."""
-    rows = select_rows(spec, db, **filters)
-    ordered = rows.orderBy(*order_of(spec, sort_by, sort_order)).offset((page - 1) * limit).limit(limit)
+              sort_order: str = "desc", **arguments) -> Listing:
+    """One page and the totals. The page is a distributed top-k over the records alone;
+    what is shown beside them is joined to the page. The total is its own count, right
+    on every page and free of a window over the whole table."""
+    used = _check_arguments(spec, **arguments)
+    sort_columns = {sort_by} if sort_by in spec.sortable else {c for c, _ in spec.sort}
+    before, after = split_lookups(spec, used | sort_columns)
+    rows = filter_rows(spec, join_lookups(spec.base(db), db, before), **arguments)
+    order = order_of(spec, sort_by, sort_order)
+    paged = rows.orderBy(*order).offset((page - 1) * limit).limit(limit)
+    shown = join_lookups(paged, db, after).orderBy(*order) if after else paged
     totals = rows.agg(F.count(F.lit(1)).alias("total_count")).withColumn(
         "total_pages", F.ceil(F.col("total_count") / limit).cast("bigint"))
-    return Listing(ordered, totals)
+    return Listing(shown, totals)

@@ -8,31 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeframe.functions.ranking import newest
-from tradeframe.operators.documents import with_party
+from tradeframe.operators.documents import PARTY, pick
 from tradeframe.operators.hierarchy import families_with_counts
-from tradeframe.operators.listing import Listing, ListSpec, list_rows, select_rows, sort_key
+from tradeframe.operators.listing import (
+    Listing, ListSpec, Lookup, join_lookups, list_rows, select_rows, sort_key)
 
 
-def lookup(df: DataFrame, on: str, other: DataFrame, key: str = "id", how: str = "left", **columns: str) -> DataFrame:
-    """Join named columns of another table: ``lookup(p, "family_id", f, family_name="name")``.
-    Spark broadcasts the other side when its size allows it."""
-    right = other.select(F.col(key).alias("_lookup"), *[F.col(c).alias(new) for new, c in columns.items()])
-    return df.join(right, F.col(on) == F.col("_lookup"), how).drop("_lookup")
+PEOPLE = (Lookup("created_by", "users", {"created_by_username": "username"}),
+          Lookup("approved_by", "users", {"approved_by_username": "username"}))
+FAMILY = Lookup("family_id", "product_families", {"family_name": "name"})
 
 
-def with_people(movements: DataFrame, users: DataFrame) -> DataFrame:
-    """Names of the creator and the approver."""
-    named = lookup(movements, "created_by", users, created_by_username="username")
-    return lookup(named, "approved_by", users, approved_by_username="username")
+def _table(name: str):
+    return lambda db: db[name]
 
 
-def _products(db) -> DataFrame:
-    return lookup(db["products"], "family_id", db["product_families"], family_name="name", family_code="code")
+def _party(table: str, key: str, prefix: str) -> tuple[Lookup]:
+    return (Lookup(key, table, {f"{prefix}_{c}": c for c in PARTY}),)
 
 
 def _low_stock(db) -> DataFrame:
-    rows = lookup(db["products"], "family_id", db["product_families"], family_name="name")
-    low = rows.filter("is_active and quantity_in_stock <= min_stock_level")
+    low = db["products"].filter("is_active and quantity_in_stock <= min_stock_level")
     return low.withColumn("shortage", (F.col("min_stock_level") - F.col("quantity_in_stock")).cast("decimal(10,2)"))
 
 
@@ -40,74 +36,53 @@ def _families(db) -> DataFrame:
     return families_with_counts(db["product_families"], db["products"])
 
 
-def _movements(db) -> DataFrame:
-    rows = lookup(db["stock_movements"], "product_id", db["products"], how="inner", product_name="name",
-                  product_sku="sku")
-    return with_people(rows, db["users"])
-
-
-def _transactions(db) -> DataFrame:
-    return lookup(db["financial_transactions"], "account_id", db["accounts"], account_name="name")
-
-
-def _users(db) -> DataFrame:
-    return lookup(db["users"], "role_id", db["user_roles"], role_name="name")
-
-
-def _sales_quotes(db) -> DataFrame:
-    return with_party(db["sales_quotes"], db["customers"], "customer_id", "customer")
-
-
-def _sales_orders(db) -> DataFrame:
-    return with_party(db["sales_orders"], db["customers"], "customer_id", "customer")
-
-
-def _purchase_orders(db) -> DataFrame:
-    return with_party(db["purchase_orders"], db["suppliers"], "supplier_id", "supplier")
-
-
-def _invoices(db) -> DataFrame:
-    return lookup(db["invoices"], "customer_id", db["customers"], customer_name="name")
-
-
 LISTINGS = {
     "products": ListSpec(
-        _products, search=("name", "sku", "barcode"),
+        _table("products"),
+        (Lookup("family_id", "product_families", {"family_name": "name", "family_code": "code"}),),
+        search=("name", "sku", "barcode"),
         filters={"family_id": "family_id", "is_active": "is_active"},
         flags={"low_stock": "quantity_in_stock <= min_stock_level"},
         sortable=("name", "sku", "quantity_in_stock", "cost_price", "selling_price", "created_at")),
-    "low_stock": ListSpec(_low_stock, sort=(("shortage", "desc"),)),
+    "low_stock": ListSpec(_low_stock, (FAMILY,), sort=(("shortage", "desc"),)),
     "families": ListSpec(_families, sort=(("path", "asc"),)),
     "movements": ListSpec(
-        _movements, filters={"product_id": "product_id", "movement_type": "movement_type", "warehouse": "warehouse"},
+        _table("stock_movements"),
+        (Lookup("product_id", "products", {"product_name": "name", "product_sku": "sku"}, how="inner"), *PEOPLE),
+        filters={"product_id": "product_id", "movement_type": "movement_type", "warehouse": "warehouse"},
         period="movement_date", sort=(("movement_date", "desc"), ("created_at", "desc"))),
-    "customers": ListSpec(lambda db: db["customers"], search=("name", "email", "company")),
-    "suppliers": ListSpec(lambda db: db["suppliers"], search=("name", "email", "company")),
-    "quotes": ListSpec(_sales_quotes, filters={"status": "status", "customer_id": "customer_id"},
-                       period="quote_date"),
-    "sales_orders": ListSpec(_sales_orders, filters={"status": "status", "customer_id": "customer_id"},
-                             period="order_date"),
-    "purchase_orders": ListSpec(_purchase_orders, filters={"status": "status", "supplier_id": "supplier_id"},
-                                period="order_date"),
-    "invoices": ListSpec(_invoices, search=("invoice_number", "customer_name"),
-                         filters={"payment_status": "payment_status", "customer_id": "customer_id"}),
-    "transactions": ListSpec(_transactions, filters={"type": "type", "account_id": "account_id"},
-                             period="transaction_date", sort=(("transaction_date", "desc"),)),
-    "accounts": ListSpec(lambda db: db["accounts"], filters={"type": "type", "is_active": "is_active"},
+    "customers": ListSpec(_table("customers"), search=("name", "email", "company")),
+    "suppliers": ListSpec(_table("suppliers"), search=("name", "email", "company")),
+    "quotes": ListSpec(
+        _table("sales_quotes"), _party("customers", "customer_id", "customer"),
+        filters={"status": "status", "customer_id": "customer_id"}, period="quote_date"),
+    "sales_orders": ListSpec(
+        _table("sales_orders"), _party("customers", "customer_id", "customer"),
+        filters={"status": "status", "customer_id": "customer_id"}, period="order_date"),
+    "purchase_orders": ListSpec(
+        _table("purchase_orders"), _party("suppliers", "supplier_id", "supplier"),
+        filters={"status": "status", "supplier_id": "supplier_id"}, period="order_date"),
+    "invoices": ListSpec(
+        _table("invoices"), (Lookup("customer_id", "customers", {"customer_name": "name"}),),
+        search=("invoice_number", "customer_name"),
+        filters={"payment_status": "payment_status", "customer_id": "customer_id"}),
+    "transactions": ListSpec(
+        _table("financial_transactions"), (Lookup("account_id", "accounts", {"account_name": "name"}),),
+        filters={"type": "type", "account_id": "account_id"},
+        period="transaction_date", sort=(("transaction_date", "desc"),)),
+    "accounts": ListSpec(_table("accounts"), filters={"type": "type", "is_active": "is_active"},
                          sort=(("name", "asc"),)),
-    "users": ListSpec(_users, search=("username", "email", "first_name", "last_name"),
-                      filters={"role": "role_name", "is_active": "is_active"}),
+    "users": ListSpec(
+        _table("users"), (Lookup("role_id", "user_roles", {"role_name": "name"}),),
+        search=("username", "email", "first_name", "last_name"),
+        filters={"role": "role_name", "is_active": "is_active"}),
 }
 
 
 def enrich(db, entity: str, keys: DataFrame | None = None) -> DataFrame:
     """The joined rows of a listing without paging: all, or those of the given keys."""
     spec = LISTINGS[entity]
-    rows = spec.base(db)
-    if keys is None:
-        return rows
-    wanted = keys.select(F.col(keys.columns[0]).alias("_wanted"))
-    return rows.join(wanted, F.col(spec.key) == F.col("_wanted"), "left_semi")
+    return join_lookups(pick(spec.base(db), spec.key, keys), db, spec.lookups)
 
 
 def product_history(db, newest_n: int = 50, product_id: int | None = None) -> DataFrame:
@@ -118,7 +93,7 @@ def product_history(db, newest_n: int = 50, product_id: int | None = None) -> Da
         rows = movements.filter(F.col("product_id") == product_id).orderBy(*order).limit(newest_n)
     else:
         rows = newest(movements, ["product_id"], order, newest_n)
-    return with_people(rows, db["users"])
+    return join_lookups(rows, db, PEOPLE)
 
 
 def family_details(db) -> DataFrame:
@@ -126,7 +101,7 @@ def family_details(db) -> DataFrame:
     families = db["product_families"]
     rows = families_with_counts(families, db["products"], active_only=False)
     if "created_by" in families.columns:
-        rows = lookup(rows, "created_by", db["users"], created_by_username="username")
+        rows = PEOPLE[0].join(rows, db)
     return rows
 
 

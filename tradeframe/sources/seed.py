@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tradeframe.sources.tables import conform
 
@@ -67,4 +69,8 @@ def seed(spark: SparkSession) -> dict[str, DataFrame]:
         "warehouses": (WAREHOUSES, "id long, code string, name string, address string, status string, "
                                    "is_default boolean"),
     }
-    return {table: conform(spark.createDataFrame(data, ddl), table) for table, (data, ddl) in rows.items()}
+    # by way of Arrow the rows become a local relation, whose small size the optimizer knows
+    return {
+        table: conform(spark.createDataFrame(pd.DataFrame(data, columns=StructType.fromDDL(ddl).names), ddl), table)
+        for table, (data, ddl) in rows.items()
+    }
