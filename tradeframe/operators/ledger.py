@@ -62,29 +62,32 @@ def _columns(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names])
 
 
-def _fold(entries: dict[int, int]) -> Callable:
-    """Adds before/after/accepted to the rows of a stretch."""
+def _chunk_of(batch: pa.RecordBatch) -> int:
+    return batch.column(batch.schema.get_field_index("_chunk"))[0].as_py()
+
+
+def _fold(entries: dict[int, int | None]) -> Callable:
+    """Adds before/after/accepted to the rows of a stretch. A product without an opening
+    row, here or in an earlier stretch, has no stock and takes no movement."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, stock, first = None, None, True
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             before, after, accepted = [], [], []
-            chunk = batch.column(batch.schema.get_field_index("_chunk"))[0].as_py() if first else None
             for product, sign, units, approved, opening in _columns(batch):
                 if first or product != current:
-                    stock = entries.get(chunk, opening) if first else opening
+                    stock = entries.get(_chunk_of(batch)) if first else None
                     current, first = product, False
-                if stock is None:
-                    before.append(None)
-                    after.append(None)
-                    accepted.append(False)
-                    continue
-                ok, result, following = step(stock, sign, units, approved)
-                before.append(stock)
+                result, ok = None, False
+                if opening is not None:
+                    stock = opening
+                known = stock
+                if stock is not None and opening is None:
+                    ok, result, stock = step(stock, sign, units, approved)
+                before.append(known)
                 after.append(result if ok else None)
                 accepted.append(ok)
-                stock = following
             yield pa.RecordBatch.from_arrays(
                 batch.columns + [pa.array(before, pa.int64()), pa.array(after, pa.int64()),
                                  pa.array(accepted, pa.bool_())],
@@ -92,30 +95,33 @@ def _fold(entries: dict[int, int]) -> Callable:
     return run
 
 
-SUMMARY = "chunk long, product long, entry long, closing long, below long, above long, need long, total long"
+SUMMARY = ("chunk long, product long, opened long, entry long, closing long, below long, above long, need long, "
+           "total long")
 
 
-def _summaries(entries: dict[tuple[int, int], int]) -> Callable:
-    """One row per product of a stretch: the assumed entry stock, the closing stock, how far the entry stock may
-    lie below or above the assumed one with the same movements being rejected (null: any
-    distance), and, for entries so high that nothing is rejected, the least such entry
-    (``need``; null: any) and the total of all movements."""
+def _summaries(entries: dict[tuple[int, int], int | None]) -> Callable:
+    """One row per product of a stretch: whether its opening row is here, the assumed
+    entry stock, the closing stock, how far the entry stock may lie below or above the
+    assumed one with the same movements being rejected (null: any distance), and, for
+    entries so high that nothing is rejected, the least such entry (``need``; null: any)
+    and the total of all movements."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, current, chunk, first = [], None, None, True
-        entry = stock = below = above = need = total = None
+        opened = entry = stock = below = above = need = total = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             if first:
-                chunk = batch.column(batch.schema.get_field_index("_chunk"))[0].as_py()
+                chunk = _chunk_of(batch)
             for product, sign, units, approved, opening in _columns(batch):
                 if first or product != current:
                     if not first:
-                        rows.append((chunk, current, entry, stock, below, above, need, total))
-                    entry = stock = entries.get((chunk, product), opening)
+                        rows.append((chunk, current, opened, entry, stock, below, above, need, total))
+                    opened = int(opening is not None)
+                    entry = stock = opening if opened else entries.get((chunk, product), 0)
                     below = above = need = None
                     total, current, first = 0, product, False
-                if not approved or sign == 0:
+                if opening is not None or stock is None or not approved or sign == 0:
                     continue
                 if sign < 0:
                     slack = stock - units
@@ -127,7 +133,7 @@ def _summaries(entries: dict[tuple[int, int], int]) -> Callable:
                 total += sign * units
                 stock = step(stock, sign, units, True)[2]
         if not first:
-            rows.append((chunk, current, entry, stock, below, above, need, total))
+            rows.append((chunk, current, opened, entry, stock, below, above, need, total))
         fields = [part.split()[0] for part in SUMMARY.split(", ")]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(fields))], names=fields)
@@ -140,16 +146,23 @@ class Stretch:
 
     def __init__(self) -> None:
         self.ranges: list[tuple[int | None, int | None, int]] = []
-        self.closing = 0
-
-    def learn(self, entry: int, closing: int, below: int | None, above: int | None, need: int | None,
-              total: int) -> None:
+        self.opened = False
+        self.closing: int | None = 0
+
+    def learn(self, opened: int, entry: int | None, closing: int | None, below: int | None, above: int | None,
+              need: int | None, total: int) -> None:
+        self.opened, self.closing = bool(opened), closing
+        if entry is None:
+            return
         low = None if below is None else entry - below
         high = None if above is None else entry + above
         self.ranges += [(low, high, closing - entry), (need, None, total)]
-        self.closing = closing
 
-    def settle(self, entry: int) -> bool:
+    def settle(self, entry: int | None) -> bool:
+        """Take the entry stock; false if the closing stock is not known for it yet."""
+        if entry is None:
+            self.closing = None
+            return True
         for low, high, shift in self.ranges:
             if (low is None or low <= entry) and (high is None or entry < high):
                 self.closing = entry + shift
@@ -160,7 +173,7 @@ class Stretch:
 def _cut_products(laid: DataFrame) -> dict[int, list[int]]:
     """Products that lie in more than one stretch, with their stretches in order. One
     row per stretch comes to the driver, whatever the size of the journal."""
-    ends = laid.filter("_opening is not null").groupBy("_chunk").agg(
+    ends = laid.filter("_product is not null").groupBy("_chunk").agg(
         F.min("_product").alias("low"), F.max("_product").alias("high")).orderBy("_chunk").collect()
     spread: dict[int, list[int]] = {}
     for here, following in zip(ends, ends[1:]):
@@ -169,13 +182,13 @@ def _cut_products(laid: DataFrame) -> dict[int, list[int]]:
     return spread
 
 
-def _settle_entries(laid: DataFrame, spread: dict[int, list[int]]) -> dict[int, int]:
+def _settle_entries(laid: DataFrame, spread: dict[int, list[int]]) -> dict[int, int | None]:
     """Entry stock per stretch whose first product began in an earlier one."""
     if not spread:
         return {}
     spark = laid.sparkSession
     known = {(c, p): Stretch() for p, chunks in spread.items() for c in chunks}
-    entries: dict[tuple[int, int], int] = {}
+    entries: dict[tuple[int, int], int | None] = {}
     pending = set(known)
     columns = ["_chunk", "_product", "_effect", "_units", "_approved", "_opening"]
     while pending:
@@ -187,6 +200,8 @@ def _settle_entries(laid: DataFrame, spread: dict[int, list[int]]) -> dict[int,
             known[r["chunk"], r["product"]].learn(*r[2:])
         pending = set()
         for product, chunks in spread.items():
+            if not known[chunks[0], product].opened:
+                known[chunks[0], product].closing = None    # not a product
             for before, chunk in zip(chunks, chunks[1:]):
                 entries[chunk, product] = known[before, product].closing
                 if not known[chunk, product].settle(entries[chunk, product]):
@@ -196,24 +211,27 @@ def _settle_entries(laid: DataFrame, spread: dict[int, list[int]]) -> dict[int,
 
 def lay_out(products: DataFrame, movements: DataFrame, partitions: int | None = None,
             order: tuple[str, ...] = ("movement_date", "id")) -> DataFrame:
-    """The journal in stretches: joined with the opening stock, range partitioned and
-    sorted by (product, order), quantities as whole hundredths. Written out once,
-    because the stretches must stay the same through all rounds."""
-    opening = products.select(
-        F.col("id").alias("_id"), (F.col("quantity_in_stock") * 100).cast("bigint").alias("_opening"))
-    keys = ["product_id", *order]
-    joined = movements.join(opening, F.col("product_id") == F.col("_id"), "left").drop("_id")
-    ranged = joined.repartitionByRange(partitions, *keys) if partitions else joined.repartitionByRange(*keys)
-    laid = ranged.sortWithinPartitions(*keys).select(
+    """The journal in stretches: range partitioned and sorted by (product, order),
+    quantities as whole hundredths. The opening stock is a row in front of the product's
+    movements, which saves a join that a much-moved product would skew. Written out
+    once, because the stretches must stay the same through all rounds."""
+    moves = movements.select(
         *movements.columns,
         F.col("product_id").alias("_product"),
+        F.lit(1).alias("_rank"),
         effect().alias("_effect"),
         (F.col("quantity") * 100).cast("bigint").alias("_units"),
         F.coalesce("is_approved", F.lit(False)).alias("_approved"),
-        "_opening",
-        F.spark_partition_id().cast("bigint").alias("_chunk"),
+        F.lit(None).cast("bigint").alias("_opening"),
     )
-    return cut(laid)
+    openings = products.filter("quantity_in_stock is not null").select(
+        F.col("id").cast("bigint").alias("_product"),
+        F.lit(0).alias("_rank"),
+        (F.col("quantity_in_stock") * 100).cast("bigint").alias("_opening"))
+    rows = moves.unionByName(openings, allowMissingColumns=True)
+    keys = ["_product", "_rank", *order]
+    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    return cut(ranged.sortWithinPartitions(*keys).withColumn("_chunk", F.spark_partition_id().cast("bigint")))
 
 
 def quantity(hundredths: str) -> Column:
@@ -233,10 +251,10 @@ def stock_ledger(products: DataFrame, movements: DataFrame, partitions: int | No
                          StructField("accepted", BooleanType())])
     hundredth = F.lit("0.01").cast("decimal(3,2)")
     reason = (
-        F.when(F.col("accepted"), None).when(F.col("_opening").isNull(), NOT_FOUND)
+        F.when(F.col("accepted"), None).when(F.col("_before").isNull(), NOT_FOUND)
         .when(F.col("_effect") == 0, INVALID).otherwise(INSUFFICIENT)
     )
-    folded = laid.mapInArrow(_fold(entries), fields)
+    folded = laid.mapInArrow(_fold(entries), fields).filter("_opening is null")
     journal = folded.select(
         *movements.columns, quantity("_before").alias("quantity_before"), quantity("_after").alias("quantity_after"),
         "accepted", reason.alias("reason"))

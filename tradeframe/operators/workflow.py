@@ -79,14 +79,10 @@ def _apply_order_events(db_products: DataFrame, orders: DataFrame, items: DataFr
         F.concat(F.lit(label), F.col("order_number")).alias("notes"),
         F.col("at").alias("movement_date"),
     )
-    # quantities are summed per (order, product) and weighted with the number of events,
-    # so the join below the stock update carries one row per order and product
+    # each item counts once per event of its order
     times = moving.groupBy("_order").agg(F.count(F.lit(1)).alias("_times"))
-    per_order = items.groupBy("order_id", "product_id").agg(F.sum("quantity").alias("_quantity"))
-    moved = per_order.join(times, F.col("order_id") == F.col("_order")).groupBy(
-        F.col("product_id").alias("_product")).agg(
-        F.sum(F.col("_quantity").cast("decimal(20,2)") * F.col("_times").cast("decimal(10,0)"))
-        .cast(TOTAL).alias("_moved"))
+    moved = items.join(times, F.col("order_id") == F.col("_order")).groupBy(F.col("product_id").alias("_product")).agg(
+        F.sum(F.col("quantity") * F.col("_times").cast("decimal(8,0)")).cast(TOTAL).alias("_moved"))
     products = db_products.join(moved, F.col("id") == F.col("_product"), "left").select(
         *[c for c in db_products.columns if c != "quantity_in_stock"],
         (F.col("quantity_in_stock") + F.lit(sign) * F.coalesce("_moved", F.lit(0).cast(TOTAL)))
