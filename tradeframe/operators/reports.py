@@ -32,6 +32,14 @@ def _low_stock():
     return F.col("quantity_in_stock") <= F.col("min_stock_level")
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """One-row frames side by side: stacked, then each column's only value is taken."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 # --- overview -----------------------------------------------------------------
 
 def dashboard(db, today: Day) -> DataFrame:
@@ -44,7 +52,7 @@ def dashboard(db, today: Day) -> DataFrame:
     products = db["products"].filter("is_active").agg(
         _rows().alias("total_products"), count_where(_low_stock()).alias("low_stock_count"))
     customers = db["customers"].filter("is_active").agg(_rows().alias("active_customers"))
-    return sales.crossJoin(invoices).crossJoin(products).crossJoin(customers)
+    return _one_row(sales, invoices, products, customers)
 
 
 def sales_by_month(orders: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
@@ -292,7 +300,7 @@ def financial_summary(transactions: DataFrame, accounts: DataFrame) -> DataFrame
         total_or_zero(_amount_of("expense")).alias("total_expenses"))
     sums = sums.withColumn("net_position", (F.col("total_income") - F.col("total_expenses")).cast("decimal(28,2)"))
     balance = accounts.filter("is_active").agg(total_or_zero("balance").alias("account_balance"))
-    return sums.crossJoin(balance)
+    return _one_row(sums, balance)
 
 
 # --- series shown on the dashboard ----------------------------------------------

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from tradeframe.operators.listing import Listing, list_rows
+from tradeframe.operators.listing import list_rows
 from tradeframe.plans.catalogue import END, START, query
 from tradeframe.plans.listings import LISTINGS, enrich, family_details, matching, product_history, saved_search
 
 
-def shown(listing: Listing):
-    """The page with the totals on each row."""
-    return listing.rows.crossJoin(listing.totals)
+def page_sql(rows: str, order: str, page: int = 1, limit: int = 20) -> str:
+    return f"select * from ({rows}) order by {order} limit {limit} offset {(page - 1) * limit}"
 
 
-def page_sql(rows: str, order: str, page: int = 1, limit: int = 20) -> str:
-    return f"""
-select t.*, n.total_count, (n.total_count + {limit} - 1) // {limit} as total_pages
-from (select * from ({rows}) order by {order} limit {limit} offset {(page - 1) * limit}) t
-cross join (select count(*) as total_count from ({rows})) n"""
+def totals_sql(rows: str, limit: int = 20) -> str:
+    return (f"select count(*) as total_count, (count(*) + {limit} - 1) // {limit} as total_pages "
+            f"from ({rows})")
+
+
+def listing(name: str, listed, rows: str, order: str, page: int = 1, limit: int = 20) -> None:
+    """Register a page and its totals. ``listed(db, page=.., limit=..)`` gives the listing."""
+    query(f"{name}_page", page_sql(rows, order, page, limit))(lambda db: listed(db, page=page, limit=limit).rows)
+    query(f"{name}_totals", totals_sql(rows, limit))(lambda db: listed(db, page=page, limit=limit).totals)
+
+
+def of(entity: str, **arguments):
+    return lambda db, **paging: list_rows(LISTINGS[entity], db, **paging, **arguments)
+
 
+NEWEST = "created_at desc nulls first, id"
 
 PRODUCTS = """
 select p.*, f.name as family_name, f.code as family_code
@@ -26,15 +35,11 @@ _PRODUCT_FILTER = """ where (p.name ilike '%re_ w%' or p.sku ilike '%re_ w%' or
 and p.is_active and quantity_in_stock <= min_stock_level"""
 
 
-@query("l01_products_page", page_sql(PRODUCTS + _PRODUCT_FILTER, "name asc nulls last, id"))
-def products_page(db):
-    return shown(list_rows(LISTINGS["products"], db, search="re_ w", is_active=True, low_stock=True, sort_by="name",
-                           sort_order="asc"))
+listing("l01_products_search", of("products", search="re_ w", is_active=True, low_stock=True, sort_by="name",
+                                  sort_order="asc"), PRODUCTS + _PRODUCT_FILTER, "name asc nulls last, id")
 
 
-@query("l01_products_default_sort", page_sql(PRODUCTS, "created_at desc nulls first, id", page=3, limit=50))
-def products_default(db):
-    return shown(list_rows(LISTINGS["products"], db, page=3, limit=50, sort_by="no_such_field"))
+listing("l01_products", of("products", sort_by="no_such_field"), PRODUCTS, NEWEST, page=3, limit=50)
 
 
 @query("l01_products_matching", PRODUCTS + _PRODUCT_FILTER)
@@ -61,9 +66,7 @@ def families(db):
     return matching(db, "families")
 
 
-@query("l03_families_page", page_sql(FAMILIES, "path asc nulls last, id", page=6))
-def families_page(db):
-    return shown(list_rows(LISTINGS["families"], db, page=6))
+listing("l03_families", of("families"), FAMILIES, "path asc nulls last, id", page=6)
 
 
 MOVEMENTS = """
@@ -80,9 +83,7 @@ def movements(db):
     return matching(db, "movements", movement_type="OUT", warehouse="WH-A", start=START, end=END)
 
 
-@query("l04_movements_page", page_sql(MOVEMENTS, "movement_date desc nulls first, created_at desc nulls first, id", 2))
-def movements_page(db):
-    return shown(list_rows(LISTINGS["movements"], db, page=2))
+listing("l04_movements", of("movements"), MOVEMENTS, "movement_date desc nulls first, " + NEWEST, page=2)
 
 
 @query("l05_product_history", """
@@ -102,18 +103,12 @@ def one_history(db):
     return product_history(db, 10, product_id=7)
 
 
-@query("l06_customers", page_sql(
-    "select * from customers where name ilike '%mach%' or email ilike '%mach%' or company ilike '%mach%'",
-    "created_at desc nulls first, id"))
-def customers(db):
-    return shown(list_rows(LISTINGS["customers"], db, search="mach"))
+listing("l06_customers", of("customers", search="mach"),
+        "select * from customers where name ilike '%mach%' or email ilike '%mach%' or company ilike '%mach%'", NEWEST)
 
 
-@query("l07_suppliers", page_sql(
-    "select * from suppliers where name ilike '%nation_1%' or email ilike '%nation_1%' or company ilike '%nation_1%'",
-    "created_at desc nulls first, id"))
-def suppliers(db):
-    return shown(list_rows(LISTINGS["suppliers"], db, search="nation_1"))
+listing("l07_suppliers", of("suppliers", search="nation_1"), """
+select * from suppliers where name ilike '%nation_1%' or email ilike '%nation_1%' or company ilike '%nation_1%'""", NEWEST)
 
 
 def _party_sql(table: str, party: str, key: str, prefix: str) -> str:
@@ -131,9 +126,7 @@ def quotes(db):
     return matching(db, "quotes", status="approved", start=START, end=END)
 
 
-@query("l08_quotes_page", page_sql(QUOTES + " where status = 'draft'", "created_at desc nulls first, id", page=4))
-def quotes_page(db):
-    return shown(list_rows(LISTINGS["quotes"], db, page=4, status="draft"))
+listing("l08_quotes", of("quotes", status="draft"), QUOTES + " where status = 'draft'", NEWEST, page=4)
 
 
 @query("l09_sales_orders", ORDERS + f" where status = 'pending' and order_date <= date '{END}'")
@@ -141,9 +134,7 @@ def sales_orders(db):
     return matching(db, "sales_orders", status="pending", end=END)
 
 
-@query("l09_sales_orders_page", page_sql(ORDERS + " where customer_id = 8", "created_at desc nulls first, id", limit=5))
-def sales_orders_page(db):
-    return shown(list_rows(LISTINGS["sales_orders"], db, limit=5, customer_id=8))
+listing("l09_sales_orders", of("sales_orders", customer_id=8), ORDERS + " where customer_id = 8", NEWEST, limit=5)
 
 
 @query("l10_purchase_orders", PURCHASES + f" where status = 'received' and order_date >= date '{START}'")
@@ -151,9 +142,7 @@ def purchase_orders(db):
     return matching(db, "purchase_orders", status="received", start=START)
 
 
-@query("l10_purchase_orders_page", page_sql(PURCHASES + " where supplier_id = 3", "created_at desc nulls first, id", 2))
-def purchase_orders_page(db):
-    return shown(list_rows(LISTINGS["purchase_orders"], db, page=2, supplier_id=3))
+listing("l10_purchase_orders", of("purchase_orders", supplier_id=3), PURCHASES + " where supplier_id = 3", NEWEST, page=2)
 
 
 INVOICES = "select i.*, c.name as customer_name from invoices i left join customers c on c.id = i.customer_id"
@@ -165,9 +154,7 @@ def invoices(db):
     return matching(db, "invoices", search="77", payment_status="unpaid")
 
 
-@query("l11_invoices_page", page_sql(INVOICES + _INVOICE_FILTER, "created_at desc nulls first, id"))
-def invoices_page(db):
-    return shown(list_rows(LISTINGS["invoices"], db, search="77", payment_status="unpaid"))
+listing("l11_invoices", of("invoices", search="77", payment_status="unpaid"), INVOICES + _INVOICE_FILTER, NEWEST)
 
 
 TRANSACTIONS = "select t.*, a.name as account_name from financial_transactions t left join accounts a on a.id = account_id"
@@ -178,10 +165,8 @@ def transactions(db):
     return matching(db, "transactions", type="expense", start=START)
 
 
-@query("l12_transactions_page", page_sql(TRANSACTIONS + " where account_id = 5",
-                                         "transaction_date desc nulls first, id"))
-def transactions_page(db):
-    return shown(list_rows(LISTINGS["transactions"], db, account_id=5))
+listing("l12_transactions", of("transactions", account_id=5), TRANSACTIONS + " where account_id = 5",
+        "transaction_date desc nulls first, id")
 
 
 @query("l13_accounts", "select * from accounts where type = 'ASIA' and is_active")
@@ -192,10 +177,9 @@ def accounts(db):
 USERS = "select u.*, r.name as role_name from users u left join user_roles r on r.id = u.role_id"
 
 
-@query("l14_users", page_sql(USERS + """ where (username ilike '%r1%' or email ilike '%r1%' or first_name ilike '%r1%'
-or last_name ilike '%r1%') and r.name = 'manager' and u.is_active""", "created_at desc nulls first, id", limit=5))
-def users(db):
-    return shown(list_rows(LISTINGS["users"], db, limit=5, search="r1", role="manager", is_active=True))
+listing("l14_users", of("users", search="r1", role="manager", is_active=True), USERS + """
+where (username ilike '%r1%' or email ilike '%r1%' or first_name ilike '%r1%' or last_name ilike '%r1%')
+and r.name = 'manager' and u.is_active""", NEWEST, limit=5)
 
 
 @query("d04_movement_details", MOVEMENTS)
@@ -232,7 +216,6 @@ def families_detail(db):
     return family_details(db)
 
 
-@query("x02_saved_search", page_sql(ORDERS + f" where status = 'completed' and order_date >= date '{START}'",
-                                    "created_at desc nulls first, id", limit=30))
-def stored_search(db):
-    return shown(saved_search(db, "sales_orders", f'{{"status": "completed", "start": "{START}"}}', limit=30))
+listing("x02_saved_search",
+        lambda db, **paging: saved_search(db, "sales_orders", f'{{"status": "completed", "start": "{START}"}}', **paging),
+        ORDERS + f" where status = 'completed' and order_date >= date '{START}'", NEWEST, limit=30)
