@@ -1,9 +1,12 @@
 """Schemas, reference rows, snapshots, and the shape of plans."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from tradeframe.operators import reports
+from tradeframe.operators.integrity import declared_violations
 from tradeframe.plans.listings import LISTINGS
 from tradeframe.operators.listing import list_rows
 from tradeframe.session import shared_folder
@@ -20,7 +23,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_schemas_parse_and_references_exist():
+def test_schemas_parse_and_references_exist(spark):
     for table in schemas.BUSINESS | schemas.GIVEN:
         assert len(schemas.schema(table)) > 1
     names = {t: set(schemas.schema(t).names) for t in schemas.BUSINESS}
@@ -44,7 +47,11 @@ def test_seed_tables_store_and_load(spark):
         append(df, f"{folder}/{name}")
     stored = load(spark, folder, list(tables))
     assert {n: df.count() for n, df in stored.items()} == {
-        "user_roles": 7, "settings": 7, "product_families": 5, "payment_schedule_models": 3, "warehouses": 1}
+        "user_roles": 7, "settings": 7, "product_families": 5, "products": 3, "customers": 2, "suppliers": 2,
+        "payment_schedule_models": 3, "warehouses": 1}
+    slab = stored["products"].filter("id = 1").first()
+    assert (slab["selling_price"], slab["tax_rate"], slab["is_featured"]) == (Decimal("25000.00"), Decimal("19.00"), False)
+    assert declared_violations(stored).count() == 0
     assert stored["product_families"].filter("path is not null").count() == 0
 
 

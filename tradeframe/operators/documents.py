@@ -60,8 +60,9 @@ def documents(db, kind: DocumentKind, keys: DataFrame | None = None, page_lines:
     """Header rows with ``items`` as an array ordered by line number.
 
     A document comes in pages of ``page_lines`` line numbers (column ``page``, from
-    0), so no array grows without bound; an ordinary document is one page. A header
-    without items has page 0 with an empty array."""
+    0), so no array grows without bound; an ordinary document is one page. Line numbers
+    are unique within a document. A header without items has page 0 with an empty
+    array."""
     headers = with_party(pick(db[kind.headers], "id", keys), db[kind.party], kind.party_key, kind.prefix)
     items = with_products(pick(db[kind.items], kind.link, keys), db["products"], kind.product_columns)
     fields = ["line_number"] + [c for c in items.columns if c not in ("line_number", kind.link)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeframe.operators.writes import union_all
+from tradeframe.sources.schemas import FOREIGN_KEYS, REQUIRED, UNIQUE
 
 # The message for each kind of violation.
 MESSAGES = {
@@ -64,3 +65,14 @@ def violations(db, foreign_keys=(), unique=None, required=None, typed=()) -> Dat
         parts += [missing_values(db[table], table, c) for c in columns]
     parts += [unparseable(db[table], table, column, type_name) for table, column, type_name in typed]
     return union_all(parts)
+
+
+def declared_violations(db) -> DataFrame:
+    """All declared constraints of the tables in ``db``, as far as their columns are there."""
+    def has(table: str, column: str) -> bool:
+        return table in db and column in db[table].columns
+
+    keys = [k for k in FOREIGN_KEYS if has(k[0], k[1]) and k[2] in db]
+    unique = {t: [c for c in columns if has(t, c)] for t, columns in UNIQUE.items()}
+    required = {t: [c for c in columns if has(t, c)] for t, columns in REQUIRED.items()}
+    return violations(db, keys, unique, required)
