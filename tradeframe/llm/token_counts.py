@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tradeframe.llm import pieces
@@ -133,9 +134,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         counter = machine(content.value)
         for part in slices(batches, "text"):
             text = part.column("text")
-            sizes = pa.compute.fill_null(pa.compute.cast(pa.compute.binary_length(text), pa.int64()), 0)
+            sizes = pc.fill_null(pc.cast(pc.binary_length(text), pa.int64()), 0)
             n = pa.array(count(text.to_pylist(), counter), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, n, pa.compute.greater(n, limit)], names=names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, n, pc.greater(n, limit)], names=names)
 
     names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     schema = rows.select("doc_id").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
