@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeframe.llm import bpe, quality, token_counts, toxicity, url_filter
+from tradeframe.llm import bpe, html_text, quality, token_counts, toxicity, url_filter
 from tradeframe.llm.common import read
 
 
@@ -16,6 +16,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(read(spark, sf_dir, "pages"))
+
+
 #: Verdict, host, start of the path. A rule without a path ends its host with a slash.
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
@@ -43,6 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
