@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tradeframe.llm import pieces
-from tradeframe.llm.common import Recent, slices
+from tradeframe.llm.common import Recent, extended, slices
 
 SHORT = 256
 NO_RANK = 1 << 60
@@ -176,10 +176,8 @@ def _run(docs: DataFrame, path: str, keep: tuple[str, ...], columns: str, build)
             decoded = [b"".join(map(bytes_of.__getitem__, t.split(","))).decode("utf-8", "replace") if t else "" for t in ids]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *build(ids, decoded)], names=names)
 
-    schema = rows.select(*keep).schema
-    names = [*keep, *(c.split()[0] for c in columns.split(", "))]
-    for field in columns.split(", "):
-        schema = schema.add(*field.split(" ", 1))
+    schema = extended(rows.select(*keep).schema, columns)
+    names = schema.names
     return rows.mapInArrow(work, schema)
 
 

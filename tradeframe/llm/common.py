@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeframe.session import shared_folder
 
@@ -20,6 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def extended(schema: T.StructType, columns: str) -> T.StructType:
+    """The schema with more columns, given as ``name type, ...``."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(columns).fields])
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the folder that all executors share and go on from there."""
     path = f"{shared_folder(df.sparkSession, name)}-{uuid.uuid4().hex[:8]}"

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tradeframe.llm.common import slices
+from tradeframe.llm.common import extended, slices
 
 WINDOW = 3
 SURGE = 0.25
@@ -197,4 +197,4 @@ def extracted(pages: DataFrame) -> DataFrame:
                 [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(work, rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))
+    return rows.mapInArrow(work, extended(rows.select("page_id", "url").schema, "text string, n_chars long"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeframe.llm import bpe, html_text, quality, simhash, token_counts, toxicity, url_filter
+from tradeframe.llm import bpe, decontaminate, html_text, quality, simhash, token_counts, toxicity, url_filter
 from tradeframe.llm.common import read
 
 
@@ -38,6 +38,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
+    "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tradeframe.llm.common import kept, part_count, slices
+from tradeframe.llm.common import extended, kept, part_count, slices
 from tradeframe.llm.components import components
 
 SHINGLE = 3
@@ -92,7 +92,7 @@ def with_fingerprint(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), size:
             found = fingerprints(part.column("text").to_pylist(), size).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found)], names=[*keep, "fp"])
 
-    return rows.mapInArrow(work, rows.select(*keep).schema.add("fp", "long"))
+    return rows.mapInArrow(work, extended(rows.select(*keep).schema, "fp long"))
 
 
 @lru_cache(1)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from tradeframe.llm import pieces
 from tradeframe.llm.bpe import Vocabulary, load, segments, vocabulary
-from tradeframe.llm.common import Recent, slices
+from tradeframe.llm.common import Recent, extended, slices
 
 MOST_STATES = 200_000
 REMEMBERED = 300_000
@@ -138,6 +138,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             n = pa.array(count(text.to_pylist(), counter), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, n, pc.greater(n, limit)], names=names)
 
-    names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
-    schema = rows.select("doc_id").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    schema = extended(rows.select("doc_id").schema, "n_bytes long, n_tokens long, over_limit boolean")
+    names = schema.names
     return rows.mapInArrow(work, schema)

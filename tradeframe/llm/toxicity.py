@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeframe.llm.common import in_fold, kept, slices
+from tradeframe.llm.common import extended, in_fold, kept, slices
 
 #: Most labelled rows of each class; four fifths are for the models, the rest for the curve.
 SAMPLE = 6_000
@@ -216,4 +216,4 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], sample: in
             line = np.clip(w[0] + found @ w[1:], -30, 30)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(1 / (1 + np.exp(-line)))], names=[*keep, "score"])
 
-    return wide.mapInArrow(score, wide.select(*keep).schema.add("score", "double"))
+    return wide.mapInArrow(score, extended(wide.select(*keep).schema, "score double"))
