@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradeframe.llm import bpe, decontaminate, html_text, quality, simhash, token_counts, toxicity, url_filter
+from tradeframe.llm import bpe, decontaminate, html_text, quality, simhash, substring_dedup, token_counts, toxicity, url_filter
 from tradeframe.llm.common import read
 
 
@@ -42,6 +43,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicated(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(read(spark, sf_dir, "documents"))
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_decontaminate": op6_decontaminate,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
