@@ -7,20 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeframe.llm import bpe, decontaminate, html_text, quality, simhash, substring_dedup, token_counts, toxicity, url_filter
+from tradeframe.llm import bpe, decontaminate, html_text, lm_score, quality, simhash, substring_dedup, token_counts, toxicity, url_filter
 from tradeframe.llm.common import read
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(read(spark, sf_dir, "pages"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
+
+
 #: Verdict, host, start of the path. A rule without a path ends its host with a slash.
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
@@ -62,6 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_lm_score": op2_lm_score,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
