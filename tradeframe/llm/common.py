@@ -70,5 +70,18 @@ def in_fold(column: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def folded(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``, and all other columns as one, ``rest``, so that no name of theirs meets
+    a name an operator adds."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("rest"))
+
+
+def unfolded(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns that ``folded`` was given, some of them replaced."""
+    named = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    return df.select(*(new.get(c, named.get(c, F.col("rest").getField(c))).alias(c) for c in columns))
+
+
 def part_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
