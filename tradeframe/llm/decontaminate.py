@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeframe.llm.common import extended, kept, slices
+from tradeframe.llm.common import extended, folded, kept, slices, unfolded
 
 WINDOW = 10
 #: Size of the bitmap of word hashes: 2 MB.
@@ -188,5 +188,6 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without any window of the benchmark, all columns."""
     _, matched = hits(docs, items)
     bad = matched.select("doc_id", "mark").distinct()
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    return marked.join(bad, marked["doc_id"].eqNullSafe(bad["doc_id"]) & marked["_mark"].eqNullSafe(bad["mark"]), "left_anti").select(*docs.columns)
+    rows = folded(docs).withColumn("mark", F.xxhash64("text"))
+    same = [rows[c].eqNullSafe(bad[c]) for c in ("doc_id", "mark")]
+    return unfolded(rows.join(bad, same, "left_anti"), docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tradeframe.llm.common import extended, kept, part_count, slices
+from tradeframe.llm.common import extended, folded, kept, part_count, slices, unfolded
 from tradeframe.llm.components import components
 
 SHINGLE = 3
@@ -212,10 +212,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns: of each group the row with the smallest ``doc_id``
     (one row of those that repeat it). A group of rows without ``doc_id`` keeps one row per
     fingerprint."""
-    columns = tuple(docs.columns)
-    found = kept(grouped(docs), "simhash-groups")
+    rows = folded(docs)
+    found = kept(grouped(rows), "simhash-groups")
     first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
+    named = rows.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nameless = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-    others = with_fingerprint(docs.filter(F.col("doc_id").isNull()), columns).withColumn("fingerprint", hex_of(F.col("fp")))
-    return named.unionByName(others.join(nameless, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(*columns))
+    others = with_fingerprint(rows.filter(F.col("doc_id").isNull()), tuple(rows.columns)).withColumn("fingerprint", hex_of(F.col("fp")))
+    others = others.join(nameless, "fingerprint", "left_semi").dropDuplicates(["fingerprint"])
+    return unfolded(named.unionByName(others.select(*named.columns)), docs.columns)
