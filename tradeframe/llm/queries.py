@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeframe.llm import bpe, decontaminate, html_text, lm_score, quality, simhash, substring_dedup, token_counts, toxicity, url_filter
+from tradeframe.llm import bpe, decontaminate, html_text, lm_score, quality, simhash, sql, substring_dedup, token_counts, toxicity, url_filter
 from tradeframe.llm.common import read
 
 
@@ -57,7 +57,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(read(spark, sf_dir, "documents"))
+    return quality.quality(read(spark, sf_dir, "documents")).drop("char_divergence", "word_divergence")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
-SQL: dict[str, str] = {}
+#: The others are learned, iterate, or follow a vocabulary file; tests compare them by brute force.
+SQL: dict[str, str] = {
+    "op6_decontaminate": sql.DECONTAMINATE,
+    "op7_substring_dedup": sql.SUBSTRINGS,
+    "op9_quality": sql.QUALITY,
+}
