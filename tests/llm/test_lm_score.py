@@ -8,6 +8,7 @@ import pytest
 from tradeframe.llm import lm_score
 from tradeframe.llm.queries import vocabulary_path
 
+WINDOW = lm_score.CONTEXT + lm_score.STRIDE
 PATH = vocabulary_path("byte_bpe_50k.tiktoken")
 
 
@@ -59,7 +60,7 @@ def model():
     total = rng.integers(0, 1000, size)
     begins = rng.random(size) < 0.4
     begins[-1] = True
-    return lm_score.classed(total, begins, rng.integers(0, size, (500, 32)).astype(np.int32)).start()
+    return lm_score.classed(total, begins, rng.integers(0, size, (500, WINDOW)).astype(np.int32)).start()
 
 
 def test_windows_score_each_id_once():
@@ -74,32 +75,42 @@ def test_windows_score_each_id_once():
     assert targets.tolist() == want and len(set(wanted.tolist())) == len(wanted)
 
 
+def sides(model, ids):
+    targets = ids[:, lm_score.CONTEXT :]
+    return model.place[ids[:, :-1]], model.side[targets], model.group[targets]
+
+
 def test_probabilities_sum_to_one(model):
-    rows = np.random.default_rng(1).integers(0, 400, (1, 31)).astype(np.int32)
-    total = np.zeros(lm_score.STRIDE)
-    for i in range(400):
-        window = np.concatenate([rows, [[i]]], axis=1).astype(np.int32)
-        total[-1] += np.exp(lm_score.predicted(model, window)[0][-1])
-    assert total[-1] == pytest.approx(1, abs=1e-3)
-    begins = model.starts[model.group] > 0
-    p = lm_score.forward(model.w, model.place[rows])[-1][0, -1]
-    assert np.exp(lm_score.predicted(model, np.concatenate([rows, rows[:, :1]], axis=1))[1][-1]) == pytest.approx(
-        sum(p[g] * math.exp(s) for g, s, b in zip(model.group, model.share, begins) if b), abs=1e-3)
+    rows = np.random.default_rng(1).integers(0, 400, (1, WINDOW - 1))
+    windows = np.concatenate([np.repeat(rows, 400, axis=0), np.arange(400)[:, None]], axis=1).astype(np.int32)
+    chosen, start = (x.reshape(400, -1)[:, -1] for x in lm_score.predicted(model, windows))
+    assert np.exp(chosen).sum() == pytest.approx(1, abs=1e-3)
+    assert np.exp(chosen[model.side == 1]).sum() == pytest.approx(np.exp(start[0]), abs=1e-3)
+
+
+def test_prediction_is_the_forward_pass(model):
+    ids = np.random.default_rng(6).integers(0, 400, (5, WINDOW)).astype(np.int32)
+    rows, side, group = sides(model, ids)
+    u = lm_score.forward(model.w, rows)[-1]
+    sure = 1 / (1 + np.exp(-(u @ model.w["S"] + model.w["bS"])))
+    p = np.take_along_axis(np.where(side[..., None] == 1, *(lm_score.softmax(u @ model.w["U"][i] + model.w["bU"][i]) for i in (1, 0))), group[..., None], -1)[..., 0]
+    chosen, start = lm_score.predicted(model, ids, batch=2)
+    assert np.allclose(chosen, (np.log(np.where(side == 1, sure, 1 - sure) * p) + model.share[ids[:, lm_score.CONTEXT :]]).ravel(), atol=1e-4)
+    assert np.allclose(start, np.log(sure).ravel(), atol=1e-4)
 
 
 def test_later_ids_change_nothing_before(model):
-    a = np.random.default_rng(2).integers(0, 400, (3, 32)).astype(np.int32)
+    a = np.random.default_rng(2).integers(0, 400, (3, WINDOW)).astype(np.int32)
     b = a.copy()
-    b[:, 28:] = 5
+    b[:, -4:] = 5
     p, q = (lm_score.forward(model.w, model.place[x[:, :-1]])[-1] for x in (a, b))
-    assert np.allclose(p[:, :12], q[:, :12], atol=1e-6) and not np.allclose(p[:, -1], q[:, -1])
+    assert np.allclose(p[:, :-3], q[:, :-3], atol=1e-6) and not np.allclose(p[:, -1], q[:, -1])
 
 
 def test_gradients(model):
     w = {k: v.astype(np.float64) for k, v in model.w.items()}
-    ids = np.random.default_rng(3).integers(0, 400, (4, 32))
-    rows, target = model.place[ids[:, :-1]], model.group[ids[:, lm_score.CONTEXT :]]
-    g, _ = lm_score.gradients(w, rows, target)
+    rows, side, target = sides(model, np.random.default_rng(3).integers(0, 400, (4, WINDOW)))
+    g, _ = lm_score.gradients(w, rows, side, target)
     rng = np.random.default_rng(4)
     for k in w:
         for _ in range(3):
@@ -107,15 +118,14 @@ def test_gradients(model):
             losses = []
             for step in (1e-4, -1e-4):
                 w[k][at] += step
-                losses.append(lm_score.gradients(w, rows, target)[1])
+                losses.append(lm_score.gradients(w, rows, side, target)[1])
                 w[k][at] -= step
             assert g[k][at] == pytest.approx((losses[0] - losses[1]) / 2e-4, abs=1e-4), k
 
 
 def test_fitting_lowers_the_loss(model):
     rng = np.random.default_rng(5)
-    ids = (rng.integers(0, 5, (600, 1)) + np.arange(32) % 7).astype(np.int32)
-    target = model.group[ids[:, lm_score.CONTEXT :]]
-    before = lm_score.gradients(model.w, model.place[ids[:, :-1]], target)[1]
+    ids = (rng.integers(0, 5, (600, 1)) + np.arange(WINDOW) % 7).astype(np.int32)
+    before = lm_score.gradients(model.w, *sides(model, ids))[1]
     w = lm_score.fitted(model, ids, 6, 0.01, 1)
-    assert lm_score.gradients(w, model.place[ids[:, :-1]], target)[1] < 0.3 * before
+    assert lm_score.gradients(w, *sides(model, ids))[1] < 0.5 * before
