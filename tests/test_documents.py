@@ -61,7 +61,7 @@ def shop(spark):
 
 
 def test_documents_have_ordered_items_and_empty_arrays(shop):
-    rows = {r["id"]: r for r in documents.documents(shop, documents.SALES_ORDER).collect()}
+    rows = {r["id"]: r for r in documents.documents(shop, documents.SALES_ORDER, 1000).collect()}
     assert [i["line_number"] for i in rows[1]["items"]] == [1, 2]
     assert rows[1]["items"][0]["product_name"] == "Q" and rows[1]["customer_name"] == "A"
     assert rows[3]["items"] == [] and rows[2]["customer_name"] is None
@@ -72,6 +72,12 @@ def test_long_documents_come_in_pages_without_loss(shop):
     assert [[i["line_number"] for i in r["items"]] for r in rows] == [[1, 2, 3, 4], [5, 6, 7, 8], [9, 10, 11]]
 
 
+def test_pages_count_items_not_line_numbers(spark, shop):
+    far = {**shop, "sales_order_items": items(spark, *[(2, 1, n * 70_000, "1", "1", None) for n in range(1, 6)])}
+    rows = documents.documents(far, documents.SALES_ORDER, page_lines=3).filter("id = 2").orderBy("page").collect()
+    assert [[i["line_number"] for i in r["items"]] for r in rows] == [[70_000, 140_000, 210_000], [280_000, 350_000]]
+
+
 def test_only_wanted_documents(spark, shop):
     keys = spark.createDataFrame([(3,)], "id long")
     assert [r["id"] for r in documents.document_lines(shop, documents.SALES_ORDER, keys).collect()] == [3]
@@ -86,10 +92,22 @@ def test_inactive_parent_hides_its_subtree(spark):
          (4, "D", "d", 1, 2, None, True), (5, "E", "e", 77, 2, None, True)], FAMILY)
     tree = {r["id"]: (r["root_id"], r["depth"], r["sort_path"]) for r in hierarchy.reachable_families(rows).collect()}
     assert tree == {1: (1, 1, "A"), 4: (1, 2, "A/D")}
-    nested = hierarchy.nested_tree(rows, 3).collect()
+    nested = hierarchy.nested_tree(rows).collect()
     assert [(r["id"], [c["id"] for c in r["children"]]) for r in nested] == [(1, [4])]
 
 
+def test_a_tree_is_as_deep_as_its_rows(spark):
+    rows = spark.createDataFrame([(n, f"c{n}", "x", n - 1 if n > 1 else None, n, None, True) for n in range(1, 6)]
+                                 + [(20, "p", "x", 21, 1, None, True), (21, "q", "x", 20, 1, None, True)], FAMILY)
+    assert {r["id"]: r["depth"] for r in hierarchy.reachable_families(rows).collect()} == {n: n for n in range(1, 6)}
+    node, seen = hierarchy.nested_tree(rows).first(), []
+    while node is not None:
+        seen.append((node["id"], node["level"]))
+        node = node["children"][0] if "children" in node and node["children"] else None
+    assert seen == [(n, n) for n in range(1, 6)]
+    assert hierarchy.nested_tree(rows.limit(0)).count() == 0
+
+
 def test_new_families_get_level_and_path_or_are_rejected(spark):
     known = spark.createDataFrame([(1, "A", "a", None, 1, "/A", True)], FAMILY)
     new = spark.createDataFrame([(10, "X", "x", None), (11, "Y", "y", 1), (12, "Z", "z", 11), (13, "Q", "q", 99),
@@ -171,11 +189,32 @@ def test_numbers_keep_the_whole_key(spark):
 def test_instalments_add_up(spark, model, expected):
     order = spark.createDataFrame([(1, dt.date(2024, 1, 31), D("100.10"), model)],
                                   "id long, order_date date, total_amount decimal(12,2), model long")
-    rows = workflow.instalments(order, seed(spark)["payment_schedule_models"], "model").orderBy("line_number").collect()
+    rows = workflow.instalments(order, seed(spark)["payment_schedule_models"], "model").rows.orderBy("line_number").collect()
     assert [r["amount"] for r in rows] == [D(e) for e in expected]
     assert rows[1]["due_date"] == dt.date(2024, 3, 1)
 
 
+def test_orders_without_a_usable_model(spark):
+    models = seed(spark)["payment_schedule_models"].unionByName(
+        spark.createDataFrame([(9, "Broken", False, "no json", "active")], "id long, name string, is_default boolean, terms string, status string"),
+        allowMissingColumns=True)
+    orders = spark.createDataFrame([(i, dt.date(2024, 1, 1), D("10"), m) for i, m in ((1, None), (2, 77), (3, 9), (4, 2))],
+                                   "id long, order_date date, total_amount decimal(12,2), model long")
+    done = workflow.instalments(orders, models, "model")
+    assert {(r["order_id"], r["line_number"]): r["amount"] for r in done.rows.collect()} == {
+        (1, 1): D("3.00"), (1, 2): D("7.00"), (4, 1): D("5.00"), (4, 2): D("5.00")}
+    assert {r["id"]: r["reason"] for r in done.rejected.collect()} == {2: "payment model not found", 3: "payment model has no readable terms"}
+
+
+def test_earlier_conversions_stay(spark):
+    quotes = spark.createDataFrame([(1, 7, "converted", 501, dt.date(2024, 1, 1)), (2, 8, "approved", None, dt.date(2024, 1, 1)), (3, 9, "draft", None, None)],
+                                   "id long, customer_id long, status string, converted_to_order long, updated_at date")
+    lines = items(spark, (2, 1, 1, "1", "1", None)).withColumnRenamed("order_id", "quote_id")
+    after = workflow.convert_quotes(quotes, lines, "2024-02-02", 1000).quotes.collect()
+    assert {r["id"]: (r["status"], r["converted_to_order"], r["updated_at"]) for r in after} == {
+        1: ("converted", 501, dt.date(2024, 1, 1)), 2: ("converted", 1002, dt.date(2024, 2, 2)), 3: ("draft", None, None)}
+
+
 def test_shipped_and_delivered_both_subtract(spark):
     products = spark.createDataFrame([(1, D("10")), (2, D("1"))], "id long, quantity_in_stock decimal(10,2)")
     orders = spark.createDataFrame([(5, "SO-5", "pending")], "id long, order_number string, status string")

@@ -63,6 +63,15 @@ def test_unique_against_table_and_batch(spark):
         10: "name exists already", 12: "name repeated in the batch"}
 
 
+def test_a_refused_request_blocks_no_value(spark):
+    batch = spark.createDataFrame([(1, "a", "e1"), (2, "n", "e1"), (3, "n", "e2"), (4, "m", "e2"), (5, "m", "e3"), (6, "z", "e3")],
+                                  "request long, name string, email string")
+    split = writes.check_unique(target(spark), batch, ["name", "email"], "request")
+    assert sorted(r["request"] for r in split.accepted.collect()) == [2, 4, 6]
+    assert {r["request"]: r["reason"] for r in split.rejected.collect()} == {
+        1: "name exists already", 3: "name repeated in the batch", 5: "name repeated in the batch"}
+
+
 def test_required_and_non_zero(spark):
     rows = spark.createDataFrame([(1, "a", 5), (2, "", 5), (3, "c", 0)], "id long, name string, amount int")
     split = writes.check_required(rows, ["name", "amount"], non_zero=["amount"])

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradeframe.functions.ranking import line_numbers
+
 PARTY = ["name", "email", "phone", "company"]
 
 
@@ -56,18 +58,18 @@ def document_lines(db, kind: DocumentKind, keys: DataFrame | None = None) -> Dat
     return headers.join(items, F.col("id") == F.col(kind.link), "left").drop(kind.link)
 
 
-def documents(db, kind: DocumentKind, keys: DataFrame | None = None, page_lines: int = 1000) -> DataFrame:
+def documents(db, kind: DocumentKind, page_lines: int, keys: DataFrame | None = None) -> DataFrame:
     """Header rows with ``items`` as an array ordered by line number.
 
-    A document comes in pages of ``page_lines`` line numbers (column ``page``, from
-    0), so no array grows without bound; an ordinary document is one page. Line numbers
-    are unique within a document. A header without items has page 0 with an empty
-    array."""
+    A document comes in pages of ``page_lines`` items (column ``page``, from 0), counted by
+    position, whatever the line numbers are; so no array grows without bound, and a
+    document of up to ``page_lines`` items is one row. Line numbers are unique within a
+    document. A header without items has page 0 with an empty array."""
     headers = with_party(pick(db[kind.headers], "id", keys), db[kind.party], kind.party_key, kind.prefix)
     items = with_products(pick(db[kind.items], kind.link, keys), db["products"], kind.product_columns)
     fields = ["line_number"] + [c for c in items.columns if c not in ("line_number", kind.link)]
     pages = (
-        items.withColumn("page", F.floor((F.col("line_number") - 1) / page_lines))
+        line_numbers(items, kind.link, "line_number", out="_at").withColumn("page", F.floor((F.col("_at") - 1) / page_lines))
         .groupBy(F.col(kind.link).alias("_doc"), "page")
         .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
     )

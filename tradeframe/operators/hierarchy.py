@@ -2,44 +2,62 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeframe.sources.tables import run_sql
+from tradeframe.session import cut
+
+
+def _levels(first: DataFrame, below) -> list[DataFrame]:
+    """``first``, then ``below`` of the level before, until there is nothing. Each level is
+    written once; a tree of any depth ends, and a circle is never entered from a root."""
+    levels, now = [], cut(first)
+    while not levels or not now.isEmpty():
+        levels.append(now)
+        now = cut(below(now))
+    return levels
+
+
+def tree_levels(families: DataFrame) -> list[DataFrame]:
+    """The active families reachable from a root, one table per depth: all columns of
+    ``families`` with ``root_id``, ``depth`` and ``sort_path``."""
+    active = families.filter("is_active")
+    roots = active.filter("parent_id is null").select(
+        "*", F.col("id").alias("root_id"), F.lit(1).alias("depth"), F.col("code").alias("sort_path"))
+
+    def below(above: DataFrame) -> DataFrame:
+        parent = above.select(F.col("id").alias("_parent"), F.col("root_id"), (F.col("depth") + 1).alias("depth"), F.col("sort_path").alias("_path"))
+        return active.join(parent, F.col("parent_id") == F.col("_parent")).select(
+            *active.columns, "root_id", "depth", F.concat_ws("/", "_path", "code").alias("sort_path"))
+
+    return _levels(roots, below)
 
 
 def reachable_families(families: DataFrame) -> DataFrame:
     """The tree of active families, flat: ``root_id``, ``depth`` and ``sort_path`` per
     node. A node below an inactive or missing parent is left out with its subtree."""
-    active = families.filter("is_active").select("id", "code", "name", "parent_id")
-    return run_sql(families.sparkSession, """
-        WITH RECURSIVE tree AS (
-          SELECT id, code, name, parent_id, id AS root_id, 1 AS depth, code AS sort_path
-          FROM {active} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT f.id, f.code, f.name, f.parent_id, t.root_id, t.depth + 1, concat(t.sort_path, '/', f.code)
-          FROM {active} f JOIN tree t ON f.parent_id = t.id)
-        SELECT id, code, name, parent_id, root_id, depth, sort_path FROM tree
-        """, active=active)
-
-
-def nested_tree(families: DataFrame, levels: int) -> DataFrame:
-    """Root rows with ``children`` nested ``levels`` deep (a fixed type needs a fixed
-    depth). Built from the lowest level up; each step joins the children of the
-    next level onto their parents."""
-    nodes = reachable_families(families).select("id", "code", "name", "parent_id", "depth")
-    below = None
-    for depth in range(levels, 0, -1):
-        here = nodes.filter(F.col("depth") == depth)
+    flat = reduce(DataFrame.unionByName, tree_levels(families))
+    return flat.select("id", "code", "name", "parent_id", "root_id", "depth", "sort_path")
+
+
+def nested_tree(families: DataFrame) -> DataFrame:
+    """Root rows with ``children`` nested as deep as the tree is, ordered by code; every node has
+    all columns of ``families``. Built from the lowest level up; each step joins the children
+    of the next level onto their parents. The type follows from the depth."""
+    columns, below = families.columns, None
+    for here in reversed(tree_levels(families)):
+        here = here.select(*columns)
         if below is not None:
-            fields = [c for c in below.columns if c not in ("parent_id", "depth")]
+            fields = [c for c in below.columns if c != "code"]
             grouped = below.groupBy(F.col("parent_id").alias("_parent")).agg(
-                F.sort_array(F.collect_list(F.struct("code", *[f for f in fields if f != "code"]))).alias("children"))
+                F.sort_array(F.collect_list(F.struct("code", *fields))).alias("children"))
             empty = F.array().cast(grouped.schema["children"].dataType)
             here = here.join(grouped, F.col("id") == F.col("_parent"), "left").drop("_parent").withColumn(
                 "children", F.coalesce("children", empty))
         below = here
-    return below.drop("parent_id", "depth")
+    return below
 
 
 def place_families(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,20 +68,14 @@ def place_families(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, Data
     be part of the batch. Rows whose parent is neither are rejected, and so are the
     rows that hang below a rejected one."""
     batch = new.select("id", "code", "name", "parent_id")
-    known = existing.select("id", "level", "path")
-    placed = run_sql(new.sparkSession, """
-        WITH RECURSIVE placed AS (
-          SELECT b.id, b.code, b.name, b.parent_id,
-                 CASE WHEN b.parent_id IS NULL THEN 1 ELSE k.level + 1 END AS level,
-                 CASE WHEN b.parent_id IS NULL THEN concat('/', b.code)
-                      ELSE concat(k.path, '/', b.code) END AS path
-          FROM {batch} b LEFT JOIN {known} k ON b.parent_id = k.id
-          WHERE b.parent_id IS NULL OR k.id IS NOT NULL
-          UNION ALL
-          SELECT b.id, b.code, b.name, b.parent_id, p.level + 1, concat(p.path, '/', b.code)
-          FROM {batch} b JOIN placed p ON b.parent_id = p.id)
-        SELECT id, code, name, parent_id, level, path FROM placed
-        """, batch=batch, known=known)
+
+    def under(known: DataFrame) -> DataFrame:
+        parent = known.select(F.col("id").alias("_id"), F.col("level").alias("_level"), F.col("path").alias("_path"))
+        return batch.join(parent, F.col("parent_id") == F.col("_id")).select(
+            "id", "code", "name", "parent_id", (F.col("_level") + 1).cast("int").alias("level"), F.concat("_path", F.lit("/"), "code").alias("path"))
+
+    roots = batch.filter("parent_id is null").select("*", F.lit(1).alias("level"), F.concat(F.lit("/"), "code").alias("path"))
+    placed = reduce(DataFrame.unionByName, _levels(roots.unionByName(under(existing)), under))
     done = placed.select(F.col("id").alias("_done"))
     rejected = batch.join(done, F.col("id") == F.col("_done"), "left_anti").withColumn(
         "reason", F.lit("parent family not found"))

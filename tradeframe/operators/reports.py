@@ -167,7 +167,9 @@ def customer_orders(db, start: Day = None, end: Day = None, newest_n: int = 50)
     The ranking comes first: items are then counted only for orders that are shown."""
     orders = newest(within(db["sales_orders"], "order_date", start, end), ["customer_id"],
                     [sort_key("order_date", "desc"), F.col("id").desc()], newest_n)
-    counts = db["sales_order_items"].groupBy(F.col("order_id").alias("_order")).agg(_rows().alias("_items"))
+    shown = orders.select(F.col("id").alias("_shown"))
+    counts = db["sales_order_items"].join(shown, F.col("order_id") == F.col("_shown"), "left_semi").groupBy(
+        F.col("order_id").alias("_order")).agg(_rows().alias("_items"))
     creators = db["users"].select(F.col("id").alias("_user"), F.col("username").alias("created_by_username"))
     return (
         orders.join(counts, F.col("id") == F.col("_order"), "left")
@@ -265,7 +267,8 @@ def vat_by_month(invoices: DataFrame, start: Day = None, end: Day = None) -> Dat
 
 def balance_sheet_accounts(accounts: DataFrame) -> DataFrame:
     """Active accounts by type and name."""
-    return accounts.filter("is_active").select("id", "name", "type", "balance", "currency").orderBy("type", "name", "id")
+    return accounts.filter("is_active").select("id", "name", "type", "balance", "currency").orderBy(
+        *(sort_key(c) for c in ("type", "name", "id")))
 
 
 def _amount_of(kind: str):

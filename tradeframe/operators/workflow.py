@@ -32,7 +32,8 @@ def convert_quotes(quotes: DataFrame, items: DataFrame, today: Day, id_base: int
     """Turn approved quotes into pending orders dated today, with their amounts and
     items. The order's key is ``id_base`` plus the quote's, so a repeated run makes
     the same orders. With ``requests`` (column ``id``) only those are converted, and
-    unknown or unapproved ones are rejected."""
+    unknown or unapproved ones are rejected. Quotes converted before keep their order;
+    ``updated_at`` of the quotes, if they have it, takes the day."""
     chosen = pick(quotes.filter(F.col("status") == "approved"), "id", requests)
     order_id = (F.col("id") + F.lit(id_base)).cast("bigint")
     amounts = [c for c in ("subtotal", "discount_percentage", "discount_amount", "tax_percentage", "tax_amount",
@@ -44,9 +45,11 @@ def convert_quotes(quotes: DataFrame, items: DataFrame, today: Day, id_base: int
         "order_id", (F.col("quote_id") + F.lit(id_base)).cast("bigint")).drop("quote_id")
     mark = chosen.select(F.col("id").alias("_converted"))
     after = quotes.join(mark, F.col("id") == F.col("_converted"), "left").select(
-        *[c for c in quotes.columns if c not in ("status", "converted_to_order")],
+        *[F.when(F.col("_converted").isNotNull(), day(today).cast(quotes.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c)
+          for c in quotes.columns if c not in ("status", "converted_to_order")],
         F.when(F.col("_converted").isNotNull(), "converted").otherwise(F.col("status")).alias("status"),
-        (F.col("_converted") + F.lit(id_base)).cast("bigint").alias("converted_to_order"))
+        F.coalesce((F.col("_converted") + F.lit(id_base)).cast("bigint"),
+                   F.col("converted_to_order") if "converted_to_order" in quotes.columns else F.lit(None)).cast("bigint").alias("converted_to_order"))
     asked = requests.select("id") if requests is not None else quotes.select("id").filter(F.lit(False))
     states = quotes.select(F.col("id").alias("_id"), F.col("status").alias("_status"))
     marked = asked.join(states, F.col("id") == F.col("_id"), "left")
@@ -240,13 +243,19 @@ def invoice_open_orders(orders: DataFrame, invoices: DataFrame, today: Day, id_b
 TERMS = "array<struct<percentage:decimal(5,2),days_offset:int,description:string>>"
 
 
-def instalments(orders: DataFrame, models: DataFrame, model_key: str) -> DataFrame:
+def instalments(orders: DataFrame, models: DataFrame, model_key: str) -> Created:
     """Payment schedule of each order from its payment model (``model_key`` of the
     order): due dates by offset, amounts by percentage, the last line taking the
-    rounding rest. Each order is expanded on its own row; nothing is shuffled but
-    the join with the models."""
+    rounding rest. An order that names no model takes the default one; an order whose
+    model is unknown, or has no readable terms, is rejected. Each order is expanded on
+    its own row; nothing is shuffled but the join with the models."""
     model = models.select(F.col("id").alias("_model"), F.from_json("terms", TERMS).alias("_terms"))
-    joined = orders.join(model, F.col(model_key) == F.col("_model"))
+    standard = models.filter("is_default").agg(F.min("id")).first()[0]
+    chosen = orders.withColumn("_asked", F.coalesce(F.col(model_key), F.lit(standard).cast("bigint")))
+    split = split_by(chosen.join(model, F.col("_asked") == F.col("_model"), "left"), first_reason(
+        (F.col("_asked").isNull(), "payment model is required"), (F.col("_model").isNull(), "payment model not found"),
+        (F.coalesce(F.size("_terms"), F.lit(0)) <= 0, "payment model has no readable terms")))
+    joined = split.accepted
     one_percent = F.lit("0.01").cast("decimal(3,2)")
     amounts = F.transform("_terms", lambda t: F.round(F.col("total_amount") * t["percentage"] * one_percent, 2)
                           .cast("decimal(15,2)"))
@@ -256,7 +265,7 @@ def instalments(orders: DataFrame, models: DataFrame, model_key: str) -> DataFra
     others = F.aggregate(F.slice("_amounts", 1, F.col("_lines") - 1), F.lit(0).cast("decimal(25,2)"),
                          lambda total, a: (total + a).cast("decimal(25,2)"))
     is_last = F.col("_position") == F.col("_lines") - 1
-    return lines.select(
+    return Created(lines.select(
         "order_id",
         (F.col("_position") + 1).alias("line_number"),
         F.date_add("order_date", F.col("_term.days_offset")).alias("due_date"),
@@ -265,7 +274,7 @@ def instalments(orders: DataFrame, models: DataFrame, model_key: str) -> DataFra
         F.col("_term.percentage").alias("percentage"),
         F.col("_term.description").alias("description"),
         F.lit("pending").alias("status"),
-    )
+    ), split.rejected.select(*orders.columns, "reason"))
 
 
 def expire_quotes(quotes: DataFrame, today: Day) -> DataFrame:

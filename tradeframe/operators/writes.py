@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeframe.session import cut
 from tradeframe.sources.schemas import DEFAULTS, schema
 
 
@@ -87,26 +88,37 @@ def with_defaults(df: DataFrame, table: str) -> DataFrame:
 
 def check_unique(target: DataFrame, batch: DataFrame, columns: list[str], order: str) -> Split:
     """Accept a row only if none of its unique values is stored already or used by an
-    earlier accepted row. Each column is one anti join; there is no OR join.
-
-    Inside the batch the first row of each value (by ``order``) wins. With several
-    columns a row must be first in every one of them."""
-    marked = batch
-    for column in columns:
-        stored = target.select(F.col(column).alias("_stored")).filter("_stored is not null").distinct()
-        marked = (
-            marked.join(stored.withColumn(f"_taken_{column}", F.lit(True)), F.col(column) == F.col("_stored"), "left")
-            .drop("_stored")
-        )
-        firsts = batch.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(
-            F.min(order).alias(f"_first_{column}"))
-        marked = marked.join(firsts, F.col(column) == F.col("_value"), "left").drop("_value")
-    checks = []
-    for column in columns:
-        checks.append((F.col(f"_taken_{column}"), f"{column} exists already"))
-        checks.append((F.col(order) > F.col(f"_first_{column}"), f"{column} repeated in the batch"))
+    earlier accepted row (``order``, unique). Each column is one anti join; there is no OR join.
+
+    As if the requests came one by one, settled in rounds: of the rows still open, those that
+    are first in all their values are accepted, and rows that share a value with them leave.
+    A refused row blocks nothing. Every round settles at least the first open row."""
+    open_rows = batch.select(order, *columns)
+    stored = {c: target.select(F.col(c).alias("_value")).filter("_value is not null").distinct() for c in columns}
+    for c in columns:
+        open_rows = open_rows.join(stored[c], F.col(c) == F.col("_value"), "left_anti")
+    open_rows, rounds = cut(open_rows), []
+    while not open_rows.isEmpty():
+        marked = open_rows
+        for c in columns:
+            firsts = open_rows.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_value")).agg(F.min(order).alias(f"_first_{c}"))
+            marked = marked.join(firsts, F.col(c) == F.col("_value"), "left").drop("_value")
+        first = reduce(Column.__and__, [F.col(c).isNull() | (F.col(order) == F.col(f"_first_{c}")) for c in columns])
+        won = cut(marked.filter(first).select(order, *columns))
+        rounds.append(won)
+        left = open_rows.join(won.select(F.col(order).alias("_won")), F.col(order) == F.col("_won"), "left_anti")
+        for c in columns:
+            left = left.join(won.select(F.col(c).alias("_value")).filter("_value is not null").distinct(), F.col(c) == F.col("_value"), "left_anti")
+        open_rows = cut(left)
+    accepted = union_all(rounds) if rounds else open_rows
+    marked, checks = batch, []
+    for c in columns:
+        users = accepted.filter(F.col(c).isNotNull()).select(F.col(c).alias("_value"), F.col(order).alias(f"_user_{c}"))
+        marked = marked.join(stored[c].withColumn(f"_taken_{c}", F.lit(True)), F.col(c) == F.col("_value"), "left").drop("_value")
+        marked = marked.join(users, F.col(c) == F.col("_value"), "left").drop("_value")
+        checks += [(F.col(f"_taken_{c}"), f"{c} exists already"), (F.col(order) > F.col(f"_user_{c}"), f"{c} repeated in the batch")]
     split = split_by(marked, first_reason(*checks))
-    helper = [f"_taken_{c}" for c in columns] + [f"_first_{c}" for c in columns]
+    helper = [f"_{kind}_{c}" for kind in ("taken", "user") for c in columns]
     return Split(split.accepted.drop(*helper), split.rejected.drop(*helper))
 
 

@@ -38,24 +38,46 @@ def purchase_order_lines(db):
     return docs.document_lines(db, docs.PURCHASE_ORDER)
 
 
-@query("d02_sales_order_documents", """
-select o.id, c.name as customer_name, cast(0 as bigint) as page, count(i.order_id) as item_count,
-       min(i.line_number) as first_line, max(i.line_number) as last_line,
+#: Items of a document that come in one row.
+PAGE = 1000
+
+
+def _documents(headers: str, items: str, link: str, party: str, key: str) -> str:
+    return f"""
+with numbered as (select *, (row_number() over (partition by {link} order by line_number) - 1) // {PAGE} as page from {items})
+select h.id, c.name as partner_name, coalesce(i.page, 0) as page, count(i.{link}) as item_count,
+       cast(min(i.line_number) as bigint) as first_line, cast(max(i.line_number) as bigint) as last_line,
        cast(coalesce(sum(i.quantity), 0) as decimal(28,2)) as quantity
-from sales_orders o left join customers c on c.id = o.customer_id left join sales_order_items i on i.order_id = o.id
-group by 1, 2, 3""")
-def sales_order_documents(db):
+from {headers} h left join {party} c on c.id = h.{key} left join numbered i on i.{link} = h.id
+group by 1, 2, 3"""
+
+
+def _nested(db, kind: docs.DocumentKind):
     """The nested documents, reduced to what a flat check can compare."""
-    whole = docs.documents(db, docs.SALES_ORDER)
     quantity = F.aggregate("items", F.lit(0).cast("decimal(28,2)"),
                            lambda a, i: (a + i["quantity"]).cast("decimal(28,2)"))
-    return whole.select(
-        "id", "customer_name", "page", F.size("items").cast("bigint").alias("item_count"),
-        F.try_element_at("items", F.lit(1)).getField("line_number").alias("first_line"),
-        F.try_element_at("items", F.lit(-1)).getField("line_number").alias("last_line"),
+    return docs.documents(db, kind, PAGE).select(
+        "id", F.col(f"{kind.prefix}_name").alias("partner_name"), "page", F.size("items").cast("bigint").alias("item_count"),
+        F.try_element_at("items", F.lit(1)).getField("line_number").cast("bigint").alias("first_line"),
+        F.try_element_at("items", F.lit(-1)).getField("line_number").cast("bigint").alias("last_line"),
         quantity.alias("quantity"))
 
 
+@query("d01_quote_documents", _documents("sales_quotes", "sales_quote_items", "quote_id", "customers", "customer_id"))
+def quote_documents(db):
+    return _nested(db, docs.QUOTE)
+
+
+@query("d02_sales_order_documents", _documents("sales_orders", "sales_order_items", "order_id", "customers", "customer_id"))
+def sales_order_documents(db):
+    return _nested(db, docs.SALES_ORDER)
+
+
+@query("d03_purchase_order_documents", _documents("purchase_orders", "purchase_order_items", "order_id", "suppliers", "supplier_id"))
+def purchase_order_documents(db):
+    return _nested(db, docs.PURCHASE_ORDER)
+
+
 @query("h01_family_tree", """
 with recursive tree as (
   select id, code, name, parent_id, id as root_id, 1 as depth, code as sort_path
@@ -69,14 +91,18 @@ def family_tree(db):
 
 
 @query("h01_family_tree_nested", """
-select p.id, p.code, p.name, count(f.id) as children, min(f.code) as first_child, max(f.code) as last_child
+select p.id, p.code, p.name, p.path, count(f.id) as children, min(f.code) as first_child, max(f.code) as last_child,
+       cast(coalesce(sum(n), 0) as bigint) as child_products, min(case when f.id is not null then p.name end) as parent_name
 from product_families p left join product_families f on f.parent_id = p.id and f.is_active
-where p.parent_id is null and p.is_active group by 1, 2, 3""")
+left join (select family_id, count(*) as n from products group by 1) c on c.family_id = f.id
+where p.parent_id is null and p.is_active group by 1, 2, 3, 4""")
 def family_tree_nested(db):
-    tree = hierarchy.nested_tree(db["product_families"], levels=2)
+    tree = hierarchy.nested_tree(hierarchy.families_with_counts(db["product_families"], db["products"]))
     codes = F.transform("children", lambda c: c["code"])
-    return tree.select("id", "code", "name", F.size("children").cast("bigint").alias("children"),
-                       F.array_min(codes).alias("first_child"), F.array_max(codes).alias("last_child"))
+    counts = F.aggregate("children", F.lit(0).cast("bigint"), lambda n, c: n + c["product_count"])
+    return tree.select("id", "code", "name", "path", F.size("children").cast("bigint").alias("children"),
+                       F.array_min(codes).alias("first_child"), F.array_max(codes).alias("last_child"), counts.alias("child_products"),
+                       F.array_min(F.transform("children", lambda c: c["parent_name"])).alias("parent_name"))
 
 
 def _new_families(db):

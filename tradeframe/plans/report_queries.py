@@ -205,9 +205,9 @@ from (select o.*, u.username as created_by_username, coalesce(i.n, 0) as item_co
              row_number() over (partition by customer_id order by order_date desc, o.id desc) as rank
       from sales_orders o left join users u on u.id = o.created_by
       left join (select order_id, count(*) as n from sales_order_items group by 1) i on i.order_id = o.id) t
-where rank <= 5""")
+where rank <= 50""")
 def customer_orders(db):
-    return reports.customer_orders(db, newest_n=5).selectExpr("* except (rank)", "cast(rank as bigint) as rank")
+    return reports.customer_orders(db).selectExpr("* except (rank)", "cast(rank as bigint) as rank")
 
 
 @query("r15_supplier_kpis", _kpis("suppliers", "purchase_orders", "supplier_id", "total_spent"))

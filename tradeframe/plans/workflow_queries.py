@@ -325,14 +325,15 @@ def auto_order_items(db):
 # --- invoices, numbers, due dates -------------------------------------------------------
 
 @query("w11_invoices_for_open_orders", f"""
-select id + {BASE} as id, {number_sql('INV', f'(id + {BASE})')} as invoice_number, customer_id, id as sales_order_id,
+select id + {2 * BASE} as id, {number_sql('INV', f'(id + {2 * BASE})')} as invoice_number, customer_id, id + {BASE} as sales_order_id,
        date '{TODAY}' as issue_date, cast(null as date) as due_date, total_amount,
        cast(0 as decimal(12,2)) as tax_amount, 'unpaid' as payment_status
-from sales_orders where total_amount <> 0
-  and id not in (select sales_order_id from invoices where payment_status in ('paid', 'partial'))""")
+from sales_quotes where status = 'approved' and valid_until is not null and total_amount <> 0""")
 def open_orders(db):
-    return workflow.invoice_open_orders(db["sales_orders"], db["invoices"].filter("payment_status in ('paid', 'partial')"),
-                                        TODAY, BASE).rows
+    """All stored orders and those just made from quotes; the stored ones are invoiced."""
+    orders = db["sales_orders"].select("id", "customer_id", "total_amount").unionByName(
+        _converted(db).orders.select("id", "customer_id", "total_amount"))
+    return workflow.invoice_open_orders(orders, db["invoices"], TODAY, BASE).rows
 
 
 def _invoice_requests(db):
@@ -395,13 +396,15 @@ def _terms_sql() -> str:
     return f"terms(model, pos, n, pct, days, description) as (values {', '.join(rows)})"
 
 
+_MODEL = "case o.status when 'completed' then 1 when 'pending' then 2 when 'cancelled' then case when o.total_amount > 250000 then 77 else 3 end end"
+
+
 @query("x01_instalments", f"""
 with {_terms_sql()},
 parts as (
   select o.id as order_id, pos, n, cast(o.order_date + cast(days as int) as date) as due_date, pct, description, o.total_amount,
          cast(round(o.total_amount * pct * 0.01, 2) as decimal(15,2)) as part
-  from sales_orders o join terms
-    on terms.model = case o.status when 'completed' then 1 when 'pending' then 2 else 3 end)
+  from sales_orders o join terms on terms.model = case when o.id % 5 = 0 then 1 else {_MODEL} end)
 select order_id, cast(pos + 1 as int) as line_number, due_date,
        cast(case when pos = n - 1
                  then total_amount - coalesce(sum(part) over (partition by order_id order by pos
@@ -410,8 +413,20 @@ select order_id, cast(pos + 1 as int) as line_number, due_date,
        cast(pct as decimal(5,2)) as percentage, description, 'pending' as status
 from parts""")
 def instalments(db):
-    model = F.when(F.col("status") == "completed", 1).when(F.col("status") == "pending", 2).otherwise(3)
-    orders = db["sales_orders"].withColumn("model_id", model.cast("bigint"))
+    return _instalments(db).rows
+
+
+@query("x01_rejected_orders", f"""
+select id, 'payment model not found' as reason from sales_orders o where id % 5 <> 0 and {_MODEL} = 77""")
+def orders_without_model(db):
+    return _instalments(db).rejected.select("id", "reason")
+
+
+def _instalments(db):
+    """Models by status; every fifth order names none, and large cancelled ones an unknown one."""
+    status = F.col("status")
+    model = F.when(status == "completed", 1).when(status == "pending", 2).when(F.col("total_amount") > 250000, 77).otherwise(3)
+    orders = db["sales_orders"].withColumn("model_id", F.when(F.col("id") % 5 != 0, model).cast("bigint"))
     return workflow.instalments(orders, seed(db.spark)["payment_schedule_models"], "model_id")
 
 

@@ -124,29 +124,42 @@ def _new_users(db):
         .alias("email"))
 
 
+# One request after the other: a step takes the next pair of values, with what was accepted so far.
 _SIGNUPS = """
 signups as (
   select id as request, 'user' || customer_id as username, 'user' || (customer_id + (status = 'pending')::bigint) || '@example.com' as email
   from sales_orders),
+pairs as (
+  select username, email, min(request) as request, row_number() over (order by min(request)) as step
+  from signups where username not in (select username from users where username is not null)
+    and email not in (select email from users where email is not null) group by username, email),
+fold as (
+  select 0::bigint as step, false as ok, ''::varchar as username, ''::varchar as email, 0::bigint as request, []::varchar[] as names, []::varchar[] as mails
+  union all
+  select step, ok, username, email, request, case when ok then list_append(names, username) else names end,
+         case when ok then list_append(mails, email) else mails end
+  from (select p.*, f.names, f.mails, not list_contains(f.names, p.username) and not list_contains(f.mails, p.email) as ok
+        from fold f join pairs p on p.step = f.step + 1)),
+won as (select request, username, email from fold where ok),
 judged as (
   select s.*, case
     when s.username in (select username from users) then 'username exists already'
-    when s.request > min(request) over (partition by s.username) then 'username repeated in the batch'
+    when s.request > n.request then 'username repeated in the batch'
     when s.email in (select email from users) then 'email exists already'
-    when s.request > min(request) over (partition by s.email) then 'email repeated in the batch' end as reason
-  from signups s)"""
+    when s.request > m.request then 'email repeated in the batch' end as reason
+  from signups s left join won n on n.username = s.username left join won m on m.email = s.email)"""
 
 
 def _signups(db):
     return writes.check_unique(db["users"], _new_users(db), ["username", "email"], "request")
 
 
-@query("u03_accepted_users", f"with {_SIGNUPS} select request, username, email from judged where reason is null")
+@query("u03_accepted_users", f"with recursive {_SIGNUPS} select request, username, email from judged where reason is null")
 def accepted_users(db):
     return _signups(db).accepted
 
 
-@query("u03_rejected_users", f"with {_SIGNUPS} select * from judged where reason is not null")
+@query("u03_rejected_users", f"with recursive {_SIGNUPS} select * from judged where reason is not null")
 def rejected_users(db):
     return _signups(db).rejected
 
@@ -188,29 +201,44 @@ def user_deletes(db):
 
 
 def _family_deletes(db):
-    """Ask to delete all families that exist, and some that do not; the products still
-    in use are the well-stocked ones."""
-    families = db["product_families"]
+    """Ask to delete all families, stored ones and a new one per part size (without products
+    yet), and some that do not exist."""
+    part = db.given("part").select("p_size").distinct()
+    families = db["product_families"].select("id", "code", "name", "parent_id", "level")
+    new = part.select((F.col("p_size") + 10).cast("bigint").alias("id"), F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("code"),
+                      F.col("p_size").cast("string").alias("name"),
+                      F.when(F.col("p_size") % 2 == 0, F.col("p_size") + 9).cast("bigint").alias("parent_id"), F.lit(1).alias("level"))
+    families = families.unionByName(new)
     asked = families.select("id").unionAll(families.filter("level = 1").select(-F.col("id")))
-    products = db["products"].filter("quantity_in_stock >= 190")
-    return writes.delete_families(families, products, asked)
+    return writes.delete_families(families, db["products"], asked)
 
 
+_FAMILIES = """
+families as (
+  select id, code, name, parent_id, level from product_families
+  union all
+  select distinct cast(p_size + 10 as bigint), 'S' || p_size, cast(p_size as varchar), cast(case when p_size % 2 = 0 then p_size + 9 end as bigint), 1 from part)"""
 _FREE = """
-id not in (select family_id from products where quantity_in_stock >= 190)
-and id not in (select parent_id from product_families where parent_id is not null)"""
+id not in (select family_id from products where family_id is not null)
+and id not in (select parent_id from families where parent_id is not null)"""
 
 
-@query("u05_kept_families", f"select * from product_families where not ({_FREE})")
+@query("u05_kept_families", f"with {_FAMILIES} select * from families where not ({_FREE})")
 def kept_families(db):
     return _family_deletes(db).kept
 
 
+@query("u05_deleted_families", f"with {_FAMILIES} select * from families where {_FREE}")
+def deleted_families(db):
+    return _family_deletes(db).deleted
+
+
 @query("u05_refused_families", f"""
-select id, case when id in (select family_id from products where quantity_in_stock >= 190) then 'family has products'
+with {_FAMILIES}
+select id, case when id in (select family_id from products) then 'family has products'
                 else 'family has child families' end as reason
-from product_families where not ({_FREE})
-union all select -id, 'not found' from product_families where level = 1""")
+from families where not ({_FREE})
+union all select -id, 'not found' from families where level = 1""")
 def refused_families(db):
     return _family_deletes(db).rejected
 
