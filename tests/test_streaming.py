@@ -28,21 +28,21 @@ def play(spark, stock, batches, transform=lambda rows: rows):
     return spark.read.parquet(out)
 
 
-def test_state_late_events_and_approvals(spark):
+def test_state_back_dated_events_and_approvals(spark):
     rows = play(spark, {1: "10"}, [
         [event(2, "OUT", 1, "4", 1), event(1, "IN", 1, "1", 0), event(3, "OUT", 1, "5", 2, approved=False),
          event(90, "IN", 55, "1", 0)],
         [event(4, "OUT", 1, "8", 3), event(5, "APPROVE", 1, None, 4, approves=3), event(6, "OUT", 1, "1", 1),
          event(7, "APPROVE", 1, None, 5, approves=3), event(8, "OUT", 1, "2", 6)],
     ])
-    got = {r["id"]: (r["quantity_before"], r["quantity_after"], r["accepted"], r["late"]) for r in rows.collect()}
+    got = {r["id"]: (r["quantity_before"], r["quantity_after"], r["accepted"]) for r in rows.collect()}
     assert got == {
-        1: (D("10.00"), D("11.00"), True, False), 2: (D("11.00"), D("7.00"), True, False),
-        3: (D("7.00"), D("2.00"), True, False), 90: (None, None, False, False),
-        # 6 is older than 3, which the first batch applied; it sorts first and sees the 7.00
-        6: (D("7.00"), None, False, True),
-        4: (D("7.00"), None, False, False), 5: (D("7.00"), D("2.00"), True, False),
-        7: (D("2.00"), None, False, False), 8: (D("2.00"), D("0.00"), True, False)}
+        1: (D("10.00"), D("11.00"), True), 2: (D("11.00"), D("7.00"), True),
+        3: (D("7.00"), D("2.00"), True), 90: (None, None, False),
+        # 6 is dated before 3, which the first batch applied; it takes from the stock of now
+        6: (D("7.00"), D("6.00"), True),
+        4: (D("6.00"), None, False), 5: (D("6.00"), D("2.00"), True),
+        7: (D("2.00"), None, False), 8: (D("2.00"), D("0.00"), True)}
 
 
 def test_crossings_alert_once(spark):
@@ -74,11 +74,11 @@ def test_micro_batches_give_the_batch_ledger(spark):
     assert batches.journal().count() == len(moves)
 
 
-def test_late_movements_are_reported_not_posted(spark):
+def test_back_dated_movements_are_posted(spark):
     batches = LedgerBatches(products(spark, {1: "5"}), shared_folder(spark, "ledger"), partitions=2)
     batches(spark.createDataFrame([(2, "OUT", 1, D("1"), DAY + dt.timedelta(days=5), True)], MOVES), 0)
-    batches(spark.createDataFrame([(1, "OUT", 1, D("1"), DAY, True), (3, "OUT", 1, D("1"), DAY + dt.timedelta(days=6), True)],
+    batches(spark.createDataFrame([(1, "OUT", 1, D("1"), DAY, True), (3, "OUT", 1, D("4"), DAY + dt.timedelta(days=6), True)],
                                   MOVES), 1)
-    assert {r["id"]: (r["accepted"], r["late"]) for r in batches.journal().collect()} == {
-        1: (False, True), 2: (True, False), 3: (True, False)}
+    assert {r["id"]: (r["quantity_before"], r["accepted"]) for r in batches.journal().collect()} == {
+        2: (D("5.00"), True), 1: (D("4.00"), True), 3: (D("3.00"), False)}
     assert batches.stock(1).first()["quantity_in_stock"] == D("3.00")

@@ -117,3 +117,16 @@ def test_violation_report(spark):
                                 {"users": ["username"]}, [("user_roles", "name", "int")])
     assert sorted((r["violation"], r["value"], r["row_count"]) for r in rows.collect()) == [
         ("foreign_key", "5", 2), ("invalid_text", "12x", 1), ("not_null", "3", 1), ("unique", "a", 2)]
+
+
+def test_violations_scan_each_table_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 1, 2), (2, "b", None, 3)], "id long, code string, first long, second long")
+    rows.write.parquet(str(tmp_path / "child"))
+    rows.select("id").write.parquet(str(tmp_path / "parent"))
+    db = {t: spark.read.parquet(str(tmp_path / t)) for t in ("child", "parent")}
+    report = integrity.violations(db, [("child", "first", "parent"), ("child", "second", "parent")], {"child": ["code", "second"]},
+                                  {"child": ["first", "code"]}, [("child", "code", "int")])
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+    assert sorted((r["column_name"], r["violation"], r["value"]) for r in report.collect()) == [
+        ("code", "invalid_text", "a"), ("code", "invalid_text", "b"), ("first", "not_null", "2"), ("second", "foreign_key", "3")]

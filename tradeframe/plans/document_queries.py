@@ -161,6 +161,44 @@ def document_totals(db):
     return pricing.document_totals(db["sales_order_items"], "order_id", F.lit("5"), F.lit("19"))
 
 
+_RATED = """
+rated as (
+  select id, customer_id, cast((id % 4) * 2.5 as decimal(5,2)) as discount_percentage,
+         cast(case when status = 'pending' then 9 when status = 'completed' then 19 end as decimal(5,2)) as tax_percentage
+  from sales_orders)"""
+
+
+def _new_documents(db):
+    """Every order as a new document with rates of its own; cancelled ones name no tax."""
+    status = F.col("status")
+    headers = db["sales_orders"].select(
+        "id", "customer_id", ((F.col("id") % 4) * F.lit("2.5").cast("decimal(3,1)")).cast("decimal(5,2)").alias("discount_percentage"),
+        F.when(status == "pending", 9).when(status == "completed", 19).cast("decimal(5,2)").alias("tax_percentage"))
+    return pricing.new_document(headers, db["sales_order_items"].drop("tax_percentage"), "id", "order_id")
+
+
+@query("p01_new_documents", f"""
+with {_RATED},
+sums as (select r.*, cast(coalesce(sum(quantity * i.unit_price), 0) as decimal(20,4)) as s
+         from rated r left join sales_order_items i on i.order_id = r.id group by all),
+parts as (select *, s * discount_percentage * 0.01 as d, cast(s - s * discount_percentage * 0.01 as decimal(26,8)) as t from sums),
+taxed as (select *, t * (coalesce(tax_percentage, 0) * 0.01) as x from parts)
+select id, customer_id, discount_percentage, tax_percentage, cast(round(s, 2) as decimal(28,2)) as subtotal,
+       cast(round(d, 2) as decimal(28,2)) as discount_amount, cast(round(x, 2) as decimal(28,2)) as tax_amount,
+       cast(round(t + x, 2) as decimal(28,2)) as total_amount
+from taxed""")
+def new_documents(db):
+    return _new_documents(db)[0]
+
+
+@query("p01_new_document_lines", """
+select order_id, product_id, line_number, quantity, unit_price, cast(coalesce(discount_percentage, 0) as decimal(5,2)) as discount_percentage,
+       cast(round(quantity * unit_price * (100 - coalesce(discount_percentage, 0)) * 0.01, 2) as decimal(28,2)) as line_total
+from sales_order_items""")
+def new_document_lines(db):
+    return _new_documents(db)[1]
+
+
 @query("p02_line_totals", """
 select order_id, product_id, line_number, quantity, unit_price, discount_percentage,
        cast(round(quantity * unit_price * (100 - coalesce(discount_percentage, 0)) * 0.01, 2) as decimal(28,2))

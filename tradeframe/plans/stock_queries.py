@@ -154,7 +154,7 @@ def _keyed(db, transform):
 
 @query("t01_streaming_ledger", JOURNAL)
 def streaming_ledger(db):
-    return _keyed(db, lambda rows: rows.drop("late", "movement_type", "movement_date", "is_approved"))
+    return _keyed(db, lambda rows: rows.drop("movement_type", "movement_date", "is_approved"))
 
 
 @query("t01_ledger_in_micro_batches", JOURNAL)

@@ -1,5 +1,9 @@
 """The stock ledger on a stream of events.
 
+Events are applied as they arrive: one micro-batch after the other, and inside a micro-batch in
+(date, id) order. A movement dated before others that are posted already is posted now, on the
+stock of now; nothing is late, as for a user who enters a date in the past.
+
 Two forms. ``keyed_ledger`` keeps the state per product inside the stream and takes
 movements and approvals; the events of one product in one micro-batch meet in one
 task, so bound the micro-batch (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
@@ -23,42 +27,38 @@ APPROVE = "APPROVE"
 NOT_PENDING = "no pending movement"
 
 _OUT = ("product_id long, id long, movement_type string, movement_date date, is_approved boolean, before long, "
-        "after long, accepted boolean, reason string, late boolean")
-# the stock, the last applied event, and the recorded results that wait for approval
-_STATE = "stock long, last_date date, last_id long, pending_ids array<long>, pending_after array<long>"
+        "after long, accepted boolean, reason string")
+# the stock, and the recorded results that wait for approval
+_STATE = "stock long, pending_ids array<long>, pending_after array<long>"
 
 
 def _apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Fold one product's events of a micro-batch in (date, id) order."""
     events = pd.concat(list(frames)).sort_values(["movement_date", "id"], kind="stable")
     if state.exists:
-        stock, last_date, last_id, ids, afters = state.get
-        last, pending = (last_date, last_id), dict(zip(ids, afters))
+        stock, ids, afters = state.get
+        pending = dict(zip(ids, afters))
     else:
         opening = events["opening"].iloc[0]
-        stock, last, pending = (None if pd.isna(opening) else int(opening)), None, {}
+        stock, pending = (None if pd.isna(opening) else int(opening)), {}
     rows = []
     for e in events.itertuples(index=False):
         before, after, ok, reason = stock, None, False, None
-        late = last is not None and (e.movement_date, e.id) < last
-        if not late:
-            last = (e.movement_date, e.id)
-            if stock is None:
-                reason = NOT_FOUND
-            elif e.movement_type == APPROVE:
-                ok = not pd.isna(e.approves) and int(e.approves) in pending
-                reason = None if ok else NOT_PENDING
-                if ok:
-                    after = stock = pending.pop(int(e.approves))
-            else:
-                ok, result, stock = step(stock, e.sign, int(e.units), bool(e.is_approved))
-                after = result if ok else None
-                reason = None if ok else (INVALID if e.sign == 0 else INSUFFICIENT)
-                if ok and not e.is_approved:
-                    pending[e.id] = result
-        rows.append((key[0], e.id, e.movement_type, e.movement_date, bool(e.is_approved), before, after, ok, reason,
-                     late))
-    state.update((stock, last[0], last[1], list(pending), list(pending.values())))
+        if stock is None:
+            reason = NOT_FOUND
+        elif e.movement_type == APPROVE:
+            ok = not pd.isna(e.approves) and int(e.approves) in pending
+            reason = None if ok else NOT_PENDING
+            if ok:
+                after = stock = pending.pop(int(e.approves))
+        else:
+            ok, result, stock = step(stock, e.sign, int(e.units), bool(e.is_approved))
+            after = result if ok else None
+            reason = None if ok else (INVALID if e.sign == 0 else INSUFFICIENT)
+            if ok and not e.is_approved:
+                pending[e.id] = result
+        rows.append((key[0], e.id, e.movement_type, e.movement_date, bool(e.is_approved), before, after, ok, reason))
+    state.update((stock, list(pending), list(pending.values())))
     names = [part.split()[0] for part in _OUT.split(", ")]
     yield pd.DataFrame(rows, columns=names).astype({"before": "Int64", "after": "Int64"})
 
@@ -68,8 +68,7 @@ def keyed_ledger(events: DataFrame, products: DataFrame) -> DataFrame:
     movement_date, is_approved`` and, for approvals, ``approves``).
 
     An ``APPROVE`` event sets the stock to the result recorded for the movement it
-    approves. An event older than the last applied one of its product is marked
-    ``late`` and not applied. Movements that are never approved stay in the state."""
+    approves. Movements that are never approved stay in the state."""
     opening = products.select(F.col("id").alias("_id"), (F.col("quantity_in_stock") * 100).cast("bigint").alias("opening"))
     approves = F.col("approves") if "approves" in events.columns else F.lit(None).cast("bigint")
     rows = events.join(opening, F.col("product_id") == F.col("_id"), "left").select(
@@ -82,7 +81,7 @@ def keyed_ledger(events: DataFrame, products: DataFrame) -> DataFrame:
     return folded.select(
         "id", "product_id", "movement_type", "movement_date", "is_approved",
         quantity("before").alias("quantity_before"), quantity("after").alias("quantity_after"),
-        "accepted", "reason", "late")
+        "accepted", "reason")
 
 
 class LedgerBatches:
@@ -97,32 +96,16 @@ class LedgerBatches:
         self.partitions = partitions
 
     def stock(self, epoch: int) -> DataFrame:
-        """Stock and last applied event per product after an epoch; -1 is the opening."""
+        """Stock per product after an epoch; -1 is the opening."""
         if epoch < 0:
-            return self.products.select(
-                "id", F.col("quantity_in_stock").cast("decimal(28,2)").alias("quantity_in_stock"),
-                F.lit(None).cast("date").alias("last_date"), F.lit(None).cast("bigint").alias("last_id"))
+            return self.products.select("id", F.col("quantity_in_stock").cast("decimal(28,2)").alias("quantity_in_stock"))
         return self.products.sparkSession.read.parquet(f"{self.folder}/stock/epoch={epoch}")
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        before = self.stock(epoch - 1)
-        last = before.filter("last_id is not null").select(F.col("id").alias("_product"), "last_date", "last_id")
-        marked = batch.join(last, F.col("product_id") == F.col("_product"), "left").withColumn(
-            "late", F.coalesce(F.struct("movement_date", "id") < F.struct("last_date", "last_id"), F.lit(False)))
-        fresh = marked.filter(~F.col("late")).select(*batch.columns)
-        posted = stock_ledger(before, fresh, self.partitions)
-        late = marked.filter("late").select(
-            *batch.columns, F.lit(None).cast("decimal(18,2)").alias("quantity_before"),
-            F.lit(None).cast("decimal(18,2)").alias("quantity_after"), F.lit(False).alias("accepted"),
-            F.lit(None).cast("string").alias("reason"), F.lit(True).alias("late"))
-        posted.journal.withColumn("late", F.lit(False)).unionByName(late).write.mode("overwrite").parquet(
-            f"{self.folder}/journal/epoch={epoch}")
-        newest = fresh.groupBy(F.col("product_id").alias("_product")).agg(
-            F.max(F.struct("movement_date", "id")).alias("_last"))
-        posted.products.join(newest, F.col("id") == F.col("_product"), "left").select(
-            "id", "quantity_in_stock", F.coalesce("_last.movement_date", "last_date").alias("last_date"),
-            F.coalesce("_last.id", "last_id").alias("last_id"),
-        ).write.mode("overwrite").parquet(f"{self.folder}/stock/epoch={epoch}")
+        # the ledger lays its input out once; the micro-batch is read for that only
+        posted = stock_ledger(self.stock(epoch - 1), batch, self.partitions)
+        posted.journal.write.mode("overwrite").parquet(f"{self.folder}/journal/epoch={epoch}")
+        posted.products.write.mode("overwrite").parquet(f"{self.folder}/stock/epoch={epoch}")
 
     def run(self, movements: DataFrame, checkpoint: str) -> None:
         """Process all available input of a stream."""
