@@ -17,7 +17,7 @@ def held(doc_id):
 
 
 def base(rows):
-    split = [(i, [*lm_score.words(t), b""]) for i, t in rows]
+    split = [(i, [*(t or "").encode().translate(lm_score.LOWER).split(), b""]) for i, t in rows]
     c = Counter(w for i, words in split if not held(i) for w in words)
     n, v = sum(c.values()), len(c)
     return [(i, held(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) for i, w in split]
