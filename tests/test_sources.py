@@ -66,10 +66,12 @@ def test_snapshots_switch_and_are_never_overwritten(spark):
     rows = seed(spark)["warehouses"]
     write_snapshot(rows, folder, "warehouses", "v1")
     renamed = read_snapshot(spark, folder, "warehouses").withColumn("name", F.lit("Second"))
-    write_snapshot(renamed, folder, "warehouses", "v2")
+    write_snapshot(renamed, folder, "warehouses", "v2", base="v1")
     assert read_snapshot(spark, folder, "warehouses").first()["name"] == "Second"
     with pytest.raises(Exception):
-        write_snapshot(rows, folder, "warehouses", "v1")
+        write_snapshot(rows, folder, "warehouses", "v1", base="v2")
+    with pytest.raises(ValueError, match="v2 is current"):
+        write_snapshot(rows, folder, "warehouses", "v3", base="v1")
 
 
 def test_filters_and_columns_reach_the_scan(spark):

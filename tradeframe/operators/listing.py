@@ -35,6 +35,11 @@ class Lookup:
             F.col(self.key).alias("_lookup"), *[F.col(c).alias(new) for new, c in self.columns.items()])
         return df.join(right, F.col(self.on) == F.col("_lookup"), self.how).drop("_lookup")
 
+    def exists(self, df: DataFrame, db) -> DataFrame:
+        """The rows that have a match, without its columns."""
+        right = db[self.table].select(F.col(self.key).alias("_lookup"))
+        return df.join(right, F.col(self.on) == F.col("_lookup"), "left_semi")
+
 
 @dataclass(frozen=True)
 class ListSpec:
@@ -66,7 +71,7 @@ def sort_key(column: str, direction: str = "asc") -> Column:
 def split_lookups(spec: ListSpec, columns: set[str]) -> tuple[list[Lookup], list[Lookup]]:
     """The lookups that must come before filtering and sorting on the columns, and the
     others."""
-    first = [x for x in spec.lookups if x.how == "inner" or columns & set(x.columns)]
+    first = [x for x in spec.lookups if columns & set(x.columns)]
     return first, [x for x in spec.lookups if x not in first]
 
 
@@ -128,7 +133,11 @@ def list_rows(spec: ListSpec, db, page: int = 1, limit: int = 20, sort_by: str |
     used = _check_arguments(spec, **arguments)
     sort_columns = {sort_by} if sort_by in spec.sortable else {c for c, _ in spec.sort}
     before, after = split_lookups(spec, used | sort_columns)
-    rows = filter_rows(spec, join_lookups(spec.base(db), db, before), **arguments)
+    records = spec.base(db)
+    for lookup in after:
+        if lookup.how == "inner":  # a condition on the records; its columns wait for the page
+            records = lookup.exists(records, db)
+    rows = filter_rows(spec, join_lookups(records, db, before), **arguments)
     order = order_of(spec, sort_by, sort_order)
     paged = rows.orderBy(*order).offset((page - 1) * limit).limit(limit)
     shown = join_lookups(paged, db, after).orderBy(*order) if after else paged
