@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeframe.llm.common import extended, in_fold, kept, slices
+from tradeframe.llm.common import extended, few, in_fold, kept, slices
 
 #: Most labelled rows of each class; four fifths are for the models, the rest for the curve.
 SAMPLE = 6_000
@@ -101,7 +101,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     fold are never among them."""
     known = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    some = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (1, 0)]
+    some = [few(known.filter(F.col("toxic") == c), sample, "doc_id") for c in (1, 0)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 * sample rows of two numbers at most
     return (docs.select("doc_id", "text").join(chosen, "doc_id")
             .groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))
