@@ -131,12 +131,12 @@ def fit(rows: DataFrame) -> Model:
     both = F.col("toxic") + F.col("ordinary")
     every = kept(pairs.groupBy(F.col("second").alias("word")).agg(
         F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("ordinary") > 0).alias("ordinary"), F.count("*").alias("contexts")), "toxicity-words")
-    second = every.filter(F.col("contexts") >= LEAST).toPandas()
+    second = every.filter(F.col("contexts") >= LEAST).toArrow().to_pandas()
     as_first = pairs.filter(F.length("first") > 0).groupBy(F.col("first").alias("word")).agg(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
         F.sum(given_up(F.col("toxic"))).alias("toxic_up"), F.sum(given_up(F.col("ordinary"))).alias("ordinary_up"),
-    ).filter(both >= LEAST).toPandas()
-    own = pairs.filter((both >= LEAST) & (F.length("first") > 0)).toPandas()
+    ).filter(both >= LEAST).toArrow().to_pandas()
+    own = pairs.filter((both >= LEAST) & (F.length("first") > 0)).toArrow().to_pandas()
     sums = every.agg(*(F.sum(x) for x in ("toxic", "ordinary", "contexts")), *(F.sum(given_up(F.col(c))) for c in ("toxic", "ordinary"))).first()
     totals = np.array([max(x or 0, 1) for x in sums[:2]], float)
     contexts = max(sums[2] or 0, 1)
@@ -204,7 +204,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], sample: in
             found = shared.value.evidence([words(t) for t in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column("toxic"), *map(pa.array, found.T)], names=["toxic", "top", "best", "mean"])
 
-    fitted: pd.DataFrame = rows.filter(for_curve).select("toxic", "text").mapInArrow(measure, "toxic int, top double, best double, mean double").toPandas()
+    fitted: pd.DataFrame = rows.filter(for_curve).select("toxic", "text").mapInArrow(measure, "toxic int, top double, best double, mean double").toArrow().to_pandas()
     share = labels.filter(F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
     toxic = fitted["toxic"].to_numpy(float)
     weight = np.where(toxic == 1, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
