@@ -96,11 +96,15 @@ class Model:
         return found
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """One label per document outside the held-out fold; the others are never looked at."""
+    return (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2))
+            .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` rows of each class: ``doc_id``, ``toxic``, ``text``. Rows of the held-out
-    fold are never among them."""
-    known = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2))
-             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    """At most ``sample`` rows of each class: ``doc_id``, ``toxic``, ``text``."""
+    known = known_labels(labels)
     some = [few(known.filter(F.col("toxic") == c), sample, "doc_id") for c in (1, 0)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 * sample rows of two numbers at most
     return (docs.select("doc_id", "text").join(chosen, "doc_id")
@@ -205,8 +209,10 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], sample: in
             yield pa.RecordBatch.from_arrays([part.column("toxic"), *map(pa.array, found.T)], names=["toxic", "top", "best", "mean"])
 
     fitted: pd.DataFrame = rows.filter(for_curve).select("toxic", "text").mapInArrow(measure, "toxic int, top double, best double, mean double").toArrow().to_pandas()
-    share = labels.filter(F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
+    share = known_labels(labels).agg(F.avg("toxic")).first()[0]
     toxic = fitted["toxic"].to_numpy(float)
+    if len(set(toxic)) < 2:  # too few rows for a curve
+        toxic, fitted = np.array([1.0, 0.0]), pd.DataFrame([(2.0, 1.0, 0.1), (0.0, 0.0, 0.0)], columns=["top", "best", "mean"])
     weight = np.where(toxic == 1, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
     w = curve(fitted[["top", "best", "mean"]].to_numpy(), toxic, weight)
 
