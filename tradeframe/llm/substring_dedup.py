@@ -41,8 +41,9 @@ MINIMISER = 6
 #: Windows in one string at most; longer runs (a word repeated over and over) are cut.
 LONGEST = 64
 HOT = 5_000
-#: Characters of a block of documents.
+#: Characters of a block of documents, and strings of a bucket, about.
 BLOCK = 2_000_000
+PER_BUCKET = 40_000
 NO_ID = np.iinfo(np.int64).min
 
 FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -276,7 +277,7 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), block: in
     wanted = minimisers.withColumn("total", total).filter("total > 1").select("block", "key", (F.col("total") > hot).alias("hot"))
     strings = kept(groups.cogroup(wanted.groupBy("block")).applyInArrow(
         sent, "block int, key long, hot boolean, string binary, doc long, start int, more boolean"), "repeated-strings")
-    buckets = part_count(docs.sparkSession) * 4
+    buckets = max(part_count(docs.sparkSession) * 4, strings.count() // PER_BUCKET)
     cold = strings.filter("not hot").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(settled, ANSWER)
     single = strings.filter("hot")
     place = F.struct("doc", "start")
