@@ -129,3 +129,18 @@ def test_fitting_lowers_the_loss(model):
     before = lm_score.gradients(model.w, *sides(model, ids))[1]
     w = lm_score.fitted(model, ids, 6, 0.01, 1)
     assert lm_score.gradients(w, *sides(model, ids))[1] < 0.5 * before
+
+
+def test_every_training_text_fits_the_weights(spark):
+    """A corpus of a few dozen documents is learned from whole, and no window is drawn twice for the first fit."""
+    rows = [(i, f"w{i % 5} and some words of text {i % 5} " * 30) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, held(i)) for i, t in rows], "doc_id long, text string, held_out boolean")
+    with open(PATH, "rb") as file:
+        vocabulary = spark.sparkContext.broadcast(file.read())
+    size = lm_score.size_of(vocabulary.value)
+    texts = lm_score.training_texts(docs, vocabulary)
+    assert texts.count() == sum(not held(i) for i, _ in rows)
+    every = {w.tobytes() for w in lm_score.windows_of([bytes(r["ids"]) for r in texts.collect()], size)}
+    drawn = lm_score.warm_windows(texts, size, 10_000)
+    assert len(drawn) == len(every) and {w.tobytes() for w in drawn} == every
+    assert len({w.tobytes() for w in lm_score.warm_windows(texts, size, 10)}) == 10
