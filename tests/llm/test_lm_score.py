@@ -144,3 +144,13 @@ def test_every_training_text_fits_the_weights(spark):
     drawn = lm_score.warm_windows(texts, size, 10_000)
     assert len(drawn) == len(every) and {w.tobytes() for w in drawn} == every
     assert len({w.tobytes() for w in lm_score.warm_windows(texts, size, 10)}) == 10
+
+
+def test_the_attention_model_is_the_score_and_beats_the_base(spark):
+    """Held-out texts, in which each word follows from the one before, are likelier than by counts of words."""
+    words = "red blue green house tree river stone cloud paper light".split()
+    rows = [(i, " ".join(words[(i + k) % 10] for k in range(40 + i % 7))) for i in range(3000)]
+    found = lm_score.scored(spark.createDataFrame(rows, "doc_id long, text string"), PATH).toPandas()
+    assert (found.score == found.attention_score).all()
+    out = found[found.held_out]
+    assert len(out) and out.score.sum() > out.base_score.sum()
