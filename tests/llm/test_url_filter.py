@@ -63,5 +63,22 @@ def test_verdict_of_the_graph(spark):
     assert found == {"good.com": "allow", "bad.net": "block", "spam.org": "block", "friend.org": "allow", "alone.org": "allow", "hub.org": "block"}
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    chain = [f"h{i}.org" for i in range(18)]
+    rows = [(f"http://{a}/", link(b)) for a, b in zip(chain, [*chain[1:], "bad.net"])] + [("http://bad.net/es/x", None)]
+    found = {r["host"]: r["verdict"] for r in url_filter.judged(pages(spark, rows), URL_RULES).collect()}
+    assert found == dict.fromkeys([*chain, "bad.net"], "block")
+
+
+def test_ranks_settle(spark):
+    edges = {("good.com", "friend.org"): 2, ("friend.org", "far.org"): 1, ("spam.org", "bad.net"): 3, ("hub.org", "spam.org"): 1, ("good.com", "hub.org"): 1}
+    seeds = {"good.com": {"trusted": 2, "blocked": 0}, "bad.net": {"trusted": 0, "blocked": 5}}
+    frames = (spark.createDataFrame([(h, s["trusted"], s["blocked"]) for h, s in seeds.items()], "host string, trusted long, blocked long"),
+              spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "source string, target string, n long"))
+    want = reference(seeds, edges, 400)
+    for r in url_filter.host_scores(*frames).collect():
+        assert r["trust"] == pytest.approx(want["trusted"].get(r["host"], 0), abs=1e-6) and r["distrust"] == pytest.approx(want["blocked"].get(r["host"], 0), abs=1e-6)
+
+
 def test_empty(spark):
     assert url_filter.judged(spark.createDataFrame([], PAGES), URL_RULES).count() == 0

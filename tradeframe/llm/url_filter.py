@@ -6,7 +6,8 @@ nobody's rules decide is blocked if its distrust exceeds ``RATIO`` times its tru
 
 Links between the same two hosts are counted before they are shuffled by host, so a host with
 much of the web is one row per partner. Links within a host carry nothing. What a host without
-outgoing links holds returns to the seeds.
+outgoing links holds returns to the seeds. Rounds go on until the ranks settle and no further host
+is reached, however long the chains of links are.
 
 Rows: a null url, or one without ``://``, has empty host and path and no rule; the empty host is
 no host and is allowed. Null html has no links. Nulls in ``page_id`` and repeated rows pass
@@ -27,9 +28,10 @@ from tradeframe.llm.common import kept
 #: Verdict, host with its subdomains, start of the path.
 Rule = tuple[str, str, str]
 DAMPING = 0.85
-ROUNDS = 12
+#: The ranks are final when a round changes them by less than this in sum, each of the two.
+TOLERANCE = 1e-6
 RATIO = 1.0
-#: Rounds between two written copies of the ranks.
+#: Rounds between two looks at whether the ranks have settled.
 CUT = 4
 
 
@@ -69,9 +71,9 @@ def links(pages: DataFrame) -> DataFrame:
     return df.groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def host_scores(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def host_scores(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """``host``, ``trust``, ``distrust`` of every host with a score. ``seeds``: ``host``, ``trusted``,
-    ``blocked`` (weights, e.g. pages); ``edges``: ``source``, ``target``, ``n``."""
+    ``blocked`` (weights, e.g. pages); ``edges``: ``source``, ``target``, ``n``. ``rounds`` is for a fixed number of them."""
     # both directions as one graph: the kind keeps the two ranks apart
     ways = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), "n"))
@@ -83,17 +85,36 @@ def host_scores(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, dampin
     whole = F.when(F.col("kind") == "trust", F.lit(totals.get("trust", 1.0))).otherwise(F.lit(totals.get("distrust", 1.0)))
     start = kept(start.select("kind", "host", (F.col("w") / whole).alias("jump")), "url-seeds")
     ranks = start.select("kind", "host", F.col("jump").alias("rank"))
+    before = ranks
     if ways.isEmpty():
         rounds = 0
-    for i in range(rounds):
+    i = 0
+    while rounds is None or i < rounds:
         # a host with far more partners than others: its rank is small data, AQE splits its links
         moved = ranks.join(ways, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("moved"))
-        held = {r["kind"]: r["m"] for r in moved.groupBy("kind").agg(F.sum("moved").alias("m")).collect()}  # two rows
-        back = F.when(F.col("kind") == "trust", F.lit(1 - damping * held.get("trust", 0.0))).otherwise(F.lit(1 - damping * held.get("distrust", 0.0)))
+        moved = kept(moved, "url-ranks")
+        # without a fixed number of rounds nothing returns before the end: what returns only scales all ranks
+        back = F.lit(1.0)
+        if rounds is not None:
+            held = {r["kind"]: r["m"] for r in moved.groupBy("kind").agg(F.sum("moved").alias("m")).collect()}  # two rows
+            back = F.when(F.col("kind") == "trust", F.lit(1 - damping * held.get("trust", 0.0))).otherwise(F.lit(1 - damping * held.get("distrust", 0.0)))
         ranks = moved.join(start, ["kind", "host"], "full_outer").select(
             "kind", "host", (damping * F.coalesce("moved", F.lit(0.0)) + back * F.coalesce("jump", F.lit(0.0))).alias("rank"))
-        if i % CUT == CUT - 1:
-            ranks = kept(ranks, "url-ranks")
+        i += 1
+        if rounds is None:
+            if i % CUT == CUT - 1:
+                before = ranks
+            elif i % CUT == 0:
+                was = before.select("kind", "host", F.col("rank").alias("was"))
+                both = ranks.join(was, ["kind", "host"], "full_outer")
+                change = F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))
+                settled = both.groupBy("kind").agg(change.alias("change"), F.count_if(F.col("rank") > 0).alias("hosts"), F.count_if(F.col("was") > 0).alias("had")).collect()  # two rows
+                if all(r["change"] < TOLERANCE and r["hosts"] == r["had"] for r in settled):
+                    break
+    if rounds is None:
+        ranks = kept(ranks, "url-ranks")
+        sums = ranks.groupBy("kind").agg(F.sum("rank").alias("sum"))
+        ranks = ranks.join(sums, "kind").select("kind", "host", (F.col("rank") / F.col("sum")).alias("rank"))
     one = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     return ranks.groupBy("host").agg(one("trust"), one("distrust"))
 
