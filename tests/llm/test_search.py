@@ -187,6 +187,16 @@ def test_groups_of_odd_rows(odd_docs, no_docs, texts):
     assert Counter(r["doc_id"] for r in left.collect()) == Counter(set(least.values()))
 
 
+def test_groups_of_the_same_least_id_keep_a_row_each(spark):
+    a, b = "the first text of this id is about ships and harbours", "quite another text whose words are of mountains and snow"
+    docs = spark.createDataFrame([(5, a), (5, b), (7, b), (5, a)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.representatives(docs).collect())) == sorted([(5, a), (5, b)])
+    # 5 is in the group of 3 as well: there it goes, and in its own group it stays, whichever row comes first
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b)], "doc_id long, text string")
+    for rows in (docs, docs.orderBy(F.desc("doc_id"), "text"), docs.orderBy(F.desc("doc_id"), F.desc("text"))):
+        assert sorted(map(tuple, simhash.representatives(rows).collect())) == sorted([(3, a), (5, b)])
+
+
 def test_near_prints_in_chains_and_a_dense_group(spark):
     rng = random.Random(3)
     base = rng.getrandbits(64)

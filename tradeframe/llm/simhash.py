@@ -193,30 +193,37 @@ def hex_of(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = SHINGLE) -> DataFrame:
-    """The columns ``keep``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest
-    ``doc_id`` that links reach) of every document."""
+def rooted(docs: DataFrame, keep: tuple[str, ...], size: int = SHINGLE) -> DataFrame:
+    """The columns ``keep``, ``fp``, ``root`` (a fingerprint that names the group) and ``component_id``."""
     rows = kept(with_fingerprint(docs, keep, size), "simhash-rows")
     prints = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
     roots = prints.join(near_groups(prints), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = roots.join(least, "root").select("fp", "component_id")
+    of_print = roots.join(least, "root").select("fp", "root", "component_id")
     # a third of all rows may share one fingerprint: they are dealt to parts, each with its own copy
     parts = 16
     copies = of_print.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    return dealt.join(copies, ["fp", "part"]).select(*keep, hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    return dealt.join(copies, ["fp", "part"]).select(*keep, "fp", "root", "component_id")
+
+
+def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = SHINGLE) -> DataFrame:
+    """The columns ``keep``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest
+    ``doc_id`` that links reach) of every document."""
+    return rooted(docs, keep, size).select(*keep, hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns: of each group the row with the smallest ``doc_id``
-    (one row of those that repeat it). A group of rows without ``doc_id`` keeps one row per
-    fingerprint."""
-    rows = folded(docs)
-    found = kept(grouped(rows), "simhash-groups")
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = rows.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-    others = with_fingerprint(rows.filter(F.col("doc_id").isNull()), tuple(rows.columns)).withColumn("fingerprint", hex_of(F.col("fp")))
-    others = others.join(nameless, "fingerprint", "left_semi").dropDuplicates(["fingerprint"])
+    """The documents that stay, all columns: of each group the row with the smallest ``doc_id``, then
+    fingerprint and hash of the text (one row of those that repeat all of it). Groups may have the
+    same smallest ``doc_id``; each keeps its row. A group of rows without ``doc_id`` keeps one row
+    per fingerprint."""
+    rows = folded(docs).withColumn("hash", F.xxhash64("text"))
+    found = kept(rooted(rows, ("doc_id", "hash")), "simhash-groups")
+    first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min(F.struct("doc_id", "fp", "hash")).alias("first"))
+    # a group has all texts of its fingerprint: (doc_id, hash) is of one group
+    named = rows.join(first.select("first.doc_id", "first.hash"), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
+    nameless = found.filter(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("fp").distinct()
+    others = with_fingerprint(rows.filter(F.col("doc_id").isNull()), tuple(rows.columns))
+    others = others.join(nameless, "fp", "left_semi").dropDuplicates(["fp"])
     return unfolded(named.unionByName(others.select(*named.columns)), docs.columns)
