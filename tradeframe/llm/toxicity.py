@@ -1,15 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word-pair models, one of toxic and one of ordinary texts, with absolute discounting: a count
-gives up ``DISCOUNT`` and ``DOUBT`` of its standard errors, so that only what a class surely has
-more often counts for it. Both back off to their class's word counts and those to one shared level: in how many different
-contexts a word was seen, in either class. So a rare expression weighs nothing until its class
-counts say so, and words seen fewer than ``LEAST`` times weigh nothing at all.
-
-A text's evidence is the difference of the two log-likelihoods per word, over the whole text and
-over the best ``WINDOW`` consecutive words; a logistic curve over both makes the score. Models
-are fitted on at most ``SAMPLE`` labelled rows of each class (chosen by hash), the curve on other
-rows of the same sample. All texts are scored, whole.
+Two models, one of toxic and one of ordinary texts, spell a word letter by letter, from the word's
+beginning so far (up to ``DEPTH`` bytes). Both take the counts of their class as they are, give up an
+absolute ``DISCOUNT`` of each, and hand what is given up to one shared level: in how many different
+texts, of either class, a beginning goes on so. So a rare word backs off to its stem and a
+beginning that one class never had is spelled alike by both: it weighs what its known part
+weighs, and a stem whose endings are ever others has the count of all of them.
+
+A word's evidence is the difference of its two log-likelihoods. A text's evidence, normalised by its
+length, is the sum of what its words have beyond ``STRONG`` for every hundred words (so that several
+marked words in a short text are more than one in a long text), that sum itself, the ``TOP``
+strongest words, and the mean over all words; a logistic curve over these makes the score. Models are
+fitted on at most ``SAMPLE`` labelled rows of each class (chosen by hash), the curve on other rows of the
+same sample. All texts are scored, whole.
 
 Rows: a null or empty text has no evidence and gets the score of zero evidence. Nulls in
 ``doc_id`` and repeated rows pass through (a null ``doc_id`` is not held out and has no label); if
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,13 +36,17 @@ from tradeframe.llm.common import extended, few, in_fold, kept, slices
 
 #: Most labelled rows of each class; four fifths are for the models, the rest for the curve.
 SAMPLE = 6_000
-#: Least occurrences, in both classes together, of a word or pair with counts of its own.
-LEAST = 3
+#: Bytes of a word that are spelled, its end included; a longer word counts as its beginning.
+DEPTH = 20
 DISCOUNT = 0.75
-DOUBT = 2.0
-WINDOW = 5
+STRONG = 1.5
 TOP = 3
+#: Added to a text's number of words where evidence is taken for every hundred.
+LEAST_WORDS = 20
 THRESHOLD = 0.3
+#: Words whose evidence a worker remembers.
+REMEMBERED = 500_000
+EVIDENCE = ("sum", "share", "top", "mean")
 
 #: Bytes that are no part of a word; letters beyond ASCII are.
 GAPS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -49,50 +56,55 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(GAPS).split()
 
 
-def given_up(n):
-    """Of a column or an array of counts: what goes to the shared level."""
-    if isinstance(n, np.ndarray):
-        return np.minimum(n, DISCOUNT * (n > 0) + DOUBT * np.sqrt(n))
-    return F.least(n.cast("double"), F.when(n > 0, DISCOUNT).otherwise(0.0) + DOUBT * F.sqrt(n))
+def spelled(some: list[bytes]) -> np.ndarray:
+    """A row of ``DEPTH`` bytes for each word; a zero ends it."""
+    return np.array(some or [b""], f"S{DEPTH}").view(np.uint8).reshape(-1, DEPTH)[: len(some)]
+
+
+def hashes(letters: np.ndarray) -> Iterator[np.ndarray]:
+    """For every length from 1 the hash of each word's beginning of that length."""
+    now = np.zeros(len(letters), np.uint64)
+    for column in letters.T.astype(np.uint64):
+        now = (now + column + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        now ^= now >> np.uint64(29)
+        yield now
 
 
 @dataclass
 class Model:
-    """Index 0 of the arrays is any other word. Rows of the arrays: toxic, ordinary."""
-
-    number: dict[bytes, int]
-    word: np.ndarray  # probability of each word
-    backoff: np.ndarray  # weight of the word level after each word
-    pairs: np.ndarray  # sorted: first word * number of words + second word
-    extra: np.ndarray  # what the pair's own count adds to its probability
+    """``weight`` of each beginning (by hash, sorted): the difference of its two log-likelihoods.
+    A beginning that only goes on one way is left out: its only way weighs the same."""
+
+    keys: np.ndarray
+    weight: np.ndarray
+    known: dict[bytes, float] = field(default_factory=dict)
+
+    def weigh(self, some: list[bytes]) -> np.ndarray:
+        """The weight of the longest known beginning of each word."""
+        out = np.zeros(len(some))
+        if len(self.keys):
+            for key in hashes(spelled(some)):
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                out = np.where(self.keys[at] == key, self.weight[at], out)
+        return out
 
     def evidence(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Log-likelihood differences per word: of the strongest, in the best window, over the text."""
-        size, get = self.word.shape[1], self.number.get
-        found = np.zeros((len(texts), 3))
-        flat = np.fromiter((get(w, 0) for text in texts for w in text), np.int64)
-        if not len(flat):
-            return found
-        lengths = np.fromiter(map(len, texts), np.int64)
-        ends = np.cumsum(lengths)
-        before = np.concatenate([[0], flat[:-1]])
-        first = ends - lengths
-        before[first[lengths > 0]] = 0
-        chance = self.backoff[:, before] * self.word[:, flat]
-        if len(self.pairs):
-            key = before * size + flat
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[at] == key
-            chance[:, hit] += self.extra[:, at[hit]]
-        difference = np.log(chance[0]) - np.log(chance[1])
-        total = np.concatenate([[0.0], np.cumsum(difference)])
-        for i, (a, b) in enumerate(zip(first, ends)):
-            if a < b:
-                mean = (total[b] - total[a]) / (b - a)
-                best = mean if b - a <= WINDOW else (total[a + WINDOW : b + 1] - total[a : b + 1 - WINDOW]).max() / WINDOW
-                part = difference[a:b]
-                top = part if b - a <= TOP else np.partition(part, b - a - TOP)[-TOP:]
-                found[i] = top.sum() / TOP, best, mean
+        """The columns ``EVIDENCE`` of each text."""
+        flat = [w for text in texts for w in text]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if new := list(set(flat) - self.known.keys()):
+            self.known.update(zip(new, self.weigh(new).tolist()))
+        each = np.fromiter(map(self.known.__getitem__, flat), float, len(flat))
+        found = np.zeros((len(texts), len(EVIDENCE)))
+        at = 0
+        for i, n in enumerate(map(len, texts)):
+            if n:
+                part = each[at : at + n]
+                total = np.maximum(part - STRONG, 0).sum()
+                top = part if n <= TOP else np.partition(part, n - TOP)[-TOP:]
+                found[i] = np.log1p(total), np.log1p(100 * total / (n + LEAST_WORDS)), top.sum() / TOP, np.clip(part, -3, 6).mean()
+                at += n
         return found
 
 
@@ -111,71 +123,66 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
             .groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")))
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """``first`` (empty at the start of a text) and ``second``: in how many contexts the pair
-    stands in each class."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``word`` (its first ``DEPTH`` bytes), how often it occurs in each class, and in how many texts."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            found: tuple[set, set] = (set(), set())
+            count: tuple[Counter, Counter] = (Counter(), Counter())
+            texts: Counter = Counter()
             for toxic, text in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist()):
-                line = [b"", *words(text)]
-                found[toxic].update(zip([b"", *line], line, line[1:]))
-            for toxic, triples in enumerate(found):
-                columns = [pa.array(c, pa.binary()) for c in zip(*triples)] or [pa.array([], pa.binary())] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(triples), toxic, np.int32)), *columns], names=["class", "before", "first", "second"])
+                line = [w[:DEPTH] for w in words(text)]
+                count[toxic].update(line)
+                texts.update(set(line))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(texts), pa.binary()), *(pa.array([c[w] for w in texts], pa.int64()) for c in count[::-1]), pa.array(list(texts.values()), pa.int64())],
+                names=["word", "toxic", "ordinary", "texts"])
 
-    contexts = rows.select("toxic", "text").mapInArrow(work, "class int, before binary, first binary, second binary").distinct()
-    return contexts.groupBy("first", "second").agg(F.count_if(F.col("class") == 1).alias("toxic"), F.count_if(F.col("class") == 0).alias("ordinary"))
+    found = rows.select("toxic", "text").mapInArrow(work, "word binary, toxic long, ordinary long, texts long")
+    return found.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary", "texts")))
 
 
 def fit(rows: DataFrame) -> Model:
-    """The model of labelled rows. What reaches the driver is bounded by the sample: words and
-    pairs with ``LEAST`` occurrences there."""
-    pairs = kept(pair_counts(rows), "toxicity-pairs")
-    both = F.col("toxic") + F.col("ordinary")
-    every = kept(pairs.groupBy(F.col("second").alias("word")).agg(
-        F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("ordinary") > 0).alias("ordinary"), F.count("*").alias("contexts")), "toxicity-words")
-    second = every.filter(F.col("contexts") >= LEAST).toArrow().to_pandas()
-    as_first = pairs.filter(F.length("first") > 0).groupBy(F.col("first").alias("word")).agg(
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
-        F.sum(given_up(F.col("toxic"))).alias("toxic_up"), F.sum(given_up(F.col("ordinary"))).alias("ordinary_up"),
-    ).filter(both >= LEAST).toArrow().to_pandas()
-    own = pairs.filter((both >= LEAST) & (F.length("first") > 0)).toArrow().to_pandas()
-    sums = every.agg(*(F.sum(x) for x in ("toxic", "ordinary", "contexts")), *(F.sum(given_up(F.col(c))) for c in ("toxic", "ordinary"))).first()
-    totals = np.array([max(x or 0, 1) for x in sums[:2]], float)
-    contexts = max(sums[2] or 0, 1)
-    rest = np.array([x or 0 for x in sums[3:]], float) / totals
-
-    second = second.sort_values("word", ignore_index=True)
-    number = {bytes(w): i + 1 for i, w in enumerate(second["word"])}
-    size = len(number) + 1
-    shared = np.empty(size)
-    shared[1:] = second["contexts"].to_numpy() / contexts
-    shared[0] = max(1 - shared[1:].sum(), 1 / contexts)
-    word = np.empty((2, size))
-    counts = second[["toxic", "ordinary"]].to_numpy(float).T
-    word[:, 0] = shared[0]  # alike in both classes
-    word[:, 1:] = (counts - given_up(counts)) / totals[:, None] + np.maximum(rest, 1e-6)[:, None] * shared[1:]
-
-    backoff = np.ones((2, size))
-    n_first = np.zeros((2, size))
-    at = np.array([number.get(bytes(w), 0) for w in as_first["word"]], np.int64)
-    n_first[:, at] = as_first[["toxic", "ordinary"]].to_numpy(float).T
-    up = np.zeros((2, size))
-    up[:, at] = as_first[["toxic_up", "ordinary_up"]].to_numpy(float).T
-    np.divide(up, n_first, out=backoff, where=n_first > 0)
-
-    a = np.array([number.get(bytes(w), 0) for w in own["first"]], np.int64)
-    b = np.array([number.get(bytes(w), 0) for w in own["second"]], np.int64)
-    counts = own[["toxic", "ordinary"]].to_numpy(float).T
-    use = (a > 0) & (b > 0)
-    order = np.argsort(a[use] * size + b[use])
-    extra = (counts - given_up(counts))[:, use] / np.maximum(n_first[:, a[use]], 1)
-    return Model(number, word, backoff, (a[use] * size + b[use])[order], extra[:, order])
+    """The model of labelled rows. What reaches the driver is a row per different word of the sample."""
+    found = word_counts(rows).toArrow().sort_by("word")
+    return learned(found.column("word").to_pylist(), np.array([found.column(c).to_numpy() for c in ("toxic", "ordinary", "texts")], float))
+
+
+def learned(some: list[bytes], count: np.ndarray) -> Model:
+    """From different words in order, with rows of their counts: toxic, ordinary, texts."""
+    letters = spelled(some)
+    n = len(some)
+    if not n:
+        return Model(np.zeros(0, np.uint64), np.zeros(0))
+    # a beginning is a run of words; at first all words are one run
+    starts, of_word, total = np.zeros(1, np.int64), np.zeros(n, np.int64), count.sum(axis=1, keepdims=True)
+    weight = np.zeros(1)
+    begins = np.zeros(n, bool)
+    begins[0] = True
+    keys, weights = [], []
+    for depth, key in enumerate(hashes(letters)):
+        begins = begins.copy()
+        begins[1:] |= letters[1:, depth] != letters[:-1, depth]
+        parent = of_word
+        starts, of_word = np.flatnonzero(begins), np.cumsum(begins) - 1
+        above = parent[starts]
+        here = np.add.reduceat(count, starts, axis=1)
+        ways = np.array([np.bincount(above, x > 0, len(weight)) for x in here[:2]])
+        texts = np.bincount(above, here[2], len(weight))
+        shared = here[2] / texts[above]
+        given_up = DISCOUNT * ways[:, above] * shared
+        chance = np.where(total[:2, above] > 0, (np.maximum(here[:2] - DISCOUNT, 0) + given_up) / np.maximum(total[:2, above], 1), shared)
+        weight = weight[above] + np.log(chance[0]) - np.log(chance[1])
+        several = np.bincount(above)[above] > 1
+        keys.append(key[starts[several]])
+        weights.append(weight[several])
+        total = here
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    return Model(every[order], np.concatenate(weights)[order])
 
 
 def curve(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of a logistic curve (constant, strongest words, best window, whole text), by Newton steps."""
+    """Weights of a logistic curve (a constant and the columns ``EVIDENCE``), by Newton steps."""
     x = np.column_stack([np.ones(len(evidence)), evidence])
     w = np.zeros(x.shape[1])
     for _ in range(30):
@@ -206,15 +213,15 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], sample: in
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = shared.value.evidence([words(t) for t in part.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), *map(pa.array, found.T)], names=["toxic", "top", "best", "mean"])
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), *map(pa.array, found.T)], names=["toxic", *EVIDENCE])
 
-    fitted: pd.DataFrame = rows.filter(for_curve).select("toxic", "text").mapInArrow(measure, "toxic int, top double, best double, mean double").toArrow().to_pandas()
+    fitted: pd.DataFrame = rows.filter(for_curve).select("toxic", "text").mapInArrow(measure, "toxic int, " + ", ".join(f"{c} double" for c in EVIDENCE)).toArrow().to_pandas()
     share = known_labels(labels).agg(F.avg("toxic")).first()[0]
     toxic = fitted["toxic"].to_numpy(float)
     if len(set(toxic)) < 2:  # too few rows for a curve
-        toxic, fitted = np.array([1.0, 0.0]), pd.DataFrame([(2.0, 1.0, 0.1), (0.0, 0.0, 0.0)], columns=["top", "best", "mean"])
+        toxic, fitted = np.array([1.0, 0.0]), pd.DataFrame([(1.0, 1.0, 2.0, 0.1), (0.0, 0.0, 0.0, 0.0)], columns=EVIDENCE)
     weight = np.where(toxic == 1, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
-    w = curve(fitted[["top", "best", "mean"]].to_numpy(), toxic, weight)
+    w = curve(fitted[list(EVIDENCE)].to_numpy(), toxic, weight)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
