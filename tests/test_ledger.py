@@ -7,7 +7,9 @@ from decimal import Decimal as D
 
 import pytest
 
-from tradeframe.operators.ledger import INSUFFICIENT, INVALID, NOT_FOUND, approve_movements, stock_ledger
+from tradeframe.operators import ledger
+from tradeframe.operators.ledger import (APPROVED_BEFORE, INSUFFICIENT, INVALID, NO_MOVEMENT, NOT_FOUND, approve_movements,
+                                         ledger_with_approvals, stock_ledger)
 
 MOVES = ("id long, movement_type string, product_id long, quantity decimal(10,2), movement_date date, "
          "is_approved boolean")
@@ -52,8 +54,8 @@ def random_moves(seed, n, kinds, hot=0.6, products_=6, largest=50, approved=0.8)
     return rows
 
 
-def check(spark, stock, moves, partitions):
-    result = stock_ledger(products(spark, stock), spark.createDataFrame(moves, MOVES), partitions)
+def check(spark, stock, moves, partitions, **more):
+    result = stock_ledger(products(spark, stock), spark.createDataFrame(moves, MOVES), partitions, **more)
     journal = {r["id"]: (r["quantity_before"], r["quantity_after"], r["accepted"], r["reason"])
                for r in result.journal.collect()}
     expected, after = fold(stock, moves)
@@ -136,3 +138,131 @@ def test_approval_sets_the_recorded_stock_and_the_latest_wins(spark):
         1: (True, 7), 2: (True, 7), 3: (True, None)}
     assert Counter((r["id"], r["reason"]) for r in result.rejected.collect()) == Counter(
         [(1, "movement already approved"), (3, "movement already approved"), (50, "movement not found")])
+
+
+# the way to the result depends on the data, the result does not
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().toString()
+
+
+def test_products_that_reject_nothing_need_no_python(spark):
+    moves = random_moves(6, 2000, ("IN", "OUT", "ADJUSTMENT", "GIFT"))
+    stock = {k: "1000000" for k in range(6)}
+    check(spark, stock, moves + [(9000, "IN", 77, D("1"), DAY, True), (9001, "IN", None, D("1"), DAY, True)], None)
+    result = stock_ledger(products(spark, stock), spark.createDataFrame(moves, MOVES))
+    assert "MapInArrow" not in plan_of(result.journal) + plan_of(result.products)
+
+
+def test_a_day_that_might_run_out_is_folded(spark):
+    """5 in, then 5 out, on one day: nothing is rejected, but only the order of the day says so."""
+    check(spark, {1: "0", 2: "9"}, [(1, "IN", 1, D("5"), DAY, True), (2, "OUT", 1, D("5"), DAY, True), (3, "OUT", 2, D("4"), DAY, True)], None)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 150])
+def test_all_ways_at_once(spark, most):
+    """Product 3 has most movements (cut into stretches where 150 are many); 4 never runs out; 1 and 2 do."""
+    stock = {1: "5", 2: "40", 3: "60", 4: "1000000", 5: "0"}
+    check(spark, stock, random_moves(21, 1200, ("IN", "OUT", "OUT")), None, most=most)
+    check(spark, stock, random_moves(22, 1200, ("IN", "OUT"), hot=0.0) + random_moves(23, 0, ("IN",)), None, most=most)
+
+
+def test_opening_taken_from_by_negative_amounts(spark):
+    moves = [(i, kind, 1, D(q), DAY + dt.timedelta(days=i // 2), True) for i, (kind, q) in enumerate(
+        [("ADJUSTMENT", "-30"), ("OUT", "-5"), ("OUT", "3"), ("IN", "50"), ("OUT", "-1"), ("TRANSFER", "12")])]
+    check(spark, {1: "10"}, moves, None)
+    check(spark, {1: "1000"}, moves, None)
+
+
+# approvals
+
+ASKED = "id long, movement_id long, approved_at timestamp_ntz"
+
+
+def fold_with_approvals(stock, moves, asked):
+    at = {m[0]: m for m in moves}
+    events = [(dt.datetime.combine(m[4], dt.time()), 0, m[0], m) for m in moves] + [(a[2], 1, a[0], a) for a in asked]
+    now, recorded, approved = {k: D(v) for k, v in stock.items()}, {}, set()
+    journal, judged = {}, {}
+    for _, kind, key, e in sorted(events, key=lambda x: x[:3]):
+        if kind == 0:
+            one, after = fold({k: str(v) for k, v in now.items() if k == e[2]}, [e])
+            journal[key] = one[key]
+            if one[key][2]:
+                recorded[key] = one[key][1]
+                if e[5]:
+                    now[e[2]], _ = after[e[2]], approved.add(key)
+            continue
+        m = e[1]
+        product = at[m][2] if m in at else None
+        before = now.get(product)
+        if m in recorded and m not in approved:
+            approved.add(m)
+            now[product] = recorded[m]
+            judged[key] = (before, recorded[m], True, None)
+        else:
+            judged[key] = (before, None, False, APPROVED_BEFORE if m in approved else NO_MOVEMENT)
+    return journal, judged, now, {m: r for m, r in recorded.items() if m not in approved}
+
+
+def check_approvals(spark, stock, moves, asked, partitions=None, **more):
+    result = ledger_with_approvals(products(spark, stock), spark.createDataFrame(moves, MOVES), spark.createDataFrame(asked, ASKED), partitions, **more)
+    journal, judged, now, pending = fold_with_approvals(stock, moves, asked)
+    assert {r["id"]: (r["quantity_before"], r["quantity_after"], r["accepted"], r["reason"]) for r in result.journal.collect()} == journal
+    assert {r["id"]: (r["quantity_before"], r["quantity_after"], r["accepted"], r["reason"]) for r in result.approvals.collect()} == judged
+    assert {r["id"]: r["quantity_in_stock"] for r in result.products.collect()} == now
+    assert {r["id"]: r["quantity_after"] for r in result.pending.collect()} == pending
+    return journal, judged
+
+
+def day(n, hour=0):
+    return dt.datetime.combine(DAY, dt.time(hour)) + dt.timedelta(days=n)
+
+
+def test_an_approval_overwrites_what_was_posted_since(spark):
+    moves = [(1, "IN", 1, D("5"), DAY, False), (2, "OUT", 1, D("8"), DAY + dt.timedelta(days=1), True), (3, "OUT", 1, D("14"), DAY + dt.timedelta(days=3), True)]
+    asked = [(50, 1, day(2)), (51, 1, day(4)), (52, 2, day(4)), (53, 99, day(4)), (54, 3, day(0))]
+    journal, judged = check_approvals(spark, {1: "10"}, moves, asked)
+    assert journal[3] == (D("15.00"), D("1.00"), True, None)
+    assert [judged[k][3] for k in (50, 51, 52, 53, 54)] == [None, APPROVED_BEFORE, APPROVED_BEFORE, NO_MOVEMENT, NO_MOVEMENT]
+
+
+def random_approvals(seed, moves, share=0.6, later=30):
+    r = random.Random(seed)
+    out = []
+    for m in moves:
+        for _ in range(r.choice([0, 1, 1, 2]) if r.random() < share else 0):
+            out.append((len(out), m[0], day((m[4] - DAY).days + r.randrange(-2, later), r.choice([0, 0, 7]))))
+    return out + [(10_000 + i, -1 - i, day(i)) for i in range(5)]
+
+
+@pytest.mark.parametrize("partitions, most", [(None, 1_000_000), (None, 100), (1, 1), (6, 1), (25, 1)])
+@pytest.mark.parametrize("seed, later, approved", [(31, 3, 0.5), (32, 60, 0.9)])
+def test_approvals_within_and_across_stretches(spark, partitions, most, seed, later, approved):
+    moves = random_moves(seed, 900, ("IN", "OUT", "OUT", "ADJUSTMENT", "GIFT"), approved=approved)
+    moves += [(5000 + i, "IN", p, D("2"), DAY, False) for i, p in enumerate([None, 88])]
+    check_approvals(spark, {k: "30.50" for k in range(6)}, moves, random_approvals(seed, moves, later=later), partitions, most=most)
+
+
+def test_a_product_whose_every_movement_waits(spark):
+    """No posting moves the stock but approvals do, each with a result from far before."""
+    moves = random_moves(41, 400, ("IN", "OUT"), hot=1.0, approved=0.0)
+    check_approvals(spark, {3: "100"}, moves, random_approvals(41, moves, share=1.0, later=200), 12)
+
+
+def test_no_approvals_and_no_movements(spark):
+    moves = random_moves(51, 200, ("IN", "OUT"))
+    check_approvals(spark, {3: "5"}, moves, [(1, -5, day(1))])
+    nothing = spark.createDataFrame([], MOVES)
+    result = ledger_with_approvals(products(spark, {3: "5"}), nothing, spark.createDataFrame([], ASKED))
+    assert result.journal.count() == result.approvals.count() == result.pending.count() == 0
+    assert [tuple(r) for r in result.products.collect()] == [(3, D("5.00"))]
+
+
+def test_stretches_learn_ranges_of_entry_stock():
+    one = ledger.Stretch()
+    one.learn(0, 100, 70, 1, 20, 15, None, None)  # takes 30 if it enters with 80 to 114
+    assert one.settle(80) and one.closing == 50 and not one.settle(115) and not one.settle(79)
+    two = ledger.Stretch()
+    two.learn(0, 100, 42, 0, 20, None, None, None)  # an approval sets the stock
+    assert two.settle(5000) and two.closing == 42

@@ -5,10 +5,10 @@ from decimal import Decimal as D
 
 from tradeframe.operators.ledger import stock_ledger
 from tradeframe.session import shared_folder
-from tradeframe.streaming.alerts import low_stock_crossings
-from tradeframe.streaming.ledger import LedgerBatches, keyed_ledger
-from tradeframe.streaming.sinks import run_append
-from test_ledger import MOVES, check, products, random_moves
+from tradeframe.operators.ledger import APPROVED_BEFORE, NO_MOVEMENT
+from tradeframe.streaming import ledger as ledger_module
+from tradeframe.streaming.ledger import LedgerBatches
+from test_ledger import MOVES, check, fold_with_approvals, products, random_approvals, random_moves
 
 EVENTS = MOVES + ", approves long"
 DAY = dt.date(2024, 1, 1)
@@ -18,39 +18,78 @@ def event(key, kind, product, quantity, day, approved=True, approves=None):
     return key, kind, product, None if quantity is None else D(quantity), DAY + dt.timedelta(days=day), approved, approves
 
 
-def play(spark, stock, batches, transform=lambda rows: rows):
+def play(spark, stock, batches, levels=None):
     """Run the batches one after the other under one checkpoint, as after restarts."""
     source, out, state = (shared_folder(spark, n) for n in ("events", "out", "state"))
+    ledger = LedgerBatches(products(spark, stock), out, partitions=3, levels=levels)
     for rows in batches:
         spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(EVENTS).parquet(source)
-        run_append(transform(keyed_ledger(stream, products(spark, stock))), out, state)
-    return spark.read.parquet(out)
+        ledger.run(spark.readStream.schema(EVENTS).parquet(source), state)
+    return ledger
 
 
 def test_state_back_dated_events_and_approvals(spark):
-    rows = play(spark, {1: "10"}, [
+    ledger = play(spark, {1: "10"}, [
         [event(2, "OUT", 1, "4", 1), event(1, "IN", 1, "1", 0), event(3, "OUT", 1, "5", 2, approved=False),
          event(90, "IN", 55, "1", 0)],
         [event(4, "OUT", 1, "8", 3), event(5, "APPROVE", 1, None, 4, approves=3), event(6, "OUT", 1, "1", 1),
          event(7, "APPROVE", 1, None, 5, approves=3), event(8, "OUT", 1, "2", 6)],
+        [event(9, "APPROVE", 1, None, 7, approves=3), event(10, "APPROVE", 1, None, 7, approves=4), event(11, "APPROVE", 1, None, 7, approves=77)],
     ])
-    got = {r["id"]: (r["quantity_before"], r["quantity_after"], r["accepted"]) for r in rows.collect()}
+    got = {r["id"]: (r["quantity_before"], r["quantity_after"], r["accepted"])
+           for rows in (ledger.journal(), ledger.approvals()) for r in rows.collect()}
     assert got == {
         1: (D("10.00"), D("11.00"), True), 2: (D("11.00"), D("7.00"), True),
         3: (D("7.00"), D("2.00"), True), 90: (None, None, False),
         # 6 is dated before 3, which the first batch applied; it takes from the stock of now
         6: (D("7.00"), D("6.00"), True),
         4: (D("6.00"), None, False), 5: (D("6.00"), D("2.00"), True),
-        7: (D("2.00"), None, False), 8: (D("2.00"), D("0.00"), True)}
+        7: (D("2.00"), None, False), 8: (D("2.00"), D("0.00"), True),
+        9: (D("0.00"), None, False), 10: (D("0.00"), None, False), 11: (None, None, False)}
+    assert {r["id"]: r["reason"] for r in ledger.approvals().filter("not accepted").collect()} == {
+        7: APPROVED_BEFORE, 9: APPROVED_BEFORE, 10: NO_MOVEMENT, 11: NO_MOVEMENT}
+
+
+def test_state_tables_keep_what_changed_and_are_whole_now_and_then(spark, monkeypatch):
+    monkeypatch.setattr(ledger_module, "FULL", 3)
+    stock = {1: "10", 2: "10", 3: "10"}
+    ledger = play(spark, stock, [[event(10 * n, "OUT", 1 + n % 2, "1", n), event(10 * n + 1, "IN", 2, "5", n, approved=False)]
+                                 + ([event(10 * n + 2, "APPROVE", 2, None, n, approves=10 * n - 9)] if n > 1 else []) for n in range(5)])
+    written = {n: {r["id"] for r in spark.read.parquet(f"{ledger.folder}/stock/epoch={n}").collect()} for n in range(5)}
+    assert written == {0: {1, 2, 3}, 1: {2}, 2: {1, 2}, 3: {1, 2, 3}, 4: {1, 2}}
+    assert {r["id"] for r in ledger.waiting(4).collect()} == {1, 41}
+    before = sorted(map(tuple, ledger.stock(4).collect()))
+    batch = spark.read.parquet(f"{ledger.folder}/journal/epoch=4").count()
+    # a micro-batch that is repeated after a failure replaces its own result
+    again = spark.createDataFrame([event(40, "OUT", 1, "1", 4), event(41, "IN", 2, "5", 4, approved=False), event(42, "APPROVE", 2, None, 4, approves=31)], EVENTS)
+    ledger(again, 4)
+    assert sorted(map(tuple, ledger.stock(4).collect())) == before and ledger.journal(4).count() == batch
+    assert {r["id"]: r["quantity_in_stock"] for r in ledger.stock(-1).collect()} == {k: D(v) for k, v in stock.items()}
+
+
+def test_random_approvals_in_batches_equal_the_fold(spark):
+    """Cut by days, arrival order is the order of time: as the batch ledger over all."""
+    moves = random_moves(71, 500, ("IN", "OUT", "OUT"), approved=0.6)
+    asked = [(10_000 + a[0], a[1], a[2].replace(hour=0)) for a in random_approvals(71, moves, later=12)]
+    stock = {k: "30" for k in range(6)}
+    journal, judged, now, pending = fold_with_approvals(stock, moves, asked)
+    at = {m[0]: m[2] for m in moves}
+    events = [(*m, None) for m in moves] + [(a[0], "APPROVE", at.get(a[1]), None, a[2].date(), True, a[1]) for a in asked]
+    cuts = [DAY + dt.timedelta(days=n) for n in (0, 9, 10, 17, 1000)]
+    ledger = play(spark, stock, [[e for e in events if low <= e[4] < high] or events[:0] for low, high in zip([DAY - dt.timedelta(days=99)] + cuts[1:-1], cuts[1:])])
+    assert {r["id"]: (r["quantity_before"], r["quantity_after"], r["accepted"], r["reason"]) for r in ledger.journal().collect()} == journal
+    assert {r["id"]: (r["quantity_after"], r["accepted"], r["reason"]) for r in ledger.approvals().collect()} == {k: v[1:] for k, v in judged.items()}
+    assert {r["id"]: r["quantity_in_stock"] for r in ledger.stock(3).collect()} == now
+    assert {r["id"]: r["quantity_after"] for r in ledger.waiting(3).collect()} == pending
 
 
 def test_crossings_alert_once(spark):
     levels = products(spark, {1: "10"}).selectExpr("id", "'P' as name", "true as is_active",
                                                    "cast(5 as decimal(10,2)) as min_stock_level")
-    batches = [[event(1, "OUT", 1, "4", 0), event(2, "OUT", 1, "1", 1)], [event(3, "OUT", 1, "1", 2), event(4, "IN", 1, "9", 3)]]
-    rows = play(spark, {1: "10"}, batches, lambda ledger: low_stock_crossings(ledger, levels)).collect()
-    assert [(r["movement_id"], r["quantity_after"], r["shortage"]) for r in rows] == [(2, D("5.00"), D("0.00"))]
+    batches = [[event(1, "OUT", 1, "4", 0), event(2, "OUT", 1, "1", 1)], [event(3, "OUT", 1, "1", 2), event(4, "IN", 1, "9", 3)],
+               [event(5, "OUT", 1, "10", 4, approved=False)], [event(6, "APPROVE", 1, None, 5, approves=5)]]
+    rows = play(spark, {1: "10"}, batches, levels).alerts().collect()
+    assert sorted((r["movement_id"], r["quantity_after"], r["shortage"]) for r in rows) == [(2, D("5.00"), D("0.00")), (6, D("3.00"), D("2.00"))]
 
 
 def test_micro_batches_give_the_batch_ledger(spark):

@@ -8,10 +8,9 @@ from tradeframe.operators import ledger
 from tradeframe.plans.catalogue import query
 from tradeframe.plans.report_queries import CASH_FLOW, SALES_BY_MONTH
 from tradeframe.session import shared_folder
-from tradeframe.streaming.alerts import low_stock_crossings
-from tradeframe.streaming.ledger import LedgerBatches, keyed_ledger
+from tradeframe.streaming.ledger import APPROVE, LedgerBatches
 from tradeframe.streaming.rollups import running_cash_flow, running_sales
-from tradeframe.streaming.sinks import latest_updates, run_append, run_updates
+from tradeframe.streaming.sinks import latest_updates, run_updates
 
 FOLD = """
 moves as (
@@ -120,49 +119,148 @@ def rejected_approvals(db):
     return ledger.approve_movements(db["products"], recorded(db), approvals(db)).rejected
 
 
+# --- movements and approvals in one order of time ------------------------------------------
+
+
+def requests(db):
+    """Approval requests in time: one for every movement, from a day to three weeks after it (one of a
+    large quantity waits longer); movements of warehouse WH-A are asked for twice, and for each return
+    there is a request that names no movement."""
+    rows = db["stock_movements"]
+
+    def asked(some, number, movement, days):
+        return some.select((F.col("id") * 4 + number).alias("id"), movement.alias("movement_id"),
+                           F.date_add("movement_date", days).cast("timestamp_ntz").alias("approved_at"))
+
+    days = (F.abs("quantity") % 20 + 1).cast("int")
+    first = asked(rows, 1, F.col("id"), days)
+    again = asked(rows.filter("warehouse = 'WH-A'"), 2, F.col("id"), days + 9)
+    unknown = asked(rows.filter("movement_type = 'RETURN'"), 3, -F.col("id"), days)
+    return first.unionAll(again).unionAll(unknown)
+
+
+def _approvals_sql(slice_of_movement: str, slice_of_request: str) -> str:
+    """The sequential fold over movements and approvals, in the order (slice, time, movements first, id). The
+    results that wait travel along as a map."""
+    days = "cast(abs(quantity) % 20 + 1 as int)"
+    return f"""
+with recursive posts as (select *, {slice_of_movement} as slice from stock_movements),
+asked as (
+  select *, {slice_of_request} as slice from (
+    select id * 4 + 1 as id, id as movement_id, cast(movement_date + {days} as timestamp) as approved_at from stock_movements
+    union all
+    select id * 4 + 2, id, cast(movement_date + {days} + 9 as timestamp) from stock_movements where warehouse = 'WH-A'
+    union all
+    select id * 4 + 3, -id, cast(movement_date + {days} as timestamp) from stock_movements where movement_type = 'RETURN')),
+requests as (select a.*, p.product_id from asked a left join posts p on p.id = a.movement_id and p.slice <= a.slice),
+events as (
+  select 0 as kind, id, product_id, cast(movement_date as timestamp) as moment, slice, quantity, is_approved, cast(null as bigint) as approves,
+         case when movement_type in ('IN', 'RETURN', 'ADJUSTMENT') then 1 when movement_type in ('OUT', 'TRANSFER') then -1 else 0 end as sign
+  from posts
+  union all
+  select 1, id, product_id, approved_at, slice, 0, false, movement_id, 0 from requests where product_id is not null),
+numbered as (select *, row_number() over (partition by product_id order by slice, moment, kind, id) as n from events),
+fold as (
+  select id as product_id, cast(0 as bigint) as n, -1 as kind, cast(null as bigint) as id, cast(null as bigint) as approves,
+         cast(null as decimal(18,2)) as before, cast(null as decimal(18,2)) as after, true as ok,
+         cast(quantity_in_stock as decimal(18,2)) as stock, cast(map([], []) as map(bigint, decimal(18,2))) as waiting
+  from products
+  union all
+  select product_id, n, kind, id, approves, stock, case when ok then after end, ok,
+         case when ok and (kind = 1 or is_approved) then after else stock end,
+         case when kind = 0 and ok and not is_approved then map_concat(waiting, map([id], [after]))
+              when kind = 1 and ok then map_from_entries(list_filter(map_entries(waiting), lambda e: e.key <> approves))
+              else waiting end
+  from (
+    select e.product_id, e.n, e.kind, e.id, e.approves, e.is_approved, f.stock, f.waiting,
+           case when e.kind = 1 then f.waiting[e.approves] else cast(f.stock + e.sign * e.quantity as decimal(18,2)) end as after,
+           case when e.kind = 1 then map_contains(f.waiting, e.approves) else e.sign > 0 or (e.sign < 0 and f.stock >= e.quantity) end as ok
+    from fold f join numbered e on e.product_id = f.product_id and e.n = f.n + 1))
+select case f.kind when 0 then 'movement' else 'approval' end as event, f.id, f.product_id, f.before as quantity_before,
+       f.after as quantity_after, f.ok as accepted,
+       case when f.ok then null when f.kind = 0 then 'insufficient stock'
+            when m.ok and m.n < f.n then 'movement already approved' else 'movement not found' end as reason
+from fold f left join fold m on f.kind = 1 and m.kind = 0 and m.id = f.approves where f.n > 0
+union all
+select 'approval', id, null, null, null, false, 'movement not found' from requests where product_id is null"""
+
+
+def _decided(journal, approvals):
+    columns = ["id", "product_id", "quantity_before", "quantity_after", "accepted", "reason"]
+    return journal.select(F.lit("movement").alias("event"), *columns).unionByName(
+        approvals.select(F.lit("approval").alias("event"), *columns))
+
+
+@query("w08_ledger_with_approvals", _approvals_sql("0", "0"))
+def ledger_with_approvals(db):
+    posted = ledger.ledger_with_approvals(db["products"], db["stock_movements"], requests(db))
+    return _decided(posted.journal, posted.approvals)
+
+
 # --- streaming ------------------------------------------------------------------------
 # The journal arrives in two slices, cut at a day in the middle. Each is written as a
 # whole and then processed under the same checkpoint, as by a job that is started twice.
 
 
-def _slices(movements):
+def _middle(movements):
     ends = movements.agg(F.min("movement_date").alias("low"), F.max("movement_date").alias("high")).first()
-    middle = ends["low"] + (ends["high"] - ends["low"]) / 2
-    cut_at = F.lit(middle).cast("date")
-    return [movements.filter(F.col("movement_date") < cut_at), movements.filter(F.col("movement_date") >= cut_at)]
-
+    return F.lit(ends["low"] + (ends["high"] - ends["low"]) / 2).cast("date")
 
-def _stream(db, source: str, like):
-    return db.spark.readStream.schema(like.schema).parquet(source)
 
-
-def _replay(db, start):
-    """Write the slices to a source folder one after the other and run ``start`` on the
-    stream after each."""
-    movements = db["stock_movements"]
-    source = shared_folder(db.spark, "movements")
-    for rows in _slices(movements):
+def _replay(db, start, events, late):
+    """Write the events to a source folder, those that are ``late`` after the others, and run ``start`` on
+    the stream after each."""
+    source = shared_folder(db.spark, "events")
+    for rows in (events.filter(~late), events.filter(late)):
         rows.write.mode("append").parquet(source)
-        start(_stream(db, source, movements))
+        start(db.spark.readStream.schema(events.schema).parquet(source))
 
 
-def _keyed(db, transform):
-    out, state = shared_folder(db.spark, "ledger"), shared_folder(db.spark, "state")
-    _replay(db, lambda stream: run_append(transform(keyed_ledger(stream, db["products"])), out, state))
-    return db.spark.read.parquet(out)
+def _batches(db, levels=None, partitions=None):
+    batches = LedgerBatches(db["products"], shared_folder(db.spark, "ledger"), partitions, levels)
+    state = shared_folder(db.spark, "state")
+    movements = db["stock_movements"]
+    _replay(db, lambda stream: batches.run(stream, state), movements, F.col("movement_date") >= _middle(movements))
+    return batches
 
 
 @query("t01_streaming_ledger", JOURNAL)
 def streaming_ledger(db):
-    return _keyed(db, lambda rows: rows.drop("movement_type", "movement_date", "is_approved"))
+    return _batches(db).journal().select("id", "product_id", "quantity_before", "quantity_after", "accepted", "reason")
 
 
 @query("t01_ledger_in_micro_batches", JOURNAL)
 def ledger_in_micro_batches(db):
+    """As above, with every micro-batch cut into stretches."""
+    return _batches(db, partitions=4).journal().select("id", "product_id", "quantity_before", "quantity_after", "accepted", "reason")
+
+
+@query("t01_stock_in_micro_batches", f"""
+with recursive {FOLD}
+select product_id as id, cast(arg_max(stock, n) as decimal(28,2)) as quantity_in_stock from fold group by 1""")
+def stock_in_micro_batches(db):
+    """The stock after the last micro-batch, from the changes that each has written."""
+    return _batches(db).stock(1)
+
+
+_MIDDLE = "(select min(movement_date) + cast(datediff('day', min(movement_date), max(movement_date)) // 2 as int) from stock_movements)"
+
+
+@query("t01_stream_with_approvals", _approvals_sql(
+    f"case when movement_date >= {_MIDDLE} or movement_type = 'RETURN' then 1 else 0 end",
+    f"case when approved_at >= {_MIDDLE} then 1 else 0 end"))
+def stream_with_approvals(db):
+    """Requests for the first half's movements that come in the second; returns are entered in the second half, with the
+    dates they had."""
+    movements = db["stock_movements"]
+    asked = requests(db).select("id", F.lit(APPROVE).alias("movement_type"), F.col("movement_id").alias("approves"),
+                                F.col("approved_at").cast("date").alias("movement_date"))
+    events = movements.select("id", "movement_type", "product_id", "quantity", "movement_date", "is_approved").unionByName(asked, allowMissingColumns=True)
     batches = LedgerBatches(db["products"], shared_folder(db.spark, "ledger"))
     state = shared_folder(db.spark, "state")
-    _replay(db, lambda stream: batches.run(stream, state))
-    return batches.journal().select("id", "product_id", "quantity_before", "quantity_after", "accepted", "reason")
+    late = (F.col("movement_date") >= _middle(movements)) | (F.col("movement_type") == "RETURN")
+    _replay(db, lambda stream: batches.run(stream, state), events, late)
+    return _decided(batches.journal(), batches.approvals())
 
 
 @query("t02_low_stock_crossings", f"""
@@ -172,7 +270,7 @@ select f.product_id, p.name, f.movement_id, m.movement_date, before as quantity_
 from fold f join products p on p.id = f.product_id join moves m on m.product_id = f.product_id and m.n = f.n
 where ok and m.is_approved and p.is_active and before > p.min_stock_level and after <= p.min_stock_level""")
 def crossings(db):
-    return _keyed(db, lambda rows: low_stock_crossings(rows, db["products"]))
+    return _batches(db, db["products"]).alerts().drop("epoch")
 
 
 def _running(db, table: str, report):

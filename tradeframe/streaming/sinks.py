@@ -6,13 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def run_append(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Process all available input and append the results to parquet (exactly once)."""
-    query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start(out))
-    query.awaitTermination()
-
-
 def run_updates(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Process all available input; each micro-batch writes its changed groups to its own
     folder, so a batch that is repeated after a failure replaces itself."""
