@@ -50,7 +50,8 @@ def test_more_text_beats_the_base(spark):
     known = found[~found.held_out]
     assert known.score.sum() > known.base_score.sum()
     out = found[found.held_out]
-    assert out.score.sum() / out.n_tokens.sum() > out.base_score.sum() / out.n_tokens.sum() - 0.2
+    assert out.score.sum() / out.n_tokens.sum() > out.base_score.sum() / out.n_tokens.sum()
+    print(out.score.sum() / out.n_tokens.sum(), out.base_score.sum() / out.n_tokens.sum())
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +65,7 @@ def model():
 
 
 def test_windows_score_each_id_once():
-    counts = np.array([0, 5, 16, 40, 15])
+    counts = np.array([0, 5, 16, 40, 15, 47, 48, 49, 130])
     ids = np.arange(1, counts.sum() + 1, dtype=np.int32)
     windows, wanted = lm_score.laid_out(ids, counts, -7)
     targets = windows[:, lm_score.CONTEXT :].ravel()[wanted]
