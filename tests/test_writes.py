@@ -130,3 +130,51 @@ def test_violations_scan_each_table_once(spark, tmp_path):
     assert plan.count("Relation [") == 2
     assert sorted((r["column_name"], r["violation"], r["value"]) for r in report.collect()) == [
         ("code", "invalid_text", "a"), ("code", "invalid_text", "b"), ("first", "not_null", "2"), ("second", "foreign_key", "3")]
+
+
+def one_by_one(families, used, requests):
+    """The requests in order: what is left, and the reasons."""
+    left, reasons = dict(families), {}
+    for request, key in sorted(requests):
+        if key in used:
+            reasons[request] = "family has products"
+        elif key in left.values():
+            reasons[request] = "family has child families"
+        elif key not in left:
+            reasons[request] = "not found"
+        else:
+            del left[key]
+    return left, reasons
+
+
+def check_deletes(spark, families, used, requests):
+    done = writes.delete_families_in_order(
+        spark.createDataFrame(families, "id long, parent_id long"), spark.createDataFrame([(i, u) for i, u in enumerate([*used, None])], "id long, family_id long"),
+        spark.createDataFrame(requests, "request long, id long"))
+    left, reasons = one_by_one(families, used, requests)
+    assert dict(map(tuple, done.kept.collect())) == left
+    assert dict(map(tuple, done.deleted.collect())) == {k: p for k, p in families if k not in left}
+    assert {r["request"]: r["reason"] for r in done.rejected.collect()} == reasons
+    return left, reasons
+
+
+def test_a_deleted_child_frees_its_parent_for_later_requests(spark):
+    families = [(1, None), (2, 1), (3, 2), (4, 1), (5, None)]
+    left, reasons = check_deletes(spark, families, {5}, [(1, 1), (2, 3), (3, 2), (4, 1), (5, 4), (6, 1), (7, 3), (8, 5), (9, 77)])
+    assert set(left) == {5}
+    assert reasons == {1: "family has child families", 4: "family has child families", 7: "not found", 8: "family has products", 9: "not found"}
+
+
+def test_deletes_in_random_order(spark):
+    import random
+    r = random.Random(5)
+    families = [(i, r.choice([None, *range(max(0, i - 6), i)]) if i else None) for i in range(60)]
+    requests = [(n, r.randrange(64)) for n in range(400)]
+    check_deletes(spark, families, {7, 30}, requests)
+    check_deletes(spark, families, set(), [])
+
+
+def test_circles_and_parents_that_do_not_exist(spark):
+    families = [(1, 2), (2, 1), (3, 3), (4, 99), (5, 4), (6, 1)]
+    left, _ = check_deletes(spark, families, set(), [(n, k) for n, k in enumerate([6, 5, 4, 1, 2, 3, 99])])
+    assert set(left) == {1, 2, 3}

@@ -159,6 +159,64 @@ def delete_families(families: DataFrame, products: DataFrame, requests: DataFram
     return Deleted(done.kept, done.deleted, split.rejected.select("id", "reason"))
 
 
+def _deletions(families: DataFrame, used: DataFrame, requests: DataFrame) -> DataFrame:
+    """``_family`` and ``_at``, the request that deletes it, for every family that one does.
+
+    A family goes with its first request after all its children have gone. So it is settled from the leaves up,
+    a round for every level of the tree of families that are asked for and have no products; each round
+    hands the latest deletion of the children on to the parents. A family that never goes keeps its
+    ancestors, and so does a circle of parents."""
+    asked = requests.select(F.col("id").alias("_asked"), "request")
+    candidates = (families.select("id", "parent_id").distinct()
+                  .join(asked.select("_asked").distinct(), F.col("id") == F.col("_asked"), "left_semi")
+                  .join(used, F.col("id") == F.col("_used"), "left_anti"))
+    names = candidates.select(F.col("id").alias("_candidate"))
+    stays = families.join(names, F.col("id") == F.col("_candidate"), "left_anti").select(F.col("parent_id").alias("_above")).filter("_above is not null").distinct()
+    order = dict(requests.dtypes)["request"]
+    # a family with a child that stays can't go either, nor can what is above it; the others wait for their children
+    open_rows = cut(candidates.join(stays, F.col("id") == F.col("_above"), "left").select(
+        "id", "parent_id", F.col("_above").isNotNull().alias("_never"), F.lit(None).cast(order).alias("_after")))
+    settled = []
+    while not open_rows.isEmpty():
+        above = open_rows.filter("parent_id is not null").select(F.col("parent_id").alias("_above")).distinct()
+        ready = open_rows.join(above, F.col("id") == F.col("_above"), "left_anti")
+        late = F.col("_after").isNull() | (F.col("request") > F.col("_after"))
+        found = ready.join(asked, (F.col("id") == F.col("_asked")) & late & ~F.col("_never"), "left").groupBy("id", "parent_id").agg(F.min("request").alias("_at"))
+        found = cut(found)
+        if found.isEmpty():  # only circles are left
+            break
+        settled.append(found)
+        news = found.groupBy(F.col("parent_id").alias("_above")).agg(F.max("_at").alias("_last"), (F.count("_at") < F.count("*")).alias("_stuck"))
+        done = found.select(F.col("id").alias("_done"))
+        left = open_rows.join(done, F.col("id") == F.col("_done"), "left_anti")
+        open_rows = cut(left.join(news, F.col("id") == F.col("_above"), "left").select(
+            "id", "parent_id", (F.col("_never") | F.coalesce("_stuck", F.lit(False))).alias("_never"), F.greatest("_after", "_last").alias("_after")))
+    if not settled:
+        return families.select(F.col("id").alias("_family"), F.lit(None).cast(order).alias("_at")).filter(F.lit(False))
+    return union_all(settled).filter("_at is not null").select(F.col("id").alias("_family"), "_at")
+
+
+def delete_families_in_order(families: DataFrame, products: DataFrame, requests: DataFrame) -> Deleted:
+    """Delete families by requests (``request``, unique, and ``id``) that are carried out one after the other: a
+    family with products, or with child families at that time, is refused, and a request that frees its
+    parent lets a later request for the parent pass. Refused requests come with their reason."""
+    used = products.filter("family_id is not null").select(F.col("family_id").alias("_used")).distinct()
+    gone = cut(_deletions(families, used, requests))
+    known = families.select(F.col("id").alias("_known")).distinct()
+    marked = (
+        requests.join(used, F.col("id") == F.col("_used"), "left")
+        .join(known, F.col("id") == F.col("_known"), "left")
+        .join(gone, F.col("id") == F.col("_family"), "left")
+    )
+    refused = F.when(F.col("_at") == F.col("request"), None).otherwise(first_reason(
+        (F.col("_used").isNotNull(), "family has products"),
+        (F.col("_known").isNull() | (F.col("_at") < F.col("request")), "not found"),
+        (F.lit(True), "family has child families")))
+    match = F.col("id") == F.col("_family")
+    return Deleted(families.join(gone, match, "left_anti"), families.join(gone, match, "left_semi"),
+                   marked.withColumn("reason", refused).filter("reason is not null").select("request", "id", "reason"))
+
+
 def deactivate(target: DataFrame, requests: DataFrame, at: Column, key: str = "id") -> Changed:
     """Soft delete: ``is_active`` becomes false."""
     updates = requests.select(key).withColumn("is_active", F.lit(False)).withColumn("updated_at", at)

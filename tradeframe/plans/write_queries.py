@@ -243,6 +243,61 @@ def refused_families(db):
     return _family_deletes(db).rejected
 
 
+def _ordered_deletes(db):
+    """A family per part size, below the one of half that size. Each is asked for once in an order that mixes
+    parents and children, and most once more from the largest size down; so are families that do not exist and
+    the stored ones, which have products or child families."""
+    sizes = db.given("part").select(F.col("p_size").cast("bigint").alias("size")).distinct()
+    stored = db["product_families"].select("id", "code", "name", "parent_id", "level")
+    new = sizes.select((F.col("size") + 10).alias("id"), F.concat(F.lit("S"), F.col("size").cast("string")).alias("code"), F.col("size").cast("string").alias("name"),
+                       F.when(F.col("size") > 1, F.floor(F.col("size") / 2) + 10).cast("bigint").alias("parent_id"), F.lit(1).alias("level"))
+    first = sizes.select((F.col("size") * 37 % 101).alias("request"), (F.col("size") + 10).alias("id"))
+    again = sizes.filter("size % 7 <> 3").select((300 - F.col("size")).alias("request"), (F.col("size") + 10).alias("id"))
+    unknown = sizes.select((400 + F.col("size")).alias("request"), (-F.col("size")).alias("id"))
+    others = stored.select((F.col("id") + 1000).alias("request"), "id")
+    return writes.delete_families_in_order(stored.unionByName(new), db["products"], first.unionAll(again).unionAll(unknown).unionAll(others))
+
+
+#: The requests one after the other; what is deleted so far travels along.
+_ORDERED = """
+sizes as (select distinct cast(p_size as bigint) as size from part),
+families as (
+  select id, code, name, parent_id, level from product_families
+  union all
+  select size + 10, 'S' || size, cast(size as varchar), case when size > 1 then size // 2 + 10 end, 1 from sizes),
+requests as (
+  select size * 37 % 101 as request, size + 10 as id from sizes
+  union all select 300 - size, size + 10 from sizes where size % 7 <> 3
+  union all select 400 + size, -size from sizes
+  union all select id + 1000, id from product_families),
+steps as (
+  select r.*, row_number() over (order by request) as n, f.id is not null as known,
+         r.id in (select family_id from products where family_id is not null) as used,
+         coalesce((select list(c.id) from families c where c.parent_id = r.id), []) as children
+  from requests r left join families f on f.id = r.id),
+run as (
+  select cast(0 as bigint) as n, cast(0 as bigint) as request, cast(0 as bigint) as id, cast([] as bigint[]) as gone, cast(null as varchar) as reason
+  union all
+  select n, request, id, case when reason is null then list_append(gone, id) else gone end, reason
+  from (
+    select s.n, s.request, s.id, r.gone,
+           case when s.used then 'family has products' when not list_has_all(r.gone, s.children) then 'family has child families'
+                when not s.known or list_contains(r.gone, s.id) then 'not found' end as reason
+    from run r join steps s on s.n = r.n + 1))"""
+
+
+@query("u05_ordered_deletes", f"with recursive {_ORDERED} select request, id, reason from run where reason is not null")
+def ordered_deletes(db):
+    return _ordered_deletes(db).rejected
+
+
+@query("u05_ordered_deleted_families", f"""
+with recursive {_ORDERED}
+select * from families where id in (select id from run where n > 0 and reason is null)""")
+def ordered_deleted_families(db):
+    return _ordered_deletes(db).deleted
+
+
 @query("u06_deactivated_suppliers", f"""
 select s.* exclude (is_active), case when email is null then false else is_active end as is_active,
        case when email is null then {STAMP} end as updated_at
