@@ -11,6 +11,7 @@ from tradeframe.functions.ranking import line_numbers, newest
 from tradeframe.operators import documents, hierarchy, pricing, workflow
 from tradeframe.operators.listing import ListSpec, list_rows, select_rows
 from tradeframe.plans.listings import saved_search
+from tradeframe.session import cut
 from tradeframe.sources.seed import seed
 
 ITEM = ("order_id long, product_id long, line_number long, quantity decimal(10,2), unit_price decimal(12,2), "
@@ -238,3 +239,25 @@ def test_auto_orders_take_ten_more_and_chosen_products_only(spark):
     assert {r["id"]: r["total_amount"] for r in done.orders.collect()} == {107: D("80.00"), 108: D("22.50")}
     some = workflow.auto_orders(products, "2024-01-01", 100, spark.createDataFrame([(4,)], "id long"))
     assert [r["id"] for r in some.orders.collect()] == [108]
+
+
+def test_a_chain_of_a_thousand_families_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(hierarchy, "cut", lambda df: rounds.append(1) or cut(df))
+    chain = spark.createDataFrame([(i, f"c{i}", "n", i - 1 if i else None, True) for i in range(1000)],
+                                  "id long, code string, name string, parent_id long, is_active boolean")
+    found = {r["id"]: r for r in hierarchy.reachable_families(chain).collect()}
+    assert len(rounds) <= 12 and len(found) == 1000
+    assert found[999]["depth"] == 1000 and found[999]["root_id"] == 0
+    assert found[700]["sort_path"] == "/".join(f"c{i}" for i in range(701))
+
+
+def test_circles_of_parents_are_left_out(spark):
+    rows = [(1, "a", "n", None, True), (2, "b", "n", 1, True), (3, "c", "n", 4, True), (4, "d", "n", 3, True), (5, "e", "n", 4, True), (6, "f", "n", 6, True), (7, "g", "n", 2, True)]
+    families = spark.createDataFrame(rows, "id long, code string, name string, parent_id long, is_active boolean")
+    assert {r["id"]: r["sort_path"] for r in hierarchy.reachable_families(families).collect()} == {1: "a", 2: "a/b", 7: "a/b/g"}
+    stored = spark.createDataFrame([(90, 4, "/x/y")], "id long, level int, path string")
+    placed, rejected = hierarchy.place_families(stored, families.drop("is_active").unionByName(
+        spark.createDataFrame([(8, "h", "n", 90), (9, "i", "n", 8), (10, "j", "n", 99), (11, "k", "n", 10)], "id long, code string, name string, parent_id long")))
+    assert {r["id"]: (r["level"], r["path"]) for r in placed.collect()} == {1: (1, "/a"), 2: (2, "/a/b"), 7: (3, "/a/b/g"), 8: (5, "/x/y/h"), 9: (6, "/x/y/h/i")}
+    assert {r["id"] for r in rejected.collect()} == {3, 4, 5, 6, 10, 11}

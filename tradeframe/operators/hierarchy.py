@@ -2,44 +2,48 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeframe.session import cut
 
 
-def _levels(first: DataFrame, below) -> list[DataFrame]:
-    """``first``, then ``below`` of the level before, until there is nothing. Each level is
-    written once; a tree of any depth ends, and a circle is never entered from a root."""
-    levels, now = [], cut(first)
-    while not levels or not now.isEmpty():
-        levels.append(now)
-        now = cut(below(now))
-    return levels
-
-
-def tree_levels(families: DataFrame) -> list[DataFrame]:
-    """The active families reachable from a root, one table per depth: all columns of
-    ``families`` with ``root_id``, ``depth`` and ``sort_path``."""
+def _lifted(rows: DataFrame) -> DataFrame:
+    """For ``id``, ``parent_id`` and ``path`` (the node's own part): how far up the rows a node's ancestors go.
+    ``top`` is the highest of them, ``above`` its parent (null at a root, else not among the rows), ``depth`` the
+    number of nodes from ``top`` to the node, ``path`` their parts.
+
+    Every round doubles the stretch that each node knows, by joining what its ``above`` knows: a tree of depth
+    d takes log2(d) rounds. Nodes on or below a circle of parents are left out."""
+    known = cut(rows.select("id", F.col("id").alias("top"), F.col("parent_id").alias("above"), F.lit(1).alias("depth"), "path",
+                            F.col("parent_id").isNotNull().alias("_open")))
+    rounds = max(known.count(), 1).bit_length() + 1
+    for _ in range(rounds):
+        if known.filter("_open").isEmpty():
+            break
+        upper = known.select(F.col("id").alias("_id"), F.col("top").alias("_top"), F.col("above").alias("_above"), F.col("depth").alias("_depth"),
+                             F.col("path").alias("_path"), F.col("_open").alias("_more"))
+        found = F.col("_id").isNotNull()
+        grown = known.filter("_open").join(upper, F.col("above") == F.col("_id"), "left").select(
+            "id", F.coalesce("_top", "top").alias("top"), F.when(found, F.col("_above")).otherwise(F.col("above")).alias("above"),
+            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.concat_ws("/", "_path", "path").alias("path"),
+            F.coalesce("_more", F.lit(False)).alias("_open"))
+        known = cut(known.filter("not _open").unionByName(grown))
+    return known.filter("not _open").drop("_open")
+
+
+def _reachable(families: DataFrame) -> DataFrame:
+    """Active families below a root, all columns, with ``root_id``, ``depth`` and ``sort_path``."""
     active = families.filter("is_active")
-    roots = active.filter("parent_id is null").select(
-        "*", F.col("id").alias("root_id"), F.lit(1).alias("depth"), F.col("code").alias("sort_path"))
-
-    def below(above: DataFrame) -> DataFrame:
-        parent = above.select(F.col("id").alias("_parent"), F.col("root_id"), (F.col("depth") + 1).alias("depth"), F.col("sort_path").alias("_path"))
-        return active.join(parent, F.col("parent_id") == F.col("_parent")).select(
-            *active.columns, "root_id", "depth", F.concat_ws("/", "_path", "code").alias("sort_path"))
-
-    return _levels(roots, below)
+    lifted = _lifted(active.select("id", "parent_id", F.col("code").alias("path"))).filter("above is null").select(
+        F.col("id").alias("_id"), F.col("top").alias("root_id"), "depth", F.col("path").alias("sort_path"))
+    return active.join(lifted, F.col("id") == F.col("_id")).drop("_id")
 
 
 def reachable_families(families: DataFrame) -> DataFrame:
     """The tree of active families, flat: ``root_id``, ``depth`` and ``sort_path`` per
     node. A node below an inactive or missing parent is left out with its subtree."""
-    flat = reduce(DataFrame.unionByName, tree_levels(families))
-    return flat.select("id", "code", "name", "parent_id", "root_id", "depth", "sort_path")
+    return _reachable(families).select("id", "code", "name", "parent_id", "root_id", "depth", "sort_path")
 
 
 def nested_tree(families: DataFrame) -> DataFrame:
@@ -47,8 +51,9 @@ def nested_tree(families: DataFrame) -> DataFrame:
     all columns of ``families``. Built from the lowest level up; each step joins the children
     of the next level onto their parents. The type follows from the depth."""
     columns, below = families.columns, None
-    for here in reversed(tree_levels(families)):
-        here = here.select(*columns)
+    flat = cut(_reachable(families))
+    for depth in range(flat.agg(F.max("depth")).first()[0] or 1, 0, -1):
+        here = flat.filter(F.col("depth") == depth).select(*columns)
         if below is not None:
             fields = [c for c in below.columns if c != "code"]
             grouped = below.groupBy(F.col("parent_id").alias("_parent")).agg(
@@ -66,16 +71,14 @@ def place_families(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, Data
     A root has level 1 and path ``/code``; a child is one level below its parent and
     its path is the parent's path plus ``/code``. The parent may be stored already or
     be part of the batch. Rows whose parent is neither are rejected, and so are the
-    rows that hang below a rejected one."""
+    rows that hang below a rejected one, or in a circle."""
     batch = new.select("id", "code", "name", "parent_id")
-
-    def under(known: DataFrame) -> DataFrame:
-        parent = known.select(F.col("id").alias("_id"), F.col("level").alias("_level"), F.col("path").alias("_path"))
-        return batch.join(parent, F.col("parent_id") == F.col("_id")).select(
-            "id", "code", "name", "parent_id", (F.col("_level") + 1).cast("int").alias("level"), F.concat("_path", F.lit("/"), "code").alias("path"))
-
-    roots = batch.filter("parent_id is null").select("*", F.lit(1).alias("level"), F.concat(F.lit("/"), "code").alias("path"))
-    placed = reduce(DataFrame.unionByName, _levels(roots.unionByName(under(existing)), under))
+    lifted = _lifted(batch.select("id", "parent_id", F.col("code").alias("path"))).withColumnRenamed("id", "_id").withColumnRenamed("path", "_part")
+    stored = existing.select(F.col("id").alias("_stored"), F.col("level").alias("_level"), F.col("path").alias("_path"))
+    placed = batch.join(lifted, F.col("id") == F.col("_id")).join(stored, F.col("above") == F.col("_stored"), "left").filter(
+        "above is null or _stored is not null").select(
+        "id", "code", "name", "parent_id", (F.coalesce("_level", F.lit(0)) + F.col("depth")).cast("int").alias("level"),
+        F.when(F.col("above").isNull(), F.concat(F.lit("/"), "_part")).otherwise(F.concat("_path", F.lit("/"), "_part")).alias("path"))
     done = placed.select(F.col("id").alias("_done"))
     rejected = batch.join(done, F.col("id") == F.col("_done"), "left_anti").withColumn(
         "reason", F.lit("parent family not found"))
