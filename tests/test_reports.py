@@ -66,3 +66,28 @@ def test_top_customers_counts_distinct_orders_and_breaks_ties_by_key(spark):
     rows = reports.top_customers(movements, sales, customers).orderBy("rank").collect()
     assert [(r["customer_id"], r["total_amount"], r["order_count"]) for r in rows] == [
         (1, D("10.00"), 1), (2, D("10.00"), 1)]
+
+
+def test_rollups_kept_up_by_changes_equal_those_computed_anew(spark):
+    import datetime as dt
+    import random
+    from decimal import Decimal
+    r = random.Random(3)
+    schema = "id long, customer_id long, total_amount decimal(12,2), order_date date"
+
+    def order(key):
+        return (key, r.choice([None, 1, 2, 3, 4]), r.choice([None, Decimal(r.randrange(1, 99999)) / 100]),
+                r.choice([None, dt.date(2024, 1, 1) + dt.timedelta(days=r.randrange(6))]))
+
+    customers = spark.createDataFrame([(i,) for i in range(1, 8)], "id long")
+    old = {k: order(k) for k in range(60)}
+    new = {k: v if r.random() < 0.5 else order(k) for k, v in old.items() if r.random() < 0.8} | {k: order(k) for k in range(100, 110)}
+    one, two = (spark.createDataFrame(list(x.values()), schema) for x in (old, new))
+    stored = reports.stored_rollups(customers, one)
+    found = reports.updated_rollups(stored, reports.signed_changes(one, two, "customer_id"), two)
+    columns = found.columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, reports.stored_rollups(customers, two).select(*columns).collect()))
+    again = reports.updated_rollups(stored, reports.signed_changes(one, one, "customer_id"), one)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, stored.select(*columns).collect()))
+    gone = reports.updated_rollups(stored, reports.signed_changes(one, one.limit(0), "customer_id"), one.limit(0)).collect()
+    assert {tuple(x)[1:] for x in gone} == {(Decimal("0.00"), 0, 0, Decimal("0.00"), None)}

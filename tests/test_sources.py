@@ -10,7 +10,7 @@ from tradeframe.operators.integrity import declared_violations
 from tradeframe.plans.listings import LISTINGS
 from tradeframe.operators.listing import list_rows
 from tradeframe.session import shared_folder
-from tradeframe.sources import schemas
+from tradeframe.sources import commits, schemas
 from tradeframe.sources.seed import seed
 from tradeframe.sources.snapshots import read_snapshot, write_snapshot
 from tradeframe.sources.tables import append, conform, load, load_given, read_table
@@ -96,3 +96,52 @@ def test_no_window_runs_over_a_whole_table(spark):
         for line in text.splitlines():
             if "Window [" in line:
                 assert "], [], [" not in line and not line.rstrip().endswith(", []"), (name, line)
+
+
+def commit_state(spark, root, at=None):
+    return {t: sorted(r[0] for r in commits.read(spark, root, t, at).collect()) for t in ("orders", "items")}
+
+
+def test_several_tables_are_committed_at_once_and_once(spark):
+    root = shared_folder(spark, "commits")
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    assert commits.newest(spark, root) == 0
+    assert commits.commit(spark, root, "a", 0, whole={"orders": rows(1, 2), "items": rows(10)}) == 1
+    for _ in range(2):  # a repeated job adds nothing
+        assert commits.commit(spark, root, "b", 1, more={"orders": rows(3), "items": rows(30, 31)}) == 2
+    assert commit_state(spark, root) == {"orders": [1, 2, 3], "items": [10, 30, 31]}
+    assert [r[0] for r in commits.inserted(spark, root, "orders", "b").collect()] == [3]
+    with pytest.raises(ValueError, match="commit 1, but 2"):
+        commits.commit(spark, root, "c", 1, whole={"orders": rows(9)})
+    assert commits.commit(spark, root, "d", 2, whole={"orders": rows(7)}, more={"items": rows(70)}) == 3
+    assert commit_state(spark, root) == {"orders": [7], "items": [10, 30, 31, 70]}
+    assert commit_state(spark, root, at=2) == {"orders": [1, 2, 3], "items": [10, 30, 31]}
+    with pytest.raises(ValueError, match="not there"):
+        commits.read(spark, root, "stock")
+
+
+def test_a_job_that_dies_between_two_tables_leaves_nothing_to_see(spark):
+    root = shared_folder(spark, "commits")
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    commits.commit(spark, root, "a", 0, whole={"orders": rows(1), "items": rows(10)})
+    broken = rows(30).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        commits.commit(spark, root, "b", 1, more={"orders": rows(3), "items": broken})
+    assert commit_state(spark, root) == {"orders": [1], "items": [10]}
+    assert commits.commit(spark, root, "b", 1, more={"orders": rows(3), "items": rows(30)}) == 2  # tried again
+    assert commit_state(spark, root) == {"orders": [1, 3], "items": [10, 30]}
+
+
+def test_of_two_writers_one_is_refused(spark, monkeypatch):
+    root = shared_folder(spark, "commits")
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    commits.commit(spark, root, "a", 0, whole={"orders": rows(1), "items": rows(10)})
+    before = commits._log(spark, root)
+    assert commits.commit(spark, root, "x", 1, more={"orders": rows(5), "items": rows(50)}) == 2
+    seen = iter([before])
+    log = commits._log
+    monkeypatch.setattr(commits, "_log", lambda spark, root: next(seen, None) or log(spark, root))
+    monkeypatch.setattr(commits, "newest", lambda spark, root: 1)  # y has looked before x was there
+    with pytest.raises(ValueError, match="another writer"):
+        commits.commit(spark, root, "y", 1, more={"orders": rows(6), "items": rows(60)})
+    assert commit_state(spark, root) == {"orders": [1, 5], "items": [10, 50]}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeframe.functions.dates import Day, day, in_period, month_of, within
-from tradeframe.functions.money import average, count_where, ratio, sum_of_ones, total, total_or_zero
+from tradeframe.functions.money import AVERAGE, TOTAL, average, count_where, ratio, sum_of_ones, total, total_or_zero
 from tradeframe.functions.ranking import newest
 from tradeframe.operators.listing import sort_key
 
@@ -374,3 +374,48 @@ def customer_rollups(customers: DataFrame, orders: DataFrame) -> DataFrame:
 def supplier_rollups(suppliers: DataFrame, orders: DataFrame) -> DataFrame:
     return supplier_kpis(suppliers.select("id"), orders).select(
         "id", F.col("total_spent").alias("total_purchases"), "total_orders")
+
+
+def signed_changes(old: DataFrame, new: DataFrame, party: str, amount: str = "total_amount", date: str = "order_date", key: str = "id") -> DataFrame:
+    """Per party, what the changes between two versions of some records add to its roll-up: ``orders``, ``valued`` (orders
+    with an amount), ``amount``, ``latest`` (the latest date that was added) and ``gone`` (the latest that was removed).
+    A record counts -1 as it was and +1 as it is; records that are alike in both fall out."""
+    columns = [F.col(party).alias("party"), F.col(amount).alias("amount"), F.col(date).alias("date")]
+    before = old.select(F.col(key).alias("_old"), F.struct(*columns).alias("_was"))
+    after = new.select(F.col(key).alias("_new"), F.struct(*columns).alias("_is"))
+    changed = before.join(after, F.col("_old") == F.col("_new"), "full_outer").filter(~F.col("_was").eqNullSafe(F.col("_is")))
+    rows = changed.select(F.explode(F.array(
+        F.struct(F.lit(-1).alias("sign"), F.col("_was").alias("row")), F.struct(F.lit(1).alias("sign"), F.col("_is").alias("row")))).alias("c")).select("c.sign", "c.row.*")
+    added, none = F.col("sign") > 0, F.lit(0).cast(TOTAL)
+    return rows.filter("party is not null").groupBy("party").agg(
+        F.sum("sign").alias("orders"), F.sum(F.when(F.col("amount").isNotNull(), F.col("sign")).otherwise(0)).alias("valued"),
+        F.sum(F.coalesce(F.col("sign") * F.col("amount"), none)).cast(TOTAL).alias("amount"),
+        F.max(F.when(added, F.col("date"))).alias("latest"), F.max(F.when(~added, F.col("date"))).alias("gone"))
+
+
+def updated_rollups(stored: DataFrame, changes: DataFrame, orders: DataFrame, party: str = "customer_id") -> DataFrame:
+    """Stored roll-ups of customers (``id, total_sales, total_orders, valued_orders, last_order_date``) after the changes
+    that ``signed_changes`` gives, with ``average_order_value`` from them.
+
+    Sums and counts follow from the changes alone. A last date that was removed, and that no added one replaces, is looked
+    up in ``orders`` (the new ones); only the orders of such customers are read for it. Customers without changes
+    stay as they are."""
+    zero = F.lit(0).cast("bigint")
+    joined = stored.join(changes.select(F.col("party").alias("_party"), *[F.col(c).alias(f"_{c}") for c in ("orders", "valued", "amount", "latest", "gone")]),
+                         F.col("id") == F.col("_party"), "left")
+    lost = (F.col("_gone") >= F.col("last_order_date")) & F.coalesce(F.col("_latest") < F.col("last_order_date"), F.lit(True))
+    marked = joined.withColumn("_lost", F.coalesce(lost, F.lit(False)))
+    asked = marked.filter("_lost").select(F.col("id").alias("_asked"))
+    found = orders.join(asked, F.col(party) == F.col("_asked"), "left_semi").groupBy(F.col(party).alias("_looked")).agg(F.max("order_date").alias("_found"))
+    n, total_sales = F.col("valued_orders") + F.coalesce("_valued", zero), (F.col("total_sales") + F.coalesce("_amount", F.lit(0).cast(TOTAL))).cast(TOTAL)
+    last = F.when(F.col("_lost"), F.col("_found")).otherwise(F.greatest("last_order_date", "_latest"))
+    return marked.join(found, F.col("id") == F.col("_looked"), "left").select(
+        "id", total_sales.alias("total_sales"), (F.col("total_orders") + F.coalesce("_orders", zero)).alias("total_orders"), n.alias("valued_orders"),
+        F.coalesce(ratio(total_sales, n), F.lit(0).cast(AVERAGE)).alias("average_order_value"), last.alias("last_order_date"))
+
+
+def stored_rollups(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """Roll-ups with the number of orders that have an amount, as ``updated_rollups`` takes them."""
+    valued = orders.filter("total_amount is not null").groupBy(F.col("customer_id").alias("_customer")).agg(_rows().alias("_valued"))
+    return customer_rollups(customers, orders).join(valued, F.col("id") == F.col("_customer"), "left").withColumn(
+        "valued_orders", F.coalesce("_valued", F.lit(0).cast("bigint"))).drop("_customer", "_valued")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tradeframe.operators import reports
 from tradeframe.plans.catalogue import END, START, TODAY, query
 from tradeframe.plans.view_sql import average, hundredths, total, total0
@@ -309,3 +311,36 @@ select s.id, count(o.id) as total_orders, {total0('o.total_amount')} as total_pu
 from suppliers s left join purchase_orders o on o.supplier_id = s.id group by s.id""")
 def supplier_rollups(db):
     return reports.supplier_rollups(db["suppliers"], db["purchase_orders"])
+
+
+_CHANGED_ORDERS = """
+changed_orders as (
+  select id, case when id % 5 = 0 then null else customer_id end as customer_id, total_amount, order_date from sales_orders where status = 'completed'
+  union all
+  select id, customer_id, cast(total_amount * 2 as decimal(12,2)), order_date from sales_orders where status = 'pending'
+  union all
+  select -id - 1, customer_id, total_amount, order_date + 30 from sales_orders where status = 'pending' and total_amount < 100000)"""
+
+
+def changed_orders(orders):
+    """Cancelled orders are deleted, some completed ones lose their customer, pending ones double; small pending ones
+    are copied a month later. Orders of any other status go too."""
+    columns = ["id", "customer_id", "total_amount", "order_date"]
+    completed = orders.filter("status = 'completed'").withColumn("customer_id", F.when(F.col("id") % 5 == 0, None).otherwise(F.col("customer_id")))
+    pending = orders.filter("status = 'pending'")
+    doubled = pending.withColumn("total_amount", (F.col("total_amount") * 2).cast("decimal(12,2)"))
+    copies = pending.filter("total_amount < 100000").withColumn("id", -F.col("id") - 1).withColumn("order_date", F.date_add("order_date", 30))
+    return completed.select(*columns).unionAll(doubled.select(*columns)).unionAll(copies.select(*columns))
+
+
+@query("x05_incremental_rollups", f"""
+with {_CHANGED_ORDERS}
+select c.id, count(o.id) as total_orders, count(o.total_amount) as valued_orders, {total0('o.total_amount')} as total_sales,
+       coalesce({average('o.total_amount')}, 0) as average_order_value, max(o.order_date) as last_order_date
+from customers c left join changed_orders o on o.customer_id = c.id group by c.id""")
+def incremental_rollups(db):
+    """The roll-ups of the orders as they were, brought up to date by the changes."""
+    old = db["sales_orders"]
+    new = changed_orders(old)
+    stored = reports.stored_rollups(db["customers"], old)
+    return reports.updated_rollups(stored, reports.signed_changes(old, new, "customer_id"), new)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tradeframe.operators import integrity, writes
 from tradeframe.plans.catalogue import query
 from tradeframe.plans.workflow_queries import STAMP, at
+from tradeframe.session import shared_folder
+from tradeframe.sources import commits
 
 # --- partial updates ------------------------------------------------------------------
 
@@ -410,3 +412,49 @@ def row_changes(db):
         .alias("total_amount"))
     new = changed.unionAll(old.filter("status = 'pending'").select(-F.col("id") - 1, "status", "total_amount"))
     return writes.row_changes(old, new, "sales_orders").drop("old_values", "new_values")
+
+
+# --- several tables at once ------------------------------------------------------------------
+
+
+def _committed(db):
+    """Orders that are not pending are stored with their items and the stock of products; then the pending ones
+    come with theirs and with the stock they take. The second job runs twice, as after a lost answer, and
+    another one dies after its first table."""
+    root = shared_folder(db.spark, "commits")
+    orders, items, products = db["sales_orders"], db["sales_order_items"], db["products"].select("id", "quantity_in_stock")
+    pending = orders.filter("status = 'pending'")
+    is_pending = items.join(pending.select(F.col("id").alias("_order")), F.col("order_id") == F.col("_order"), "left_semi")
+    others = items.join(pending.select(F.col("id").alias("_order")), F.col("order_id") == F.col("_order"), "left_anti")
+    base = commits.commit(db.spark, root, "opening", 0, whole={
+        "sales_orders": orders.filter("status <> 'pending'"), "sales_order_items": others, "products": products})
+    taken = is_pending.groupBy(F.col("product_id").alias("_product")).agg(F.sum("quantity").cast("decimal(28,2)").alias("_taken"))
+    left = commits.read(db.spark, root, "products").join(taken, F.col("id") == F.col("_product"), "left").select(
+        "id", (F.col("quantity_in_stock") - F.coalesce("_taken", F.lit(0).cast("decimal(28,2)"))).cast("decimal(28,2)").alias("quantity_in_stock"))
+    for _ in range(2):
+        commits.commit(db.spark, root, "pending", base, whole={"products": left}, more={"sales_orders": pending, "sales_order_items": is_pending})
+    commits.inserted(db.spark, root, "sales_orders", "pending").write.mode("overwrite").parquet(f"{root}/sales_orders/died")
+    return root
+
+
+@query("s03_committed_order", """
+select o.id, o.customer_id, o.order_date, o.status, o.total_amount, coalesce(i.lines, 0) as item_lines, coalesce(i.quantity, 0) as quantity
+from sales_orders o left join (
+  select order_id, count(*) as lines, cast(sum(quantity) as decimal(28,2)) as quantity from sales_order_items group by 1) i on i.order_id = o.id""")
+def committed_order(db):
+    """Orders with what their committed items say."""
+    root = _committed(db)
+    items = commits.read(db.spark, root, "sales_order_items").groupBy(F.col("order_id").alias("_order")).agg(
+        F.count("*").alias("_lines"), F.sum("quantity").cast("decimal(28,2)").alias("_quantity"))
+    orders = commits.read(db.spark, root, "sales_orders").join(items, F.col("id") == F.col("_order"), "left")
+    return orders.select("id", "customer_id", "order_date", "status", "total_amount", F.coalesce("_lines", F.lit(0).cast("bigint")).alias("item_lines"),
+                         F.coalesce("_quantity", F.lit(0).cast("decimal(28,2)")).alias("quantity"))
+
+
+@query("s03_committed_stock", """
+select p.id, cast(p.quantity_in_stock - coalesce(t.taken, 0) as decimal(28,2)) as quantity_in_stock
+from products p left join (
+  select product_id, sum(quantity) as taken from sales_order_items i join sales_orders o on o.id = i.order_id
+  where o.status = 'pending' group by 1) t on t.product_id = p.id""")
+def committed_stock(db):
+    return commits.read(db.spark, _committed(db), "products")
