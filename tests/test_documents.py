@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tradeframe.functions.keys import document_number
 from tradeframe.functions.ranking import line_numbers, newest
-from tradeframe.operators import documents, hierarchy, pricing, workflow
+from tradeframe.operators import documents, hierarchy, listing, pricing, workflow
 from tradeframe.operators.listing import ListSpec, list_rows, select_rows
 from tradeframe.plans.listings import saved_search
 from tradeframe.session import cut
@@ -145,8 +145,22 @@ def test_nulls_are_largest_and_the_key_breaks_ties(table):
 
 
 def test_total_is_right_on_a_page_past_the_end(table):
-    listing = list_rows(SPEC, table, page=9, limit=3)
-    assert listing.rows.count() == 0 and tuple(listing.totals.first()) == (4, 2)
+    found = list_rows(SPEC, table, page=9, limit=3)
+    assert found.rows.count() == 0 and tuple(found.totals.first()) == (4, 2)
+
+
+@pytest.mark.parametrize("order", [(None, "desc"), ("n", "asc"), ("n", "desc")])
+def test_deep_pages_are_located_by_ranges(spark, monkeypatch, order):
+    rows = [(i, None if i % 7 == 0 else f"name {i * 37 % 101}", "x", None if i % 5 == 0 else i * 13 % 50) for i in range(600)]
+    table = {"t": spark.createDataFrame(rows, "id long, name string, kind string, n int").repartition(5)}
+    near = [[r["id"] for r in list_rows(SPEC, table, p, 20, *order).rows.collect()] for p in (1, 7, 15, 30, 31)]
+    monkeypatch.setattr(listing, "DEEP", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small: keep its ranges apart
+    try:
+        far = [[r["id"] for r in list_rows(SPEC, table, p, 20, *order).rows.collect()] for p in (1, 7, 15, 30, 31)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert far == near
 
 
 def test_search_keeps_wildcards_and_ignores_case(table):

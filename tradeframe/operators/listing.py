@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from tradeframe.functions.dates import within
 from tradeframe.functions.text import matches_any
+from tradeframe.session import cut
+
+#: A page that starts further on is located by ranges; before that each task keeps all rows up to its end.
+DEEP = 2_000
 
 
 class Listing(NamedTuple):
@@ -114,21 +118,42 @@ def select_rows(spec: ListSpec, db, **arguments) -> DataFrame:
     return filter_rows(spec, join_lookups(spec.base(db), db, spec.lookups), **arguments)
 
 
-def order_of(spec: ListSpec, sort_by: str | None = None, sort_order: str = "desc") -> list[Column]:
-    """Sort keys; a field that is not sortable falls back to the default. The key
-    comes last, so the order is total and pages do not overlap."""
+def sorting(spec: ListSpec, sort_by: str | None = None, sort_order: str = "desc") -> list[tuple[str, str]]:
+    """Columns to sort by with their directions; a field that is not sortable falls back to the default.
+    The key comes last, so the order is total and pages do not overlap."""
     if sort_by in spec.sortable:
-        direction = "asc" if sort_order.lower() == "asc" else "desc"
-        keys = [sort_key(sort_by, direction)]
+        keys = [(sort_by, "asc" if sort_order.lower() == "asc" else "desc")]
     else:
-        keys = [sort_key(c, d) for c, d in spec.sort]
-    return keys + [sort_key(spec.key)]
+        keys = list(spec.sort)
+    return [*keys, (spec.key, "asc")]
+
+
+def order_of(spec: ListSpec, sort_by: str | None = None, sort_order: str = "desc") -> list[Column]:
+    return [sort_key(c, d) for c, d in sorting(spec, sort_by, sort_order)]
+
+
+def deep_page(rows: DataFrame, keys: list[tuple[str, str]], offset: int, limit: int) -> DataFrame:
+    """The rows of a page far from the start, unsorted. The sort keys alone are dealt to ranges; the counts of the
+    ranges (a number each) say which of them the page lies in, and only those are sorted. The last of
+    ``keys`` is unique."""
+    order = [sort_key(c, d) for c, d in keys]
+    laid = cut(rows.select(*dict.fromkeys(c for c, _ in keys)).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = laid.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()
+    chosen, skipped, before = [], offset, 0
+    for r in counts:
+        if before + r["n"] > offset and before < offset + limit:
+            chosen.append(r["_range"])
+            skipped = offset - before if len(chosen) == 1 else skipped
+        before += r["n"]
+    found = laid.filter(F.col("_range").isin(*chosen)).orderBy(*order).offset(skipped).limit(limit)
+    wanted = F.broadcast(found.select(F.col(keys[-1][0]).alias("_wanted")))  # as many rows as the page has
+    return rows.join(wanted, F.col(keys[-1][0]) == F.col("_wanted"), "left_semi")
 
 
 def list_rows(spec: ListSpec, db, page: int = 1, limit: int = 20, sort_by: str | None = None,
               sort_order: str = "desc", **arguments) -> Listing:
-    """One page and the totals. The page is a distributed top-k over the records alone;
-    what is shown beside them is joined to the page. The total is its own count, right
+    """One page and the totals. The page is a distributed top-k over the records alone, or, far from the start,
+    found by ranges of the sort key; what is shown beside them is joined to the page. The total is its own count, right
     on every page and free of a window over the whole table."""
     used = _check_arguments(spec, **arguments)
     sort_columns = {sort_by} if sort_by in spec.sortable else {c for c, _ in spec.sort}
@@ -139,8 +164,13 @@ def list_rows(spec: ListSpec, db, page: int = 1, limit: int = 20, sort_by: str |
             records = lookup.exists(records, db)
     rows = filter_rows(spec, join_lookups(records, db, before), **arguments)
     order = order_of(spec, sort_by, sort_order)
-    paged = rows.orderBy(*order).offset((page - 1) * limit).limit(limit)
-    shown = join_lookups(paged, db, after).orderBy(*order) if after else paged
+    offset = (page - 1) * limit
+    if offset > DEEP:
+        paged = deep_page(rows, sorting(spec, sort_by, sort_order), offset, limit)
+        shown = join_lookups(paged, db, after).orderBy(*order)
+    else:
+        paged = rows.orderBy(*order).offset(offset).limit(limit)
+        shown = join_lookups(paged, db, after).orderBy(*order) if after else paged
     totals = rows.agg(F.count(F.lit(1)).alias("total_count")).withColumn(
         "total_pages", F.ceil(F.col("total_count") / limit).cast("bigint"))
     return Listing(shown, totals)

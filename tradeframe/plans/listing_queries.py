@@ -86,6 +86,12 @@ def movements(db):
 listing("l04_movements", of("movements"), MOVEMENTS, "movement_date desc nulls first, " + NEWEST, page=2)
 
 
+@query("l04_movements_deep_page", page_sql(MOVEMENTS, "movement_date desc nulls first, " + NEWEST, 250))
+def deep_page(db):
+    """A page far from the start, located by ranges of the sort key."""
+    return list_rows(LISTINGS["movements"], db, page=250).rows
+
+
 @query("l05_product_history", """
 select t.*, u.username as created_by_username, a.username as approved_by_username
 from (select m.*, row_number() over (partition by product_id order by movement_date desc, id desc) as rank
