@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tradeframe.operators import integrity, writes
+from tradeframe.session import cut
 
 T0 = dt.datetime(2024, 1, 1)
 TARGET = "id long, name string, email string, is_active boolean"
@@ -178,3 +179,34 @@ def test_circles_and_parents_that_do_not_exist(spark):
     families = [(1, 2), (2, 1), (3, 3), (4, 99), (5, 4), (6, 1)]
     left, _ = check_deletes(spark, families, set(), [(n, k) for n, k in enumerate([6, 5, 4, 1, 2, 3, 99])])
     assert set(left) == {1, 2, 3}
+
+
+def settle(rows):
+    taken, accepted = (set(), set()), []
+    for key, *values in sorted(rows):
+        if not any(v is not None and v in seen for v, seen in zip(values, taken)):
+            accepted.append(key)
+            for v, seen in zip(values, taken):
+                seen.add(v)
+    return accepted
+
+
+def test_a_chain_of_requests_takes_few_rounds(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(writes, "cut", lambda df: calls.append(1) or cut(df))
+    chain = [(i, f"n{i // 2}", f"e{(i + 1) // 2}") for i in range(10_000)]  # each shares a value with the one before
+    none = spark.createDataFrame([], "name string, email string")
+    split = writes.check_unique(none, spark.createDataFrame(chain, "request long, name string, email string"), ["name", "email"], "request")
+    assert sorted(r["request"] for r in split.accepted.collect()) == settle(chain) == list(range(0, 10_000, 2))
+    assert len(calls) <= 4
+
+
+def test_rounds_and_order_agree(spark, monkeypatch):
+    import random
+    r = random.Random(9)
+    rows = [(i, r.choice([None, *"abcdefghij"]), r.choice([None, *"klmnopqrstu"])) for i in range(60)]
+    frame, none = spark.createDataFrame(rows, "request long, name string, email string"), spark.createDataFrame([], "name string, email string")
+    for few in (0, 12, 1000):
+        monkeypatch.setattr(writes, "FEW", few)
+        split = writes.check_unique(none, frame, ["name", "email"], "request")
+        assert sorted(x["request"] for x in split.accepted.collect()) == settle(rows)
