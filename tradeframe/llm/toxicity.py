@@ -45,7 +45,7 @@ TOP = 3
 LEAST_WORDS = 20
 THRESHOLD = 0.3
 #: Words whose evidence a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 EVIDENCE = ("sum", "share", "top", "mean")
 
 #: Bytes that are no part of a word; letters beyond ASCII are.
