@@ -91,3 +91,8 @@ def test_rollups_kept_up_by_changes_equal_those_computed_anew(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, stored.select(*columns).collect()))
     gone = reports.updated_rollups(stored, reports.signed_changes(one, one.limit(0), "customer_id"), one.limit(0)).collect()
     assert {tuple(x)[1:] for x in gone} == {(Decimal("0.00"), 0, 0, Decimal("0.00"), None)}
+
+
+def test_months_come_newest_first(spark):
+    rows = orders(spark, (1, 1, "2024-01-05", "completed", "10"), (2, 1, "2024-03-05", "completed", "10"), (3, 1, "2024-02-05", "completed", "10"))
+    assert [r["month"].month for r in reports.sales_by_month(rows).collect()] == [3, 2, 1]

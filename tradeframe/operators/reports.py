@@ -55,17 +55,22 @@ def dashboard(db, today: Day) -> DataFrame:
     return _one_row(sales, invoices, products, customers)
 
 
+def _in_order(report: DataFrame, *keys) -> DataFrame:
+    """A report of few rows in its order; the state of a stream has none."""
+    return report if report.isStreaming else report.orderBy(*keys)
+
+
 def sales_by_month(orders: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
-    return within(orders, "order_date", start, end).groupBy(month_of("order_date").alias("month")).agg(
+    return _in_order(within(orders, "order_date", start, end).groupBy(month_of("order_date").alias("month")).agg(
         _rows().alias("order_count"),
         total("total_amount").alias("revenue"),
         average("total_amount").alias("avg_order_value"),
-    )
+    ), sort_key("month", "desc"))
 
 
 def invoices_by_status(invoices: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
-    return within(invoices, "issue_date", start, end).groupBy("payment_status").agg(
-        _rows().alias("invoice_count"), total_or_zero("total_amount").alias("total_amount"))
+    return _in_order(within(invoices, "issue_date", start, end).groupBy("payment_status").agg(
+        _rows().alias("invoice_count"), total_or_zero("total_amount").alias("total_amount")), sort_key("payment_status"))
 
 
 def product_statistics(products: DataFrame) -> DataFrame:
@@ -257,12 +262,12 @@ def top_customers(movements: DataFrame, orders: DataFrame, customers: DataFrame,
 def vat_by_month(invoices: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
     """The invoice total is taken as the amount without tax."""
     tax = F.coalesce("tax_amount", F.lit(0).cast("decimal(12,2)"))
-    return within(invoices, "issue_date", start, end).groupBy(month_of("issue_date").alias("month")).agg(
+    return _in_order(within(invoices, "issue_date", start, end).groupBy(month_of("issue_date").alias("month")).agg(
         _rows().alias("invoice_count"),
         total_or_zero("total_amount").alias("total_excl_tax"),
         total_or_zero("tax_amount").alias("total_tax"),
         total_or_zero(F.col("total_amount") + tax).alias("total_incl_tax"),
-    )
+    ), sort_key("month", "desc"))
 
 
 def balance_sheet_accounts(accounts: DataFrame) -> DataFrame:
@@ -288,12 +293,12 @@ def cash_flow(transactions: DataFrame, start: Day = None, end: Day = None) -> Da
     """Per month: income, expense, net. Every type but income lowers the net, so a
     transfer does too, without being an expense."""
     signed = F.when(_is("type", "income"), F.col("amount")).otherwise(-F.col("amount"))
-    return within(transactions, "transaction_date", start, end).groupBy(
+    return _in_order(within(transactions, "transaction_date", start, end).groupBy(
         month_of("transaction_date").alias("month")).agg(
         total(_amount_of("income")).alias("income"),
         total(_amount_of("expense")).alias("expense"),
         total(signed).alias("net"),
-    )
+    ), sort_key("month", "desc"))
 
 
 def financial_summary(transactions: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def reorder_suggestions(products: DataFrame, suppliers: DataFrame) -> DataFrame:
         F.col("_supplier").alias("supplier_id"), "supplier_name", "supplier_email", "supplier_phone",
         needed.alias("quantity_needed"),
         F.coalesce("reorder_quantity", needed).cast(QUANTITY).alias("suggested_order_quantity"),
-    )
+    ).orderBy(F.col("quantity_needed").desc_nulls_first(), "id")
 
 
 class AutoOrders(NamedTuple):

@@ -55,22 +55,7 @@ PAYMENT_MODELS = [
      ' {"percentage": 25, "days_offset": 90, "description": "Final installment"}]'),
 ]
 
-# Sample records, without contact data.
-# Products: key, sku, name, family, stock, minimum stock, cost and selling price.
-PRODUCTS = [
-    (1, "GRANITE-BLK-001", "Black Granite Slab", 3, "50", "10", "15000.00", "25000.00"),
-    (2, "MARBLE-WHT-001", "White Carrara Marble", 2, "30", "5", "25000.00", "45000.00"),
-    (3, "TOOL-SAW-001", "Diamond Blade Saw", 4, "15", "3", "35000.00", "55000.00"),
-]
-CUSTOMERS = [
-    (1, "CUST-001", "Construction ABC", "Constantine", "Wholesale"),
-    (2, "CUST-002", "Décor Elite", "Algiers", "Retail"),
-]
-SUPPLIERS = [
-    (1, "SUPP-001", "Italian Marble Import", "Florence"),
-    (2, "SUPP-002", "Constantine Stone Quarry", "Constantine"),
-]
-
+# The first warehouse.
 WAREHOUSES = [(1, "WH-001", "Main Warehouse", "Default Location", "active", True)]
 
 
@@ -81,15 +66,6 @@ def seed(spark: SparkSession) -> dict[str, DataFrame]:
         "settings": (SETTINGS, "id long, key string, value string, category string, is_public boolean"),
         "product_families": ([(*f, 1, True) for f in FAMILIES],
                              "id long, code string, name string, level int, is_active boolean"),
-        "products": ([(*p, "piece", "DZD", True) for p in PRODUCTS],
-                     "id long, sku string, name string, family_id long, quantity_in_stock string, "
-                     "min_stock_level string, cost_price string, selling_price string, unit_of_measure string, "
-                     "currency string, is_active boolean"),
-        "customers": ([(*c, "DZD", True) for c in CUSTOMERS],
-                      "id long, code string, name string, billing_city string, customer_type string, "
-                      "currency string, is_active boolean"),
-        "suppliers": ([(*x, "DZD", True) for x in SUPPLIERS],
-                      "id long, code string, name string, city string, currency string, is_active boolean"),
         "payment_schedule_models": ([(*m, "active") for m in PAYMENT_MODELS],
                                     "id long, name string, is_default boolean, terms string, status string"),
         "warehouses": (WAREHOUSES, "id long, code string, name string, address string, status string, "
