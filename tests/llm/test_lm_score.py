@@ -155,3 +155,39 @@ def test_the_attention_model_is_the_score_and_beats_the_base(spark):
     assert (found.score == found.attention_score).all()
     out = found[found.held_out]
     assert len(out) and out.score.sum() > out.base_score.sum()
+
+
+def plain_score(model, text, content):
+    """The log10 probability of a text, one id at a time, by the forward pass alone."""
+    end, made = lm_score.size_of(content) - 1, lm_score.encoder(content)[0]
+    words = [made.encode_ordinary(" " + w.decode()) for w in (text or "").encode().translate(lm_score.LOWER).split()]
+    line = [i for w in words for i in w] + [end]
+    stream = [end] * lm_score.CONTEXT + line + [end] * lm_score.STRIDE
+    chosen, start = [], []
+    for p, target in enumerate(line):
+        at = p // lm_score.STRIDE * lm_score.STRIDE
+        window = np.array([stream[at : at + WINDOW - 1]])
+        u = lm_score.forward(model.w, model.place[window])[-1][0, p - at]
+        sure = 1 / (1 + math.exp(-float(u @ model.w["S"] + model.w["bS"][0])))
+        side = int(model.side[target])
+        share = lm_score.softmax(u @ model.w["U"][side] + model.w["bU"][side])[model.group[target]]
+        chosen.append(math.log((sure if side else 1 - sure) * share) + model.share[target])
+        start.append(math.log(sure))
+    total, at = 0.0, 0
+    for w in words:  # a word, given that one starts, and that it is over
+        total += sum(chosen[at : at + len(w)]) - start[at] + start[at + len(w)]
+        at += len(w)
+    return (total + chosen[at] - start[at]) / math.log(10)
+
+
+def test_scores_of_whole_texts_by_the_forward_pass(spark, monkeypatch):
+    with open(PATH, "rb") as file:
+        content = file.read()
+    rng, size = np.random.default_rng(7), lm_score.size_of(content)
+    fixed = lm_score.classed(rng.integers(0, 1000, size), lm_score.starts_word(content), rng.integers(0, size, (200, WINDOW)).astype(np.int32)).start()
+    monkeypatch.setattr(lm_score, "trained", lambda *_: fixed)
+    rows = [(1, "The cat sat on the mat"), (2, None), (3, "a" * 40), (4, " ".join(f"word{i} of" for i in range(60))), (5, "Ünï 日本 x"), (6, "very " * 30_000)]
+    found = {r["doc_id"]: r["score"] for r in lm_score.scored(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    for i, text in rows[:-1]:
+        assert found[i] == pytest.approx(plain_score(fixed, text, content), rel=1e-4, abs=1e-3), i
+    assert math.isfinite(found[6]) and found[6] < found[4]  # a very long text

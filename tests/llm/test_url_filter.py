@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from tradeframe.llm import url_filter
@@ -82,3 +84,16 @@ def test_ranks_settle(spark):
 
 def test_empty(spark):
     assert url_filter.judged(spark.createDataFrame([], PAGES), URL_RULES).count() == 0
+
+
+def test_odd_rows(spark):
+    long = "https://long.example.com/" + "a/" * 500_000 + "?" + "q" * 500_000
+    rows = [(None, "http://example.com/en/x", None), (1, None, None), (1, "http://a.net/fr/", "<p>"), (1, "http://a.net/fr/", "<p>"), (None, None, ""), (2, long, link("a.net")),
+            (3, "", ""), (4, "://", None), (5, "http:///path", None)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES)
+    found = url_filter.judged(frame, URL_RULES).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert Counter((r[0], r[1], len(r[2]), r[3]) for r in found) == Counter(
+        [(None, "example.com", 5, "example.com/en/"), (1, "", 0, None), (1, "a.net", 4, "net/fr/"), (1, "a.net", 4, "net/fr/"), (None, "", 0, None),
+         (2, "long.example.com", 1_000_001, "com/"), (3, "", 0, None), (4, "", 0, None), (5, "", 5, None)])
+    assert {r[4] for r in found} <= {"allow", "block"}
+    assert url_filter.judged(frame.limit(0), URL_RULES).count() == 0
