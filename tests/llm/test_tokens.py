@@ -79,6 +79,28 @@ def test_machine_forgets_states(library, vocab, hard, monkeypatch):
     assert token_counts.count(hard[:100], machine) == [len(e.ids) for e in library.encode_batch(hard[:100], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_chunk_maps_compose_to_the_count_of_long_pieces(library, vocab, monkeypatch, rounds):
+    monkeypatch.setattr(token_counts, "CHUNK", 8)
+    monkeypatch.setattr(token_counts, "WARM", 3)
+    monkeypatch.setattr(token_counts, "ROW", 100)
+    monkeypatch.setattr(token_counts, "ROUNDS", rounds)
+    monkeypatch.setattr(token_counts, "MOST_STATES", 300)
+    random.seed(rounds)
+    words = ["the", "ing", "a", "aa", "zq", "é", "日本", "tion", "Straße"]
+    long = ["".join(random.choice(words) for _ in range(random.randint(1, 300))) for _ in range(60)] + ["a" * 5000, "-" * 999, "日" * 700, " " * 800]
+    machine = token_counts.Machine(vocab)
+    assert [machine.count(x) for x in long] == [len(library.encode(x, add_special_tokens=False).ids) for x in long]
+    state, data = 0, long[0].encode()
+    assert machine.composed(state, data) == machine.fold(state, data)
+
+
+def test_a_text_without_blanks(library, vocab):
+    random.seed(9)
+    text = "".join(random.choice("abcdefghijklmnopqrstuvwxyzäöüß") for _ in range(150_000))
+    assert token_counts.count([text], token_counts.Machine(vocab)) == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
 def test_operators_on_odd_rows(odd_docs, no_docs, texts, library):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     ids = {t: library.encode(t or "", add_special_tokens=False).ids for _, t in texts}
