@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tradeframe.llm import components, decontaminate, simhash, substring_dedup
+from tradeframe.llm import common, components, decontaminate, simhash, substring_dedup
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -183,6 +183,18 @@ def test_groups_of_the_sample(sample):
     check_groups(sample, pairs(sample))
 
 
+def test_a_large_key_meets_the_other_side_in_parts(spark):
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 'big', concat('k', id % 90)) as key")
+    others = rows.filter("key != 'k1'").select("key").distinct().withColumn("value", F.concat(F.lit("v"), "key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    want = Counter((r["id"], r["key"], None if r["key"] == "k1" else "v" + r["key"]) for r in rows.collect())
+    for per_part in (1, 50, 10_000):
+        found = common.met(rows, sizes, others, "key", F.xxhash64("id"), "left", per_part).select("id", "key", "value")
+        assert Counter(map(tuple, found.collect())) == want
+        inner = common.met(rows, sizes, others, "key", F.xxhash64("id"), "inner", per_part).select("id", "key", "value")
+        assert Counter(map(tuple, inner.collect())) == Counter({k: n for k, n in want.items() if k[2]})
+
+
 def test_groups_of_odd_rows(odd_docs, no_docs, texts):
     check_groups(odd_docs, texts)
     assert simhash.grouped(no_docs).count() == 0

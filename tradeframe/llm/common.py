@@ -92,5 +92,16 @@ def few(df: DataFrame, most: int, *keys: str) -> DataFrame:
     return some.orderBy(hashed, *keys).limit(most)
 
 
+def met(rows: DataFrame, sizes: DataFrame, others: DataFrame, key: str, salt: Column, how: str, per_part: int = 1_000_000) -> DataFrame:
+    """``rows`` joined to ``others``, a row per ``key`` at most. ``sizes`` has the number ``n`` of rows of each
+    key: one with more than ``per_part`` is dealt to as many parts as that takes, each with its own copy
+    of the other side. The table of such keys, which is broadcast, has a row for every ``per_part`` rows at most."""
+    large = sizes.filter(F.col("n") > per_part).select(key, F.ceil(F.col("n") / per_part).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(large), key, "left").withColumn("_part", F.pmod(salt, parts).cast("int")).drop("_parts")
+    copies = others.join(F.broadcast(large), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"], how).drop("_part")
+
+
 def part_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tradeframe.llm.common import extended, folded, kept, part_count, slices, unfolded
+from tradeframe.llm.common import extended, folded, kept, met, part_count, slices, unfolded
 from tradeframe.llm.components import components
 
 SHINGLE = 3
@@ -196,15 +196,12 @@ def hex_of(column: Column) -> Column:
 def rooted(docs: DataFrame, keep: tuple[str, ...], size: int = SHINGLE) -> DataFrame:
     """The columns ``keep``, ``fp``, ``root`` (a fingerprint that names the group) and ``component_id``."""
     rows = kept(with_fingerprint(docs, keep, size), "simhash-rows")
-    prints = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
+    prints = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-prints")
     roots = prints.join(near_groups(prints), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = roots.join(least, "root").select("fp", "root", "component_id")
-    # a third of all rows may share one fingerprint: they are dealt to parts, each with its own copy
-    parts = 16
-    copies = of_print.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    return dealt.join(copies, ["fp", "part"]).select(*keep, "fp", "root", "component_id")
+    # a third of all rows may share one fingerprint
+    return met(rows, prints, of_print, "fp", F.xxhash64("doc_id"), "inner").select(*keep, "fp", "root", "component_id")
 
 
 def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = SHINGLE) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeframe.llm.common import kept
+from tradeframe.llm.common import kept, met
 
 #: Verdict, host with its subdomains, start of the path.
 Rule = tuple[str, str, str]
@@ -125,14 +125,11 @@ def judged(pages: DataFrame, rules: Sequence[Rule], ratio: float = RATIO) -> Dat
     df = df.withColumn("index", matched(rules))
     by_rule = _pick(F.col("index"), [r[0] for r in rules])
     df = df.withColumn("by_rule", by_rule)
-    seeds = df.filter(F.col("host") != "").groupBy("host").agg(
-        F.count_if(F.col("by_rule") == "allow").alias("trusted"), F.count_if(F.col("by_rule") == "block").alias("blocked"))
-    scores = host_scores(seeds, links(pages))
+    hosts = kept(df.groupBy("host").agg(
+        F.count("*").alias("n"), F.count_if(F.col("by_rule") == "allow").alias("trusted"), F.count_if(F.col("by_rule") == "block").alias("blocked")), "url-hosts")
+    scores = host_scores(hosts.filter(F.col("host") != ""), links(pages))
     # one verdict per host; a host with many pages meets it in parts
-    parts = 16
-    verdicts = scores.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    df = df.withColumn("part", F.pmod(F.xxhash64("path", "page_id"), F.lit(parts)).cast("int"))
-    df = df.join(verdicts, ["host", "part"], "left")
+    df = met(df, hosts, scores, "host", F.xxhash64("path", "page_id"), "left")
     by_graph = F.when((F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") > 0), "block").otherwise("allow")
     return df.select("page_id", "host", "path", _pick(F.col("index"), [r[1] + r[2] for r in rules]).alias("rule"),
                      F.coalesce("by_rule", by_graph).alias("verdict"),
