@@ -74,21 +74,26 @@ def bitmap(frame: DataFrame, column: str) -> np.ndarray:
     return np.packbits(bits)
 
 
+#: Words whose answer a task remembers, and bytes of text that it looks at together.
+REMEMBERED, SLICE = 100_000, 1_000_000
+
+
 class Lookup:
     """Is a word's hash in the bitmap? Answers are remembered for a while."""
 
     def __init__(self, bits: np.ndarray) -> None:
-        self.bits = np.unpackbits(bits).astype(bool)
+        self.bits = bits.tobytes()
         self.known: dict[bytes, bool] = {}
 
     def among(self, found: set[bytes]) -> set[bytes]:
         known, bits = self.known, self.bits
-        if len(known) > 400_000:
+        if len(known) > REMEMBERED:
             known.clear()
         some = set()
         for w in found:
             if (member := known.get(w)) is None:
-                member = known[w] = bool(bits[zlib.crc32(w) % BITS])
+                at = zlib.crc32(w) % BITS
+                member = known[w] = bool(bits[at >> 3] << (at & 7) & 128)
             if member:
                 some.add(w)
         return some
@@ -98,7 +103,7 @@ def word_counts(docs: DataFrame, bits) -> DataFrame:
     """``word`` and ``n``: how often the documents have the words whose hash is in the bitmap."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(bits.value)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             counts: Counter[bytes] = Counter()
             for text in part.column("text").to_pylist():
                 counts.update(words(text))
@@ -114,7 +119,7 @@ def occurrences(docs: DataFrame, bits, size: int = WINDOW) -> DataFrame:
     are in front)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(bits.value)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             lengths, places = [], []
             for text in part.column("text").to_pylist():
                 line = words(text)

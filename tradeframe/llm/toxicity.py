@@ -64,8 +64,8 @@ def spelled(some: list[bytes]) -> np.ndarray:
 def hashes(letters: np.ndarray) -> Iterator[np.ndarray]:
     """For every length from 1 the hash of each word's beginning of that length."""
     now = np.zeros(len(letters), np.uint64)
-    for column in letters.T.astype(np.uint64):
-        now = (now + column + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for column in letters.T:
+        now = (now + column.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         now ^= now >> np.uint64(29)
         yield now
 
