@@ -147,6 +147,38 @@ def test_every_training_text_fits_the_weights(spark):
     assert len({w.tobytes() for w in lm_score.warm_windows(texts, size, 10)}) == 10
 
 
+def test_nothing_of_the_model_comes_from_a_sample(spark, monkeypatch):
+    """Clusters and weights of a corpus too large for the driver come from every window, each in one round."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50} of text{i}" for k in range(60)), False) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    with open(PATH, "rb") as file:
+        vocabulary = spark.sparkContext.broadcast(file.read())
+    size = lm_score.size_of(vocabulary.value)
+    texts = lm_score.training_texts(docs, vocabulary)
+    every = lm_score.windows_of([bytes(r["ids"]) for r in texts.collect()], size)
+    total = np.bincount(every[:, lm_score.CONTEXT :].ravel(), minlength=size)
+    slot = lm_score.slots(total)
+    plain = np.zeros((size, lm_score.SIGNS), np.int64)
+    for window in every:
+        for i in window:
+            np.add.at(plain[i], slot[window][slot[window] >= 0], 1)
+    near = lm_score.all_neighbours(texts, slot)
+    assert (near == plain).all() and (lm_score.neighbours(every, slot) == plain).all()
+    edges = [0.0, *(high for _, high in lm_score.ROUNDS)]
+    dealt = np.concatenate([lm_score.in_round(every, low, high) for low, high in zip(edges, edges[1:])])
+    assert edges[-1] == 1.0 and sorted(w.tobytes() for w in dealt) == sorted(w.tobytes() for w in every)
+
+    def sample(*_):
+        raise AssertionError("a sample is drawn")
+
+    monkeypatch.setattr(lm_score, "warm_windows", sample)
+    monkeypatch.setattr(lm_score, "WARM", 10)
+    counts = spark.createDataFrame([(b"of", 60)], "word binary, n long")
+    model = lm_score.trained(docs, counts, vocabulary)
+    sizes = lambda w: lm_score.gradients(w, *sides(model, every))[1]
+    assert sizes(model.w) < sizes(lm_score.classed(total, model.side == 1, None, near).start().w)
+
+
 def test_the_attention_model_is_the_score_and_beats_the_base(spark):
     """Held-out texts, in which each word follows from the one before, are likelier than by counts of words."""
     words = "red blue green house tree river stone cloud paper light".split()

@@ -9,9 +9,11 @@ others in clusters, times the subword's share of its class in the corpus. The ch
 ends is the chance that the next subword starts a word.
 
 What is gathered from the corpus: the counts of all words of all training texts (and from them
-of all subwords); the weights, fitted on all training texts, whole. A first fit on at most ``WARM``
-different windows in the driver, which also decide what cluster a rare subword is in, is refined by
-many workers at once, each on its own texts, and their weights are averaged in a tree.
+of all subwords); what stands near each subword in all windows, which decides what cluster a rare one is
+in; the weights, fitted on all training texts, whole. Many workers fit at once, each on its own texts,
+and their weights are averaged in a tree. The windows are dealt to ``ROUNDS``, each window to one, and each
+round goes on from the last one's average, so that workers part little while the weights are new. Where all
+windows are at most ``WARM``, the driver takes three passes over all of them first. Nothing is sampled.
 
 Score: ``score`` and ``attention_score`` are the attention model's log-probability and nothing else;
 of word counts it has only the subwords' shares of their classes. ``base_score`` are the corpus's word
@@ -51,10 +53,12 @@ ALONE = 112
 SIGNS = 64
 #: Subwords with an embedding of their own; the others share ``POOL``.
 OWN, POOL = 8_000, 192
-#: Windows of the first fit.
+#: Most windows of a corpus so small that the driver fits on all of it first.
 WARM = 12_000
-#: Learning rates of the rounds in which workers refine the weights.
-ROUNDS = (0.01,)
+#: Learning rates of the rounds in which workers fit the weights, and how much of all windows each round ends at.
+ROUNDS = ((0.01, 1 / 16), (0.01, 1 / 8), (0.01, 1 / 4), (0.01, 1 / 2), (0.01, 1.0))
+#: The only round of a small corpus, whose weights are warm.
+ONE_ROUND = ((0.01, 1.0),)
 #: Characters of text that one worker fits on, about; and rows of weights that one task averages.
 PER_WORKER = 5_000_000
 FAN = 32
@@ -367,21 +371,39 @@ def windows_of(texts: list[bytes], size: int) -> np.ndarray:
     return laid_out(np.frombuffer(b"".join(texts), kind).astype(np.int32), counts, size - 1)[0]
 
 
+FACTORS = np.random.default_rng(0).integers(1, 1 << 62, CONTEXT + STRIDE, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def hashed(windows: np.ndarray) -> np.ndarray:
+    """31 bits for each window."""
+    mixed = np.zeros(len(windows), np.uint64)
+    for i, factor in enumerate(FACTORS):
+        mixed = (mixed ^ mixed >> np.uint64(29)) * factor + windows[:, i].astype(np.uint64) * FACTORS[0]
+    return (mixed ^ mixed >> np.uint64(31)) * FACTORS[1] >> np.uint64(33)
+
+
+def in_round(windows: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The windows of the round from ``low`` to ``high``; where a window is does not change it."""
+    if (low, high) == (0.0, 1.0):
+        return windows
+    at = hashed(windows)
+    return windows[(at >= int(low * (1 << 31))) & (at < int(high * (1 << 31)))]
+
+
+def window_count(texts: DataFrame, size: int) -> int:
+    return texts.select(F.sum(F.ceil((F.length("ids") / np.dtype(id_type(size)).itemsize + 1) / STRIDE))).first()[0] or 0
+
+
 def warm_windows(texts: DataFrame, size: int, most: int) -> np.ndarray:
-    """At most ``most`` different windows, those with the least hash."""
-    factors = np.random.default_rng(0).integers(1, 1 << 62, CONTEXT + STRIDE, np.uint64) * np.uint64(2) + np.uint64(1)
-    total = texts.select(F.sum(F.ceil((F.length("ids") / np.dtype(id_type(size)).itemsize + 1) / STRIDE))).first()[0] or 0
-    share = min(1.0, 2 * most / max(total, 1))
+    """At most ``most`` different windows, those with the least hash; all of a corpus that has no more."""
+    share = min(1.0, 2 * most / max(window_count(texts, size), 1))
     while True:
         limit = int(share * (1 << 31))
 
         def work(batches: Iterator[pa.RecordBatch], limit: int = limit) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "ids"):
                 windows = windows_of(part.column("ids").to_pylist(), size)
-                mixed = np.zeros(len(windows), np.uint64)
-                for i, factor in enumerate(factors):
-                    mixed = (mixed ^ mixed >> np.uint64(29)) * factor + windows[:, i].astype(np.uint64) * factors[0]
-                mixed = (mixed ^ mixed >> np.uint64(31)) * factors[1] >> np.uint64(33)
+                mixed = hashed(windows)
                 of = np.flatnonzero(mixed < limit)
                 yield pa.RecordBatch.from_arrays([pa.array(mixed[of].astype(np.int64)), pa.array([x.tobytes() for x in windows[of]], pa.binary())], names=["hash", "ids"])
 
@@ -405,23 +427,56 @@ def clusters(x: np.ndarray, k: int, weight: np.ndarray, seed: int = 1) -> np.nda
     return near
 
 
-def classed(total: np.ndarray, begins: np.ndarray, windows: np.ndarray) -> Model:
+def slots(total: np.ndarray) -> np.ndarray:
+    """The number of each id among the signs, the most frequent ids; -1 for the others."""
+    signs = np.argsort(-total, kind="stable")[:SIGNS]
+    slot = np.full(len(total), -1)
+    slot[signs] = np.arange(len(signs))
+    return slot
+
+
+def neighbours(windows: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """How often each id has each sign in its window."""
+    near = np.zeros((len(slot), SIGNS), np.int64)
+    for i in range(0, len(windows), 4096):
+        part = windows[i : i + 4096]
+        row, column = np.nonzero(slot[part] >= 0)
+        seen = np.bincount(row * SIGNS + slot[part][row, column], minlength=len(part) * SIGNS).reshape(-1, SIGNS).astype(np.int32)
+        order = np.argsort(part, axis=None, kind="stable")
+        own = part.ravel()[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        near[own[first]] += np.add.reduceat(seen[order // part.shape[1]], first, axis=0)
+    return near
+
+
+def all_neighbours(texts: DataFrame, slot: np.ndarray) -> np.ndarray:
+    """``neighbours`` over all windows of the corpus. A task hands on a row per id, and so do all of them to the driver."""
+    size, columns = len(slot), [f"n{i}" for i in range(SIGNS)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.zeros((size, SIGNS), np.int64)
+        for part in slices(batches, "ids"):
+            near += neighbours(windows_of(part.column("ids").to_pylist(), size), slot)
+        ids = np.flatnonzero(near.any(axis=1))
+        for i in range(0, len(ids), 4096):
+            some = ids[i : i + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *map(pa.array, np.ascontiguousarray(near[some].T))], names=["id", *columns])
+
+    schema = "id int, " + ", ".join(f"{c} long" for c in columns)
+    rows = texts.select("ids").mapInArrow(work, schema).groupBy("id").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    near = np.zeros((size, SIGNS), np.int64)
+    near[rows.column("id").to_numpy()] = np.column_stack([rows.column(c).to_numpy() for c in columns])
+    return near
+
+
+def classed(total: np.ndarray, begins: np.ndarray, windows: np.ndarray | None, near: np.ndarray | None = None) -> Model:
     """Embedding places and classes from the corpus's subword counts; rare subwords are put
-    together by what stands near them in ``windows``."""
+    together by what stands near them in ``windows``, or by ``near``, counted before."""
     size = len(total)
     order = np.argsort(-total, kind="stable")
     place = OWN + np.arange(size) % POOL
     place[order[:OWN]] = np.arange(min(OWN, size))
-    signs = order[:SIGNS]
-    near = np.zeros((size, SIGNS), np.float32)
-    slot = np.full(size, -1)
-    slot[signs] = np.arange(len(signs))
-    for i in range(0, len(windows), 4096):
-        part = windows[i : i + 4096]
-        seen = np.zeros((len(part), SIGNS), np.float32)
-        row, column = np.nonzero(slot[part] >= 0)
-        np.add.at(seen, (row, slot[part][row, column]), 1)
-        np.add.at(near, part.ravel(), np.repeat(seen, part.shape[1], axis=0))
+    near = (neighbours(windows, slots(total)) if near is None else near).astype(np.float32)
     weight = near.sum(1)
     near = np.sqrt((near + near.sum(0) / max(near.sum(), 1) * 5) / (weight[:, None] + 5))
     group, share = np.zeros(size, np.int64), np.zeros(size)
@@ -435,13 +490,16 @@ def classed(total: np.ndarray, begins: np.ndarray, windows: np.ndarray) -> Model
     return Model(place, begins.astype(np.int64), group, share)
 
 
-def averaged(texts: DataFrame, model, rate: float) -> dict[str, np.ndarray]:
-    """The mean of the weights that workers reach on their own windows, by number of windows. ``FAN`` rows of
+def averaged(texts: DataFrame, model, rate: float, low: float = 0.0, high: float = 1.0) -> dict[str, np.ndarray]:
+    """The mean of the weights that workers reach on their own windows of a round, by number of windows. ``FAN`` rows of
     weights meet in a task, step by step, until no more than that are left for the driver."""
     names = list(model.value.w)
+    nothing = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("w", pa.binary())]).empty_table()
 
     def fit(rows: pa.Table) -> pa.Table:
-        ids = windows_of(rows.column("ids").to_pylist(), len(model.value.place))
+        ids = in_round(windows_of(rows.column("ids").to_pylist(), len(model.value.place)), low, high)
+        if not len(ids):
+            return nothing
         w = fitted(model.value, ids, 1, rate, rows.column("worker")[0].as_py())
         flat = np.concatenate([w[k].ravel() for k in names]).astype(np.float32)
         return pa.table({"part": rows.column("worker").slice(0, 1), "n": pa.array([len(ids)], pa.int64()), "w": pa.array([flat.tobytes()], pa.binary())})
@@ -473,12 +531,19 @@ def averaged(texts: DataFrame, model, rate: float) -> dict[str, np.ndarray]:
 
 def trained(docs: DataFrame, counts: DataFrame, vocabulary) -> Model:
     texts = kept(training_texts(docs, vocabulary), "lm-texts")
-    ids = warm_windows(texts, size_of(vocabulary.value), WARM)
-    model = classed(subword_counts(counts, vocabulary), starts_word(vocabulary.value), ids).start()
-    if len(ids):
-        model.w = fitted(model, ids, 3, 0.01, 1)
-        for rate in ROUNDS:
-            model.w = averaged(texts, docs.sparkSession.sparkContext.broadcast(model), rate)
+    total, begins, size = subword_counts(counts, vocabulary), starts_word(vocabulary.value), size_of(vocabulary.value)
+    if window_count(texts, size) <= WARM:
+        ids = warm_windows(texts, size, WARM)
+        model = classed(total, begins, ids).start()
+        if not len(ids):
+            return model
+        model.w, rounds = fitted(model, ids, 3, 0.01, 1), ONE_ROUND
+    else:
+        model, rounds = classed(total, begins, None, all_neighbours(texts, slots(total))).start(), ROUNDS
+    low = 0.0
+    for rate, high in rounds:
+        model.w = averaged(texts, docs.sparkSession.sparkContext.broadcast(model), rate, low, high)
+        low = high
     return model
 
 
