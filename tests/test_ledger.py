@@ -266,3 +266,12 @@ def test_stretches_learn_ranges_of_entry_stock():
     two = ledger.Stretch()
     two.learn(0, 100, 42, 0, 20, None, None, None)  # an approval sets the stock
     assert two.settle(5000) and two.closing == 42
+
+
+def test_a_long_journal_has_more_stretches_than_asked_for(spark, monkeypatch):
+    """What one task sorts is bounded, however few partitions are asked for."""
+    monkeypatch.setattr(ledger, "STRETCH", 100)
+    seen = []
+    monkeypatch.setattr(ledger, "lay_out", lambda rows, keys, n=None, lay_out=ledger.lay_out: seen.append(n) or lay_out(rows, keys, n))
+    check(spark, {k: "25" for k in range(6)}, random_moves(31, 900, ("IN", "OUT", "OUT")), 4)
+    assert seen and min(seen) >= 9

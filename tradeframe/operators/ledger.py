@@ -407,7 +407,8 @@ def _posted(products: DataFrame, moves: DataFrame, asked: DataFrame | None, orde
         "*", F.lit(None).cast("bigint").alias("_before"), F.lit(None).cast("bigint").alias("_after"), F.lit(False).alias("accepted"))
     events, moves = events.filter("_product is not null"), moves.filter("_product is not null")
     if partitions:
-        found = _by_stretches(events.unionByName(openings, allowMissingColumns=True), keys, partitions, asked is not None)
+        # a task sorts a stretch, so there are more of them where the journal is long
+        found = _by_stretches(events.unionByName(openings, allowMissingColumns=True), keys, max(partitions, events.count() // STRETCH + 1), asked is not None)
         return found.filter("_opening is null").unionByName(nameless)
     days = _day_sums(moves, openings, order)
     kinds = days.groupBy("_product").agg(
@@ -458,7 +459,7 @@ def stock_ledger(products: DataFrame, movements: DataFrame, partitions: int | No
 
     IN, RETURN and ADJUSTMENT add; OUT and TRANSFER need enough stock. The sign of the
     quantity is not checked. ``most`` events of a product are one task's, a product with more is cut into
-    stretches; with ``partitions`` the whole journal is cut into that many."""
+    stretches; with ``partitions`` the whole journal is cut into that many, or into more of ``STRETCH`` events."""
     posted = _posted(products, _events(movements, order), None, order, partitions, most)
     hundredth = F.lit("0.01").cast("decimal(3,2)")
     moved = posted.filter("accepted and _approved").groupBy(F.col("_product").alias("_moved_product")).agg(
