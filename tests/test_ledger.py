@@ -275,3 +275,21 @@ def test_a_long_journal_has_more_stretches_than_asked_for(spark, monkeypatch):
     monkeypatch.setattr(ledger, "lay_out", lambda rows, keys, n=None, lay_out=ledger.lay_out: seen.append(n) or lay_out(rows, keys, n))
     check(spark, {k: "25" for k in range(6)}, random_moves(31, 900, ("IN", "OUT", "OUT")), 4)
     assert seen and min(seen) >= 9
+
+
+def test_products_that_are_folded_are_shuffled_once(spark):
+    """Where a product runs out and none has to be cut, no sums are made and the journal's plan has one exchange."""
+    moves = random_moves(41, 600, ("IN", "OUT", "OUT")) + [(9_001, "IN", None, D("1"), DAY, True)]
+    result = stock_ledger(products(spark, {k: "5" for k in range(6)}), spark.createDataFrame(moves, MOVES))
+    plan = result.journal._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    check(spark, {k: "5" for k in range(6)}, moves, None)
+
+
+def test_requests_are_matched_without_an_aggregation(spark):
+    """The first open request of a movement is found where the join has put its requests."""
+    moves = [(1, "IN", 1, D("5"), DAY, False), (2, "OUT", 1, D("1"), DAY, True)]
+    asked = [(i, m, dt.datetime.combine(DAY, dt.time(12 - i))) for i, m in enumerate([1, 1, 2, None, 77])]
+    matched = ledger._matched(spark.createDataFrame(moves, MOVES), spark.createDataFrame(asked, ASKED), ("movement_date", "id"), None, None)
+    assert "Aggregate" not in matched._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["_sets"] for r in matched.collect()} == {0: None, 1: 1, 2: None, 3: None, 4: None}

@@ -126,17 +126,17 @@ def requests(db):
     """Approval requests in time: one for every movement, from a day to three weeks after it (one of a
     large quantity waits longer); movements of warehouse WH-A are asked for twice, and for each return
     there is a request that names no movement."""
-    rows = db["stock_movements"]
-
-    def asked(some, number, movement, days):
-        return some.select((F.col("id") * 4 + number).alias("id"), movement.alias("movement_id"),
-                           F.date_add("movement_date", days).cast("timestamp_ntz").alias("approved_at"))
+    def asked(number, movement, days, when=None):
+        row = F.struct((F.col("id") * 4 + number).alias("id"), movement.alias("movement_id"),
+                       F.date_add("movement_date", days).cast("timestamp_ntz").alias("approved_at"))
+        return row if when is None else F.when(when, row)
 
     days = (F.abs("quantity") % 20 + 1).cast("int")
-    first = asked(rows, 1, F.col("id"), days)
-    again = asked(rows.filter("warehouse = 'WH-A'"), 2, F.col("id"), days + 9)
-    unknown = asked(rows.filter("movement_type = 'RETURN'"), 3, -F.col("id"), days)
-    return first.unionAll(again).unionAll(unknown)
+    # all requests of a movement from one reading of it
+    each = F.array(asked(1, F.col("id"), days), asked(2, F.col("id"), days + 9, F.col("warehouse") == "WH-A"),
+                   asked(3, -F.col("id"), days, F.col("movement_type") == "RETURN"))
+    rows = db["stock_movements"].select("id", "movement_type", "movement_date", "quantity", "warehouse")
+    return rows.select(F.explode(each).alias("_asked")).filter("_asked is not null").select("_asked.*")
 
 
 def _approvals_sql(slice_of_movement: str, slice_of_request: str) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeframe.operators.ledger import ledger_with_approvals, stock_ledger
-from tradeframe.session import cut
+from tradeframe.session import stored
 from tradeframe.streaming.alerts import low_stock_crossings
 
 APPROVE = "APPROVE"
@@ -67,7 +67,7 @@ class LedgerBatches:
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         approvals = "approves" in batch.columns
         if approvals:
-            self._with_approvals(cut(batch), epoch)
+            self._with_approvals(stored(batch, "batch"), epoch)
         else:
             self._movements(batch, epoch)
         if self.levels is not None:
