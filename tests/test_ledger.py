@@ -286,6 +286,17 @@ def test_products_that_are_folded_are_shuffled_once(spark):
     check(spark, {k: "5" for k in range(6)}, moves, None)
 
 
+def test_a_product_that_comes_twice_is_not_folded_at_once(spark):
+    def at_once(stock, most=100):
+        rows = spark.createDataFrame([(k, D(v)) for k, v in stock], "id long, quantity_in_stock decimal(10,2)")
+        moves = spark.createDataFrame([(1, "OUT", 1, D("5"), DAY, True), (2, "IN", 2, D("5"), DAY, True), (3, "OUT", 7, D("5"), DAY, True)], MOVES)
+        return ledger._folded_at_once(ledger._events(moves, ("movement_date", "id")), None, ledger._openings(rows), most)
+
+    assert at_once([(1, "2"), (2, "1")]) and not at_once([(1, "2"), (2, "1")], most=0)
+    assert not at_once([(1, "2"), (2, "1"), (2, "1")])
+    assert not at_once([(1, "5"), (2, "1")])
+
+
 def test_requests_are_matched_without_an_aggregation(spark):
     """The first open request of a movement is found where the join has put its requests."""
     moves = [(1, "IN", 1, D("5"), DAY, False), (2, "OUT", 1, D("1"), DAY, True)]

@@ -413,16 +413,17 @@ def _by_sums(moves: DataFrame, days: DataFrame, order: tuple[str, ...]) -> DataF
 
 def _folded_at_once(moves: DataFrame, asked: DataFrame | None, openings: DataFrame, most: int) -> bool:
     """Whether no product has to be cut and some have to be folded: those with requests, and those whose movements
-    take more in all than was there."""
+    take more in all than was there. Rows of a product that comes twice are left to the other ways."""
     narrow = moves.select("_product", F.when(F.col("_approved"), F.col("_effect") * F.col("_units")).otherwise(0).alias("_change"), F.lit(False).alias("_asked"))
     if asked is not None:
         narrow = narrow.union(asked.select("_product", F.lit(0).cast("bigint"), F.lit(True)))
     # the opening is a row among the others, which saves a join
     narrow = narrow.withColumn("_event", F.lit(1)).union(openings.select("_product", "_opening", F.lit(False), F.lit(0)))
     each = narrow.filter("_product is not null").groupBy("_product").agg(
-        F.sum("_event").alias("n"), F.sum("_change").alias("left"), F.bool_or("_asked").alias("asked"), F.min("_event").alias("least"))
-    found = each.agg(F.max("n").alias("n"), F.bool_or(F.col("asked") | ((F.col("left") < 0) & (F.col("least") == 0))).alias("folds")).first()
-    return bool(found["folds"]) and found["n"] <= most
+        F.sum("_event").alias("n"), F.sum("_change").alias("left"), F.bool_or("_asked").alias("asked"), F.sum(1 - F.col("_event")).alias("openings"))
+    found = each.agg(F.max("n").alias("n"), F.max("openings").alias("openings"),
+                     F.bool_or(F.col("asked") | ((F.col("left") < 0) & (F.col("openings") > 0))).alias("folds")).first()
+    return bool(found["folds"]) and found["n"] <= most and found["openings"] <= 1
 
 
 def _posted(products: DataFrame, moves: DataFrame, asked: DataFrame | None, order: tuple[str, ...], partitions: int | None, most: int,
@@ -547,7 +548,8 @@ def ledger_with_approvals(products: DataFrame, movements: DataFrame, approvals:
         "id", "_movement", "_here", "_there", "_product", F.lit(1).alias("_rank"), "_time", F.lit(1).alias("_kind"), F.lit(0).alias("_effect"),
         F.lit(0).cast("bigint").alias("_units"), F.lit(False).alias("_approved"), F.lit(None).cast("bigint").alias("_opening"),
         F.lit(None).cast("bigint").alias("_own"), "_sets", "_value")
-    posted = stored(_posted(products, moves, requests, order, partitions, most, plain), "posted")
+    done_with = ("_rank", "_opening", "_own", "_sets", "_value", "_units")
+    posted = stored(_posted(products, moves, requests, order, partitions, most, plain).drop(*done_with), "posted")
     made, decided = posted.filter("_kind = 0"), posted.filter("_kind = 1")
     recorded = made.filter("accepted").select(F.col("id").alias("_r"), F.lit(True).alias("_recorded"))
     there = F.col("_there") & (~F.col("_here") | F.col("_recorded").isNotNull())
