@@ -57,6 +57,8 @@ OWN, POOL = 8_000, 192
 WARM = 12_000
 #: Learning rates of the rounds in which workers fit the weights, and how much of all windows each round ends at.
 ROUNDS = ((0.01, 1 / 16), (0.01, 1 / 8), (0.01, 1 / 4), (0.01, 1 / 2), (0.01, 1.0))
+#: A corpus of fewer windows than this is passed over more than once, at most ``PASSES`` times.
+MANY, PASSES = 100_000, 4
 #: The only round of a small corpus, whose weights are warm.
 ONE_ROUND = ((0.01, 1.0),)
 #: Characters of text that one worker fits on, about; and rows of weights that one task averages.
@@ -490,7 +492,7 @@ def classed(total: np.ndarray, begins: np.ndarray, windows: np.ndarray | None, n
     return Model(place, begins.astype(np.int64), group, share)
 
 
-def averaged(texts: DataFrame, model, rate: float, low: float = 0.0, high: float = 1.0) -> dict[str, np.ndarray]:
+def averaged(texts: DataFrame, model, rate: float, low: float = 0.0, high: float = 1.0, passes: int = 1) -> dict[str, np.ndarray]:
     """The mean of the weights that workers reach on their own windows of a round, by number of windows. ``FAN`` rows of
     weights meet in a task, step by step, until no more than that are left for the driver."""
     names = list(model.value.w)
@@ -500,7 +502,7 @@ def averaged(texts: DataFrame, model, rate: float, low: float = 0.0, high: float
         ids = in_round(windows_of(rows.column("ids").to_pylist(), len(model.value.place)), low, high)
         if not len(ids):
             return nothing
-        w = fitted(model.value, ids, 1, rate, rows.column("worker")[0].as_py())
+        w = fitted(model.value, ids, passes, rate, rows.column("worker")[0].as_py())
         flat = np.concatenate([w[k].ravel() for k in names]).astype(np.float32)
         return pa.table({"part": rows.column("worker").slice(0, 1), "n": pa.array([len(ids)], pa.int64()), "w": pa.array([flat.tobytes()], pa.binary())})
 
@@ -532,7 +534,8 @@ def averaged(texts: DataFrame, model, rate: float, low: float = 0.0, high: float
 def trained(docs: DataFrame, counts: DataFrame, vocabulary) -> Model:
     texts = kept(training_texts(docs, vocabulary), "lm-texts")
     total, begins, size = subword_counts(counts, vocabulary), starts_word(vocabulary.value), size_of(vocabulary.value)
-    if window_count(texts, size) <= WARM:
+    windows, passes = window_count(texts, size), 1
+    if windows <= WARM:
         ids = warm_windows(texts, size, WARM)
         model = classed(total, begins, ids).start()
         if not len(ids):
@@ -540,9 +543,10 @@ def trained(docs: DataFrame, counts: DataFrame, vocabulary) -> Model:
         model.w, rounds = fitted(model, ids, 3, 0.01, 1), ONE_ROUND
     else:
         model, rounds = classed(total, begins, None, all_neighbours(texts, slots(total))).start(), ROUNDS
+        passes = min(PASSES, -(-MANY // windows))
     low = 0.0
     for rate, high in rounds:
-        model.w = averaged(texts, docs.sparkSession.sparkContext.broadcast(model), rate, low, high)
+        model.w = averaged(texts, docs.sparkSession.sparkContext.broadcast(model), rate, low, high, passes)
         low = high
     return model
 
