@@ -112,3 +112,20 @@ def test_evidence_by_hand():
     one, two, long = model.evidence([[b"bad", b"bath", b"b", b"okay"], [], [b"ok"] * 100_000 + [b"bad"]])
     assert one == pytest.approx([np.log(5), np.log(1 + 400 / 24), 7 / 3, 6 / 4]) and not two.any()
     assert long[1] == pytest.approx(np.log1p(350 / 100_021)) and long[2] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("shift", [(0, 0, 0, 0), (3, -1, 4, 0), (-6, 5, 8, -3), (0.5, 12, -7, 9)])
+@pytest.mark.parametrize("scale", [0.3, 1, 4])
+def test_the_curve_settles_wherever_the_evidence_lies(shift, scale):
+    rng = np.random.default_rng(1)
+    toxic = (np.arange(2400) % 2).astype(float)
+    evidence = rng.normal(0, [0.9, 0.4, 1.1, 0.2], (2400, 4)) + np.outer(toxic, [2.6, 2.2, 6.9, 0.2])
+    weight = np.where(toxic == 1, 0.2, 1.8)
+    moved = scale * evidence + np.array(shift)
+    w = toxicity.curve(moved, toxic, weight)
+    score = 1 / (1 + np.exp(-np.clip(w[0] + moved @ w[1:], -30, 30)))
+    assert (score[toxic == 1] >= toxicity.THRESHOLD).mean() >= 0.98
+    assert (score[toxic == 0] < toxicity.THRESHOLD).mean() >= 0.98
+    x = np.column_stack([np.ones(len(moved)), moved])
+    slope = x.T @ (weight * (toxic - 1 / (1 + np.exp(-x @ w)))) - 1e-2 * w * (np.arange(5) > 0)
+    assert np.abs(slope).max() < 1e-4

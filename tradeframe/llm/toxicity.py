@@ -182,15 +182,31 @@ def learned(some: list[bytes], count: np.ndarray) -> Model:
 
 
 def curve(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of a logistic curve (a constant and the columns ``EVIDENCE``), by Newton steps."""
-    x = np.column_stack([np.ones(len(evidence)), evidence])
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (toxic - p)) - 1e-2 * w * (np.arange(len(w)) > 0)
-        bend = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag([1e-6, *[1e-2] * (len(w) - 1)])
-        w = w + np.clip(np.linalg.solve(bend, slope), -5, 5)
-    return w
+    """Weights of a logistic curve (a constant and the columns ``EVIDENCE``), by Newton steps on the penalised
+    loss. It is convex, and a step is halved until it lowers it: so the steps settle wherever the evidence lies."""
+    middle = evidence.mean(axis=0)
+    x = np.column_stack([np.ones(len(evidence)), evidence - middle])
+    w, ridge = np.zeros(x.shape[1]), np.array([0.0, *[1e-2] * evidence.shape[1]])
+
+    def loss(w: np.ndarray) -> float:
+        line = x @ w
+        return (weight * (np.logaddexp(0, line) - toxic * line)).sum() + (ridge * w**2).sum() / 2
+
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (weight * (toxic - p)) - ridge * w
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        step = np.linalg.solve(bend, slope)
+        gain = slope @ step
+        if gain < 1e-9:  # less than the loss can tell
+            w = w + step
+            break
+        while gain > 1e-12 and loss(w + step) > now - 1e-4 * gain:
+            step, gain = step / 2, gain / 2
+        w = w + step
+        now = loss(w)
+    return np.r_[w[0] - middle @ w[1:], w[1:]]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
