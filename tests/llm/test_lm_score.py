@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tradeframe.llm import lm_score
 from tradeframe.llm.queries import vocabulary_path
@@ -223,3 +224,48 @@ def test_scores_of_whole_texts_by_the_forward_pass(spark, monkeypatch):
     for i, text in rows[:-1]:
         assert found[i] == pytest.approx(plain_score(fixed, text, content), rel=1e-4, abs=1e-3), i
     assert math.isfinite(found[6]) and found[6] < found[4]  # a very long text
+
+
+def test_texts_are_dealt_once(spark, monkeypatch):
+    """A partition has one worker's texts, a block is in one partition, and no round of fitting shuffles texts again."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50} of text{i}" for k in range(60)), held(i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    with open(PATH, "rb") as file:
+        vocabulary = spark.sparkContext.broadcast(file.read())
+    monkeypatch.setattr(lm_score, "PER_WORKER", 8_000)
+    found = lm_score.dealt(docs, vocabulary, 2_000).withColumn("partition", F.spark_partition_id()).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(60))
+    workers, blocks = {}, {}
+    for r in found:
+        workers.setdefault(r["partition"], set()).add(r["worker"])
+        blocks.setdefault(r["block"], set()).add(r["partition"])
+    assert len(workers) > 3 and all(len(w) == 1 for w in workers.values()) and all(len(p) == 1 for p in blocks.values())
+    texts = lm_score.cut(lm_score.dealt(docs, vocabulary, 2_000).select("worker", "ids"))
+    size = lm_score.size_of(vocabulary.value)
+    model = lm_score.classed(np.ones(size), lm_score.starts_word(vocabulary.value), lm_score.windows_of([bytes(r["ids"]) for r in texts.collect()], size)).start()
+
+    def again(*_):
+        raise AssertionError("texts are shuffled")
+
+    monkeypatch.setattr(type(texts), "repartition", again)
+    monkeypatch.setattr(type(texts), "groupBy", again)
+    w = lm_score.averaged(texts, 1 + max(r["worker"] for r in found), spark.sparkContext.broadcast(model), 0.01)
+    assert all(np.isfinite(x).all() for x in w.values()) and (w["Q"] != model.w["Q"]).any()
+
+
+def test_words_from_ids():
+    """Words, their order and their numbers come back from the ids, whatever the texts' order."""
+    with open(PATH, "rb") as file:
+        content = file.read()
+    texts = ["The cat sat on the mat", None, "", "a\u3000b \u3000c A the", "x" * 300 + " y the", "Ünïcödé  日本語 <|endoftext|> 'll"]
+    kind = lm_score.id_type(lm_score.size_of(content))
+    both = []
+    for some in (texts, texts[::-1]):
+        ids, size, per_text = lm_score.Texts(some).subwords(content)
+        found = lm_score.Encoded([x.astype(kind).tobytes() for x in np.split(ids, np.cumsum(per_text)[:-1])], content)
+        words = [(t or "").encode().translate(lm_score.LOWER).split() for t in some]
+        different = found.words()
+        assert [different[i] for i in found.code] == [w for line in words for w in line]
+        assert found.count.tolist() == list(map(len, words)) and found.size.tolist() == size.tolist()
+        both.append(different)
+    assert both[0] == both[1] and len(set(both[0])) == found.kinds

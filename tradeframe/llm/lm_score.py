@@ -19,7 +19,8 @@ Score: ``score`` and ``attention_score`` are the attention model's log-probabili
 of word counts it has only the subwords' shares of their classes. ``base_score`` are the corpus's word
 counts, smoothed by one, to compare with.
 
-The counts a block of documents needs are asked for once per different word, joined by word, and
+Texts are encoded once, dealt once to blocks and workers and kept as ids, from which words, windows and scores are
+made. The counts a block of documents needs are asked for once per different word, joined by word, and
 returned to the block. Nothing that grows with the input is broadcast or collected.
 
 Rows: a null or empty text has one token, the end. A null ``doc_id`` is training data; repeated rows
@@ -37,12 +38,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeframe.llm.blocks import in_blocks
-from tradeframe.llm.common import extended, few, in_fold, kept, slices
-from tradeframe.llm.substring_dedup import Words
+from tradeframe.llm.common import extended, in_fold, kept, part_count, slices
+from tradeframe.llm.substring_dedup import Words, mixed
+from tradeframe.session import cut
 
 CONTEXT, STRIDE = 16, 48
 WIDTH, HIDDEN = 32, 64
@@ -61,7 +63,7 @@ ROUNDS = ((0.01, 1 / 16), (0.01, 1 / 8), (0.01, 1 / 4), (0.01, 1 / 2), (0.01, 1.
 MANY, PASSES = 100_000, 4
 #: The only round of a small corpus, whose weights are warm.
 ONE_ROUND = ((0.01, 1.0),)
-#: Characters of text that one worker fits on, about; and rows of weights that one task averages.
+#: Characters of the texts of one worker, about; and how many weights one task averages at most, its own workers' or others'.
 PER_WORKER = 5_000_000
 FAN = 32
 BLOCK = 5_000_000
@@ -142,8 +144,11 @@ SCALE = np.float32(WIDTH**-0.5)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+    """In the place of ``x``."""
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
 
 
 def forward(w: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
@@ -152,7 +157,10 @@ def forward(w: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
     x = w["E"][rows]
     xq = x[:, CONTEXT - 1 :]
     q, k, v = xq @ w["Q"], x @ w["K"], x @ w["V"]
-    a = softmax(q @ k.transpose(0, 2, 1) * SCALE + w["P"] + MASK)
+    a = q @ k.transpose(0, 2, 1)
+    a *= SCALE
+    a += w["P"] + MASK
+    a = softmax(a)
     c = a @ v
     z = xq + c @ w["O"]
     r = np.maximum(z @ w["W1"] + w["b1"], 0)
@@ -192,11 +200,9 @@ def gradients(w: dict[str, np.ndarray], rows: np.ndarray, side: np.ndarray, targ
     g |= {"Q": flat(xq).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv)}
     dx = dk @ w["K"].T + dv @ w["V"].T
     dx[:, CONTEXT - 1 :] += dz + dq @ w["Q"].T
-    g["E"] = np.zeros_like(w["E"])
-    order = np.argsort(rows, axis=None, kind="stable")
-    own = rows.ravel()[order]
-    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    g["E"][own[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
+    d = w["E"].shape[1]
+    at = (rows.reshape(-1, 1) * d + np.arange(d)).ravel()
+    g["E"] = np.bincount(at, dx.ravel(), w["E"].size).reshape(-1, d).astype(w["E"].dtype)
     return g, float(loss) / n
 
 
@@ -214,9 +220,16 @@ def fitted(model: Model, windows: np.ndarray, epochs: int, rate: float, seed: in
             step += 1
             now = rate * (1 - 0.9 * step / steps)
             for k in w:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-                w[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                m[k] *= 0.9
+                m[k] += 0.1 * g[k]
+                s[k] *= 0.99
+                g[k] *= g[k]
+                s[k] += np.multiply(g[k], 0.01, out=g[k])
+                change = np.sqrt(np.divide(s[k], 1 - 0.99**step, out=g[k]), out=g[k])
+                change += 1e-6
+                np.divide(m[k], change, out=change)
+                change *= now / (1 - 0.9**step)
+                w[k] -= change
     return w
 
 
@@ -316,14 +329,49 @@ class Texts:
         return ids, n, total[edges[1:]] - total[edges[:-1]]
 
 
-def counted(table: pa.Table) -> pa.Table:
-    """A block's different words, with their number in its training texts."""
-    texts = Texts(table.column("text").to_pylist())
-    train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-    n = np.bincount(texts.code[np.repeat(train, texts.count)], minlength=len(texts.words))
-    n = np.r_[n, train.sum()].astype(np.int32)
-    block = table.column("block")[0].as_py()
-    return pa.table([pa.array(np.full(len(n), block, np.int32)), pa.array([*texts.words, END], pa.binary()), pa.array(n)], names=["block", "word", "n"])
+class Encoded:
+    """Texts given by their ids (in bytes, see ``id_type``): the numbers of words and of ids of each text, and of each word its
+    number of ids and its place among the ``kinds`` different words. These are told apart, and put in order, by a
+    64-bit hash, so the same texts in another order number them alike."""
+
+    def __init__(self, texts: list[bytes], content: bytes) -> None:
+        kind = id_type(size_of(content))
+        self.made, begins = encoder(content)
+        self.ids = np.frombuffer(b"".join(texts), kind).astype(np.int32)
+        self.ids_per_text = np.array([len(t) for t in texts], np.int64) // np.dtype(kind).itemsize
+        at = np.flatnonzero(begins[self.ids])
+        self.count = np.diff(np.searchsorted(at, np.r_[0, np.cumsum(self.ids_per_text)])).astype(np.int64)
+        self.size = np.diff(np.r_[at, len(self.ids)])
+        inside = np.arange(len(self.ids)) - np.repeat(at, self.size)
+        up = np.cumprod(np.full(int(self.size.max(initial=0)) + 1, FACTORS[2]), dtype=np.uint64)
+        term = mixed(self.ids.astype(np.uint64) + FACTORS[3]) * up[inside]
+        different, first, self.code = np.unique(mixed(np.add.reduceat(term, at)) if len(at) else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
+        self.kinds, self.first = len(different), at[first]
+        self.length = self.size[first]
+
+    def words(self) -> list[bytes]:
+        """The different words, in order."""
+        return [self.made.decode_bytes(self.ids[a : a + n].tolist())[1:] for a, n in zip(self.first.tolist(), self.length.tolist())]
+
+
+def block_words(rows: DataFrame, vocabulary) -> DataFrame:
+    """The different words of each block, the end last, with their places and their number in its training texts. ``rows``
+    are dealt: a block is in one task."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if len(b)]
+        if not whole:
+            return
+        table = pa.Table.from_batches(whole)
+        block = table.column("block").to_numpy()
+        for number in np.unique(block):
+            own = table.take(np.flatnonzero(block == number))
+            texts = Encoded(own.column("ids").to_pylist(), vocabulary.value)
+            train = ~own.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            n = np.r_[np.bincount(texts.code[np.repeat(train, texts.count)], minlength=texts.kinds), train.sum()].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), number, np.int32)), pa.array(np.arange(len(n), dtype=np.int32)),
+                                              pa.array([*texts.words(), END], pa.binary()), pa.array(n)], names=["block", "at", "word", "n"])
+
+    return rows.select("block", "held_out", "ids").mapInArrow(work, "block int, at int, word binary, n int")
 
 
 def subword_counts(counts: DataFrame, vocabulary) -> np.ndarray:
@@ -345,21 +393,29 @@ def subword_counts(counts: DataFrame, vocabulary) -> np.ndarray:
     return total
 
 
-def training_texts(docs: DataFrame, vocabulary) -> DataFrame:
-    """``worker`` and ``ids`` (in bytes, see ``id_type``) of every training text. Workers are as many as the
-    characters need, however long single texts are."""
-    chosen = docs.filter(~F.col("held_out"))
-    workers = (chosen.agg(F.sum(F.char_length("text"))).first()[0] or 0) // PER_WORKER + 1
-    rows = chosen.select("text", F.pmod(F.xxhash64("doc_id", "text", F.lit("worker")), F.lit(workers)).cast("int").alias("worker"))
+def dealt(docs: DataFrame, vocabulary, block: int = BLOCK) -> DataFrame:
+    """``doc_id``, ``held_out``, ``block``, ``worker`` and ``ids`` (in bytes, see ``id_type``) of every text. Blocks have about
+    ``block`` characters, and a worker as many blocks as it takes; a partition has one worker's texts, however long single ones are."""
+    total = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    blocks, each = total // block + 1, max(1, PER_WORKER // block)
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    rows = docs.select("doc_id", "held_out", number.alias("block"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = id_type(size_of(vocabulary.value))
         for part in slices(batches, "text"):
             ids, _, per_text = Texts(part.column("text").to_pylist()).subwords(vocabulary.value)
-            each = np.split(ids.astype(kind), np.cumsum(per_text)[:-1])
-            yield pa.RecordBatch.from_arrays([part.column("worker"), pa.array([x.tobytes() for x in each], pa.binary())], names=["worker", "ids"])
+            texts = np.split(ids.astype(kind), np.cumsum(per_text)[:-1])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "block")), pa.array([x.tobytes() for x in texts], pa.binary())],
+                                             names=["doc_id", "held_out", "block", "ids"])
 
-    return rows.mapInArrow(work, "worker int, ids binary")
+    found = rows.mapInArrow(work, extended(rows.drop("text").schema, "ids binary")).withColumn("worker", F.floor(F.col("block") / each).cast("int"))
+    return found.repartitionById((blocks - 1) // each + 1, "worker")
+
+
+def training_texts(docs: DataFrame, vocabulary) -> DataFrame:
+    """``worker`` and ``ids`` of every training text, dealt by worker."""
+    return dealt(docs, vocabulary).filter(~F.col("held_out")).select("worker", "ids")
 
 
 def id_type(size: int) -> type:
@@ -440,14 +496,14 @@ def slots(total: np.ndarray) -> np.ndarray:
 def neighbours(windows: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """How often each id has each sign in its window."""
     near = np.zeros((len(slot), SIGNS), np.int64)
-    for i in range(0, len(windows), 4096):
-        part = windows[i : i + 4096]
+    for i in range(0, len(windows), 256):
+        part = windows[i : i + 256]
         row, column = np.nonzero(slot[part] >= 0)
-        seen = np.bincount(row * SIGNS + slot[part][row, column], minlength=len(part) * SIGNS).reshape(-1, SIGNS).astype(np.int32)
-        order = np.argsort(part, axis=None, kind="stable")
-        own = part.ravel()[order]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        near[own[first]] += np.add.reduceat(seen[order // part.shape[1]], first, axis=0)
+        seen = np.bincount(row * SIGNS + slot[part][row, column], minlength=len(part) * SIGNS).reshape(-1, SIGNS).astype(np.float32)
+        own, code = np.unique(part, return_inverse=True)
+        at = np.arange(len(part))[:, None] * len(own) + code.reshape(part.shape)
+        times = np.bincount(at.ravel(), minlength=len(part) * len(own)).reshape(-1, len(own)).astype(np.float32)
+        near[own] += (times.T @ seen).astype(np.int64)  # exact: far below 2**24
     return near
 
 
@@ -492,19 +548,24 @@ def classed(total: np.ndarray, begins: np.ndarray, windows: np.ndarray | None, n
     return Model(place, begins.astype(np.int64), group, share)
 
 
-def averaged(texts: DataFrame, model, rate: float, low: float = 0.0, high: float = 1.0, passes: int = 1) -> dict[str, np.ndarray]:
-    """The mean of the weights that workers reach on their own windows of a round, by number of windows. ``FAN`` rows of
-    weights meet in a task, step by step, until no more than that are left for the driver."""
+def averaged(texts: DataFrame, workers: int, model, rate: float, low: float = 0.0, high: float = 1.0, passes: int = 1) -> dict[str, np.ndarray]:
+    """The mean of the weights that workers reach on their own windows of a round, by number of windows. A task takes up to
+    ``FAN`` workers, one after the other, and hands on one row; ``FAN`` rows meet in a task, step by step, until no more
+    than that are left for the driver."""
     names = list(model.value.w)
-    nothing = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("w", pa.binary())]).empty_table()
+    schema = "part int, n long, w binary"
 
-    def fit(rows: pa.Table) -> pa.Table:
-        ids = in_round(windows_of(rows.column("ids").to_pylist(), len(model.value.place)), low, high)
-        if not len(ids):
-            return nothing
-        w = fitted(model.value, ids, passes, rate, rows.column("worker")[0].as_py())
-        flat = np.concatenate([w[k].ravel() for k in names]).astype(np.float32)
-        return pa.table({"part": rows.column("worker").slice(0, 1), "n": pa.array([len(ids)], pa.int64()), "w": pa.array([flat.tobytes()], pa.binary())})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for worker, ids in by_worker(batches):
+            windows = in_round(windows_of(ids, len(model.value.place)), low, high)
+            if len(windows):
+                w = fitted(model.value, windows, passes, rate, worker)
+                total = total + len(windows) * np.concatenate([w[k].ravel() for k in names]).astype(float)
+                n += len(windows)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()),
+                                              pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["part", "n", "w"])
 
     def mean(rows: pa.Table) -> pa.Table:
         n = np.array(rows.column("n").to_pylist(), float)
@@ -512,12 +573,11 @@ def averaged(texts: DataFrame, model, rate: float, low: float = 0.0, high: float
         return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()),
                          "w": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
-    workers = (texts.agg(F.max("worker")).first()[0] or 0) + 1
-    # dealt by hand: AQE would put many workers into a task, as their texts are small
-    fits = texts.repartition(workers, "worker").groupBy("worker").applyInArrow(fit, "part int, n long, w binary")
-    while workers > FAN:
-        workers = -(-workers // FAN)
-        fits = fits.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("part").applyInArrow(mean, "part int, n long, w binary")
+    tasks = task_count(texts, workers)
+    fits = texts.coalesce(tasks).mapInArrow(work, schema)
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        fits = fits.withColumn("part", (F.col("part") / FAN).cast("int")).groupBy("part").applyInArrow(mean, schema)
     parts = fits.collect()
     if not parts:
         return model.value.w
@@ -531,8 +591,29 @@ def averaged(texts: DataFrame, model, rate: float, low: float = 0.0, high: float
     return out
 
 
-def trained(docs: DataFrame, counts: DataFrame, vocabulary) -> Model:
-    texts = kept(training_texts(docs, vocabulary), "lm-texts")
+def by_worker(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The ids of all texts of one worker after the other; the rows of each follow each other."""
+    now, ids = None, []
+    for batch in batches:
+        for worker, text in zip(batch.column("worker").to_pylist(), batch.column("ids").to_pylist()):
+            if worker != now and ids:
+                yield now, ids
+                ids = []
+            now = worker
+            ids.append(text)
+    if ids:
+        yield now, ids
+
+
+def task_count(texts: DataFrame, workers: int) -> int:
+    """Tasks for the texts of all workers: some for each core, and no more than ``FAN`` workers in one."""
+    return min(workers, max(4 * texts.sparkSession.sparkContext.defaultParallelism, -(-workers // FAN)))
+
+
+def trained(docs: DataFrame, counts: DataFrame, vocabulary, texts: DataFrame | None = None) -> Model:
+    """The model of ``texts``, which are the training texts of ``docs`` where they were not dealt before."""
+    texts = cut(training_texts(docs, vocabulary)) if texts is None else texts
+    workers = (texts.agg(F.max("worker")).first()[0] or 0) + 1
     total, begins, size = subword_counts(counts, vocabulary), starts_word(vocabulary.value), size_of(vocabulary.value)
     windows, passes = window_count(texts, size), 1
     if windows <= WARM:
@@ -542,11 +623,11 @@ def trained(docs: DataFrame, counts: DataFrame, vocabulary) -> Model:
             return model
         model.w, rounds = fitted(model, ids, 3, 0.01, 1), ONE_ROUND
     else:
-        model, rounds = classed(total, begins, None, all_neighbours(texts, slots(total))).start(), ROUNDS
+        model, rounds = classed(total, begins, None, all_neighbours(texts.coalesce(task_count(texts, workers)), slots(total))).start(), ROUNDS
         passes = min(PASSES, -(-MANY // windows))
     low = 0.0
     for rate, high in rounds:
-        model.w = averaged(texts, docs.sparkSession.sparkContext.broadcast(model), rate, low, high, passes)
+        model.w = averaged(texts, workers, docs.sparkSession.sparkContext.broadcast(model), rate, low, high, passes)
         low = high
     return model
 
@@ -558,42 +639,38 @@ def scored(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
     with open(path, "rb") as file:
         vocabulary = spark.sparkContext.broadcast(file.read())
     rows = docs.select("doc_id", "text", in_fold(F.col("doc_id"), 7, 2).alias("held_out"))
-    groups = in_blocks(rows, block).groupBy("block")
-    asked = kept(groups.applyInArrow(counted, "block int, word binary, n int"), "lm-block-words")
+    encoded = cut(dealt(rows, vocabulary, block))
+    asked = kept(block_words(encoded, vocabulary), "lm-block-words")
     counts = kept(asked.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "lm-words")
     found = counts.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n_kinds, n_all = found["kinds"], found["n"]
-    model = spark.sparkContext.broadcast(trained(rows, counts, vocabulary))
+    model = spark.sparkContext.broadcast(trained(rows, counts, vocabulary, encoded.filter(~F.col("held_out")).select("worker", "ids")))
     # a frequent word has a row per block here; AQE splits such a partition
-    answers = asked.select("block", "word").join(counts, "word").select("block", "word", "n")
+    answers = asked.select("block", "at", "word").join(counts, "word").select("block", "at", "n")
     schema = extended(rows.select("doc_id", "held_out").schema,
                       "n_tokens long, n_known long, train_tokens long, base_score double, score double, attention_score double")
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = Texts(docs.column("text").to_pylist())
-        row_of = {w: i for i, w in enumerate(answers.column("word").to_pylist())}
-        table = np.r_[answers.column("n").to_numpy(), 0].astype(np.int64)  # the last is for words without a count
-        own = table[[row_of.get(w, -1) for w in texts.words]]
+        texts = Encoded(docs.column("ids").to_pylist(), vocabulary.value)
+        n = np.zeros(texts.kinds + 1, np.int64)  # the last is the end; a word without a count has no answer
+        n[answers.column("at").to_numpy()] = answers.column("n").to_numpy()
         # each text's words, then its end
         length = texts.count + 1
         to = np.cumsum(length)
         at_end = np.zeros(int(length.sum()), bool)
         at_end[to - 1] = True
-        code = np.full(len(at_end), len(own))
+        code = np.full(len(at_end), texts.kinds)
         code[~at_end] = texts.code
-        n = np.r_[own, table[row_of.get(END, -1)]]
         per_text = lambda x: np.add.reduceat(x, to - length)
         base = np.log10((n + 1) / (n_all + n_kinds + 1))[code]
 
-        vocab = vocabulary.value
-        ids, size, ids_per_text = texts.subwords(vocab)
-        windows, wanted = laid_out(ids, ids_per_text, size_of(vocab) - 1)
+        windows, wanted = laid_out(texts.ids, texts.ids_per_text, size_of(vocabulary.value) - 1)
         # equal windows are predicted once, so equal texts have equal scores to the last digit
         different, same = np.unique(windows, axis=0, return_inverse=True)
         chosen, start = (x.reshape(-1, STRIDE)[same.ravel()].ravel()[wanted] for x in predicted(model.value, different))
         # the ids of one word (or the end) are consecutive; a word's end is the next one's start
         width = np.ones(len(code), np.int64)
-        width[~at_end] = size
+        width[~at_end] = texts.size
         first = np.cumsum(width) - width
         log_word = np.add.reduceat(chosen, first) - start[first]
         log_word[~at_end] += start[(first + width)[~at_end]]
@@ -602,4 +679,6 @@ def scored(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
                          pa.array(np.full(len(docs), n_all, np.int64)), pa.array(per_text(base)), pa.array(attention), pa.array(attention)],
                         names=schema.names)
 
-    return groups.cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    # dealt by hand: AQE would put many blocks into a task, as their ids are small
+    blocks = encoded.select("doc_id", "held_out", "block", "ids").repartition(part_count(spark), "block")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
