@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -125,6 +126,74 @@ def test_gradients(model):
             assert g[k][at] == pytest.approx((losses[0] - losses[1]) / 2e-4, abs=1e-4), k
 
 
+def plain_forward(w, rows):
+    """Attention as it is defined, a place at a time: keys and values of all ids before it, a softmax, the layers behind it."""
+    out = np.empty((len(rows), lm_score.STRIDE, w["E"].shape[1]))
+    for i, window in enumerate(rows):
+        x = w["E"][window]
+        for p in range(lm_score.STRIDE):
+            own, before = x[lm_score.CONTEXT - 1 + p], x[: lm_score.CONTEXT + p]
+            a = (before @ w["K"]) @ (own @ w["Q"]) * float(lm_score.SCALE) + w["P"][p, : len(before)]
+            z = own + lm_score.softmax(a) @ (before @ w["V"]) @ w["O"]
+            out[i, p] = z + np.maximum(z @ w["W1"] + w["b1"], 0) @ w["W2"]
+    return out
+
+
+@pytest.mark.parametrize("scale", [1, 12])
+def test_attention_as_defined(model, scale):
+    """Also where exp of the logits would leave the range of single precision: nothing is cut off there."""
+    ids = np.random.default_rng(8).integers(0, 400, (3, WINDOW)).astype(np.int32)
+    rows, side, group = sides(model, ids)
+    w = {k: v * np.float32(scale if k in ("E", "U", "P") else 1) for k, v in model.w.items()}
+    w["P"] = w["P"] + np.float32(scale - 1)
+    wide = {k: v.astype(np.float64) for k, v in w.items()}
+    u = plain_forward(wide, rows)
+    assert np.allclose(lm_score.forward(w, rows)[-1].reshape(u.shape), u, rtol=1e-3, atol=1e-3 * scale)
+    logits = np.where(side[..., None] == 1, *(u @ wide["U"][i] + wide["bU"][i] for i in (1, 0)))
+    if scale > 1:
+        assert logits.max() > 90
+    start = u @ wide["S"] + wide["bS"]
+    want = np.take_along_axis(np.log(lm_score.softmax(logits) + 1e-300), group[..., None], -1)[..., 0] - np.logaddexp(0, np.where(side == 1, -start, start))
+    fixed = lm_score.Model(model.place, model.side, model.group, model.share, w)
+    chosen, starts = lm_score.predicted(fixed, ids)
+    assert np.allclose(chosen, (want + model.share[ids[:, lm_score.CONTEXT :]]).ravel(), rtol=1e-3, atol=2e-2 * scale)
+    assert np.allclose(starts, np.maximum(-np.logaddexp(0, -start).ravel(), -60), rtol=1e-3, atol=2e-2 * scale)
+
+
+def test_gradients_in_pieces(model):
+    """Those of a batch are the mean of each window's, whatever the pieces, and a step holds the arrays of one piece at a time."""
+    w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    args = sides(model, np.random.default_rng(9).integers(0, 400, (2 * lm_score.PIECE + 3, WINDOW)))
+    g, loss = lm_score.gradients(w, *args)
+    each = [lm_score.gradients(w, *(x[i : i + 1] for x in args)) for i in range(len(args[0]))]
+    assert loss == pytest.approx(np.mean([one for _, one in each]))
+    for k in w:
+        assert np.allclose(g[k], np.mean([one[k] for one, _ in each], axis=0), atol=1e-9), k
+    peaks = []
+    for n in (64, 640):
+        args = sides(model, np.random.default_rng(9).integers(0, 400, (n, WINDOW)))
+        tracemalloc.start()
+        lm_score.gradients(model.w, *args)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0], peaks
+
+
+def test_steps_are_those_of_adam(model):
+    """Three steps of the textbook's, in double precision, from the same gradients."""
+    ids = np.random.default_rng(10).integers(0, 400, (150, WINDOW)).astype(np.int32)
+    found, w = lm_score.fitted(model, ids, 1, 0.01, 4), {k: v.astype(np.float64) for k, v in model.w.items()}
+    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    order = np.random.default_rng(4).permutation(len(ids))
+    for step in (1, 2, 3):
+        g, _ = lm_score.gradients(w, *sides(model, ids[order[64 * (step - 1) : 64 * step]]))
+        for k in w:
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * s[k] + 0.01 * g[k] ** 2
+            w[k] -= 0.01 * (1 - 0.9 * step / 3) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
+    for k in w:
+        assert np.abs(found[k] - w[k]).max() < 2e-3 and np.abs(found[k] - w[k]).mean() < 2e-5, k
+
+
 def test_fitting_lowers_the_loss(model):
     rng = np.random.default_rng(5)
     ids = (rng.integers(0, 5, (600, 1)) + np.arange(WINDOW) % 7).astype(np.int32)

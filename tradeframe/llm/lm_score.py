@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,6 +69,8 @@ FAN = 32
 BLOCK = 5_000_000
 #: Bytes of text that are split at once.
 PART = 1_000_000
+#: Windows whose gradients are taken at once, and weights that are changed at once: what a core's cache holds.
+PIECE, STRETCH = 16, 1 << 15
 END = b""
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -151,85 +153,153 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def exponents(logits: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A softmax before its division, which costs less where the rows are narrower: exp of each logit, the sums along the last
+    axis, and what was taken from the logits (0, or where exp leaves the range, for which they are made again, each row's greatest)."""
+    e = logits()
+    ones = np.ones(e.shape[-1], e.dtype)
+    with np.errstate(over="ignore"):
+        total = np.exp(e, out=e) @ ones
+    if total.min(initial=1) > 1e-20 and total.max(initial=1) < 1e20:
+        return e, total, np.zeros_like(total)
+    e = logits()
+    highest = e.max(axis=-1)
+    e -= highest[..., None]
+    return e, np.exp(e, out=e) @ ones, highest
+
+
+def keep_freed() -> None:
+    """Lets this process keep the memory of freed arrays (glibc keeps what is smaller than the largest array freed so
+    far); else each of the many short-lived ones is new memory, which costs a tenth to a sixth of the time."""
+    np.empty(24 << 20, np.uint8)
+
+
+def with_one(x: np.ndarray) -> np.ndarray:
+    """Each row with a 1 behind it, by which a matrix has its bias as the last row."""
+    return np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
+
+
 def forward(w: dict[str, np.ndarray], rows: np.ndarray) -> tuple:
     """All but the last id of each window attend to what is before them; what the last ``STRIDE`` of
-    these know about the next id is ``u``."""
-    x = w["E"][rows]
-    xq = x[:, CONTEXT - 1 :]
-    q, k, v = xq @ w["Q"], x @ w["K"], x @ w["V"]
-    a = q @ k.transpose(0, 2, 1)
-    a *= SCALE
-    a += w["P"] + MASK
-    a = softmax(a)
-    c = a @ v
-    z = xq + c @ w["O"]
-    r = np.maximum(z @ w["W1"] + w["b1"], 0)
-    u = z + r @ w["W2"]
-    return x, xq, q, k, v, a, c, z, r, u
+    these know about the next id is ``u``. In all but it places are one after the other, a row each. Keys and values are never made: what a
+    place asks is multiplied by ``Q K'``, and the mean of what it finds by ``V O``."""
+    d = w["E"].shape[1]
+    x = np.take(w["E"], rows, axis=0)
+    across = np.ascontiguousarray(x.transpose(0, 2, 1))
+    own = x[:, CONTEXT - 1 :].reshape(-1, d)
+    t = own @ (w["Q"] @ w["K"].T * SCALE)
+    bias = w["P"] + MASK
+
+    def logits() -> np.ndarray:
+        a = t.reshape(len(x), -1, d) @ across
+        a += bias
+        return a
+
+    a, total, _ = exponents(logits)
+    total = total.reshape(-1, 1)
+    c = (a @ x).reshape(-1, d)
+    c /= total
+    z = c @ (w["V"] @ w["O"])
+    z += own
+    z = with_one(z)
+    r = z @ np.concatenate([w["W1"], w["b1"][None]])
+    np.maximum(r, np.zeros_like(r), out=r)
+    u = r @ w["W2"]
+    u += z[:, :-1]
+    return x, across, own, t, a, total, c, z, r, u.reshape(len(x), -1, d)
 
 
 def gradients(w: dict[str, np.ndarray], rows: np.ndarray, side: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-    x, xq, q, k, v, a, c, z, r, u = forward(w, rows)
-    n = target.size
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    sure = 1 / (1 + np.exp(-(u @ w["S"] + w["bS"])))
-    loss = -np.log(np.where(side == 1, sure, 1 - sure) + 1e-9).sum()
-    ds = ((sure - side) / np.float32(n)).astype(u.dtype)  # else all of the way back is in doubles
-    g = {"S": flat(u).T @ ds.ravel(), "bS": ds.sum(keepdims=True).reshape(1), "U": np.zeros_like(w["U"]), "bU": np.zeros_like(w["bU"])}
-    du = ds[..., None] * w["S"]
-    for i in (0, 1):
-        of = side == i
-        p = softmax(u[of] @ w["U"][i] + w["bU"][i])
-        at = np.arange(len(p)), target[of]
-        loss -= np.log(p[at] + 1e-9).sum()
-        p[at] -= 1
-        p /= n
-        g["U"][i], g["bU"][i] = u[of].T @ p, p.sum(0)
-        du[of] += p @ w["U"][i].T
-    dr = (du @ w["W2"].T) * (r > 0)
-    g |= {"W2": flat(r).T @ flat(du), "W1": flat(z).T @ flat(dr), "b1": flat(dr).sum(0)}
-    dz = du + dr @ w["W1"].T
-    g["O"] = flat(c).T @ flat(dz)
-    dc = dz @ w["O"].T
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    g["P"] = ds.sum(0)
-    ds *= SCALE
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g |= {"Q": flat(xq).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv)}
-    dx = dk @ w["K"].T + dv @ w["V"].T
-    dx[:, CONTEXT - 1 :] += dz + dq @ w["Q"].T
-    d = w["E"].shape[1]
-    at = (rows.reshape(-1, 1) * d + np.arange(d)).ravel()
-    g["E"] = np.bincount(at, dx.ravel(), w["E"].size).reshape(-1, d).astype(w["E"].dtype)
+    """Those of the mean loss of all windows, summed over ``PIECE`` of them at a time, as much as fits a core's cache."""
+    n, d = target.size, w["E"].shape[1]
+    g, loss = {k: np.zeros_like(v) for k, v in w.items()}, 0.0
+    asks, gives = w["Q"] @ w["K"].T * SCALE, w["V"] @ w["O"]
+    classes, inner = np.concatenate([w["U"], w["bU"][:, None]], axis=1), np.concatenate([w["W1"], w["b1"][None]])
+    g_asks, g_gives, g_classes, g_inner = map(np.zeros_like, (asks, gives, classes, inner))
+    pairs = np.dtype(f"c{2 * w['E'].itemsize}")  # two numbers at once, as one complex number
+    for i in range(0, len(rows), PIECE):
+        x, across, own, t, a, total, c, z, r, u = forward(w, rows[i : i + PIECE])
+        shape, u = u.shape, u.reshape(-1, d)
+        # ids that go on with a word first, then those that start one
+        order = np.argsort(side[i : i + PIECE], axis=None, kind="stable")
+        aim, middle = target[i : i + PIECE].ravel()[order], len(order) - int(side[i : i + PIECE].sum())
+        known = with_one(u[order])
+        sure = 1 / (1 + np.exp(-(known[:, :-1] @ w["S"] + w["bS"])))
+        loss -= np.log(1 - sure[:middle] + 1e-9).sum() + np.log(sure[middle:] + 1e-9).sum()
+        sure[middle:] -= 1
+        sure /= n
+        g["S"] += sure @ known[:, :-1]
+        g["bS"] += sure.sum()
+        back = sure[:, None] * w["S"]
+        for j, of in ((0, slice(0, middle)), (1, slice(middle, None))):
+            p, sums, _ = exponents(lambda: known[of] @ classes[j])
+            at = np.arange(len(p)), aim[of]
+            loss -= np.log(p[at] / sums + 1e-9).sum()
+            p[at] -= sums
+            part = (1 / (sums * n))[:, None]
+            g_classes[j] += (known[of] * part).T @ p
+            back[of] += (p @ w["U"][j].T) * part
+        du = np.empty_like(u)
+        du[order] = back
+        dr = du @ w["W2"].T
+        dr *= r > 0
+        g["W2"] += r.T @ du
+        g_inner += z.T @ dr
+        dz = du
+        dz += dr @ w["W1"].T
+        g_gives += c.T @ dz
+        dc = dz @ gives.T
+        dc /= total
+        lost = np.einsum("ij,ij->i", dc, c)
+        dc = dc.reshape(shape)
+        da = dc @ across
+        da -= lost.reshape(len(x), -1, 1)
+        da *= a
+        g["P"] += da.sum(0)
+        dt = (da @ x).reshape(-1, d)
+        g_asks += own.T @ dt
+        dx = a.transpose(0, 2, 1) @ dc
+        dx += da.transpose(0, 2, 1) @ t.reshape(shape)
+        dz += dt @ asks.T
+        dx[:, CONTEXT - 1 :] += dz.reshape(shape)
+        at = (rows[i : i + PIECE].reshape(-1, 1) * (d // 2) + np.arange(d // 2)).ravel()
+        np.add.at(g["E"].reshape(-1).view(pairs), at, dx.reshape(-1).view(pairs))
+    g |= {"Q": g_asks @ w["K"] * SCALE, "K": g_asks.T @ w["Q"] * SCALE, "V": g_gives @ w["O"].T, "O": w["V"].T @ g_gives}
+    g |= {"U": g_classes[:, :-1], "bU": g_classes[:, -1], "W1": g_inner[:-1], "b1": g_inner[-1]}
     return g, float(loss) / n
 
 
 def fitted(model: Model, windows: np.ndarray, epochs: int, rate: float, seed: int, batch: int = 64) -> dict[str, np.ndarray]:
-    """The weights after some passes over ``windows`` (a row of ids each), by Adam."""
-    w = {k: v.copy() for k, v in model.w.items()}
-    m, s = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    """The weights after some passes over ``windows`` (a row of ids each), by Adam. Its two sums, ``m`` and ``s``, are not
+    yet multiplied by 0.1 and 0.01, and all weights are one array, changed a stretch that a core's cache holds at a time."""
+    flat = np.concatenate([v.ravel() for v in model.w.values()])
+    edges = np.cumsum([v.size for v in model.w.values()])[:-1]
+    w = {k: x.reshape(v.shape) for (k, v), x in zip(model.w.items(), np.split(flat, edges))}
+    m, s = np.zeros_like(flat), np.zeros_like(flat)
+    keep_freed()
     rng, step = np.random.default_rng(seed), 0
     steps = max(1, epochs * -(-len(windows) // batch))
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for i in range(0, len(order), batch):
             ids = windows[order[i : i + batch]]
-            g, _ = gradients(w, model.place[ids[:, :-1]], model.side[ids[:, CONTEXT:]], model.group[ids[:, CONTEXT:]])
+            found, _ = gradients(w, model.place[ids[:, :-1]], model.side[ids[:, CONTEXT:]], model.group[ids[:, CONTEXT:]])
+            g = np.concatenate([found[k].ravel() for k in w])
             step += 1
             now = rate * (1 - 0.9 * step / steps)
-            for k in w:
-                m[k] *= 0.9
-                m[k] += 0.1 * g[k]
-                s[k] *= 0.99
-                g[k] *= g[k]
-                s[k] += np.multiply(g[k], 0.01, out=g[k])
-                change = np.sqrt(np.divide(s[k], 1 - 0.99**step, out=g[k]), out=g[k])
-                change += 1e-6
-                np.divide(m[k], change, out=change)
-                change *= now / (1 - 0.9**step)
-                w[k] -= change
+            root = ((1 - 0.99**step) / 0.01) ** 0.5
+            for at in range(0, len(flat), STRETCH):
+                of = slice(at, at + STRETCH)
+                m[of] *= 0.9
+                m[of] += g[of]
+                s[of] *= 0.99
+                g[of] *= g[of]
+                s[of] += g[of]
+                change = np.sqrt(s[of], out=g[of])
+                change += 1e-6 * root
+                np.divide(m[of], change, out=change)
+                change *= now * root * 0.1 / (1 - 0.9**step)
+                flat[of] -= change
     return w
 
 
@@ -251,35 +321,16 @@ def laid_out(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray,
     return windows, wanted
 
 
-def predicted(model: Model, windows: np.ndarray, batch: int = 192) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of every scored id, and that its place starts a word. The same as
-    ``forward``, with the projections looked up and everything in small batches."""
-    w, d = model.w, WIDTH
-    keys = w["E"] @ w["K"]
-    values = np.concatenate([w["E"] @ w["V"] @ w["O"], np.ones((len(w["E"]), 1), np.float32)], axis=1)  # the last column sums the weights
-    asks = w["E"] @ w["Q"] * SCALE
-    share = model.share.astype(np.float32)
-    longest = lambda x: float(np.sqrt((x**2).sum(-1)).max())
-    # where lengths rule out that exp overflows, nothing is cut off
-    safe = longest(asks) * longest(keys) + float(w["P"].max()) < 80
-    reach = longest(np.swapaxes(w["U"], 1, 2)) * d**0.5
-    bias, ones = w["P"] + MASK, np.ones(SIDE, np.float32)
+def predicted(model: Model, windows: np.ndarray, batch: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of every scored id, and that its place starts a word."""
+    w = model.w
+    share, classes = model.share.astype(np.float32), np.concatenate([w["U"], w["bU"][:, None]], axis=1)
+    columns = np.ascontiguousarray(classes.transpose(0, 2, 1))
+    keep_freed()
     chosen, start = np.empty((len(windows), STRIDE)), np.empty((len(windows), STRIDE))
     for i in range(0, len(windows), batch):
         ids = windows[i : i + batch]
-        rows = np.take(model.place, ids[:, :-1])
-        own = rows[:, CONTEXT - 1 :]
-        a = np.take(asks, own, axis=0) @ np.take(keys, rows, axis=0).transpose(0, 2, 1)
-        a += bias
-        if not safe:
-            np.minimum(a, 60, out=a)
-        np.exp(a, out=a)
-        c = (a @ np.take(values, rows, axis=0)).reshape(-1, d + 1)
-        u = np.take(w["E"], own.ravel(), axis=0) + c[:, :d] / c[:, d:]
-        r = u @ w["W1"] + w["b1"]
-        np.maximum(r, 0, out=r)
-        u += r @ w["W2"]
-        near = float(np.abs(u).max()) * reach + float(w["bU"].max()) < 80
+        u = forward(w, np.take(model.place, ids[:, :-1]))[-1].reshape(-1, WIDTH)
         target = ids[:, CONTEXT:].ravel()
         side, group = np.take(model.side, target), np.take(model.group, target)
         s = u @ w["S"] + w["bS"]
@@ -287,11 +338,9 @@ def predicted(model: Model, windows: np.ndarray, batch: int = 192) -> tuple[np.n
         found = np.where(side == 1, starts, starts - s) + np.take(share, target)
         for j in (0, 1):
             of = np.flatnonzero(side == j)
-            score = np.take(u, of, axis=0) @ w["U"][j] + w["bU"][j]
-            found[of] += score[np.arange(len(of)), group[of]]
-            if not near:
-                np.minimum(score, 60, out=score)
-            found[of] -= np.log(np.exp(score, out=score) @ ones)
+            known = with_one(np.take(u, of, axis=0))
+            _, total, highest = exponents(lambda: known @ classes[j])
+            found[of] += np.einsum("ij,ij->i", known, np.take(columns[j], group[of], axis=0)) - highest - np.log(total)
         chosen[i : i + batch], start[i : i + batch] = found.reshape(-1, STRIDE), starts.reshape(-1, STRIDE)
     return chosen.ravel(), start.ravel()
 
