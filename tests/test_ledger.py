@@ -1,13 +1,16 @@
 """The ledger against a plain fold, on data where one product owns most of the rows."""
 
 import datetime as dt
+import os
 import random
 from collections import Counter
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from tradeframe.operators import ledger
+from tradeframe import session
 from tradeframe.operators.ledger import (APPROVED_BEFORE, INSUFFICIENT, INVALID, NO_MOVEMENT, NOT_FOUND, approve_movements,
                                          ledger_with_approvals, stock_ledger)
 
@@ -304,3 +307,45 @@ def test_requests_are_matched_without_an_aggregation(spark):
     matched = ledger._matched(spark.createDataFrame(moves, MOVES), spark.createDataFrame(asked, ASKED), ("movement_date", "id"), None, None)
     assert "Aggregate" not in matched._jdf.queryExecution().executedPlan().toString()
     assert {r["id"]: r["_sets"] for r in matched.collect()} == {0: None, 1: 1, 2: None, 3: None, 4: None}
+
+
+def left_behind(spark, *names):
+    """Working copies below the checkpoint folder."""
+    session.ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return {f for f in os.listdir(folder) if f.split("-")[0] in names}
+
+
+def test_requests_are_folded_in_parts(spark, monkeypatch):
+    """Where there are many events a part of the products is shuffled at a time, with the same rows; what was matched does not stay."""
+    moves = random_moves(61, 500, ("IN", "OUT", "OUT", "GIFT"), approved=0.6) + [(5000 + i, "IN", p, D("2"), DAY, False) for i, p in enumerate([None, 88])]
+    asked = random_approvals(61, moves) + [(20_000, None, day(3)), (20_001, 5000, day(3)), (20_002, 5001, day(3))]
+    monkeypatch.setattr(ledger, "WAVE", 100)
+    written = []
+    monkeypatch.setattr(ledger, "stored", lambda df, path: written.append(path.split("/")[-1].split("-")[0]) or session.stored(df, path))
+    before = left_behind(spark, "asked")
+    check_approvals(spark, {k: "30.50" for k in range(6)}, moves, asked)
+    assert written[0] == "asked" and written[1:] == ["posted"] * 8
+    assert left_behind(spark, "asked") == before
+
+
+def test_an_id_that_comes_twice_takes_the_earlier_way(spark, monkeypatch):
+    """A request that finds two movements is one of each, as are the movements with their requests."""
+    monkeypatch.setattr(ledger, "_in_parts", None)
+    moves = spark.createDataFrame([(1, "IN", 1, D("5"), DAY, False)] * 2 + [(2, "IN", 1, D("5"), DAY, True)], MOVES)
+    result = ledger_with_approvals(products(spark, {1: "10"}), moves, spark.createDataFrame([(7, 1, day(1))], ASKED))
+    assert Counter(r["id"] for r in result.journal.collect()) == {1: 4, 2: 1}
+    assert Counter((r["accepted"], r["reason"]) for r in result.approvals.collect()) == {(True, None): 4, (False, APPROVED_BEFORE): 4}
+
+
+def test_stored_rows_leave_no_shuffle(spark):
+    def shuffles():
+        return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    spark._jvm.System.gc()
+    rows = spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    before = shuffles()
+    for _ in range(5):
+        copy = session.stored(rows, session.shared_folder(spark, "rows"))
+    assert copy.agg(F.sum("count")).first()[0] == 1000
+    assert shuffles() <= before + 2  # of the sum

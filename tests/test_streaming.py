@@ -1,6 +1,7 @@
 """Streams: late events, approvals, restarts, and the same result as the batch jobs."""
 
 import datetime as dt
+import os
 from decimal import Decimal as D
 
 from tradeframe.operators.ledger import stock_ledger
@@ -8,7 +9,8 @@ from tradeframe.session import shared_folder
 from tradeframe.operators.ledger import APPROVED_BEFORE, NO_MOVEMENT
 from tradeframe.streaming import ledger as ledger_module
 from tradeframe.streaming.ledger import LedgerBatches
-from test_ledger import MOVES, check, fold_with_approvals, products, random_approvals, random_moves
+from tradeframe.plans import stock_queries
+from test_ledger import MOVES, check, fold_with_approvals, left_behind, products, random_approvals, random_moves
 
 EVENTS = MOVES + ", approves long"
 DAY = dt.date(2024, 1, 1)
@@ -121,3 +123,44 @@ def test_back_dated_movements_are_posted(spark):
     assert {r["id"]: (r["quantity_before"], r["accepted"]) for r in batches.journal().collect()} == {
         2: (D("5.00"), True), 1: (D("4.00"), True), 3: (D("3.00"), False)}
     assert batches.stock(1).first()["quantity_in_stock"] == D("3.00")
+
+
+def test_a_micro_batch_leaves_no_working_copies(spark):
+    copies = "batch", "asked", "posted"
+    before = left_behind(spark, *copies)
+    ledger = play(spark, {1: "10"}, [[event(1, "OUT", 1, "4", 1, approved=False)], [event(2, "APPROVE", 1, None, 2, approves=1), event(3, "APPROVE", 1, None, 3, approves=1)]])
+    assert ledger.plain and ledger.stock(1).first()["quantity_in_stock"] == D("6.00")
+    # and with a micro-batch that may not be read twice
+    other = LedgerBatches(products(spark, {1: "10"}), shared_folder(spark, "ledger"))
+    other(spark.createDataFrame([event(1, "OUT", 1, "4", 1, approved=False), event(2, "APPROVE", 1, None, 2, approves=1)], EVENTS), 0)
+    assert not other.plain and other.stock(0).first()["quantity_in_stock"] == D("6.00")
+    assert left_behind(spark, *copies) == before
+
+
+def test_only_rows_as_they_come_are_read_again(spark):
+    source = shared_folder(spark, "rows")
+    spark.createDataFrame([], EVENTS).write.parquet(source)
+    stream = spark.readStream.schema(EVENTS).parquet(source)
+    assert ledger_module._is_plain(stream.filter("id > 5").select("id", "approves"))
+    assert not ledger_module._is_plain(stream.dropDuplicates(["id"])) and not ledger_module._is_plain(stream.filter("rand() < 0.5"))
+
+
+def test_files_of_a_micro_batch_go_when_the_next_one_begins(spark):
+    rows = spark.createDataFrame([(n, DAY + dt.timedelta(days=n)) for n in range(4)], "id long, movement_date date")
+    files, state, out = [], shared_folder(spark, "state"), shared_folder(spark, "out")
+
+    class Db:
+        pass
+
+    db = Db()
+    db.spark = spark
+
+    def start(stream):
+        stream.writeStream.format("parquet").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start().awaitTermination()
+        folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        newest = max((f"{folder}/{f}" for f in left_behind(spark, "events")), key=os.path.getmtime)
+        files.append({f for f in os.listdir(newest) if f.endswith(".parquet")})
+
+    stock_queries._replay(db, start, rows, rows["id"] >= 2)
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+    assert files[0] and not files[0] & files[1]

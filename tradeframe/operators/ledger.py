@@ -33,10 +33,10 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, LongType, StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import BooleanType, DateType, DecimalType, LongType, StructField, StructType, TimestampNTZType, TimestampType
 
 from tradeframe.functions.money import TOTAL
-from tradeframe.session import cut, stored
+from tradeframe.session import cut, remove, shared_folder, shuffles_freed, stored
 
 # Movement types by their effect on stock.
 ADDING = ("IN", "RETURN", "ADJUSTMENT")
@@ -50,6 +50,8 @@ APPROVED_BEFORE = "movement already approved"
 
 #: Events of a product, or of a product's day, that one task takes.
 STRETCH = 1_000_000
+#: Movements and requests that are shuffled to their products at a time, unless that takes more than ``WAVES`` parts.
+WAVE, WAVES = 50_000_000, 8
 
 
 class Ledger(NamedTuple):
@@ -57,6 +59,7 @@ class Ledger(NamedTuple):
     products: DataFrame   # the whole product table with its new stock
     approvals: DataFrame | None = None  # every request with before, after, accepted, reason
     pending: DataFrame | None = None    # recorded results that still wait: id, product_id, quantity_after
+    copy: str | None = None             # the folder that all of these read; to be removed once they are written
 
 
 def effect(kind: str = "movement_type") -> Column:
@@ -87,8 +90,8 @@ def _list(column: pa.Array) -> list:
     return values
 
 
-def _columns(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*[_list(batch.column(batch.schema.get_field_index(n))) for n in COLUMNS])
+def _columns(batch: pa.RecordBatch, names: tuple[str, ...] = COLUMNS) -> Iterator[tuple]:
+    return zip(*[_list(batch.column(batch.schema.get_field_index(n))) for n in names])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -134,6 +137,47 @@ def _fold(entries: dict[int, int | None] | None = None) -> Callable:
     return run
 
 
+REQUESTS = ("_product", "_opening", "_effect", "_units", "_approved", "_key", "_asks", "_first", "_value")
+
+
+def _fold_requests(kept: list[str]) -> Callable:
+    """As ``_fold`` where no product is cut and no id comes twice, so that a movement's result is found by its id (``_key``)
+    in what was accepted before the request (``_asks``). Adds also ``_recorded``: whether it is there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stock = None, None
+        results: dict[int, int | None] = {}  # of accepted movements; none where it does not wait
+        for batch in batches:
+            before, after, accepted, recorded = [], [], [], []
+            for product, opening, sign, units, approved, key, asks, first, value in _columns(batch, REQUESTS):
+                if product != current:
+                    current, stock, results = product, None, {}
+                if opening is not None:
+                    stock = opening
+                known, result, ok, there = stock, None, False, False
+                if asks is not None:
+                    there = asks in results
+                    if first and stock is not None:
+                        if (result := results.get(asks)) is None:
+                            result = value
+                        else:
+                            results[asks] = None
+                        if result is not None:
+                            ok, stock = True, result
+                elif stock is not None and opening is None:
+                    ok, result, stock = step(stock, sign, units, approved)
+                    if ok and key is not None:
+                        results[key] = None if approved else result
+                before.append(known)
+                after.append(result if ok else None)
+                accepted.append(ok)
+                recorded.append(there)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                + [pa.array(before, pa.int64()), pa.array(after, pa.int64()), pa.array(accepted, pa.bool_()), pa.array(recorded, pa.bool_())],
+                names=[*kept, "_before", "_after", "accepted", "_recorded"])
+    return run
+
+
 SUMMARY = ("chunk long, product long, opened long, entry long, closing long, depends long, below long, above long, need long, "
            "total long")
 
@@ -361,9 +405,11 @@ def lay_out(rows: DataFrame, keys: list[str], partitions: int | None = None) ->
     return cut(ranged.sortWithinPartitions(*keys).withColumn("_chunk", F.spark_partition_id().cast("bigint")))
 
 
+_RESULTS = [StructField("_before", LongType()), StructField("_after", LongType()), StructField("accepted", BooleanType())]
+
+
 def _result_fields(rows: DataFrame) -> StructType:
-    return StructType([*rows.schema.fields, StructField("_before", LongType()), StructField("_after", LongType()),
-                       StructField("accepted", BooleanType())])
+    return StructType([*rows.schema.fields, *_RESULTS])
 
 
 def _by_stretches(rows: DataFrame, keys: list[str], partitions: int | None, approvals: bool) -> DataFrame:
@@ -385,6 +431,36 @@ def _by_product(rows: DataFrame, keys: list[str]) -> DataFrame:
     return ordered.mapInArrow(_fold(), _result_fields(rows))
 
 
+def _in_parts(products: DataFrame, movements: DataFrame, asked: DataFrame, order: tuple[str, ...], events: int, path: str) -> DataFrame:
+    """Movements and requests folded by product and written to ``path``: after one shuffle, of a part of the products at a
+    time if there are many ``events``, so that what is shuffled takes the disk of a part. Columns that can be computed
+    are neither shuffled nor written."""
+    kind = movements.schema["quantity"].dataType
+    whole = isinstance(kind, DecimalType) and kind.scale <= 2 and kind.precision <= 18  # then ``_units`` say it all, and are faster
+    moves = movements.select(F.col("product_id").alias("_product"), *[c for c in movements.columns if c != "product_id"], F.lit(0).alias("_kind"))
+    requests = asked.select("id", "_movement", "_here", "_there", "_first", "_product", "_time", "_value", F.lit(1).alias("_kind"))
+    # an opening has no time, so it comes first
+    opened = _openings(products).filter("_product is not null").select("_product", "_opening", F.lit(-1).alias("_kind"))
+    rows = moves.unionByName(requests, allowMissingColumns=True).unionByName(opened, allowMissingColumns=True)
+    kept = [*(c for c in moves.columns if c != "quantity" or not whole), "_movement", "_here", "_there", "_time", *["_units"] * whole]
+    time = F.coalesce("_time", F.when(F.col("_kind") == 0, F.col(order[0]).cast("timestamp_ntz")))
+    approved = F.coalesce("is_approved", F.lit(False))
+    parts = min(WAVES, events // WAVE + 1)
+    for part in range(parts):
+        some = rows.filter(F.pmod(F.xxhash64("_product"), F.lit(parts)) == part) if parts > 1 else rows
+        dealt = some.repartition(F.xxhash64("_product", F.when(F.col("_product").isNull(), F.col("id"))))
+        ready = dealt.select(
+            *(c for c in kept if c != "_units"), "_first", "_value", "_opening", effect().alias("_effect"),
+            (F.col("quantity") * 100).cast("bigint").alias("_units"), approved.alias("_approved"),
+            F.when(F.col("_kind") == 0, F.col("id")).alias("_key"), F.when(F.col("_there"), F.col("_movement")).alias("_asks"),
+        ).sortWithinPartitions("_product", time, "_kind", *order[1:])
+        fields = StructType([*ready.select(*kept).schema.fields, *_RESULTS, StructField("_recorded", BooleanType())])
+        out = stored(ready.mapInArrow(_fold_requests(kept), fields).filter("_kind >= 0"), path)
+    found = out.withColumns({"_time": time, "_effect": effect(), "_approved": approved,
+                             "product_id": F.col("_product").cast(movements.schema["product_id"].dataType)})
+    return found.withColumn("quantity", (F.col("_units").cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(kind)) if whole else found
+
+
 def _day_sums(moves: DataFrame, openings: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Per product and day: events, the stock at its start if nothing is rejected, and what remains of
     that after all takings of the day."""
@@ -411,9 +487,9 @@ def _by_sums(moves: DataFrame, days: DataFrame, order: tuple[str, ...]) -> DataF
         *moves.columns, "_before", F.when(F.col("accepted"), F.col("_before") + F.col("_effect") * F.col("_units")).alias("_after"), "accepted")
 
 
-def _folded_at_once(moves: DataFrame, asked: DataFrame | None, openings: DataFrame, most: int) -> bool:
-    """Whether no product has to be cut and some have to be folded: those with requests, and those whose movements
-    take more in all than was there. Rows of a product that comes twice are left to the other ways."""
+def _folded_at_once(moves: DataFrame, asked: DataFrame | None, openings: DataFrame, most: int) -> int:
+    """How many events there are, if no product has to be cut and some have to be folded: those with requests, and those
+    whose movements take more in all than was there; else 0. Rows of a product that comes twice are left to the other ways."""
     narrow = moves.select("_product", F.when(F.col("_approved"), F.col("_effect") * F.col("_units")).otherwise(0).alias("_change"), F.lit(False).alias("_asked"))
     if asked is not None:
         narrow = narrow.union(asked.select("_product", F.lit(0).cast("bigint"), F.lit(True)))
@@ -421,17 +497,18 @@ def _folded_at_once(moves: DataFrame, asked: DataFrame | None, openings: DataFra
     narrow = narrow.withColumn("_event", F.lit(1)).union(openings.select("_product", "_opening", F.lit(False), F.lit(0)))
     each = narrow.filter("_product is not null").groupBy("_product").agg(
         F.sum("_event").alias("n"), F.sum("_change").alias("left"), F.bool_or("_asked").alias("asked"), F.sum(1 - F.col("_event")).alias("openings"))
-    found = each.agg(F.max("n").alias("n"), F.max("openings").alias("openings"),
-                     F.bool_or(F.col("asked") | ((F.col("left") < 0) & (F.col("openings") > 0))).alias("folds")).first()
-    return bool(found["folds"]) and found["n"] <= most and found["openings"] <= 1
+    with shuffles_freed(moves.sparkSession):
+        found = each.agg(F.max("n").alias("n"), F.max("openings").alias("openings"), F.sum("n").alias("events"),
+                         F.bool_or(F.col("asked") | ((F.col("left") < 0) & (F.col("openings") > 0))).alias("folds")).first()
+    return found["events"] if found["folds"] and found["n"] <= most and found["openings"] <= 1 else 0
 
 
 def _posted(products: DataFrame, moves: DataFrame, asked: DataFrame | None, order: tuple[str, ...], partitions: int | None, most: int,
-            plain: DataFrame | None = None) -> DataFrame:
-    """All events with ``_before``, ``_after`` and ``accepted``. ``plain``: the movements before anything was joined to them."""
+            at_once: bool) -> DataFrame:
+    """All events with ``_before``, ``_after`` and ``accepted``."""
     keys, openings = _keys(order), _openings(products)
     events = moves if asked is None else moves.unionByName(asked, allowMissingColumns=True)
-    if not partitions and _folded_at_once(moves if plain is None else plain, asked, openings, most):
+    if at_once:
         opened = openings.filter("_product is not null")
         return _by_product(events.unionByName(opened, allowMissingColumns=True), keys).filter("_opening is null")
     nameless = events.filter("_product is null").select(
@@ -491,7 +568,9 @@ def stock_ledger(products: DataFrame, movements: DataFrame, partitions: int | No
     IN, RETURN and ADJUSTMENT add; OUT and TRANSFER need enough stock. The sign of the
     quantity is not checked. ``most`` events of a product are one task's, a product with more is cut into
     stretches; with ``partitions`` the whole journal is cut into that many, or into more of ``STRETCH`` events."""
-    posted = _posted(products, _events(movements, order), None, order, partitions, most)
+    moves = _events(movements, order)
+    at_once = not partitions and _folded_at_once(moves, None, _openings(products), most) > 0
+    posted = _posted(products, moves, None, order, partitions, most, at_once)
     hundredth = F.lit("0.01").cast("decimal(3,2)")
     moved = posted.filter("accepted and _approved").groupBy(F.col("_product").alias("_moved_product")).agg(
         F.sum((F.col("_effect") * F.col("_units")).cast("decimal(20,0)")).alias("_moved"))
@@ -504,8 +583,8 @@ def stock_ledger(products: DataFrame, movements: DataFrame, partitions: int | No
 
 def _matched(movements: DataFrame, approvals: DataFrame, order: tuple[str, ...], waiting: DataFrame | None, settled: DataFrame | None) -> DataFrame:
     """Requests with what is known of their movement before anything is posted: ``_product``, ``_here`` (among
-    ``movements``), ``_open`` (posted before the request and not approved then) and ``_sets``: its id, for the
-    first of its open requests."""
+    ``movements``), ``_there`` (posted before the request), ``_sets``: its id, for the first of the requests that find it there
+    and not approved, and ``_twice``: whether its id, or that of this request, comes twice."""
     at = F.col(order[0]).cast("timestamp_ntz")
     nothing = F.lit(None)
     known = movements.select(F.col("id").alias("_m"), F.col("product_id").alias("_product"), at.alias("_since"), F.lit(True).alias("_here"),
@@ -518,15 +597,18 @@ def _matched(movements: DataFrame, approvals: DataFrame, order: tuple[str, ...],
         known = known.union(settled.select(
             F.col("id").alias("_m"), F.col("product_id").alias("_product"), nothing.cast("timestamp_ntz").alias("_since"),
             F.lit(False).alias("_here"), F.lit(True).alias("_was"), nothing.cast("bigint").alias("_value"), F.col("accepted")))
+    # these windows are by the columns of the join, so the rows stay where they are
+    known = known.filter("_m is not null").withColumn("_copies", F.sum(F.col("_here").cast("int")).over(Window.partitionBy("_m")))
     requests = approvals.select(F.col("id"), F.col("movement_id").alias("_movement"), F.col("approved_at").cast("timestamp_ntz").alias("_time"))
     since = F.col("_since").isNull() | (F.col("_time") >= F.col("_since"))
     joined = requests.join(known, F.col("_movement") == F.col("_m"), "left").withColumn("_there", F.col("_m").isNotNull() & since & F.col("_kept"))
     opened = joined.withColumn("_open", F.col("_there") & ~F.col("_was"))
-    # by the column of the join, so the rows stay where they are
-    first = F.min(F.when(F.col("_open"), F.struct("_time", "id"))).over(Window.partitionBy("_movement"))
+    same = Window.partitionBy("_movement")
+    first = F.min(F.when(F.col("_open"), F.struct("_time", "id"))).over(same)
     is_first = F.col("_open") & (F.struct("_time", "id") == F.col("_first"))
-    return opened.withColumn("_first", first).select(
-        "id", "_movement", "_time", "_product", "_here", "_there", F.when(is_first, F.col("_m")).alias("_sets"), "_value")
+    sets = opened.withColumn("_first", first).withColumn("_sets", F.when(is_first, F.col("_m")))
+    twice = (F.col("_copies") > 1) | (F.count(F.when(F.col("_here"), F.col("_sets"))).over(same) > 1)
+    return sets.select("id", "_movement", "_time", "_product", "_here", "_there", "_sets", "_value", F.coalesce(twice, F.lit(False)).alias("_twice"))
 
 
 def ledger_with_approvals(products: DataFrame, movements: DataFrame, approvals: DataFrame, partitions: int | None = None,
@@ -539,21 +621,32 @@ def ledger_with_approvals(products: DataFrame, movements: DataFrame, approvals:
     has been posted since. It is refused if its movement is not there yet, was rejected, or is approved
     already. ``waiting`` (``id, product_id, quantity_after``) are results recorded earlier, ``settled``
     (``id, product_id, accepted``) movements posted earlier whose result does not wait."""
-    asked = stored(_matched(movements, approvals, order, waiting, settled), "asked")
-    owners = asked.filter("_here and _sets is not null").select(F.col("_sets").alias("_o"))
+    spark, openings = movements.sparkSession, _openings(products)
+    asked_at, posted_at = shared_folder(spark, "asked"), shared_folder(spark, "posted")
+    matched = _matched(movements, approvals, order, waiting, settled)
+    asked = stored(matched.withColumn("_first", F.col("_sets").isNotNull()).drop("_sets"), asked_at)
     plain = _events(movements, order).withColumn("_time", F.col(order[0]).cast("timestamp_ntz"))
-    moves = plain.join(owners, (F.col("id") == F.col("_o")) & ~F.col("_approved"), "left").select(
-        *[F.col("_o").alias("_own") if c == "_own" else F.col(c) for c in plain.columns])
-    requests = asked.select(
-        "id", "_movement", "_here", "_there", "_product", F.lit(1).alias("_rank"), "_time", F.lit(1).alias("_kind"), F.lit(0).alias("_effect"),
-        F.lit(0).cast("bigint").alias("_units"), F.lit(False).alias("_approved"), F.lit(None).cast("bigint").alias("_opening"),
-        F.lit(None).cast("bigint").alias("_own"), "_sets", "_value")
-    done_with = ("_rank", "_opening", "_own", "_sets", "_value", "_units")
-    posted = stored(_posted(products, moves, requests, order, partitions, most, plain).drop(*done_with), "posted")
-    made, decided = posted.filter("_kind = 0"), posted.filter("_kind = 1")
-    recorded = made.filter("accepted").select(F.col("id").alias("_r"), F.lit(True).alias("_recorded"))
-    there = F.col("_there") & (~F.col("_here") | F.col("_recorded").isNotNull())
-    judged = decided.join(recorded, F.col("_movement") == F.col("_r"), "left").select(
+    events = 0 if partitions else _folded_at_once(plain, asked, openings, most)
+    if events and asked.filter("_twice").isEmpty():
+        posted = _in_parts(products, movements, asked, order, events, posted_at)
+        made, decided = posted.filter("_kind = 0"), posted.filter("_kind = 1")
+    else:
+        sets = F.when(F.col("_first"), F.col("_movement")).alias("_sets")
+        owners = asked.filter("_here and _first").select(F.col("_movement").alias("_o"))
+        moves = plain.join(owners, (F.col("id") == F.col("_o")) & ~F.col("_approved"), "left").select(
+            *[F.col("_o").alias("_own") if c == "_own" else F.col(c) for c in plain.columns])
+        requests = asked.select(
+            "id", "_movement", "_here", "_there", "_product", F.lit(1).alias("_rank"), "_time", F.lit(1).alias("_kind"), F.lit(0).alias("_effect"),
+            F.lit(0).cast("bigint").alias("_units"), F.lit(False).alias("_approved"), F.lit(None).cast("bigint").alias("_opening"),
+            F.lit(None).cast("bigint").alias("_own"), sets, "_value")
+        done_with = ("_rank", "_opening", "_own", "_sets", "_value", "_units")
+        posted = stored(_posted(products, moves, requests, order, partitions, most, events > 0).drop(*done_with), posted_at)
+        made = posted.filter("_kind = 0")
+        recorded = made.filter("accepted").select(F.col("id").alias("_r"), F.lit(True).alias("_recorded"))
+        decided = posted.filter("_kind = 1").join(recorded, F.col("_movement") == F.col("_r"), "left")
+    remove(spark, asked_at)
+    there = F.col("_there") & (~F.col("_here") | F.coalesce("_recorded", F.lit(False)))
+    judged = decided.select(
         "id", F.col("_movement").alias("movement_id"), F.col("_product").alias("product_id"), F.col("_time").alias("approved_at"),
         quantity("_before").alias("quantity_before"), quantity("_after").alias("quantity_after"), "accepted",
         F.when(F.col("accepted"), None).when(F.coalesce(there, F.lit(False)), APPROVED_BEFORE).otherwise(NO_MOVEMENT).alias("reason"))
@@ -563,12 +656,12 @@ def ledger_with_approvals(products: DataFrame, movements: DataFrame, approvals:
     after = products.join(last, F.col("id") == F.col("_last_product"), "left").withColumn("_stock", F.col("_last.stock")).select(
         *[c for c in products.columns if c != "quantity_in_stock"],
         F.coalesce(quantity("_stock").cast(TOTAL), F.col("quantity_in_stock").cast(TOTAL)).alias("quantity_in_stock"))
-    done = decided.filter("accepted").select(F.col("_movement").alias("_done"))
+    done = posted.filter("_kind = 1 and accepted").select(F.col("_movement").alias("_done"))
     open_ = made.filter("accepted and not _approved").select("id", "product_id", quantity("_after").alias("quantity_after"))
     if waiting is not None:
         open_ = open_.unionByName(waiting.select("id", "product_id", F.col("quantity_after").cast("decimal(18,2)").alias("quantity_after")))
     pending = open_.join(done, F.col("id") == F.col("_done"), "left_anti")
-    return Ledger(_journal(made, movements.columns), after, judged, pending)
+    return Ledger(_journal(made, movements.columns), after, judged, pending, posted_at)
 
 
 class Approved(NamedTuple):

@@ -209,11 +209,11 @@ def _middle(movements):
 
 def _replay(db, start, events, late):
     """Write the events to a source folder, those that are ``late`` after the others, and run ``start`` on
-    the stream after each."""
+    the stream after each. Files of a micro-batch that is done go when the next one begins."""
     source = shared_folder(db.spark, "events")
     for rows in (events.filter(~late), events.filter(late)):
         rows.write.mode("append").parquet(source)
-        start(db.spark.readStream.schema(events.schema).parquet(source))
+        start(db.spark.readStream.schema(events.schema).option("cleanSource", "delete").parquet(source))
 
 
 def _batches(db, levels=None, partitions=None):

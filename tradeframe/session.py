@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,13 +57,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As ``cut``, in columns: what is read again reads only the columns it needs. Orders and partitions are not kept."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files; otherwise they stay until the driver collects its garbage. For actions
+    whose plan is not run again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """As ``cut``, in columns: what is read again reads only the columns it needs. Orders and partitions are not kept.
+    Rows are added to those of the folder."""
+    with shuffles_freed(df.sparkSession):
+        df.write.mode("append").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a working copy that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder, which all executors share."""
     ensure_checkpoint_dir(spark)

@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeframe.operators.ledger import ledger_with_approvals, stock_ledger
-from tradeframe.session import stored
+from tradeframe.operators.ledger import Ledger, ledger_with_approvals, stock_ledger
+from tradeframe.session import remove, shared_folder, shuffles_freed, stored
 from tradeframe.streaming.alerts import low_stock_crossings
 
 APPROVE = "APPROVE"
@@ -27,6 +27,17 @@ _STOCK = "id long, quantity_in_stock decimal(28,2), epoch int"
 _WAITING = "id long, product_id long, quantity_after decimal(18,2), open boolean, epoch int"
 
 
+def _is_plain(events: DataFrame) -> bool:
+    """Whether a stream is its source's rows as they come, or some of them: a micro-batch that is read again is the same
+    then and costs no more than a copy."""
+    def plain(node) -> bool:
+        below = node.children()
+        return node.getClass().getSimpleName() in ("Project", "Filter", "StreamingRelation") and all(plain(below.apply(i)) for i in range(below.size()))
+
+    plan = events._jdf.queryExecution().analyzed()
+    return plan.deterministic() and plain(plan)
+
+
 class LedgerBatches:
     """A ``foreachBatch`` function. It posts each micro-batch of movements and, if the stream has a column
     ``approves``, of approvals (``movement_type`` ``APPROVE``, the movement's id in ``approves``, its date in
@@ -40,10 +51,12 @@ class LedgerBatches:
         self.folder = folder
         self.partitions = partitions
         self.levels = levels
+        self.plain = False  # whether a micro-batch may be read again
         self.spark = products.sparkSession
 
     def _write(self, df: DataFrame, table: str, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{table}/epoch={epoch}")
+        with shuffles_freed(df.sparkSession):
+            df.write.mode("overwrite").parquet(f"{self.folder}/{table}/epoch={epoch}")
 
     def _state(self, table: str, schema: str, epoch: int) -> DataFrame:
         """The latest version of each row of a state table after an epoch."""
@@ -67,7 +80,7 @@ class LedgerBatches:
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         approvals = "approves" in batch.columns
         if approvals:
-            self._with_approvals(stored(batch, "batch"), epoch)
+            self._with_approvals(batch, epoch)
         else:
             self._movements(batch, epoch)
         if self.levels is not None:
@@ -83,20 +96,31 @@ class LedgerBatches:
                                  .cast("decimal(28,2)").alias("quantity_in_stock")), "stock", epoch)
 
     def _with_approvals(self, batch: DataFrame, epoch: int) -> None:
+        copy = shared_folder(self.spark, "batch")
+        if not self.plain:
+            batch = stored(batch, f"{copy}/events")
         approvals = batch.filter(F.col("movement_type") == APPROVE).select(
             "id", F.col("approves").alias("movement_id"), F.col("movement_date").alias("approved_at"))
         movements = batch.filter(~F.col("movement_type").eqNullSafe(APPROVE)).drop("approves")
+        if self.plain:
+            movements = stored(movements, f"{copy}/movements")  # these are read more often, by column
         waiting = self.waiting(epoch - 1)
         settled = None
         if epoch > 0:
             asked = approvals.select(F.col("movement_id").alias("id")).distinct().join(waiting.select("id"), "id", "left_anti")
             earlier = self.spark.read.parquet(f"{self.folder}/journal").filter(F.col("epoch") < epoch)
-            settled = earlier.select("id", "product_id", "accepted").join(asked, "id", "left_semi")
+            # written out, so that its shuffles are gone before requests are matched
+            settled = stored(earlier.select("id", "product_id", "accepted").join(asked, "id", "left_semi"), f"{copy}/settled")
         stock = self.stock(epoch - 1)
         posted = ledger_with_approvals(stock, movements, approvals, self.partitions, waiting=waiting, settled=settled)
+        remove(self.spark, copy)  # what is posted has been written
         self._write(posted.journal, "journal", epoch)
         self._write(posted.approvals, "approvals", epoch)
         journal, decided = self.journal(epoch), self.approvals(epoch).filter("accepted")
+        self._write_state(posted, journal, decided, epoch)
+        remove(self.spark, posted.copy)
+
+    def _write_state(self, posted: Ledger, journal: DataFrame, decided: DataFrame, epoch: int) -> None:
         if epoch % FULL == 0:
             self._write(posted.products.select("id", F.col("quantity_in_stock").cast("decimal(28,2)").alias("quantity_in_stock")), "stock", epoch)
             self._write(posted.pending.withColumn("open", F.lit(True)), "waiting", epoch)
@@ -111,6 +135,7 @@ class LedgerBatches:
 
     def run(self, events: DataFrame, checkpoint: str) -> None:
         """Process all available input of a stream."""
+        self.plain = _is_plain(events)
         query = (events.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True).start())
         query.awaitTermination()
