@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tradeframe.operators import ledger
 from tradeframe import session
+from tradeframe.plans import stock_queries
 from tradeframe.operators.ledger import (APPROVED_BEFORE, INSUFFICIENT, INVALID, NO_MOVEMENT, NOT_FOUND, approve_movements,
                                          ledger_with_approvals, stock_ledger)
 
@@ -349,3 +350,13 @@ def test_stored_rows_leave_no_shuffle(spark):
         copy = session.stored(rows, session.shared_folder(spark, "rows"))
     assert copy.agg(F.sum("count")).first()[0] == 1000
     assert shuffles() <= before + 2  # of the sum
+
+
+def test_the_ledger_query_writes_only_what_it_needs(spark, monkeypatch):
+    """Prices, orders and people of a movement are not carried through the fold."""
+    moves = spark.createDataFrame([(1, "OUT", 1, D("8"), DAY, False, "WH-A", 77, D("1"))], MOVES + ", warehouse string, sales_order_id long, unit_price decimal(10,2)")
+    seen = []
+    monkeypatch.setattr(ledger, "_in_parts", lambda p, m, *more, made=ledger._in_parts: seen.append(set(m.columns)) or made(p, m, *more))
+    rows = stock_queries.ledger_with_approvals({"products": products(spark, {1: "10"}), "stock_movements": moves}).collect()
+    assert sorted((r["event"], r["id"], r["accepted"]) for r in rows) == [("approval", 5, True), ("approval", 6, False), ("movement", 1, True)]
+    assert seen == [{"id", "movement_type", "product_id", "quantity", "movement_date", "is_approved"}]

@@ -193,7 +193,9 @@ def _decided(journal, approvals):
 
 @query("w08_ledger_with_approvals", _approvals_sql("0", "0"))
 def ledger_with_approvals(db):
-    posted = ledger.ledger_with_approvals(db["products"], db["stock_movements"], requests(db))
+    # only what the ledger needs: it writes its movements out
+    movements = db["stock_movements"].select("id", "movement_type", "product_id", "quantity", "movement_date", "is_approved")
+    posted = ledger.ledger_with_approvals(db["products"], movements, requests(db))
     return _decided(posted.journal, posted.approvals)
 
 
